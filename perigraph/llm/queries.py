@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import fresh_path
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
+from .license_scan import license_scan
+from .simhash import simhash_near_dedup
 from .token_counts import count_tokens
 
 
@@ -20,14 +23,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every run does the whole work."""
     return count_tokens(documents(spark, sf_dir), fresh_path(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
