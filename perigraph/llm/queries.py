@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import fresh_path
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .language_id import identify_languages
 from .license_scan import license_scan
+from .mixing import mix_sources
 from .simhash import simhash_near_dedup
 from .token_counts import count_tokens
 
@@ -23,6 +26,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = identify_languages(docs, learn=docs.filter(~held_out()))
+    return labels.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+#: Production weights of the mixture; a source's domain is its number modulo 4.
+MIX_LEVELS = {"domain": "'domain' || try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4", "lang": "lang", "source": "source"}
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, at most two epochs of any source."""
+    return mix_sources(documents(spark, sf_dir), MIX_LEVELS, MIX_WEIGHTS, (1, 2), 2, seed=7)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(documents(spark, sf_dir))
 
@@ -40,8 +63,52 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def mix_sql() -> str:
+    """The mixture in SQL: one block of waterfilling for each level, then running sums over whole leaves."""
+    weight = {k: "CASE " + k + "".join(f" WHEN '{a}' THEN {b}" for a, b in v.items()) + " ELSE 1 END" for k, v in MIX_WEIGHTS.items()}
+    levels, blocks = ["domain", "lang", "source"], []
+    for depth, level in enumerate(levels):
+        parents, own = levels[:depth], levels[: depth + 1]
+        by = f"PARTITION BY {', '.join(parents)}" if parents else ""
+        join = f"JOIN g{depth - 1} USING ({', '.join(parents)})" if parents else "CROSS JOIN budget"
+        blocks.append(f"""
+        n{depth} AS (
+          SELECT {", ".join(own)}, sum(tokens * 2)::BIGINT AS capacity, {weight.get(level, "1")} AS weight, any_value(granted) AS granted
+          FROM leaves {join} GROUP BY {", ".join(own)}
+        ), f{depth} AS (
+          SELECT *, capacity * sum(weight) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (granted - coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled
+          FROM n{depth}
+        ), g{depth} AS (
+          SELECT {", ".join(own)}, (CASE WHEN filled THEN capacity ELSE
+            (granted - coalesce(sum(capacity) FILTER (filled) OVER ({by}), 0)) * weight // sum(weight) FILTER (NOT filled) OVER ({by}) END)::BIGINT AS granted
+          FROM f{depth}
+        )""")
+    return f"""
+        WITH d AS (
+          SELECT doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4), '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+          FROM documents
+        ), leaves AS (
+          SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+        ), budget AS (
+          SELECT sum(tokens)::BIGINT // 2 AS granted FROM leaves
+        ), {",".join(blocks)}, plan AS (
+          SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE granted // tokens END AS epochs, CASE WHEN tokens = 0 THEN 0 ELSE granted % tokens END AS rest
+          FROM leaves JOIN g2 USING (domain, lang, source)
+        ), placed AS (
+          SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || epochs || ':' || doc_id), doc_id) AS upto
+          FROM d JOIN plan USING (domain, lang, source)
+        )
+        SELECT doc_id, domain, lang, source, n_tokens, epochs + (upto <= rest)::BIGINT AS copies
+        FROM placed WHERE epochs + (upto <= rest)::BIGINT > 0
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_mix_sources": op4_mix_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op9_html_extraction": op9_html_extraction,
@@ -58,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)
     """,
+    "op4_mix_sources": mix_sql(),
 }
