@@ -14,7 +14,9 @@ from .html_extract import extract_main_text
 from .language_id import identify_languages
 from .license_scan import license_scan
 from .mixing import mix_sources
+from .order_minhash import document_fingerprints
 from .simhash import simhash_near_dedup
+from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 
 
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), with_text=False)
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -55,6 +61,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), fresh_path(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -107,10 +117,12 @@ def mix_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
 }
@@ -125,5 +137,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)
     """,
+    "op2_substring_dedup": """
+        WITH words AS (
+          SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place
+          FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+        ), windows AS (
+          SELECT doc_id, place, word || ' ' || """
+    + " || ' ' || ".join(f"lead(word, {i}) OVER w" for i in range(1, 13))
+    + """ AS seq
+          FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+        ), firsts AS (
+          SELECT seq, min(doc_id) AS first_doc FROM windows WHERE seq IS NOT NULL GROUP BY seq
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place FROM windows JOIN firsts USING (seq) WHERE first_doc < doc_id
+        ), kept AS (
+          SELECT doc_id, count(*) AS n_words, count(gone.doc_id) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (gone.doc_id IS NULL) AS kept
+          FROM words LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN kept USING (doc_id)
+    """,
     "op4_mix_sources": mix_sql(),
 }
