@@ -15,6 +15,7 @@ from .language_id import identify_languages
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .order_minhash import document_fingerprints
+from .sentencepiece_lattice import sample_segmentations
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
@@ -65,6 +66,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
 
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document, by digest; each is decoded and held against the text."""
+    return sample_segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), seed=11, with_ids=False)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
 }
