@@ -1,15 +1,89 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, segmentation sampling."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing to target weights, segmentation sampling.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns rows of its columns; the last returns the
+sampled segmentations. Rows are told apart by id and text, so ids that repeat with another text do no harm.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perigraph.llm.common import materialize, small_side, whole_text
+from perigraph.llm.exact_dedup import exact_dedup
+from perigraph.llm.language_id import keep_identified
+from perigraph.llm.mixing import mix_sources
+from perigraph.llm.queries import MIX_LEVELS, MIX_WEIGHTS
+from perigraph.llm.sentencepiece_lattice import sample_segmentations
+from perigraph.llm.simhash import simhash_near_dedup
+
+
+def row_key() -> Column:
+    return F.struct("doc_id", F.xxhash64(whole_text(F.col("text"))).alias("digest"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in dropped (key)."""
+    keyed = docs.withColumn("perigraph_key", row_key())
+    left = keyed.join(small_side(dropped, 32), F.col("perigraph_key").eqNullSafe(F.col("key")), "left_anti")
+    return left.select(*docs.columns)
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what is in one language for at least half of its letters; texts without letters go."""
+    return keep_identified(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of equal texts, the row with the largest id; of rows that repeat an id and its text, one."""
+    found = materialize(exact_dedup(keyed_texts(docs)).select(F.col("doc_id").alias("key"), "kept"), "pipeline-exact")
+    left = without(docs, found.filter("not kept").select("key"))
+    again = materialize(found.filter("kept").groupBy("key").count().filter("count > 1").select("key"), "pipeline-repeated")
+    if again.isEmpty():
+        return left
+    keyed = left.withColumn("perigraph_key", row_key())
+    repeated = keyed.join(small_side(again, 32), F.col("perigraph_key").eqNullSafe(F.col("key")), "left_semi").dropDuplicates(["perigraph_key"])
+    return without(left, again).unionByName(repeated.select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group."""
+    found = simhash_near_dedup(keyed_texts(docs))
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key"))
+    return without(docs, materialize(dropped, "pipeline-near"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps three quarters of all tokens, by the weights of domains, languages and sources; no document twice."""
+    keyed = docs.withColumn("perigraph_key", row_key())
+    chosen = mix_sources(keyed, MIX_LEVELS, MIX_WEIGHTS, (3, 4), 1, seed=7, id_col="perigraph_key").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(chosen, F.col("perigraph_key").eqNullSafe(F.col("key")), "left_semi").select(*docs.columns)
+
+
+def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each text, with their ids."""
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=11)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_duplicates),
+    ("simhash_near_dedup", near_duplicates),
+    ("mix_sources", mixture),
+    ("sentencepiece_sampling", segmentations),
+]
 
-STAGES: list = []
+#: The last stage draws from counters and vocabularies that SQL cannot express; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .common import sliced, whole_text
 
@@ -195,15 +196,12 @@ def label_texts(texts: list[str], langs: list[str], table: np.ndarray, allowed:
     return out
 
 
-def identify_languages(docs: DataFrame, learn: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (share of letters), spans (start, end in code points, lang).
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("lang", StringType())]))
+LABELS = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", SPANS)]
 
-    learn holds the texts and labels to learn from (docs if none is given); null labels are left out. Predictions use
-    the text alone. A null text or one without a letter gives "und", score 0 and no span, as does everything if there
-    is nothing to learn from. Ties go to the language that is first in text order. Rows that repeat an id each get a
-    row; an empty table gives an empty result; other columns are ignored, whatever their names.
-    """
-    learn = docs if learn is None else learn
+
+def label_rows(docs: DataFrame, learn: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Each row of docs as the struct row, with lang_pred, score and spans of its text."""
     labelled = learn.select(F.col(f"`{id_col}`").alias("id"), whole_text(F.col(f"`{text_col}`")).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang is not null")
     langs, table, allowed = train(labelled)
 
@@ -212,7 +210,31 @@ def identify_languages(docs: DataFrame, learn: DataFrame | None = None, id_col:
         for batch in rows:
             for part in sliced(batch, 1, CHUNK_BYTES):
                 columns = zip(*label_texts(part.column(1).to_pylist(), langs, table, allowed), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["row", "lang_pred", "score", "spans"])
+
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), whole_text(F.col(f"`{text_col}`")).alias("text"))
+    return own.mapInArrow(run, StructType([own.schema["row"], *LABELS]))
+
+
+def identify_languages(docs: DataFrame, learn: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: doc_id, lang_pred, score (share of letters), spans (start, end in code points, lang).
 
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), whole_text(F.col(f"`{text_col}`")).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    learn holds the texts and labels to learn from (docs if none is given); null labels are left out. Predictions use
+    the text alone. A null text or one without a letter gives "und", score 0 and no span, as does everything if there
+    is nothing to learn from. Ties go to the language that is first in text order. Rows that repeat an id each get a
+    row; an empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    labelled = docs if learn is None else learn
+    labelled = labelled.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    return label_rows(own, labelled, "doc_id", "text", "lang").select("row.doc_id", "lang_pred", "score", "spans")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose text is in one language for the share min_score of its letters.
+
+    It learns from the labelled rows among docs. Where the label is null, the predicted language takes its place. Texts
+    without letters go; if there are no labels to learn from, every row goes.
+    """
+    kept = label_rows(docs, docs, id_col, text_col, lang_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*[(F.coalesce(F.col("row")[c], F.col("lang_pred")) if c == lang_col else F.col("row")[c]).alias(c) for c in docs.columns])
