@@ -54,11 +54,11 @@ def bands(df: DataFrame, keys: list[str], value: str, prefix: str = "") -> DataF
 
 
 def agreement(df: DataFrame, keys: list[str], value: str, target: float = 3.0, tolerance: float = 0.03) -> DataFrame:
-    """probability_within (a missing value counts as outside), and whether the 95% band holds the target."""
+    """probability_within (a missing value counts as outside), and whether there is a 95% band that holds the target."""
     inside = F.when(F.abs(F.col(value) - target) <= tolerance, 1.0).otherwise(0.0)
     q = F.expr(f"percentile({value}, array(0.025, 0.975))")
     out = df.groupBy(*keys).agg(F.avg(inside).alias("probability_within"), q.alias("q"))
-    return out.select(*keys, "probability_within", ((F.col("q")[0] <= target) & (F.col("q")[1] >= target)).alias("ci_contains_target"))
+    return out.select(*keys, "probability_within", F.coalesce((F.col("q")[0] <= target) & (F.col("q")[1] >= target), F.lit(False)).alias("ci_contains_target"))
 
 
 def tail_probabilities(df: DataFrame, keys: list[str], tests: dict[str, str]) -> DataFrame:

@@ -30,10 +30,16 @@ def ghosts(points: DataFrame, box: float, cells: int, span: int = 1) -> DataFram
     return spread.withColumns({f"c{c}": F.pmod(F.col(f"c{c}") + F.col(f"shift.s{c}"), F.lit(cells)) for c in "xyz"}).drop("shift")
 
 
-def close_pairs(sources: DataFrame, points: DataFrame, box: float, cells: int, span: int = 1) -> DataFrame:
-    """src, dst, d2 and the source's cell for all pairs of different ids within span cells."""
-    left = with_cells(sources, box, cells).select(*CELL, F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"{c}_src") for c in "xyz"])
-    right = ghosts(points, box, cells, span).select(*CELL, F.col("id").alias("dst"), *[F.col(c).cast("double").alias(f"{c}_dst") for c in "xyz"])
+def close_pairs(sources: DataFrame, points: DataFrame, box: float, cells: int, span: int = 1, spread: str = "points") -> DataFrame:
+    """src, dst, d2 and the cell where they met for all pairs of different ids within span cells.
+
+    The side named by spread is copied to the cells around: points, so that all pairs of a source meet in its own cell;
+    or sources, where these are few and the span is wide.
+    """
+    left = ghosts(sources, box, cells, span) if spread == "sources" else with_cells(sources, box, cells)
+    right = ghosts(points, box, cells, span) if spread == "points" else with_cells(points, box, cells)
+    left = left.select(*CELL, F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"{c}_src") for c in "xyz"])
+    right = right.select(*CELL, F.col("id").alias("dst"), *[F.col(c).cast("double").alias(f"{c}_dst") for c in "xyz"])
     d2 = periodic_distance2([F.col(f"{c}_src") for c in "xyz"], [F.col(f"{c}_dst") for c in "xyz"], box)
     return left.join(right, CELL).filter("src != dst").select(*CELL, "src", "dst", d2.alias("d2"))
 
@@ -83,7 +89,7 @@ def counts_in_spheres(centres: DataFrame, points: DataFrame, radii: list[float],
     span = math.ceil(radii[-1] / (box / cells))
     require(2 * span + 1 <= cells, "the largest radius spans the whole grid")
     require(radii[-1] < box / 2, "the largest radius is over half the box")
-    pairs = close_pairs(centres, points, box, cells, span).filter(F.col("d2") <= radii[-1] ** 2)
+    pairs = close_pairs(centres, points, box, cells, span, "sources").filter(F.col("d2") <= radii[-1] ** 2)
     index = F.aggregate(F.array(*[F.lit(r * r) for r in radii]), F.lit(0), lambda n, r2: n + F.when(F.col("d2") > r2, 1).otherwise(0))
     hits = pairs.groupBy(F.col("src").alias("center"), index.alias("r_index")).count()
     grid = centres.select(F.col("id").alias("center"), F.posexplode(F.array(*[F.lit(float(r)) for r in radii])).alias("r_index", "radius"))
