@@ -1,0 +1,49 @@
+"""Binary arrays. They are read once, to be kept as Parquet."""
+
+from __future__ import annotations
+
+import io
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """id (row number), x, y, z of a raw little-endian float32 table, read in splits of whole records."""
+    records = spark.sparkContext.binaryRecords(path, 12).zipWithIndex()
+    return records.map(lambda r: (r[1], *struct.unpack("<3f", r[0]))).toDF("id long, x float, y float, z float")
+
+
+def read_array(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """row, col, value of a one- or two-dimensional .npy file, or of a member of an .npz bundle; one file to a task."""
+
+    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in files:
+            for content in batch["content"]:
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                array = np.atleast_2d(np.asarray(found[member] if member else found, float).T).T
+                for start in range(0, len(array), 1 << 16):
+                    part = array[start : start + (1 << 16)]
+                    rows, cols = (x.ravel() for x in np.indices(part.shape))
+                    yield pd.DataFrame({"row": rows + start, "col": cols, "value": part.ravel()})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, col long, value double")
+
+
+def read_sparse_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst, w of a compressed-row matrix in an .npz bundle (indptr, indices, data)."""
+
+    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in files:
+            for content in batch["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as found:
+                    pointers, columns, values = found["indptr"], found["indices"], found["data"]
+                for start in range(0, len(pointers) - 1, 1 << 14):
+                    rows = np.arange(start, min(start + (1 << 14), len(pointers) - 1))
+                    own = slice(pointers[rows[0]], pointers[rows[-1] + 1])
+                    yield pd.DataFrame({"src": np.repeat(rows, np.diff(pointers)[rows]), "dst": columns[own].astype(np.int64), "w": values[own].astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "src long, dst long, w double")
