@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as op
 from ..operators import fits
-from .fixtures import PROBES, TRACE, boot, boot_means, quantiles, rounded, table, windowed
+from .fixtures import TRACE, boot, boot_means, quantiles, rounded, table, windowed
 
 
 def sample(spark, sf, where):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as boots
 from ..operators import crossing as op
 from ..operators import fits, merge
-from .fixtures import BOOT, BOOT_SPECTRAL, CURVE, PROBES, SPECTRAL, TRACE, boot_means, crossing, curve, persistent, quantiles, rounded, trace, windowed
+from .fixtures import BOOT, BOOT_SPECTRAL, CURVE, SPECTRAL, TRACE, boot_means, crossing, curve, persistent, quantiles, rounded, trace, windowed
 
 V = "individual_trace_estimate"
 MARGIN = "(0.1D - abs(ds - 3D))"

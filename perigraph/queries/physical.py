@@ -10,7 +10,7 @@ from ..functions import geometric_grid
 from ..operators import bootstrap as boots
 from ..operators import density, fits, heatkernel, length, metric, spatial, spectrum, synthetic
 from ..operators import crossing as cross
-from .fixtures import BOX, CURVE, PROBES, REPLICATES, POINTS, SPECTRAL, curve, d2, persistent, points, rounded, table, windowed
+from .fixtures import BOX, CURVE, PROBES, REPLICATES, POINTS, SPECTRAL, curve, d2, persistent, points, rounded, table
 from .selection import pair_list
 
 TAU = 2 * math.pi / BOX

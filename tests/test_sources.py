@@ -78,8 +78,8 @@ def test_stream_ingests_once(spark, tmp_path):
 def test_plans_run_end_to_end(spark):
     rng = np.random.default_rng(4)
     data = [(i, *map(float, rng.random(3) * 10), float(v)) for i, v in enumerate(rng.random(400))]
-    catalogue = spark.createDataFrame(data, "id long, x double, y double, z double, vpeak double")
-    points, edges = plans.catalogue_to_graph(catalogue, "vpeak", 0.2, 10.0, k=4)
+    catalogue = spark.createDataFrame(data, "id long, x double, y double, z double, mass double")
+    points, edges = plans.catalogue_to_graph(catalogue, "mass", 0.2, 10.0, k=4)
     assert points.count() == 200 and edges.groupBy("src").count().agg(F.min("count")).first()[0] >= 4
     times = [4, 6, 8, 12, 16, 24, 32, 48, 64, 96]
     trace = spark.createDataFrame([(p, t, float((1 + 0.01 * rng.random()) * t**-1.5)) for p in range(8) for t in times], "probe_index int, diffusion_time int, individual_trace_estimate double")
