@@ -56,10 +56,6 @@ def text_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), whole_text(F.col(f"`{text_col}`")).alias("text"))
 
 
-def batches(out: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(out, names=names)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls and the offsets of its rows, without copying."""
     column = column.cast(pa.large_string())

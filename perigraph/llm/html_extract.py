@@ -32,6 +32,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -41,7 +42,7 @@ def path_step(tag: str, classes: str) -> str:
 
 
 def is_furniture(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in FURNITURE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+    if tag in FURNITURE or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDING.search(attributes.get("style", "")):
         return True
     if tag in ("html", "body", "main", "article") and "comment" not in attributes.get("class", "").lower():
         return False

@@ -14,7 +14,6 @@ fingerprint reaches in one form a star, which gives the same components from lin
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,8 +104,10 @@ def from_planes(blob: bytes) -> np.ndarray:
 
 def split_shards(cells: np.ndarray, low: int) -> list[tuple[int, slice]]:
     """Runs of sorted cells that share the bits above low."""
+    if not len(cells):
+        return []
     shard = (cells >> np.uint64(low)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     return [(int(shard[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)]
 
 
