@@ -28,8 +28,10 @@ from .common import sliced, text_pieces
 MARK = "▁"
 ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
-CHUNK_BYTES = 1 << 20
-FILTER_BITS = 22
+CHUNK_BYTES = 1 << 19
+#: Distinct units whose lattices a worker keeps from one batch to the next.
+KEPT_UNITS = 40_000
+SLOT_BITS = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,11 +68,17 @@ class Vocabulary:
         self.fallback = alpha * floor  # for each byte of a character without a piece
         self.bytes = {model.id_to_piece(i): i for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, (pieces[i] for i in usable)))
-        hashes = np.array([self.hash_of(pieces[i]) for i in usable], np.uint64)
+        spans = [self.prefix_hashes(pieces[i]) for i in usable]
+        hashes = np.array([x[-1] for x in spans], np.uint64)
+        self.begins = np.zeros(1 << SLOT_BITS, bool)  # whether a longer piece may begin with characters of this slot
+        self.begins[self.slot(np.array([y for x in spans for y in x[:-1]], np.uint64))] = True
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(usable)[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        # The first piece of each slot, and whether a slot has others, which are then searched for.
+        slots = self.slot(self.hashes)
+        self.first_in_slot, self.crowded = np.full(1 << SLOT_BITS, -1), np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+        self.first_in_slot[slots[::-1]] = np.arange(len(slots))[::-1]
+        self.kept = Kept()
         self.joined = np.zeros(0x110000, bool)  # characters that stand in some longer piece
         crossing = [x for x in (pieces[i] for i in usable) if MARK in x.lstrip(MARK)]
         for i in usable:
@@ -80,34 +88,42 @@ class Vocabulary:
         self.surface = [bytes([int(x[3:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
 
     @staticmethod
-    def hash_of(piece: str) -> int:
-        h = np.zeros(1, np.uint64)
+    def prefix_hashes(piece: str) -> list[int]:
+        """Hashes of the first 1, 2, ... characters of a piece."""
+        h, out = 0, []
         for c in piece:
-            h = mix(h * STEP + np.uint64(ord(c) + 1))
-        return int(h[0])
+            h = (h * int(STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            out.append(h)
+        return out
+
+    @staticmethod
+    def slot(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def find(self, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Piece ids of hashes, -1 where there is none."""
-        out = np.full(len(hashes), -1)
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes[maybe]
-        out[maybe[hit]] = self.ids[at[hit]]
+        at = self.first_in_slot[slots]
+        out = np.where((at >= 0) & (self.hashes[at] == hashes), self.ids[at], -1)
+        again = np.flatnonzero((out < 0) & self.crowded[slots])
+        if len(again):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
+            out[again] = np.where(self.hashes[at] == hashes[again], self.ids[at], -1)
         return out
 
-    def expand(self, edges: np.ndarray) -> np.ndarray:
-        """Ids with characters that have no piece (size + code point) spelled in bytes, or as the unknown piece."""
+    def expand(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with characters that have no piece (size + code point) spelled in bytes, or as the unknown piece; and how
+        many ids precede each edge's, and all."""
         odd = np.flatnonzero(edges >= self.size)
         if not len(odd):
-            return edges
-        spelled = {int(v): [self.bytes[f"<0x{b:02X}>"] for b in chr(v - self.size).encode("utf-8", "surrogatepass")] if self.bytes else [self.model.unk_id()] for v in np.unique(edges[odd])}
+            return edges, np.arange(len(edges) + 1)
+        kinds, which = np.unique(edges[odd], return_inverse=True)
+        spelled = [[self.bytes[f"<0x{b:02X}>"] for b in chr(v - self.size).encode("utf-8", "surrogatepass")] if self.bytes else [self.model.unk_id()] for v in kinds.tolist()]
         counts = np.ones(len(edges), np.int64)
-        for v, ids in spelled.items():
-            counts[odd[edges[odd] == v]] = len(ids)
-        places, out = np.cumsum(counts) - counts, np.repeat(edges, counts)
-        for v, ids in spelled.items():
-            out[places[odd[edges[odd] == v]][:, None] + np.arange(len(ids))] = ids
-        return out
+        counts[odd] = np.array([len(x) for x in spelled])[which]
+        before, out = np.append(0, np.cumsum(counts)), np.repeat(edges, counts)
+        for i, ids in enumerate(spelled):
+            out[before[odd[which == i]][:, None] + np.arange(len(ids))] = ids
+        return out, before
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; the mark that every encoded text begins with is left out."""
@@ -129,33 +145,47 @@ class Lattices:
         ends = offsets[1:][unit]
         self.first = offsets[:-1] + np.arange(len(lengths))  # first node of each unit
         n_nodes = len(points) + len(lengths)
-        alive, h, edges = np.arange(len(points)), np.zeros(len(points), np.uint64), []
+        node_of, wide = np.arange(len(points)) + unit, points.astype(np.uint64) + np.uint64(1)
+        alive, h, runs, held = np.arange(len(points)), np.zeros(len(points), np.uint64), [], np.zeros(len(points), np.int64)
         for size in range(1, words.longest + 1):
-            alive_in = alive + size <= ends[alive]
-            alive, h = alive[alive_in], h[alive_in]
+            inside = alive + size <= ends[alive]
+            if size > 1:
+                alive, h = alive[inside], h[inside]
             if not len(alive):
                 break
-            h = mix(h * STEP + points[alive + size - 1].astype(np.uint64) + np.uint64(1))
-            ids = words.find(h)
+            h = h * STEP + wide[alive + size - 1]
+            slots = words.slot(h)
+            ids = words.find(h, slots)
             if size == 1:
-                missing = ids < 0
-                value = points[alive].astype(np.int64)
-                n_bytes = 1 + (value >= 0x80) + (value >= 0x800) + (value >= 0x10000)
-                weight = np.where(missing, n_bytes * words.fallback, words.weights[ids])
-                edges.append((alive, alive + 1, np.where(missing, words.size + value, ids), weight))
+                missing = np.flatnonzero(ids < 0)
+                value = points[missing].astype(np.int64)
+                ids[missing] = words.size + value
+                weight = words.weights[np.minimum(ids, words.size - 1)]
+                weight[missing] = (1 + (value >= 0x80) + (value >= 0x800) + (value >= 0x10000)) * words.fallback
+                runs.append((alive, size, ids, weight, held.copy()))
+                held += 1
             else:
-                hit = ids >= 0
-                edges.append((alive[hit], alive[hit] + size, ids[hit], words.weights[ids[hit]]))
-        start, end, ids, weight = (np.concatenate(x) for x in zip(*edges, strict=True))
-        order = np.argsort(start, kind="stable")
-        start, end, ids, weight = start[order], end[order], ids[order], weight[order]
-        node, self.to, self.ids = start + unit[start], end + unit[start], ids
-        self.begin = np.searchsorted(node, np.arange(n_nodes + 1))
+                hit = np.flatnonzero(ids >= 0)
+                at = alive[hit]
+                runs.append((at, size, ids[hit], words.weights[ids[hit]], held[at]))
+                held[at] += 1
+            longer = words.begins[slots]
+            alive, h = alive[longer], h[longer]
+        # Edges stand by their start, then by their length.
+        per_node = np.zeros(n_nodes, np.int64)
+        per_node[node_of] = held
+        self.begin = np.append(0, np.cumsum(per_node))
+        n_edges = int(self.begin[-1])
+        self.to, self.ids, weight, left = np.empty(n_edges, np.int64), np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int64)
+        remaining = ends - np.arange(len(points))
+        for at, size, ids, own, place in runs:
+            e = self.begin[node_of[at]] + place
+            self.to[e], self.ids[e], weight[e], left[e] = node_of[at] + size, ids, own, remaining[at]
+        self.node = node = np.repeat(np.arange(n_nodes), per_node)
         self.last = np.zeros(n_nodes, bool)
         self.last[offsets[1:] + np.arange(len(lengths))] = True
         # Log weight of all ways from a node to its unit's end, from the ends backwards.
         total = np.zeros(n_nodes)
-        left = (ends - np.arange(len(points)))[start]
         by_left = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         bounds = np.searchsorted(left[by_left], np.arange(1, left.max(initial=0) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -172,7 +202,7 @@ class Lattices:
         running = np.cumsum(p)
         before = np.append(0.0, running)[self.begin[node]]
         closing = self.begin[1:][self.begin[1:] > self.begin[:-1]] - 1
-        self.node, self.key = node, node + np.minimum(running - before, 1.0)
+        self.key = node + np.minimum(running - before, 1.0)
         self.key[closing] = node[closing] + 1.0
         self.single = (self.begin[1:] - self.begin[:-1] == 1)[node]
         # The likeliest edge of each node is tried first, as it is drawn most often.
@@ -184,12 +214,18 @@ class Lattices:
         e = self.likeliest[node[opening]]
         self.likeliest_p[node[opening]] = np.where(self.single[e], 1.0, p[e])
         self.likeliest_before[node[opening]] = self.key[e] - node[e] - p[e]
-        # Log probability of all other edges at an edge's start; summed where the edge takes nearly all.
+        # Log probability of all but the likeliest edge, summed from theirs, as it may be far below one.
+        p[e] = 0.0
+        self.likeliest_rest = np.full(n_nodes, -np.inf)
         with np.errstate(divide="ignore"):
-            self.rest = np.log(-np.expm1(np.minimum(self.log_p, 0.0)))
-            p[e] = 0.0
-            self.rest[e] = np.log(np.add.reduceat(p, opening)) if len(opening) else self.rest[e]
-        self.rest[self.single] = -np.inf
+            self.likeliest_rest[node[opening]] = np.log(np.add.reduceat(p, opening)) if len(opening) else 0.0
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log probability of all other edges at each edge's start."""
+        node = self.node[edges]
+        out, other = self.likeliest_rest[node], np.flatnonzero(self.likeliest[node] != edges)
+        out[other] = np.log(-np.expm1(self.log_p[edges[other]]))
+        return out
 
     def walk(self, nodes: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a way to the end from each node; edges of all ways in order, and how many each has."""
@@ -218,12 +254,62 @@ class Lattices:
         return out, counts
 
 
+def lattices_of(words: Vocabulary, kinds: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[Lattices, np.ndarray]:
+    """Lattices that hold the distinct units (kinds, sorted hashes), each at a place of points, and their first nodes.
+
+    Those that the worker keeps are taken from there; the rest are built, and kept while there is room.
+    """
+    kept, first = words.kept, np.zeros(len(kinds), np.int64)
+    known = np.zeros(len(kinds), bool)
+    if len(kept.kinds):
+        at = np.minimum(np.searchsorted(kept.kinds, kinds), len(kept.kinds) - 1)
+        known = kept.kinds[at] == kinds
+        first[known] = kept.first[at[known]]
+    new = np.flatnonzero(~known)
+    took = np.append(0, np.cumsum(lengths[new]))
+    index = np.arange(took[-1]) - np.repeat(took[:-1] - starts[new], lengths[new])
+    lattices, first[new] = kept.with_new(Lattices(words, points[index], lengths[new]), kinds[new])
+    return lattices, first
+
+
 def truncated_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels of these locations under the condition that none is above most."""
     with np.errstate(invalid="ignore"):
         return np.where(location == -np.inf, -np.inf, location - np.logaddexp(location - most, np.log(-np.log(u))))
 
 
+class Kept:
+    """Lattices of the units that a worker has met first, and room after them for those of one batch."""
+
+    SHIFTED = {"to": "node", "node": "node", "key": "node", "likeliest": "edge", "begin": "edge"}
+    PER_EDGE = ("to", "node", "key", "ids", "log_p", "single")
+    PER_NODE = ("likeliest", "begin", "last", "likeliest_p", "likeliest_before", "likeliest_rest")
+
+    def __init__(self) -> None:
+        self.kinds, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.nodes = self.edges = 0
+        self.room: dict[str, np.ndarray] = {}
+
+    def with_new(self, new: Lattices, kinds: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """The kept lattices with new ones (of these units) after them, and the new units' first nodes."""
+        out, shift = object.__new__(Lattices), {"node": self.nodes, "edge": self.edges}
+        for name in (*self.PER_EDGE, *self.PER_NODE):
+            own, start = getattr(new, name), self.edges if name in self.PER_EDGE else self.nodes
+            if start + len(own) > len(self.room.get(name, ())):
+                grown = np.empty(start + len(own) * 3 // 2, own.dtype)
+                grown[:start] = self.room[name][:start] if start else 0
+                self.room[name] = grown
+            room = self.room[name][: start + len(own)]
+            room[start:] = own + shift[self.SHIFTED[name]] if name in self.SHIFTED else own
+            setattr(out, name, room)
+        first = new.first + self.nodes
+        if len(self.kinds) + len(kinds) <= KEPT_UNITS:
+            order = np.argsort(both := np.concatenate([self.kinds, kinds]))
+            self.kinds, self.first = both[order], np.concatenate([self.first, first])[order]
+            self.nodes, self.edges = self.nodes + len(new.last), self.edges + len(new.to)
+        return out, first
+
+
 class Path:
     """One drawn segmentation of a text: its edges and their units; of the steps from own_from on, where its own regions
     begin, the log probability before each and the bound of its region."""
@@ -236,7 +322,7 @@ class Path:
 def rest_mass(lattices: Lattices, edge: int, excluded: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
     """The other edges at an edge's start that are not excluded, their log probabilities, and the log of their sum."""
     node = lattices.node[edge]
-    others = np.setdiff1d(np.arange(lattices.begin[node], lattices.begin[node + 1]), excluded)
+    others = np.array([e for e in range(lattices.begin[node], lattices.begin[node + 1]) if e not in excluded], np.int64)
     log_p = lattices.log_p[others]
     return others, log_p, float(np.logaddexp.reduce(log_p)) if len(others) else -np.inf
 
@@ -264,16 +350,14 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
     inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(points), pow(int(STEP), -1, 1 << 64), np.uint64)))
     sums = np.append(np.uint64(0), np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1]))
     hashes = mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
-    _, places, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    took = np.concatenate([[0], np.cumsum(lengths[places])])
-    index = np.arange(took[-1]) - np.repeat(took[:-1] - starts[places], lengths[places])
-    lattices = Lattices(words, points[index], lengths[places])
+    kinds, places, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    lattices, first_of_kind = lattices_of(words, kinds, points, starts[places], lengths[places])
 
     unit_bounds = np.searchsorted(starts, text_starts)
     unit_text = np.repeat(np.arange(len(texts)), np.diff(unit_bounds))
     seeds = np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF) for k in keys], np.uint64)
     number = (np.arange(len(starts)) - unit_bounds[:-1][unit_text]).astype(np.uint64)
-    first_node = lattices.first[kind]
+    first_node = first_of_kind[kind]
 
     def bases(rank: int, units: np.ndarray) -> np.ndarray:
         return mix(mix(seeds[unit_text[units]] + salt(rank + 1)) + number[units] * STEP)
@@ -291,7 +375,7 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
         before = sums[:-1] + np.repeat(heads - sums[cuts[:-1]], sizes)
         place = (np.arange(len(edges)) - np.repeat(cuts[:-1], sizes)).astype(np.uint64)
         counter = np.repeat(mix(seeds[owners] + salt(1000 + rank)), sizes) + place * STEP
-        bounds = truncated_gumbel(before + lattices.rest[edges], np.repeat(values, sizes), uniform(counter))
+        bounds = truncated_gumbel(before + lattices.rest(edges), np.repeat(values, sizes), uniform(counter))
         return before, bounds, heads + sums[cuts[1:]] - sums[cuts[:-1]]
 
     all_units = np.arange(len(starts))
@@ -348,14 +432,13 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
             whole, own_units = np.concatenate([path.edges[:step], [chosen], edges[a:b]]), np.concatenate([path.units[:step], [unit], unit_of_step[a:b]])
             found[i].append(Path(whole, own_units, bound, step + 1, float(log_p[j]), before[a:b], bounds[a:b]))
 
-    out = []
-    for i, paths in enumerate(found):
-        if not paths:
-            continue
-        threshold = best_region(i)[0]
-        for rank, path in enumerate(paths, 1):
-            inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(path.log_p - threshold, 700.0))))
-            out.append((i, rank, words.expand(lattices.ids[path.edges]), path.log_p, path.value, inclusion))
+    drawn = [(i, rank, path) for i, paths in enumerate(found) for rank, path in enumerate(paths, 1)]
+    ids, before = words.expand(lattices.ids[np.concatenate([path.edges for _, _, path in drawn])])
+    ends = before[np.cumsum([len(path.edges) for _, _, path in drawn])]
+    thresholds, out = {i: best_region(i)[0] for i in owners.tolist()}, []
+    for (i, rank, path), a, b in zip(drawn, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        inclusion = 1.0 if thresholds[i] == -np.inf else float(-np.expm1(-np.exp(min(path.log_p - thresholds[i], 700.0))))
+        out.append((i, rank, ids[a:b], path.log_p, path.value, inclusion))
     return out
 
 
