@@ -90,7 +90,7 @@ def counts_in_spheres(centres: DataFrame, points: DataFrame, radii: list[float],
     require(2 * span + 1 <= cells, "the largest radius spans the whole grid")
     require(radii[-1] < box / 2, "the largest radius is over half the box")
     pairs = close_pairs(centres, points, box, cells, span, "sources").filter(F.col("d2") <= radii[-1] ** 2)
-    index = F.aggregate(F.array(*[F.lit(r * r) for r in radii]), F.lit(0), lambda n, r2: n + F.when(F.col("d2") > r2, 1).otherwise(0))
+    index = sum((F.when(F.col("d2") > r * r, 1).otherwise(0) for r in radii), F.lit(0))
     hits = pairs.groupBy(F.col("src").alias("center"), index.alias("r_index")).count()
     grid = centres.select(F.col("id").alias("center"), F.posexplode(F.array(*[F.lit(float(r)) for r in radii])).alias("r_index", "radius"))
     upto = Window.partitionBy("center").orderBy("r_index").rowsBetween(Window.unboundedPreceding, 0)

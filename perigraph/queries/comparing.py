@@ -133,7 +133,7 @@ def o18_common_range(spark, sf):
     from .fixtures import curve
 
     c = curve(spark, sf)
-    return rounded(op.common_range(c.filter("t <= 12"), c.filter("t % 2 = 0"), "t"))
+    return rounded(op.common_range(c.filter("t <= 12"), c, "t"))
 
 
 def p_left_join(spark, sf):
@@ -186,7 +186,7 @@ ORACLE_SQL = {
     + " UNION ALL ".join(f"SELECT b, avg(ds) AS v FROM w{w} WHERE t >= 5 AND ds IS NOT NULL GROUP BY b" for w in (3, 5, 7))
     + ") SELECT b, round(min(v), 6) AS least, round(max(v), 6) AS most, round(max(v) - min(v), 6) AS spread FROM m GROUP BY b",
     "o17_split": f"WITH {TRACE}, c AS (SELECT diffusion_time AS t, round(avg(individual_trace_estimate), 6) AS p FROM trace GROUP BY 1) SELECT t, p, 'main' AS part FROM c WHERE t <= 20 UNION ALL SELECT t, p, 'extended' FROM c WHERE t >= 20",
-    "o18_common_range": f"WITH {TRACE}, c AS (SELECT diffusion_time AS t, round(avg(individual_trace_estimate), 6) AS p FROM trace GROUP BY 1) SELECT t, p, 'first' AS run FROM c WHERE t <= 12 UNION ALL SELECT t, p, 'second' FROM c WHERE t % 2 = 0 AND t <= 12",
+    "o18_common_range": f"WITH {TRACE}, c AS (SELECT diffusion_time AS t, round(avg(individual_trace_estimate), 6) AS p FROM trace GROUP BY 1) SELECT t, p, 'first' AS run FROM c WHERE t <= 12 UNION ALL SELECT t, p, 'second' FROM c WHERE t <= 12",
     "p_left_join": "SELECT n_name, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey",
     "q_set_operations": "SELECT nation, 'both' AS kind FROM (SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT nation, 'customers only' FROM (SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier)",
     "q_event_documents": "SELECT event_id, json_object('event_type', event_type, 'user_id', user_id)::VARCHAR AS doc, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.page'), json_extract_string(props, '$.a')) IS NOT NULL AS found FROM events",

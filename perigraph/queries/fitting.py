@@ -51,8 +51,7 @@ def e6_common_times(spark, sf):
 
 
 def e8_pivot(spark, sf):
-    t = trace(spark, sf).filter("diffusion_time in (5, 10, 15)")
-    return rounded(merge.pivot_trace(t, [5, 10, 15]))
+    return rounded(merge.pivot_trace(trace(spark, sf), list(range(1, 31))))
 
 
 def e10_null_control(spark, sf):
@@ -257,7 +256,7 @@ ORACLE_SQL = {
     "e4_time_summary": f"WITH {TRACE}, {SUMMARY} SELECT diffusion_time, n AS n_probes, round(m, 6) AS trace_mean, round(s, 6) AS trace_std, round(s / sqrt(n), 6) AS trace_se, round(m / 100, 6) AS p_return, round(s / sqrt(n) / 100, 6) AS p_return_se, round(s / sqrt(n) / m, 6) AS relative_se FROM summary",
     "e5_integrity": f"WITH {TRACE} SELECT count(*) AS n_rows, count(DISTINCT (probe_index, diffusion_time)) AS n_cells, 0::BIGINT AS n_repeated, (SELECT min(n) FROM (SELECT count(*) AS n FROM trace GROUP BY probe_index)) AS min_per_probe, count(DISTINCT probe_index) AS n_probes, min(probe_index) AS first_probe, max(probe_index) AS last_probe, (SELECT min(n) FROM (SELECT count(*) AS n FROM trace GROUP BY diffusion_time)) AS min_per_time, count(DISTINCT diffusion_time) AS n_times FROM trace",
     "e6_common_times": f"WITH {TRACE} SELECT probe_index, diffusion_time, round({V}, 6) AS {V} FROM trace WHERE diffusion_time BETWEEN 10 AND 20",
-    "e8_pivot": f"WITH {TRACE} SELECT probe_index, round(max({V}) FILTER (diffusion_time = 5), 6) AS t5, round(max({V}) FILTER (diffusion_time = 10), 6) AS t10, round(max({V}) FILTER (diffusion_time = 15), 6) AS t15 FROM trace GROUP BY 1",
+    "e8_pivot": f"WITH {TRACE} SELECT probe_index, " + ", ".join(f"round(max({V}) FILTER (diffusion_time = {t}), 6) AS t{t}" for t in range(1, 31)) + " FROM trace GROUP BY 1",
     "e10_null_control": f"WITH {TRACE}, {SUMMARY} SELECT probe_index, diffusion_time, round({V} / m * (SELECT m FROM summary WHERE diffusion_time = 5) * pow(diffusion_time / 5.0::DOUBLE, -1.5), 6) AS {V} FROM trace JOIN summary USING (diffusion_time)",
     "f1_spectral_dimension": f"WITH {SPECTRAL} SELECT t, round(ds, 6) AS ds, round(r2, 6) AS r2, round(rms, 6) AS rms FROM spectral",
     "f3_shifted_window": f"""WITH {CURVE}, s AS (SELECT t, CASE WHEN count(*) OVER w = 5 THEN regr_slope(ln(p), ln(t::DOUBLE)) OVER w END AS s, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM curve {SHIFT})

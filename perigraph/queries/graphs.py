@@ -75,7 +75,7 @@ def c21_induced_edges(spark, sf):
 
 def k2_counts_in_spheres(spark, sf):
     p = points(spark, sf)
-    return spatial.counts_in_spheres(p.filter("id % 20 = 0"), p, [5.0, 10.0, 15.0, 20.0], BOX, 10).select("center", "radius", "count")
+    return spatial.counts_in_spheres(p, p, [5.0, 10.0, 15.0, 20.0], BOX, 10).select("center", "radius", "count")
 
 
 def d10_single_source(spark, sf):
@@ -179,7 +179,7 @@ ORACLE_SQL = {
     "c18_asymmetric": f"WITH {KNN} SELECT src, dst FROM knn EXCEPT SELECT dst, src FROM knn",
     "c19_edge_lengths": f"WITH {GRAPH}, l AS (SELECT sqrt({d2('a', 'b')}) AS length FROM graph JOIN points a ON a.id = src JOIN points b ON b.id = dst) SELECT {statistics('length')} FROM l",
     "c21_induced_edges": f"WITH {GRAPH}, own AS (SELECT id FROM points WHERE x < 40 AND y < 40) SELECT src, dst FROM graph WHERE src < dst AND src IN (SELECT id FROM own) AND dst IN (SELECT id FROM own)",
-    "k2_counts_in_spheres": f"WITH {POINTS}, r AS (SELECT unnest([5.0, 10.0, 15.0, 20.0])::DOUBLE AS radius), pairs AS (SELECT a.id, {d2('a', 'b')} AS d2 FROM points a JOIN points b ON a.id <> b.id WHERE a.id % 20 = 0) SELECT c.id AS center, radius, (SELECT count(*) FROM pairs p WHERE p.id = c.id AND p.d2 <= radius * radius) AS count FROM points c, r WHERE c.id % 20 = 0",
+    "k2_counts_in_spheres": f"WITH {POINTS}, r AS (SELECT unnest([5.0, 10.0, 15.0, 20.0])::DOUBLE AS radius), pairs AS (SELECT a.id, {d2('a', 'b')} AS d2 FROM points a JOIN points b ON a.id <> b.id), near AS (SELECT id, radius, count(*) AS n FROM pairs JOIN r ON d2 <= radius * radius GROUP BY 1, 2) SELECT c.id AS center, r.radius, coalesce(n, 0) AS count FROM points c CROSS JOIN r LEFT JOIN near ON near.id = c.id AND near.radius = r.radius",
     "d4_trace": f"WITH {WALKED}, e AS ({ESTIMATES}) SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM e",
     "d5_trace_summary": f"""WITH {WALKED}, e AS ({ESTIMATES}), n AS (SELECT count(*) AS n FROM points), s AS (SELECT diffusion_time, count(*) AS n_probes, avg(individual_trace_estimate) AS trace, stddev_samp(individual_trace_estimate) / sqrt(3) AS se FROM e WHERE diffusion_time <> 1 GROUP BY 1)
       SELECT diffusion_time, n_probes, round(trace, 6) AS trace, round(se, 6) AS trace_se, round(trace / n, 6) AS p_return, round(se / n, 6) AS p_return_se, round(se / trace, 6) AS relative_se FROM s, n""",

@@ -10,7 +10,7 @@ from ..functions import geometric_grid
 from ..operators import bootstrap as boots
 from ..operators import density, fits, heatkernel, length, metric, spatial, spectrum, synthetic
 from ..operators import crossing as cross
-from .fixtures import BOX, CURVE, PROBES, REPLICATES, POINTS, SPECTRAL, curve, d2, persistent, points, rounded, table
+from .fixtures import BOX, CURVE, REPLICATES, POINTS, SPECTRAL, curve, d2, persistent, points, rounded, table
 from .selection import pair_list
 
 TAU = 2 * math.pi / BOX
@@ -55,7 +55,7 @@ def i7_radius(spark, sf):
 
 def i9_lengths_at(spark, sf):
     times = spark.range(0, 70).select((F.col("id") / 2).alias("t"))
-    return rounded(length.lengths_at(times, lengths(spark, sf).filter("diffusion_time % 3 = 0")))
+    return rounded(length.lengths_at(times, lengths(spark, sf)))
 
 
 def i10_merge_lengths(spark, sf):
@@ -133,18 +133,17 @@ def j5_identity(spark, sf):
     return rounded(metric.identity_metrics(measured(spark, sf).withColumn("y", F.col("y") * 50), [], "distance", "y"))
 
 
-RADII = geometric_grid(5.0, 40.0, 8)
+RADII = geometric_grid(5.0, 30.0, 8)
 
 
 def centre_counts(spark, sf):
     p = points(spark, sf)
-    counts = spatial.counts_in_spheres(p.filter(f"id % 12 = 0 and id <= {12 * PROBES}"), p, RADII, BOX, 10)
-    return counts.withColumn("center", (F.col("center") / 12 - 1).cast("int"))
+    return spatial.counts_in_spheres(p, p, RADII, BOX, 8).withColumn("center", (F.col("center") - 1).cast("int"))
 
 
-COUNTS = f"""{POINTS}, radii AS (SELECT unnest([{", ".join(map(repr, RADII))}])::DOUBLE AS radius), pairs AS (
-  SELECT a.id, {d2("a", "b")} AS d2 FROM points a JOIN points b ON a.id <> b.id WHERE a.id % 12 = 0 AND a.id <= {12 * PROBES}), counts AS (
-  SELECT (c.id / 12 - 1)::INT AS center, radius, (SELECT count(*) FROM pairs p WHERE p.id = c.id AND p.d2 <= radius * radius) AS count FROM points c, radii WHERE c.id % 12 = 0 AND c.id <= {12 * PROBES})"""
+COUNTS = f"""{POINTS}, radii AS (SELECT unnest([{", ".join(map(repr, RADII))}])::DOUBLE AS radius), near AS (
+  SELECT a.id, radius, count(*) AS n FROM points a JOIN points b ON a.id <> b.id JOIN radii ON {d2("a", "b")} <= radius * radius GROUP BY 1, 2), counts AS (
+  SELECT (c.id - 1)::INT AS center, radii.radius, coalesce(n, 0) AS count FROM points c CROSS JOIN radii LEFT JOIN near ON near.id = c.id AND near.radius = radii.radius)"""
 
 
 def shifted(source: str, keys: list[str], name: str) -> str:
@@ -170,7 +169,7 @@ def k6_joint_criterion(spark, sf):
 
 
 def k7_bootstrap_scales(spark, sf):
-    counts = boots.multiplicities(boots.lattice_draws(spark, REPLICATES, PROBES))
+    counts = boots.multiplicities(boots.lattice_draws(spark, REPLICATES, points(spark, sf).count()))
     return rounded(density.bootstrap_scales(centre_counts(spark, sf), counts, number_density(spark, sf), 5, 2, 0.2, 0.4))
 
 
@@ -407,7 +406,7 @@ ORACLE_SQL = {
     "i5_pooled_diffusivity": f"WITH {DECAY} SELECT {POOLED} FROM ({pooled()})",
     "i6_mode_diffusivity": f"WITH {DECAY} SELECT n2, {POOLED} FROM ({pooled('n2')})",
     "i7_radius": f"WITH {CURVE} SELECT t, round(10.4 * sqrt(t), 6) AS radius, round(0.02 * sqrt(t), 6) AS error FROM curve",
-    "i9_lengths_at": f"WITH {LENGTHS}, s AS (SELECT diffusion_time::DOUBLE AS t0, length AS l0, coalesce(lead(diffusion_time) OVER (ORDER BY diffusion_time), diffusion_time)::DOUBLE AS t1, coalesce(lead(length) OVER (ORDER BY diffusion_time), length) AS l1 FROM lengths WHERE diffusion_time % 3 = 0), q AS (SELECT i / 2.0::DOUBLE AS t FROM range(70) r(i)) SELECT t, round(CASE WHEN t0 = t1 THEN l0 ELSE exp(ln(l0) + (ln(t) - ln(t0)) * (ln(l1) - ln(l0)) / (ln(t1) - ln(t0))) END, 6) AS length FROM q LEFT JOIN s ON t >= t0 AND (t < t1 OR t0 = t1 AND t = t0)",
+    "i9_lengths_at": f"WITH {LENGTHS}, s AS (SELECT diffusion_time::DOUBLE AS t0, length AS l0, coalesce(lead(diffusion_time) OVER (ORDER BY diffusion_time), diffusion_time)::DOUBLE AS t1, coalesce(lead(length) OVER (ORDER BY diffusion_time), length) AS l1 FROM lengths), q AS (SELECT i / 2.0::DOUBLE AS t FROM range(70) r(i)) SELECT t, round(CASE WHEN t0 = t1 THEN l0 ELSE exp(ln(l0) + (ln(t) - ln(t0)) * (ln(l1) - ln(l0)) / (ln(t1) - ln(t0))) END, 6) AS length FROM q LEFT JOIN s ON t >= t0 AND (t < t1 OR t0 = t1 AND t = t0)",
     "i10_merge_lengths": f"WITH {LENGTHS} SELECT diffusion_time, round(length + (diffusion_time >= 15)::INT, 6) AS length FROM lengths",
     "i11_with_lengths": f"WITH {SPECTRAL}, {LENGTHS}, j AS (SELECT t AS diffusion_time, ds, length, coalesce(abs(ds - 3) <= 0.1, false) AS in_band FROM spectral JOIN lengths ON diffusion_time = t) SELECT diffusion_time, round(ds, 6) AS ds, round(length, 6) AS length, in_band, in_band AND length = coalesce((SELECT min(length) FROM j WHERE in_band), -1) AS first_in_band FROM j",
     "i12_containment": f"WITH {BINS}, {TAILS} SELECT diffusion_time, round(plateau, 6) AS plateau, tail_start, tail_bins, round(tail_rise, 6) AS tail_rise, tail_rise <= 0.15 AS accepted, {reach(0.4)}, {reach(0.5)}, {reach(0.6)} FROM tail",
@@ -449,7 +448,7 @@ ORACLE_SQL = {
     "n8_field_statistics": f"WITH {MESH} SELECT round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, round(sqrt(avg(v * v)), 6) AS rms FROM field",
     "n8_effective_cells": f"WITH {MESH}, w AS (SELECT exp(v) / (SELECT sum(exp(v)) FROM field) AS p FROM field) SELECT round(1 / sum(p * p), 6) AS n_effective FROM w",
 }
-BOOT_COUNTS = f"""{COUNTS}, draws AS (SELECT b, ((b * 1103 + i * 7919 + b * i * 31 + b * b * 17) % 10007) % {PROBES} AS unit, count(*) AS c FROM range({REPLICATES}) r(b), range({PROBES}) s(i) GROUP BY 1, 2),
+BOOT_COUNTS = f"""{COUNTS}, draws AS (SELECT b, ((b * 1103 + i * 7919 + b * i * 31 + b * b * 17) % 10007) % (SELECT count(*) FROM points) AS unit, count(*) AS c FROM range({REPLICATES}) r(b), range((SELECT count(*) FROM points)) s(i) GROUP BY 1, 2),
   means AS (SELECT b, radius, sum(c * count) / sum(c)::DOUBLE AS mean FROM counts JOIN draws ON unit = center GROUP BY 1, 2), {shifted("means", ["b"], "dense")},
   m AS (SELECT b, radius, CASE WHEN d2 IS NOT NULL THEN least(0.2 - abs(mean / {EXPECTED} - 1), 0.4 - abs(d2 - 3)) END AS margin FROM dense),
   runs AS (SELECT *, {persistent("margin >= 0", "radius", ["b"], 2)} AS run, lag(margin) OVER (PARTITION BY b ORDER BY radius) AS pm, lag(radius) OVER (PARTITION BY b ORDER BY radius) AS pr FROM m)"""
