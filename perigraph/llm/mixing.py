@@ -15,7 +15,7 @@ from .common import materialize, small_side, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a leaf in one slice of a permutation, about.
-SLICE_ROWS = 4096
+SLICE_ROWS = 512
 
 
 def weight_of(label: Column, weights: dict[str, int]) -> Column:
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, dict
     sums = dealt.groupBy(*names, "slice").agg(F.sum("n_tokens").alias("in_slice"))
     upto = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_slice").over(upto), F.lit(0)))
-    placed = dealt.join(sums, [*names, "slice"])
+    placed = dealt.join(small_side(materialize(sums, "mix-slices"), 160), [*names, "slice"])
     whole = placed.filter("before + in_slice <= rest").withColumn("chosen", F.lit(True))
     none = placed.filter("before + in_slice > rest and before > rest").withColumn("chosen", F.lit(False))
     running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names, "slice").orderBy("place", "doc_id"))
