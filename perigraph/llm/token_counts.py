@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, text_pieces
+from .common import materialize, sliced, small_side, text_pieces
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Bytes of text that one call of the tokenizer gets.
@@ -80,6 +80,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     # A miss is fetched by its id and checked by its digest, as ids may repeat with other texts.
     wanted = misses.withColumnsRenamed({"digest": "wanted", "doc_id": "wanted_id"})
     fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).filter(F.unhex(F.sha2("text", 256)) == F.col("wanted"))
-    fetched.select(F.col("wanted").alias("digest"), "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counted = digests.join(read_cache(spark, cache_path, version), "digest")
+    fetched.select(F.col("wanted").alias("digest"), "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
+    # Written once more, so that the join's sides are plain exchanges, whose hot digests adaptive execution can split.
+    counts = materialize(read_cache(spark, cache_path, version), "token-counts")
+    counted = digests.join(small_side(counts, 64), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
