@@ -24,9 +24,9 @@ def row_key() -> Column:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose key is not in dropped (key)."""
+    """The rows of docs whose key is not in dropped (perigraph_side)."""
     keyed = docs.withColumn("perigraph_key", row_key())
-    left = keyed.join(small_side(dropped, 32), F.col("perigraph_key").eqNullSafe(F.col("key")), "left_anti")
+    left = keyed.join(small_side(dropped, 32), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_anti")
     return left.select(*docs.columns)
 
 
@@ -41,28 +41,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the row with the largest id; of rows that repeat an id and its text, one."""
-    found = materialize(exact_dedup(keyed_texts(docs)).select(F.col("doc_id").alias("key"), "kept"), "pipeline-exact")
-    left = without(docs, found.filter("not kept").select("key"))
-    again = materialize(found.filter("kept").groupBy("key").count().filter("count > 1").select("key"), "pipeline-repeated")
+    found = materialize(exact_dedup(keyed_texts(docs)).select(F.col("doc_id").alias("perigraph_side"), "kept"), "pipeline-exact")
+    left = without(docs, found.filter("not kept").select("perigraph_side"))
+    again = materialize(found.filter("kept").groupBy("perigraph_side").count().filter("count > 1").select("perigraph_side"), "pipeline-repeated")
     if again.isEmpty():
         return left
     keyed = left.withColumn("perigraph_key", row_key())
-    repeated = keyed.join(small_side(again, 32), F.col("perigraph_key").eqNullSafe(F.col("key")), "left_semi").dropDuplicates(["perigraph_key"])
+    repeated = keyed.join(small_side(again, 32), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_semi").dropDuplicates(["perigraph_key"])
     return without(left, again).unionByName(repeated.select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group."""
     found = simhash_near_dedup(keyed_texts(docs))
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key"))
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("perigraph_side"))
     return without(docs, materialize(dropped, "pipeline-near"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps three quarters of all tokens, by the weights of domains, languages and sources; no document twice."""
     keyed = docs.withColumn("perigraph_key", row_key())
-    chosen = mix_sources(keyed, MIX_LEVELS, MIX_WEIGHTS, (3, 4), 1, seed=7, id_col="perigraph_key").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(chosen, F.col("perigraph_key").eqNullSafe(F.col("key")), "left_semi").select(*docs.columns)
+    chosen = mix_sources(keyed, MIX_LEVELS, MIX_WEIGHTS, (3, 4), 1, seed=7, id_col="perigraph_key").select(F.col("doc_id").alias("perigraph_side")).distinct()
+    return keyed.join(chosen, F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_semi").select(*docs.columns)
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

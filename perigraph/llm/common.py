@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most, as texts may be long: batches and their copies must fit beside the executor's heap.
+BATCH_ROWS = 1000
 #: A table is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 24 << 20
 
@@ -51,8 +53,16 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more or without limit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), under fixed names, so that clashing extra columns never matter."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), whole_text(F.col(f"`{text_col}`")).alias("text"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, whole_text
+from .common import bound_batches, materialize, small_side, whole_text
 
 # Element names by their role in HTML, and words in class or id that name page furniture.
 RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video map".split())
@@ -172,6 +172,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Pages without any container give the blocks that are not all link. Rows that repeat an id each get a row; an empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
+    bound_batches(pages.sparkSession)
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), whole_text(F.col(f"`{html_col}`")).alias("html"))
     own = own.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
 

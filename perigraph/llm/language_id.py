@@ -13,11 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import sliced, whole_text
+from .common import bound_batches, sliced, whole_text
 
 # First code point of each range of the Unicode blocks that name a script, and its end.
 SCRIPTS = [
@@ -38,7 +39,7 @@ SCRIPT_SHARE = 0.001
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Bytes of text that are labelled together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 @lru_cache(1)
@@ -208,11 +209,14 @@ def label_rows(docs: DataFrame, learn: DataFrame, id_col: str, text_col: str, la
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))]
         for batch in rows:
-            for part in sliced(batch, 1, CHUNK_BYTES):
+            texts = pc.fill_null(pc.cast(pc.struct_field(batch.column(0), [at]), pa.string()), "")
+            for part in sliced(pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"]), 1, CHUNK_BYTES):
                 columns = zip(*label_texts(part.column(1).to_pylist(), langs, table, allowed), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["row", "lang_pred", "score", "spans"])
 
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), whole_text(F.col(f"`{text_col}`")).alias("text"))
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     return own.mapInArrow(run, StructType([own.schema["row"], *LABELS]))
 
 

@@ -30,7 +30,7 @@ ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
 CHUNK_BYTES = 1 << 19
 #: Distinct units whose lattices a worker keeps from one batch to the next.
-KEPT_UNITS = 40_000
+KEPT_UNITS = 15_000
 SLOT_BITS = 20
 
 
