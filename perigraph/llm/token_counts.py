@@ -68,7 +68,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     texts = text_pieces(docs, id_col, text_col)
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     digests = texts.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
-    misses = digests.select("digest", "doc_id").join(read_cache(spark, cache_path, version), "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # Equal digests combine before they are shuffled, so a content with many copies is no hot key of the join.
+    misses = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
