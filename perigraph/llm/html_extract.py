@@ -1,8 +1,10 @@
 """Main-text extraction by consensus paths of each host.
 
-Every page scores its containers by the text of their blocks and by how little of it is links. Each container votes for
-its generalised path (tags with classes, digits folded) with its share of the page's score; Spark sums the votes of a
-host, and each page is extracted again from the containers at its host's winning path.
+Every page scores its containers by the text of their blocks and by how little of it is links. Text in an article or
+main counts for the outermost of them; else one container may hold nearly all the text and takes it all, with its
+headings; else blocks share their worth out to what is around them. Each container votes for its generalised path (tags
+with classes, digits folded) with its share of the page's score; Spark sums the votes of a host, and each page is
+extracted again from the containers at its host's winning path.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("article section main div body td center".split())
 FURNITURE = frozenset("nav header footer aside form menu button dialog label legend fieldset head search".split())
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popups promo promotion recommended related reply replies respond share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tags toc toolbar topbar widget widgets".split())
+#: Furniture of these words stays so, however much text it holds.
+READERS_WORDS = frozenset("comment comments disqus reply replies respond".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An open p ends where one of these starts; an open element of a key ends where one of its values starts.
 ENDS_P = BLOCK - frozenset("html body tbody td tfoot th thead tr caption".split())
@@ -41,13 +45,27 @@ def path_step(tag: str, classes: str) -> str:
     return ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})])
 
 
-def is_furniture(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in FURNITURE or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDING.search(attributes.get("style", "")):
-        return True
+#: Furniture or not; the last two may turn out to be wrappers of the page's text, LIKELY by holding most of it.
+SHOWN, HIDDEN, READERS, LIKELY = 0, 1, 2, 3
+#: The share of a page's text that one container must hold to take it all.
+NEARLY_ALL = 0.9
+
+
+def furniture_kind(tag: str, attributes: dict[str, str]) -> int:
+    if tag in FURNITURE and tag != "form" or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDING.search(attributes.get("style", "")):
+        return HIDDEN
     if tag in ("html", "body", "main", "article") and "comment" not in attributes.get("class", "").lower():
-        return False
+        return SHOWN
     words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return attributes.get("role") in FURNITURE_ROLES or not FURNITURE_WORDS.isdisjoint(words)
+    if tag != "form" and attributes.get("role") not in FURNITURE_ROLES and FURNITURE_WORDS.isdisjoint(words):
+        return SHOWN
+    if tag not in BLOCK or tag == "article":
+        return HIDDEN
+    return LIKELY if READERS_WORDS.isdisjoint(words) else READERS
+
+
+def worth(text: str, linked: int) -> float:
+    return (len(text) - linked) ** 2 / max(1, len(text))
 
 
 class Page:
@@ -55,19 +73,45 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []  # text, length of its link text, open containers
+        self.heads: set[int] = set()  # containers with a heading of their own
         self.paths: list[str] = []
-        self.stack: list[tuple[str, str, bool, int]] = []  # tag, step, furniture, container or -1
+        self.tags: list[str] = []
+        self.outer: list[tuple[int, ...]] = []  # the wrappers around an article or main
+        self.stack: list[tuple[str, str, bool, int, int]] = []  # tag, step, hidden, container or -1, wrapper or -1
+        self.wrappers: list[int] = []  # kinds of what may be furniture or a wrapper of the page's text
+        self.found: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []  # blocks with wrappers, and if headings
         self.text: list[str] = []
         self.linked, self.links, self.hidden = 0, 0, 0
         self.read(source)
+        self.settle()
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((text, min(self.linked, len(text)), tuple(x[3] for x in self.stack if x[3] >= 0)))
+                heading = any(x[0] in ("h1", "h2") for x in self.stack)
+                self.found.append((text, min(self.linked, len(text)), tuple(x[3] for x in self.stack if x[3] >= 0), tuple(x[4] for x in self.stack if x[4] >= 0), heading))
         self.text, self.linked = [], 0
 
+    def settle(self) -> None:
+        """Leaves out the blocks in furniture, but not for a wrapper around the page's article or around most of its text."""
+        semantic = lambda around: any(self.tags[i] in ("article", "main") for i in around)
+        holds, total, inside = defaultdict(float), 0.0, set()
+        for text, linked, around, wrappers, _ in self.found:
+            points = worth(text, linked)
+            total += points
+            for w in wrappers:
+                holds[w] += points
+                if any(self.tags[i] in ("article", "main") and w in self.outer[i] for i in around):
+                    inside.add(w)
+        shown = any(semantic(around) and inside.issuperset(wrappers) for _, _, around, wrappers, _ in self.found)
+        kept = {w for w, kind in enumerate(self.wrappers) if w in inside or kind == LIKELY and not shown and 2 * holds[w] > total}
+        for text, linked, around, wrappers, heading in self.found:
+            if kept.issuperset(wrappers):
+                self.blocks.append((text, linked, around))
+                if heading and around:
+                    self.heads.add(next((i for i in reversed(around) if self.tags[i] != "section"), around[-1]))
+
     def put(self, raw: str) -> None:
         if not self.hidden:
             text = html.unescape(raw)
@@ -76,8 +120,8 @@ class Page:
                 self.linked += len(text.strip())
 
     def pop(self) -> None:
-        tag, _, furniture, _ = self.stack.pop()
-        self.hidden -= furniture
+        tag, _, hidden, _, _ = self.stack.pop()
+        self.hidden -= hidden
         self.links -= tag == "a"
 
     def close(self, tag: str) -> None:
@@ -104,14 +148,20 @@ class Page:
         attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)} if raw else {}
         if raw and re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw.lower()):
             attributes["hidden"] = ""
-        furniture, container, step = is_furniture(tag, attributes), -1, tag
+        kind, container, wrapper, step = furniture_kind(tag, attributes), -1, -1, tag
+        around = tuple(x[4] for x in self.stack if x[4] >= 0) if tag in ("article", "main") else ()
+        if kind in (READERS, LIKELY):
+            wrapper = len(self.wrappers)
+            self.wrappers.append(kind)
         if tag in CONTAINER or tag == "html":
             step = path_step(tag, attributes.get("class", ""))
         if tag in CONTAINER:
             container = len(self.paths)
+            self.tags.append(tag)
+            self.outer.append(around)
             self.paths.append(">".join([*(x[1] for x in self.stack if x[0] in CONTAINER or x[0] == "html"), step]))
-        self.stack.append((tag, step, furniture, container))
-        self.hidden += furniture
+        self.stack.append((tag, step, kind == HIDDEN, container, wrapper))
+        self.hidden += kind == HIDDEN
         self.links += tag == "a"
 
     def read(self, source: str) -> None:
@@ -142,13 +192,49 @@ class Page:
             self.put(source[at:])
         self.flush()
 
+    def holder(self, blocks: list[tuple[str, int, tuple[int, ...]]]) -> int | None:
+        """The smallest container of nearly all that these blocks are worth; the one around it if it adds text of its own."""
+        below: dict[int, float] = defaultdict(float)
+        direct, chains, total = set(), {}, 0.0
+        for text, linked, around in blocks:
+            points = worth(text, linked)
+            total += points
+            for at, container in enumerate(around):
+                below[container] += points
+                chains[container] = around[:at]
+            if around and points:
+                direct.add(around[-1])
+        found = [i for i, x in below.items() if total and x >= NEARLY_ALL * total and self.tags[i] != "body"]
+        if not found:
+            return None
+        best = max(found, key=lambda i: (len(chains[i]), -i))
+        for outer in reversed(chains[best]):
+            if outer in (self.heads if self.tags[outer] == "body" else direct):
+                best = outer
+        return best
+
     def scores(self) -> dict[str, int]:
-        """Points of each container path, 1000 in all: a block counts in full for its innermost container, then half."""
+        """Points of each container path, 1000 in all.
+
+        A block counts in full for the outermost article or main around it. Of the others, all count for the container
+        that holds nearly all of them, or else each counts in full for its innermost container, then half. Sections are
+        parts of what is around them.
+        """
         points: dict[str, float] = defaultdict(float)
+        loose = []
         for text, linked, around in self.blocks:
-            worth = (len(text) - linked) ** 2 / max(1, len(text))
+            root = next((i for i in around if self.tags[i] in ("article", "main")), None)
+            if root is None:
+                loose.append((text, linked, tuple(i for i in around if self.tags[i] != "section") or around))
+            else:
+                points[self.paths[root]] += worth(text, linked)
+        holder = self.holder(loose)
+        for text, linked, around in loose:
+            if holder is not None:
+                points[self.paths[holder]] += worth(text, linked)
+                continue
             for depth, container in enumerate(reversed(around)):
-                points[self.paths[container]] += worth / 2**depth
+                points[self.paths[container]] += worth(text, linked) / 2**depth
         total = sum(points.values())
         return {k: round(1000 * v / total) for k, v in points.items()} if total else {}
 

@@ -292,6 +292,20 @@ def test_host_consensus_overrules_a_page(spark):
     assert got[9] == "brief article" and got[0].startswith("long article text")
 
 
+def test_html_keeps_whole_articles_and_wrapped_pages(spark):
+    """Nested sections, headings outside the body div, and wrappers that look like furniture."""
+    long = lambda word: f"{word} words of the text " * 12
+    a, b, c = (long(x).strip() for x in ("intro", "method", "result"))
+    whole = f"T\n{a}\n{b}\n{c}"
+    parts = f"<section class=intro><p>{a}</p></section><section class=methods><p>{b}</p></section><section class=results><p>{c}</p></section>"
+    inner = f"<h1>T</h1><div class=content><p>{a}</p><p>{b}</p><p>{c}</p></div>"
+    foot = "<div class=comments><p>reader says so</p></div><div class=cookie-notice>We use cookies</div>"
+    pages = [f"<article>{inner}</article>{foot}", f"<article><h1>T</h1>{parts}</article>{foot}", f"<main><h1>T</h1><article>{parts}</article></main>", f"<div class=page>{inner}</div>{foot}", f"<div class=page><h1>T</h1>{parts}</div>{foot}", f"{inner}{foot}", f"<section><h1>T</h1></section>{parts}{foot}", f"<div class='content has-sidebar'>{inner}</div>{foot}", f"<form><article>{inner}</article></form>{foot}", f"<form>{inner}</form>{foot}", f"<div class='content has-sidebar'><article><h1>T</h1>{parts}</article>{foot}<div class=sidebar><p>side</p></div></div>"]
+    rows = [(i, f"http://h{i}.org/", f"<body>{x}</body>") for i, x in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [i for i in got if got[i] != whole] == []
+
+
 @needs_data
 def test_html_of_test_pages(spark):
     import html
