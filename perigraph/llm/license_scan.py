@@ -3,12 +3,15 @@
 The join orders tokens by their frequency in the corpus. A block that contains a share of a template's tokens must hold
 one of the template's rarest tokens (prefix filter), have enough tokens (length filter) and enough left after the first
 match (positional filter); what passes is verified. The templates are a fixed list, so they travel to the blocks.
+
+Blocks are lines, and windows of as many words as a template has over all line breaks, so that wrapped texts are found.
+Only texts that pass the same filters as a whole have windows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +48,26 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
 ]
 
+# Whole texts and notices, without names and years.
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+OPENINGS = {label: text for label, text in reversed(TEMPLATES)}
+GNU_END = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} General Public License for more details. You should have received a copy of the GNU {1} General Public License along with this {0}."
+TEMPLATES = [
+    *TEMPLATES,
+    ("mit", f"{OPENINGS['mit']} {TEMPLATES[1][1]} {AS_IS}"),
+    ("bsd", f"{OPENINGS['bsd']} {BSD_CLAUSES} {BSD_END}"),
+    ("bsd", f"{OPENINGS['bsd']} {BSD_CLAUSES} {BSD_NAME} {BSD_END}"),
+    ("isc", f'{OPENINGS["isc"]} THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("apache", f'{OPENINGS["apache"]} http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("gpl", f"{OPENINGS['gpl']} {GNU_END.format('program', '')}"),
+    ("lgpl", f"{OPENINGS['lgpl']} {GNU_END.format('library', 'Lesser')}"),
+    ("mpl", f"{OPENINGS['mpl']} https://mozilla.org/MPL/2.0/."),
+    ("unlicense", f"{OPENINGS['unlicense']} Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+
 #: Lower-cases A-Z, keeps line feeds, blanks every other byte that is no word byte.
 FOLDED = bytes(10 if i == 10 else i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -75,7 +98,8 @@ def template_token_counts(texts: DataFrame, vocabulary: frozenset[bytes]) -> dic
 class TemplateIndex:
     """Finds the templates that a block of tokens contains to the threshold."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], containment: float):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], containment: float, lengths: list[int] | None = None):
+        self.lengths = lengths or [len(own) for _, own in templates]
         tokens = sorted({x for _, own in templates for x in own}, key=lambda x: (counts.get(x, 0), x))
         self.rank = {x: i for i, x in enumerate(tokens)}
         self.templates, self.prefix = [], {}
@@ -88,6 +112,9 @@ class TemplateIndex:
         self.starts = frozenset(self.prefix)
 
     def search(self, block: set[bytes]) -> list[tuple[str, float]]:
+        return [(self.templates[k][0], share) for k, share in self.find(block)]
+
+    def find(self, block: set[bytes]) -> list[tuple[int, float]]:
         hits = self.starts.intersection(block)
         if not hits:
             return []
@@ -96,14 +123,63 @@ class TemplateIndex:
         seen, found = set(), []
         for token in sorted(hits, key=self.rank.__getitem__):
             for k, after in self.prefix[token]:
-                label, own, needed = self.templates[k]
+                _, own, needed = self.templates[k]
                 if k in seen or len(block) < needed:
                     continue
                 seen.add(k)
                 if min(after, left[self.rank[token]]) >= needed and (shared := len(own & block)) >= needed:
-                    found.append((label, shared / len(own)))
+                    found.append((k, shared / len(own)))
         return found
 
+    def windows(self, words: list[bytes], k: int) -> list[tuple[int, int, float]]:
+        """start, template and containment of the best of each run of overlapping windows that contain template k."""
+        _, own, needed = self.templates[k]
+        most, held, counts, found = self.lengths[k], deque(), Counter(), []
+        for at, word in enumerate(words):
+            if word not in own:
+                continue
+            held.append(at)
+            counts[word] += 1
+            while held[0] <= at - most:
+                gone = words[held.popleft()]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            if len(counts) >= needed:
+                share = len(counts) / len(own)
+                if not found or held[0] >= found[-1][0] + most:
+                    found.append((held[0], k, share))
+                elif share > found[-1][2]:
+                    found[-1] = (held[0], k, share)
+        return found
+
+    def explained(self, k: int, share: float, j: int, other: float) -> bool:
+        """Whether template j, found with the share other at the same place, tells that k is not what stands there."""
+        (label, own, _), (with_label, with_own, _) = self.templates[k], self.templates[j]
+        alike = len(own & with_own) >= CONTAINMENT * min(len(own), len(with_own))
+        return label != with_label and alike and (other, len(with_own)) > (share, len(own)) and (other > share or own < with_own)
+
+    def scan(self, text: bytes, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """line, label and containment of the templates found in a text's lines and windows."""
+        whole = self.find(set(words))
+        if not whole:
+            return []
+        lines = [line.split() for line in text.split(b"\n")]
+        line_of = [i for i, line in enumerate(lines) for _ in line]
+        windows = [x for k, _ in whole for x in self.windows(words, k)]
+        size = self.lengths
+        meet = lambda x, y: 2 * (min(x[0] + size[x[1]], y[0] + size[y[1]]) - max(x[0], y[0])) > min(size[x[1]], size[y[1]])
+        windows = [x for x in windows if not any(meet(x, y) and self.explained(x[1], x[2], y[1], y[2]) for y in windows)]
+        best: dict[tuple[int, int], float] = {}
+        for at, k, share in windows:
+            best[line_of[at], k] = max(share, best.get((line_of[at], k), 0.0))
+        for number, line in enumerate(lines):
+            inside = self.find(set(line))
+            for k, share in inside:
+                if (number, k) in best or not any(self.explained(k, share, j, other) for j, other in inside):
+                    best[number, k] = max(share, best.get((number, k), 0.0))
+        return [(number, self.templates[k][0], share) for (number, k), share in sorted(best.items())]
+
 
 def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[int, str]]:
     joined, found = b" " + b" ".join(words) + b" ", []
@@ -118,18 +194,20 @@ def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[
 def license_scan(docs: DataFrame, containment: float = CONTAINMENT, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    A block is a line; a template is found in it when the line holds the given share of the template's distinct tokens.
-    blocks lists (line, label, containment). score is the best containment found, 1 where a phrase stands, else 0. Null
+    A block is a line, or a window of as many words as the template has; a template is found in it when the block holds
+    the given share of the template's distinct tokens, unless a template of another label that shares most tokens
+    with it fits the place better. blocks lists (line, label, containment), a window by its first line. score is the best containment found, 1 where a phrase stands, else 0. Null
     texts count as empty: no words, no labels (""), null places. Lines and texts may have any length. Rows that repeat
     an id each get a row; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     texts = text_pieces(docs, id_col, text_col)
     sets = template_sets(templates)
+    lengths = [len(text.encode().translate(FOLDED).split()) for _, text in templates if token_set(text)]
     counts = template_token_counts(texts, frozenset(x for _, own in sets for x in own))
     wanted = [(b" " + b" ".join(p.encode().split()) + b" ", label) for p, label in phrases.items()]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(sets, counts, containment)
+        index = TemplateIndex(sets, counts, containment, lengths)
         for batch in rows:
             data, offsets = utf8(batch.column(1))
             data, out = data.tobytes().translate(FOLDED), []
@@ -137,9 +215,7 @@ def license_scan(docs: DataFrame, containment: float = CONTAINMENT, phrases: dic
                 text = data[a:b]
                 words = text.split()
                 places = phrase_places(words, wanted)
-                blocks = []
-                for number, line in enumerate(text.split(b"\n")):
-                    blocks += [{"line": number, "label": label, "containment": share} for label, share in index.search(set(line.split()))]
+                blocks = [{"line": number, "label": label, "containment": share} for number, label, share in index.scan(text, words)]
                 base = {label for _, label in places}
                 starts = [at for at, _ in places]
                 score = 1.0 if places else max((x["containment"] for x in blocks), default=0.0)

@@ -346,6 +346,21 @@ def test_license_scan(spark, odd_docs, empty_docs):
     assert license_scan.license_scan(odd_docs).count() == len(ODD) and license_scan.license_scan(empty_docs).count() == 0
 
 
+def test_license_scan_of_wrapped_texts(spark):
+    """Texts wrapped at 72 columns are found whole; a license is not taken for the ones whose names hold its own."""
+    import textwrap
+
+    whole = {label: text for label, text in license_scan.TEMPLATES[-9:]}
+    sentence = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = [("mit", whole["mit"]), ("bsd", whole["bsd"]), ("isc", whole["isc"]), ("mpl", whole["mpl"]), ("lgpl", whole["lgpl"]), ("cc-by", sentence.format("")), ("cc-by-sa", sentence.format("-ShareAlike")), ("cc-by-nc", sentence.format("-NonCommercial"))]
+    docs = spark.createDataFrame([(i, "some text before\n\n" + textwrap.fill(t, 72, initial_indent="# ", subsequent_indent="# ") + "\nand after") for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == [label for label, _ in texts]
+    assert all(r["score"] == 1.0 and any(b["line"] == 2 and b["containment"] == 1.0 for b in r["blocks"]) for r in got.values())
+    both = spark.createDataFrame([(1, sentence.format("") + " " + sentence.format("-ShareAlike"))], "doc_id int, text string")
+    assert license_scan.license_scan(both).first()["labels"] == "cc-by,cc-by-sa"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.sampled_from("abcdefghij"), min_size=1), min_size=1, max_size=6), st.sets(st.sampled_from("abcdefghijk")), st.dictionaries(st.sampled_from("abcdefghij"), st.integers(0, 5)), st.sampled_from([0.5, 0.8, 1.0]))
 def test_set_join_filters_lose_nothing(sets, block, counts, share):
