@@ -16,6 +16,7 @@ from perigraph.llm.language_id import keep_identified
 from perigraph.llm.mixing import mix_sources
 from perigraph.llm.queries import MIX_LEVELS, MIX_WEIGHTS
 from perigraph.llm.sentencepiece_lattice import sample_segmentations
+from perigraph.llm.shingle_join import similar_components
 from perigraph.llm.simhash import simhash_near_dedup
 
 
@@ -58,6 +59,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without(docs, materialize(dropped, "pipeline-near"))
 
 
+def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group linked by five-word shingles that agree to 0.8, which 3 of 64 bits cannot see."""
+    found = similar_components(keyed_texts(docs))
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("perigraph_side"))
+    return without(docs, materialize(dropped, "pipeline-similar"))
+
+
+def near_and_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash groups first, then what is left by exact shingle similarity."""
+    return similar_documents(spark, materialize(near_duplicates(spark, docs, sf_dir), "pipeline-simhash"), sf_dir)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps three quarters of all tokens, by the weights of domains, languages and sources; no document twice."""
     keyed = docs.withColumn("perigraph_key", row_key())
@@ -73,7 +86,7 @@ def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_duplicates),
-    ("simhash_near_dedup", near_duplicates),
+    ("simhash_near_dedup", near_and_similar),
     ("mix_sources", mixture),
     ("sentencepiece_sampling", segmentations),
 ]

@@ -48,15 +48,15 @@ def pivots() -> list[int]:
     return [signed(xxhash.xxh64_intdigest(f"pivot {i}", SEED)) for i in range(PIVOTS)]
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS) -> list[int]:
     """XXH64 of each word shingle of a text; the whole sequence if it is shorter; nothing if there is no word."""
     words = text.lower().split()  # for bytes, both know ASCII only
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE_WORDS:
+    if len(words) <= size:
         return [digest(joined, SEED)] if words else []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -SHINGLE_WORDS] + 1])
-    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)]
+    starts = np.concatenate([[0], ends[:-size] + 1])
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
 def fold(hashes: list[list[int]]) -> np.ndarray:

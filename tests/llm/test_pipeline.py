@@ -41,6 +41,22 @@ def test_near_stage_keeps_one_of_each_group(spark, prose_docs):
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, prose_docs, "").collect()} == groups
 
 
+def test_near_stage_leaves_no_similar_pair(spark, prose, prose_docs):
+    """By brute force: what SimHash keeps, without all but the smallest id of each group linked at 0.8."""
+    from .test_dedup import components
+
+    def shingles(text):
+        words = text.lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    before = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, prose_docs, "").collect())
+    sets = [shingles(dict(prose)[i]) for i in before]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {before[i] for i in components(len(sets), linked)}
+    stage = dict(pipeline.STAGES)["simhash_near_dedup"]
+    assert linked and {r["doc_id"] for r in stage(spark, prose_docs, "").collect()} == want
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_run(spark):
     out = pipeline.run(spark, SF)
