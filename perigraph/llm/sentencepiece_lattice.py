@@ -28,10 +28,10 @@ from .common import sliced, text_pieces
 MARK = "▁"
 ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
-CHUNK_BYTES = 1 << 19
-#: Distinct units whose lattices a worker keeps from one batch to the next.
-KEPT_UNITS = 15_000
-SLOT_BITS = 20
+CHUNK_BYTES = 1 << 18
+#: Lattice edges of the units that a worker keeps from one batch to the next, at about 60 bytes.
+KEPT_EDGES = 1_500_000
+SLOT_BITS, POINT_BITS = 20, 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def salt(n: int) -> np.uint64:
 
 
 class Vocabulary:
-    """The pieces of a model, by hashes of their code points."""
+    """The pieces of a model as a trie. An edge's key is its state and its character, so a lookup is exact."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -68,15 +68,25 @@ class Vocabulary:
         self.fallback = alpha * floor  # for each byte of a character without a piece
         self.bytes = {model.id_to_piece(i): i for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, (pieces[i] for i in usable)))
-        spans = [self.prefix_hashes(pieces[i]) for i in usable]
-        hashes = np.array([x[-1] for x in spans], np.uint64)
-        self.begins = np.zeros(1 << SLOT_BITS, bool)  # whether a longer piece may begin with characters of this slot
-        self.begins[self.slot(np.array([y for x in spans for y in x[:-1]], np.uint64))] = True
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(usable)[order]
-        # The first piece of each slot, and whether a slot has others, which are then searched for.
-        slots = self.slot(self.hashes)
-        self.first_in_slot, self.crowded = np.full(1 << SLOT_BITS, -1), np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+        trie, piece_at, parents = {}, [-1], set()
+        for i in usable:
+            state = 0
+            for c in pieces[i]:
+                parents.add(state)
+                key = state << POINT_BITS | ord(c)
+                if key not in trie:
+                    trie[key] = len(piece_at)
+                    piece_at.append(-1)
+                state = trie[key]
+            piece_at[state] = i
+        self.piece_at = np.array(piece_at)
+        self.inner = np.zeros(len(piece_at), bool)  # states that go on
+        self.inner[list(parents)] = True
+        self.keys = np.array(sorted(trie))
+        self.targets = np.array([trie[x] for x in self.keys.tolist()])
+        # The first key of each slot, and whether a slot has others, which are then searched for.
+        slots = self.slot(self.keys)
+        self.first_in_slot, self.crowded = np.full(1 << SLOT_BITS, -1, np.int32), np.bincount(slots, minlength=1 << SLOT_BITS) > 1
         self.first_in_slot[slots[::-1]] = np.arange(len(slots))[::-1]
         self.kept = Kept()
         self.joined = np.zeros(0x110000, bool)  # characters that stand in some longer piece
@@ -85,29 +95,22 @@ class Vocabulary:
             if len(pieces[i]) > 1:
                 self.joined[[ord(c) for c in pieces[i]]] = True
         self.splits_at_marks = not crossing
-        self.surface = [bytes([int(x[3:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
-
-    @staticmethod
-    def prefix_hashes(piece: str) -> list[int]:
-        """Hashes of the first 1, 2, ... characters of a piece."""
-        h, out = 0, []
-        for c in piece:
-            h = (h * int(STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-            out.append(h)
-        return out
+        self.surface = pa.array([bytes([int(x[3:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)], pa.large_binary())
 
     @staticmethod
-    def slot(hashes: np.ndarray) -> np.ndarray:
-        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def find(self, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 where there is none."""
+    def follow(self, states: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The states after these characters, -1 where no piece goes on so."""
+        keys = states << POINT_BITS | points
+        slots = self.slot(keys)
         at = self.first_in_slot[slots]
-        out = np.where((at >= 0) & (self.hashes[at] == hashes), self.ids[at], -1)
+        out = np.where((at >= 0) & (self.keys[at] == keys), self.targets[at], -1)
         again = np.flatnonzero((out < 0) & self.crowded[slots])
         if len(again):
-            at = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
-            out[again] = np.where(self.hashes[at] == hashes[again], self.ids[at], -1)
+            at = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            out[again] = np.where(self.keys[at] == keys[again], self.targets[at], -1)
         return out
 
     def expand(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +128,10 @@ class Vocabulary:
             out[before[odd[which == i]][:, None] + np.arange(len(ids))] = ids
         return out, before
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; the mark that every encoded text begins with is left out."""
-        text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
+        data = self.surface.take(pa.array(ids, pa.int64())).buffers()[2] if len(ids) else None
+        text = data.to_pybytes().decode("utf-8", "replace") if data else ""
         return text[1:] if text.startswith(" ") else text
 
 
@@ -145,20 +149,19 @@ class Lattices:
         ends = offsets[1:][unit]
         self.first = offsets[:-1] + np.arange(len(lengths))  # first node of each unit
         n_nodes = len(points) + len(lengths)
-        node_of, wide = np.arange(len(points)) + unit, points.astype(np.uint64) + np.uint64(1)
-        alive, h, runs, held = np.arange(len(points)), np.zeros(len(points), np.uint64), [], np.zeros(len(points), np.int64)
+        node_of, wide = np.arange(len(points)) + unit, points.astype(np.int64)
+        alive, states, runs, held = np.arange(len(points)), np.zeros(len(points), np.int64), [], np.zeros(len(points), np.int64)
         for size in range(1, words.longest + 1):
-            inside = alive + size <= ends[alive]
             if size > 1:
-                alive, h = alive[inside], h[inside]
+                going = np.flatnonzero(words.inner[states] & (alive + size <= ends[alive]))
+                alive, states = alive[going], states[going]
             if not len(alive):
                 break
-            h = h * STEP + wide[alive + size - 1]
-            slots = words.slot(h)
-            ids = words.find(h, slots)
+            states = words.follow(states, wide[alive + size - 1])
+            ids = np.where(states >= 0, words.piece_at[states], -1)
             if size == 1:
                 missing = np.flatnonzero(ids < 0)
-                value = points[missing].astype(np.int64)
+                value = wide[missing]
                 ids[missing] = words.size + value
                 weight = words.weights[np.minimum(ids, words.size - 1)]
                 weight[missing] = (1 + (value >= 0x80) + (value >= 0x800) + (value >= 0x10000)) * words.fallback
@@ -169,8 +172,8 @@ class Lattices:
                 at = alive[hit]
                 runs.append((at, size, ids[hit], words.weights[ids[hit]], held[at]))
                 held[at] += 1
-            longer = words.begins[slots]
-            alive, h = alive[longer], h[longer]
+            known = np.flatnonzero(states >= 0)
+            alive, states = alive[known], states[known]
         # Edges stand by their start, then by their length.
         per_node = np.zeros(n_nodes, np.int64)
         per_node[node_of] = held
@@ -254,21 +257,17 @@ class Lattices:
         return out, counts
 
 
-def lattices_of(words: Vocabulary, kinds: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[Lattices, np.ndarray]:
-    """Lattices that hold the distinct units (kinds, sorted hashes), each at a place of points, and their first nodes.
+def lattices_of(words: Vocabulary, units: list[bytes], points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[Lattices, np.ndarray]:
+    """Lattices that hold the distinct units, each at a place of points, and their first nodes.
 
     Those that the worker keeps are taken from there; the rest are built, and kept while there is room.
     """
-    kept, first = words.kept, np.zeros(len(kinds), np.int64)
-    known = np.zeros(len(kinds), bool)
-    if len(kept.kinds):
-        at = np.minimum(np.searchsorted(kept.kinds, kinds), len(kept.kinds) - 1)
-        known = kept.kinds[at] == kinds
-        first[known] = kept.first[at[known]]
-    new = np.flatnonzero(~known)
+    kept = words.kept
+    first = np.array([kept.first.get(x, -1) for x in units], np.int64)
+    new = np.flatnonzero(first < 0)
     took = np.append(0, np.cumsum(lengths[new]))
     index = np.arange(took[-1]) - np.repeat(took[:-1] - starts[new], lengths[new])
-    lattices, first[new] = kept.with_new(Lattices(words, points[index], lengths[new]), kinds[new])
+    lattices, first[new] = kept.with_new(Lattices(words, points[index], lengths[new]), [units[i] for i in new.tolist()])
     return lattices, first
 
 
@@ -286,11 +285,11 @@ class Kept:
     PER_NODE = ("likeliest", "begin", "last", "likeliest_p", "likeliest_before", "likeliest_rest")
 
     def __init__(self) -> None:
-        self.kinds, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first: dict[bytes, int] = {}  # by the unit itself
         self.nodes = self.edges = 0
         self.room: dict[str, np.ndarray] = {}
 
-    def with_new(self, new: Lattices, kinds: np.ndarray) -> tuple[Lattices, np.ndarray]:
+    def with_new(self, new: Lattices, units: list[bytes]) -> tuple[Lattices, np.ndarray]:
         """The kept lattices with new ones (of these units) after them, and the new units' first nodes."""
         out, shift = object.__new__(Lattices), {"node": self.nodes, "edge": self.edges}
         for name in (*self.PER_EDGE, *self.PER_NODE):
@@ -303,9 +302,8 @@ class Kept:
             room[start:] = own + shift[self.SHIFTED[name]] if name in self.SHIFTED else own
             setattr(out, name, room)
         first = new.first + self.nodes
-        if len(self.kinds) + len(kinds) <= KEPT_UNITS:
-            order = np.argsort(both := np.concatenate([self.kinds, kinds]))
-            self.kinds, self.first = both[order], np.concatenate([self.first, first])[order]
+        if self.edges + len(new.to) <= KEPT_EDGES:
+            self.first.update(zip(units, first.tolist(), strict=True))
             self.nodes, self.edges = self.nodes + len(new.last), self.edges + len(new.to)
         return out, first
 
@@ -345,13 +343,14 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
     cut[1:] |= alone
     starts = np.flatnonzero(cut[:-1])
     lengths = np.diff(np.append(starts, len(points)))
-    # Distinct units by a hash of their characters; each unit's lattice is built from one of its places.
-    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(points), STEP)))
-    inverse = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(points), pow(int(STEP), -1, 1 << 64), np.uint64)))
-    sums = np.append(np.uint64(0), np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * power[:-1]))
-    hashes = mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
-    kinds, places, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    lattices, first_of_kind = lattices_of(words, kinds, points, starts[places], lengths[places])
+    # Distinct units by their characters; each unit's lattice is built from one of its places.
+    places = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))[np.append(starts, len(points))]
+    encoded = pa.py_buffer("".join(normal).encode("utf-8", "surrogatepass"))
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), encoded]).dictionary_encode()
+    kind = units.indices.to_numpy().astype(np.int64)
+    first_place = np.zeros(len(units.dictionary), np.int64)
+    first_place[kind[::-1]] = np.arange(len(kind))[::-1]
+    lattices, first_of_kind = lattices_of(words, units.dictionary.to_pylist(), points, starts[first_place], lengths[first_place])
 
     unit_bounds = np.searchsorted(starts, text_starts)
     unit_text = np.repeat(np.arange(len(texts)), np.diff(unit_bounds))
@@ -448,7 +447,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
 
     perturbed falls with rank. inclusion is the probability that a segmentation is among those sampled, given the value
     that the next one has; it is 1 where no other is left. A text with fewer segmentations than samples gives each once.
-    A null or empty text has one empty segmentation (no piece, probability 1). The row key is the id; rows that repeat
+    A null or empty text, or one that the model's normaliser empties, has one empty segmentation (no piece, probability 1). The row key is the id; rows that repeat
     an id and its text get the same samples. An empty table gives an empty result; other columns are ignored, whatever
     their names.
     """
@@ -461,11 +460,14 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
             for part in sliced(batch, 1, CHUNK_BYTES):
                 own, keys = part.column(1).to_pylist(), ["" if x is None else str(x) for x in part.column(0).to_pylist()]
                 drawn = sample_batch(words, own, keys, samples, seed)
-                drawn += [(i, 1, np.zeros(0, np.int64), 0.0, float(-np.log(-np.log(uniform(np.array([xxhash.xxh64_intdigest(keys[i].encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF)], np.uint64))))[0]), 1.0) for i, x in enumerate(own) if not x]
+                # A text without characters, or with none left by the model's normaliser, has the empty segmentation alone.
+                bare = sorted(set(range(len(own))).difference(x[0] for x in drawn))
+                seeds = np.array([xxhash.xxh64_intdigest(keys[i].encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF) for i in bare], np.uint64)
+                drawn += [(i, 1, np.zeros(0, np.int64), 0.0, value, 1.0) for i, value in zip(bare, (-np.log(-np.log(uniform(seeds)))).tolist(), strict=True)]
                 table = []
                 for i, rank, ids, log_p, value, inclusion in drawn:
                     packed = ids.astype("<i4")
-                    table.append((rank, len(ids), log_p, value, inclusion, hashlib.sha256(packed.tobytes()).hexdigest(), words.decode(ids.tolist()) == own[i], packed if with_ids else None))
+                    table.append((rank, len(ids), log_p, value, inclusion, hashlib.sha256(packed.tobytes()).hexdigest(), words.decode(ids) == own[i], packed if with_ids else None))
                 arrays = [pa.array([r[k] for r in table], kind) for k, (_, kind) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([x[0] for x in drawn], pa.int64())), *arrays], names=["doc_id", *[n for n, _ in fields]])
 
@@ -479,7 +481,7 @@ def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, ALPHA)
         for batch in rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else words.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else words.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     own = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")

@@ -369,3 +369,40 @@ def test_set_join_filters_lose_nothing(sets, block, counts, share):
     index = license_scan.TemplateIndex(templates, {k.encode(): v for k, v in counts.items()}, share)
     want = {label for label, t in templates if len(t & own) >= math.ceil(share * len(t) - 1e-9)}
     assert {label for label, _ in index.search(own)} == want
+
+
+def swapped_twins(letters):
+    """A word of two letters whose order follows the parity of the place's bits, and the same with the letters swapped:
+    sums of letters times powers of any odd number are equal modulo 2**64 for both, if there are enough letters."""
+    parity = [bin(i).count("1") % 2 for i in range(letters)]
+    return "".join("ab"[x] for x in parity), "".join("ba"[x] for x in parity)
+
+
+def test_units_are_told_apart_by_their_characters():
+    words = lattice.vocabulary(MODEL, lattice.ALPHA)
+    for size in (1024, 2048, 4096):
+        texts = [f"see {x}" for x in swapped_twins(size)]
+        drawn = lattice.sample_batch(words, texts, ["1", "2"], 2, 3)
+        assert len(drawn) == 4 and all(words.decode(r[2]) == texts[r[0]] for r in drawn)
+
+
+def test_trie_finds_exactly_the_pieces():
+    words = lattice.vocabulary(MODEL, lattice.ALPHA)
+    known = {words.model.id_to_piece(i): i for i in range(words.size) if not (words.model.is_byte(i) or words.model.is_control(i) or words.model.is_unknown(i))}
+    for text in ("▁the▁thing", "tionstion", "日本語é", "\U0010ffffa"):
+        for a in range(len(text)):
+            state = np.zeros(1, np.int64)
+            for b in range(a, len(text)):
+                state = words.follow(state, np.array([ord(text[b])]))
+                found = int(words.piece_at[state[0]]) if state[0] >= 0 else -1
+                assert found == known.get(text[a : b + 1], -1)
+                if state[0] < 0:
+                    break
+
+
+def test_text_that_the_normaliser_empties(spark, monkeypatch):
+    """It keeps a row, with the empty segmentation."""
+    words = lattice.vocabulary(MODEL, lattice.ALPHA)
+    plain = type("M", (), {"normalize": staticmethod(lambda t: " ".join(t.split()).replace(" ", "▁"))})
+    monkeypatch.setattr(words, "model", plain)
+    assert [r[0] for r in lattice.sample_batch(words, [" \t ", "", "the"], ["1", "2", "3"], 1, 0)] == [2]
