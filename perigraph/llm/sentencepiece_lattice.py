@@ -29,8 +29,9 @@ MARK = "▁"
 ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
 CHUNK_BYTES = 1 << 18
-#: Lattice edges of the units that a worker keeps from one batch to the next, at about 60 bytes.
-KEPT_EDGES = 1_500_000
+#: Lattice edges of the units that a worker keeps from one batch to the next, about, at 60 bytes; and units that it
+#: remembers to have met once.
+KEPT_EDGES, MET_UNITS = 1_500_000, 100_000
 SLOT_BITS, POINT_BITS = 20, 21
 
 
@@ -265,9 +266,10 @@ def lattices_of(words: Vocabulary, units: list[bytes], points: np.ndarray, start
     kept = words.kept
     first = np.array([kept.first.get(x, -1) for x in units], np.int64)
     new = np.flatnonzero(first < 0)
+    new, again = kept.recurring_first(new, units)
     took = np.append(0, np.cumsum(lengths[new]))
     index = np.arange(took[-1]) - np.repeat(took[:-1] - starts[new], lengths[new])
-    lattices, first[new] = kept.with_new(Lattices(words, points[index], lengths[new]), [units[i] for i in new.tolist()])
+    lattices, first[new] = kept.with_new(Lattices(words, points[index], lengths[new]), [units[i] for i in new[:again].tolist()])
     return lattices, first
 
 
@@ -278,7 +280,7 @@ def truncated_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> n
 
 
 class Kept:
-    """Lattices of the units that a worker has met first, and room after them for those of one batch."""
+    """Lattices of units that a worker has met in two batches, and room after them for those of one batch."""
 
     SHIFTED = {"to": "node", "node": "node", "key": "node", "likeliest": "edge", "begin": "edge"}
     PER_EDGE = ("to", "node", "key", "ids", "log_p", "single")
@@ -286,14 +288,26 @@ class Kept:
 
     def __init__(self) -> None:
         self.first: dict[bytes, int] = {}  # by the unit itself
+        self.met: set[bytes] = set()
         self.nodes = self.edges = 0
         self.room: dict[str, np.ndarray] = {}
 
+    def recurring_first(self, new: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, int]:
+        """The new units in an order where those met in an earlier batch stand first, and how many these are."""
+        if self.edges >= KEPT_EDGES:
+            return new, 0
+        again = np.array([units[i] in self.met for i in new.tolist()], bool)
+        if len(self.met) > MET_UNITS:
+            self.met.clear()
+        self.met.update(units[i] for i in new[~again].tolist())
+        return np.concatenate([new[again], new[~again]]), int(again.sum())
+
     def with_new(self, new: Lattices, units: list[bytes]) -> tuple[Lattices, np.ndarray]:
-        """The kept lattices with new ones (of these units) after them, and the new units' first nodes."""
+        """The kept lattices with new ones after them, and the new units' first nodes; the first units of them are kept."""
         out, shift = object.__new__(Lattices), {"node": self.nodes, "edge": self.edges}
         for name in (*self.PER_EDGE, *self.PER_NODE):
             own, start = getattr(new, name), self.edges if name in self.PER_EDGE else self.nodes
+            own = own.astype(np.int32) if own.dtype == np.int64 else own
             if start + len(own) > len(self.room.get(name, ())):
                 grown = np.empty(start + len(own) * 3 // 2, own.dtype)
                 grown[:start] = self.room[name][:start] if start else 0
@@ -302,9 +316,12 @@ class Kept:
             room[start:] = own + shift[self.SHIFTED[name]] if name in self.SHIFTED else own
             setattr(out, name, room)
         first = new.first + self.nodes
-        if self.edges + len(new.to) <= KEPT_EDGES:
-            self.first.update(zip(units, first.tolist(), strict=True))
-            self.nodes, self.edges = self.nodes + len(new.last), self.edges + len(new.to)
+        if units:
+            self.first.update(zip(units, first[: len(units)].tolist(), strict=True))
+            nodes = int(new.first[len(units)]) if len(units) < len(new.first) else len(new.last)
+            self.nodes, self.edges = self.nodes + nodes, self.edges + int(new.begin[nodes])
+            if self.edges >= KEPT_EDGES:
+                self.met.clear()
         return out, first
 
 
@@ -467,8 +484,10 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
                 table = []
                 for i, rank, ids, log_p, value, inclusion in drawn:
                     packed = ids.astype("<i4")
-                    table.append((rank, len(ids), log_p, value, inclusion, hashlib.sha256(packed.tobytes()).hexdigest(), words.decode(ids) == own[i], packed if with_ids else None))
-                arrays = [pa.array([r[k] for r in table], kind) for k, (_, kind) in enumerate(fields)]
+                    table.append((rank, len(ids), log_p, value, inclusion, hashlib.sha256(packed.tobytes()).hexdigest(), words.decode(ids) == own[i], packed))
+                arrays = [pa.array([r[k] for r in table], kind) for k, (_, kind) in enumerate(fields[:-1])]
+                places = np.append(0, np.cumsum([r[1] if with_ids else 0 for r in table])).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(places, np.concatenate([np.zeros(0, np.int32), *[r[-1] for r in table if with_ids]]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([x[0] for x in drawn], pa.int64())), *arrays], names=["doc_id", *[n for n, _ in fields]])
 
     out = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean, ids array<int>")
