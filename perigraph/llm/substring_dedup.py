@@ -1,10 +1,13 @@
 """Substring deduplication with a sharded count-min prefilter.
 
-Documents are dealt to blocks by a hash of their id. A first pass turns each block's windows of words into cells of a
-count-min sketch of two rows; a shard, a range of one row's cells, merges the sparse partial sketches of all blocks and
-answers every block which of its cells were counted more than once. Estimates never fall short, so a window whose cells
-were both counted more than once may be repeated, and any other is not. A second pass sends only these windows, as
-128-bit hashes with the block's smallest document, to be grouped exactly; the answer is each window's smallest document.
+Documents are dealt to blocks by a hash of their id, once, into a table bucketed by block. A first pass turns each block's
+windows of words into cells of a count-min sketch of two rows; a shard, a range of one row's cells, merges the sparse
+partial sketches of all blocks and answers every block which of its cells were counted more than once. Estimates never
+fall short, so a window whose cells were both counted more than once may be repeated, and any other is not.
+
+A second pass groups these windows exactly, by their words. Neighbouring windows that share their least run of four words
+travel as one passage to the shard of that run, so each word is sent about once and equal windows still meet. A shard
+compares the words of windows, not hashes, and answers the smallest document of each.
 
 Blocks and shards are sized from the corpus, so what one task holds stays bounded at every size. A window that stands in
 a third of all documents counts once per block.
@@ -14,17 +17,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_pieces, utf8
+from .common import fresh_path, materialize, text_pieces, utf8
 
 WINDOW = 13
-#: Characters of text in a block, about.
-BLOCK_CHARS = 8 << 20
+#: Words whose least run within a window decides its shard.
+RUN = 4
+#: Characters of text in a block, about, and buckets of the table of blocks at most.
+BLOCK_CHARS, BUCKETS = 8 << 20, 1 << 16
 #: Bytes of text that are hashed at once.
 HASH_BYTES = 1 << 20
 #: Cells of a sketch row for each character of the corpus, about eight for each window.
@@ -33,7 +40,7 @@ ROWS, SHARD_BITS = 2, 24
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,15 +49,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def runs_of(words: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
+    """A hash of each size neighbouring values, put together from those of 1, 2, 4, ... of them."""
+    done, out, width, doubled = 0, None, 1, words
+    while done < size:
+        if size & width:
+            part = doubled[done : done + max(0, len(words) - size + 1)]
+            out = part if out is None else mix(out * odd + part)
+            done += width
+        if done < size:
+            doubled = mix(doubled[:-width] * odd + doubled[width:]) if len(doubled) > width else doubled[:0]
+            width *= 2
+    return out
+
+
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each size neighbouring values."""
+    width, out = 1, values
+    while 2 * width <= size:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    return np.minimum(out[: len(values) - size + 1], out[size - width :]) if width < size else out
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each word its place in a list of distinct words, by their bytes."""
+    sizes = ends - starts
+    flat = data[np.arange(int(sizes.sum())) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)]
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 class Windows:
-    """The words of some texts and two 64-bit hashes of each window of words within one text."""
+    """The words of some texts, two 64-bit hashes of each window of words within one text, and its least run of words."""
 
     def __init__(self, column: pa.ChunkedArray):
         texts = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -61,34 +93,46 @@ class Windows:
             part = window_part(self.data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             parts.append([part[0] + offsets[at], part[1] + offsets[at], part[2], part[3] + words, part[4] + at, *part[5:]])
             at, words = end, words + len(part[0])
-        kinds = [np.int64] * 5 + [np.uint64] * 2
+        kinds = [np.int64] * 5 + [np.uint64] * 3
         joined = [np.concatenate([np.zeros(0, k), *[x[i] for x in parts]]).astype(k) for i, k in enumerate(kinds)]
-        self.starts, self.ends, counts, self.at, self.owner, *self.hashes = joined  # at: first word of a window; owner: its text
+        self.starts, self.ends, counts, self.at, self.owner, *self.hashes, self.run = joined  # at: first word of a window; owner: its text
         self.bounds = np.append(0, np.cumsum(counts))  # words of text i: bounds[i] to bounds[i + 1]
 
     def cells(self, bits: int) -> list[np.ndarray]:
         return [h >> np.uint64(64 - bits) for h in self.hashes]
 
+    def passages(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of the chosen windows (sorted): first and end places in chosen of runs of neighbours with one least run, and
+        the words of each, joined by one space."""
+        if not len(chosen):
+            return chosen, chosen, []
+        new = np.append(True, (np.diff(chosen) != 1) | (np.diff(self.owner[chosen]) != 0) | (self.run[chosen[1:]] != self.run[chosen[:-1]]))
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(chosen))
+        sizes = self.ends - self.starts
+        spaced = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        inside = np.arange(int(sizes.sum()))
+        spaced[inside + np.repeat(np.arange(len(sizes)), sizes)] = self.data[inside + np.repeat(self.starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)]
+        places, held = np.append(0, np.cumsum(sizes + 1)), spaced.tobytes()
+        begin, stop = places[self.at[chosen[first]]], places[self.at[chosen[end - 1]] + WINDOW] - 1
+        return first, end, [held[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+
 
 def window_part(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Starts and ends of words, words per text, first words and texts of windows, and the windows' two hashes."""
+    """Starts and ends of words, words per text, first words and texts of windows, the windows' two hashes and least runs."""
     space, edge = SPACE[data], np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(~space & (edge[:-1] | np.append(True, space[:-1]))) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(~space & (edge[1:] | np.append(space[1:], True))) + 1 if len(data) else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(starts, offsets))
     owner = np.repeat(np.arange(len(counts)), counts)
-    at = np.flatnonzero(owner[WINDOW - 1 :] == owner[: len(owner) - WINDOW + 1]) if len(owner) >= WINDOW else np.zeros(0, np.int64)
-    return [starts, ends, counts, at, owner[at], *[window_hash(data, starts, ends, at, base) for base in ODD]]
-
-
-def window_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes by prefix sums modulo 2**64, first of the bytes of a word, then of the words of a window."""
-    inverse = pow(base, -1, 1 << 64)
-    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data))))
-    words = mix((sums[ends] - sums[starts]) * powers(inverse, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
-    sums = np.append(np.uint64(0), np.cumsum(words * powers(base, len(words))))
-    return mix((sums[at + WINDOW] - sums[at]) * powers(inverse, len(words) + 1)[at]) if len(at) else np.zeros(0, np.uint64)
+    if len(owner) < WINDOW:
+        return [starts, ends, counts, *[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 3]
+    at = np.flatnonzero(owner[WINDOW - 1 :] == owner[: len(owner) - WINDOW + 1])
+    which, distinct = distinct_words(data, starts, ends)
+    words = np.array([xxhash.xxh3_64_intdigest(x) for x in distinct.to_pylist()], np.uint64)[which]
+    least = least_of(runs_of(words, RUN, ODD[0]), WINDOW - RUN + 1)
+    return [starts, ends, counts, at, owner[at], *[runs_of(words, WINDOW, odd)[at] for odd in ODD], least[at]]
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -111,8 +155,42 @@ def split_shards(cells: np.ndarray, low: int) -> list[tuple[int, slice]]:
     return [(int(shard[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)]
 
 
-def block_windows(table: pa.Table) -> Windows:
-    return Windows(table.column("text"))
+def window_groups(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows that begin at these words, equal ones together, and where in it each group begins.
+
+    Windows are brought together by hashes and told apart by their words.
+    """
+    hashes = runs_of(mix(words.astype(np.uint64) + np.uint64(1)), WINDOW, ODD[0])[at]
+    order = np.argsort(hashes, kind="stable")
+    new = np.append(True, np.diff(hashes[order]) != 0)
+    leader = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    if any((words[at[order] + k] != words[at[leader] + k]).any() for k in range(WINDOW)):
+        order = np.lexsort([words[at + k] for k in range(WINDOW)])
+        new = np.append(True, np.any([np.diff(words[at[order] + k]) != 0 for k in range(WINDOW)], axis=0))
+    return order, np.flatnonzero(new)
+
+
+def least_documents(passages: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """For each of some passages (words joined by one space) with its document: the smallest document of each window."""
+    data = np.frombuffer(b"\n".join([*passages, b""]), np.uint8)
+    gaps = np.flatnonzero((data == 32) | (data == 10))
+    words, _ = distinct_words(data, np.append(0, gaps[:-1] + 1), gaps)
+    ends = np.flatnonzero(data[gaps] == 10) + 1
+    counts = np.diff(ends, prepend=0) - WINDOW + 1  # windows of each passage
+    cuts = np.append(0, np.cumsum(counts))
+    at = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - (ends - counts - WINDOW + 1), counts)
+    order, first = window_groups(words, at)
+    smallest = np.empty(len(at), np.int64)
+    smallest[order] = np.repeat(np.minimum.reduceat(np.repeat(ids, counts)[order], first), np.diff(np.append(first, len(order))))
+    return np.split(smallest, cuts[1:-1])
+
+
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """df written once to the shared folder, dealt by the column, so that grouping by it later moves nothing."""
+    spark, name = df.sparkSession, f"perigraph_blocks_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, column)
+    dealt.write.bucketBy(buckets, column).sortBy(column).option("path", fresh_path(spark, "blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -122,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on the input. Null texts and those without words give no word and the digest of the empty string; texts of under 13
     words keep all. Rows that repeat an id are one document when windows are judged and keep a row each; a null id is
     smaller than any other. Ids must be whole numbers. An empty table gives an empty result; other columns are ignored,
-    whatever their names.
+    whatever their names. The texts dealt to blocks are kept as a table of the session's catalog, in the shared folder.
     """
     texts = text_pieces(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -131,19 +209,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = SHARD_BITS
     shards = 1 << (bits - low)
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int")
-    dealt = texts.select(block.alias("block"), "doc_id", "text")
+    grouped = bucketed(texts.select(block.alias("block"), "doc_id", "text"), min(blocks, BUCKETS), "block").groupBy("block")
+
+    def own_block(table: pa.Table) -> int:
+        return table.column("block")[0].as_py() if table.num_rows else 0
+
+    def doc_ids(table: pa.Table) -> np.ndarray:
+        return np.array([np.iinfo(np.int64).min if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
 
     def sketch(table: pa.Table) -> pa.Table:
         """The block's part of each shard: its sorted distinct cells, and which of them it counts more than once."""
-        found, out = block_windows(table), []
+        found, out = Windows(table.column("text")), []
         for row, cells in enumerate(found.cells(bits)):
             cells = np.sort(cells)
             new = np.append(True, cells[1:] != cells[:-1]) if len(cells) else np.zeros(0, bool)
             distinct, more = cells[new], np.append(~new[1:], False)[new] if len(cells) else new
             for shard, own in split_shards(distinct, low):
                 out.append((row * shards + shard, planes((distinct[own] & np.uint64((1 << low) - 1)).astype(np.uint32)), np.packbits(more[own]).tobytes()))
-        own = table.column("block")[0].as_py()
-        return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([own] * len(out), pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary()), "more": pa.array([x[2] for x in out], pa.binary())})
+        return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([own_block(table)] * len(out), pa.int32()), "cells": pa.array([x[1] for x in out], pa.binary()), "more": pa.array([x[2] for x in out], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         """Adds the partial sketches of a shard and marks, for each block, its cells that were counted more than once."""
@@ -154,11 +237,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own += 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(cells))
             counts[cells] = np.minimum(own, 2)
         marks = [np.packbits(counts[cells] > 1).tobytes() for cells in parts]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "marks": pa.array(marks, pa.binary())})
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "answer": pa.array(marks, pa.binary())})
 
-    def suspects(found: Windows, marks: pa.Table) -> np.ndarray:
-        """Which windows have cells counted more than once in both rows of the sketch."""
-        held = dict(zip(marks.column("shard").to_pylist(), marks.column("marks").to_pylist(), strict=True))
+    def suspects(found: Windows, held: dict[int, bytes]) -> np.ndarray:
+        """The windows whose cells were counted more than once in both rows of the sketch."""
         keep = np.ones(len(found.at), bool)
         for row, cells in enumerate(found.cells(bits)):
             order = np.argsort(cells)
@@ -170,55 +252,59 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep[order] &= marked[np.cumsum(new) - 1]
         return np.flatnonzero(keep)
 
+    def shard_of(found: Windows, windows: np.ndarray) -> list[int]:
+        return (mix(found.run[windows]) >> np.uint64(63 - (bits - low)) >> np.uint64(1)).astype(np.int64).tolist()
+
     def exact_parts(table: pa.Table, marks: pa.Table) -> pa.Table:
-        """Distinct suspected windows of a block, by shard of their hash, with the smallest document of the block."""
-        found = block_windows(table)
-        at = suspects(found, marks) if table.num_rows else np.zeros(0, np.int64)
-        first, second = found.hashes[0][at], found.hashes[1][at]
-        ids = doc_ids(table)[found.owner[at]]
-        order = np.lexsort((ids, second, first))
-        first, second, ids = first[order], second[order], ids[order]
-        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])) if len(at) else np.zeros(0, bool)
-        first, second, ids = first[new], second[new], ids[new]
-        own = table.column("block")[0].as_py() if table.num_rows else 0
-        out = [(shard, first[x].tobytes(), second[x].tobytes(), ids[x].tobytes()) for shard, x in split_shards(first, 64 - bits + low)]
-        return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([own] * len(out), pa.int32()), **{n: pa.array([x[i] for x in out], pa.binary()) for i, n in enumerate(("first", "second", "ids"), 1)}})
+        """The block's distinct passages of suspected windows, in order, with the smallest document that has each."""
+        held: dict[int, dict[bytes, int]] = {}
+        if table.num_rows:
+            found, ids = Windows(table.column("text")), doc_ids(table)
+            chosen = suspects(found, dict(zip(marks.column("shard").to_pylist(), marks.column("answer").to_pylist(), strict=True)))
+            first, _, words = found.passages(chosen)
+            for shard, passage, own in zip(shard_of(found, chosen[first]), words, ids[found.owner[chosen[first]]].tolist(), strict=True):
+                seen = held.setdefault(shard, {})
+                if seen.get(passage, own) >= own:
+                    seen[passage] = own
+        rows = [(shard, *zip(*sorted(seen.items()), strict=True)) for shard, seen in held.items()]
+        return pa.table({"shard": pa.array([x[0] for x in rows], pa.int64()), "block": pa.array([own_block(table)] * len(rows), pa.int32()), "passages": pa.array([b"\n".join(x[1]) for x in rows], pa.binary()), "ids": pa.array([np.array(x[2], np.int64).tobytes() for x in rows], pa.binary())})
 
     def least(table: pa.Table) -> pa.Table:
-        """The smallest document of each window of a shard, for every block that has it."""
-        parts = [[np.frombuffer(x, kind) for x in table.column(n).to_pylist()] for n, kind in (("first", np.uint64), ("second", np.uint64), ("ids", np.int64))]
-        first, second, ids = (np.concatenate(x) for x in parts)
-        order = np.lexsort((ids, second, first))
-        new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
-        smallest = np.empty(len(ids), np.int64)
-        smallest[order] = ids[order][new][np.cumsum(new) - 1]
-        cuts = np.cumsum([len(x) for x in parts[0]])[:-1]
-        out = [(b, f.tobytes(), s.tobytes(), i.tobytes()) for b, f, s, i in zip(table.column("block").to_pylist(), parts[0], parts[1], np.split(smallest, cuts), strict=True)]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), **{n: pa.array([x[i] for x in out], pa.binary()) for i, n in enumerate(("first", "second", "ids"), 1)}})
+        """The smallest document of each window of a shard's passages, for every block in the order of its passages."""
+        parts = [x.split(b"\n") for x in table.column("passages").to_pylist()]
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        found = least_documents([x for part in parts for x in part], ids)
+        cuts = np.append(0, np.cumsum([len(x) for x in parts]))
+        answers = [np.concatenate(found[a:b]).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table({"block": table.column("block"), "shard": pa.array([-1 - x for x in table.column("shard").to_pylist()], pa.int64()), "answer": pa.array(answers, pa.binary())})
+
+    def gone_words(found: Windows, ids: np.ndarray, held: dict[int, bytes]) -> np.ndarray:
+        """Which words lie in a window that starts in a smaller document, by the answers (of shard n at -1 - n)."""
+        chosen = suspects(found, held)
+        first, end, words = found.passages(chosen)
+        gone = np.zeros(len(found.starts) + 1, np.int64)
+        if len(chosen):
+            of_shard: dict[int, set[bytes]] = {}
+            shards_of_passages = shard_of(found, chosen[first])
+            for shard, passage in zip(shards_of_passages, words, strict=True):
+                of_shard.setdefault(shard, set()).add(passage)
+            answers, place, upto = [], {}, 0
+            for shard, own in of_shard.items():
+                answers.append(np.frombuffer(held[-1 - shard], np.int64))
+                for passage in sorted(own):
+                    place[passage] = upto
+                    upto += passage.count(b" ") + 2 - WINDOW
+            smallest = np.concatenate(answers)
+            start = np.array([place[x] for x in words])
+            index = np.arange(len(chosen)) + np.repeat(start - first, end - first)
+            hit = found.at[chosen[smallest[index] < ids[found.owner[chosen]]]]
+            np.add.at(gone, hit, 1)
+            np.add.at(gone, hit + WINDOW, -1)
+        return np.cumsum(gone[:-1]) > 0
 
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
-        found, ids = block_windows(table), doc_ids(table)
-        first, second, smallest = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in answers.column(n).to_pylist()]]) for n, kind in (("first", np.uint64), ("second", np.uint64), ("ids", np.int64)))
-        order = np.lexsort((second, first))
-        first, second, smallest = first[order], second[order], smallest[order]
-        gone = np.zeros(len(found.starts) + 1, np.int64)
-        if len(first) and len(found.at):
-            at = np.searchsorted(first, found.hashes[0])
-            at[at == len(first)] = 0
-            hit = first[at] == found.hashes[0]
-            while True:  # hashes that agree in their first half only
-                later = hit & (second[at] != found.hashes[1])
-                if not later.any():
-                    break
-                at[later] += 1
-                over = later & (at >= len(first))
-                at[over] = 0
-                hit &= ~over
-                hit[later] &= first[at[later]] == found.hashes[0][later]
-            hit &= smallest[at] < ids[found.owner]
-            np.add.at(gone, found.at[hit], 1)
-            np.add.at(gone, found.at[hit] + WINDOW, -1)
-        removed = np.cumsum(gone[:-1]) > 0
+        found, ids = Windows(table.column("text")), doc_ids(table)
+        removed = gone_words(found, ids, dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True)))
         data, names, out = found.data.tobytes(), table.column("doc_id").to_pylist(), []
         for i, doc_id in enumerate(names):
             a, b = found.bounds[i], found.bounds[i + 1]
@@ -228,13 +314,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
         return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(kinds.items())})
 
-    def doc_ids(table: pa.Table) -> np.ndarray:
-        return np.array([np.iinfo(np.int64).min if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-
-    grouped = dealt.groupBy("block")
     sketched = grouped.applyInArrow(sketch, "shard long, block int, cells binary, more binary")
-    marks = materialize(sketched.groupBy("shard").applyInArrow(merge, "block int, shard long, marks binary"), "window-marks")
-    parts = grouped.cogroup(marks.groupBy("block")).applyInArrow(exact_parts, "shard long, block int, first binary, second binary, ids binary")
-    answers = parts.groupBy("shard").applyInArrow(least, "block int, first binary, second binary, ids binary")
-    out = grouped.cogroup(answers.groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marks = materialize(sketched.groupBy("shard").applyInArrow(merge, "block int, shard long, answer binary"), "window-marks")
+    parts = grouped.cogroup(marks.groupBy("block")).applyInArrow(exact_parts, "shard long, block int, passages binary, ids binary")
+    answers = parts.groupBy("shard").applyInArrow(least, "block int, shard long, answer binary")
+    out = grouped.cogroup(marks.unionByName(answers).groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
