@@ -5,8 +5,9 @@ the share s have a shingle in common among the first n - ceil(s n) + 1 of each (
 each other (length filter), and enough shingles left at the first that they share (positional filter). What passes is
 verified by the whole sets. Any order loses no pair; the table only keeps common shingles out of the prefixes.
 
-Every shingle first joins its holders to the smallest of them. What that links is one group from then on, and only
-pairs between groups are still compared, so a crowd of copies does not give all its pairs.
+Every shingle first joins its holders to the smallest of them. What that links is one group from then on. Where holders
+of a shingle are still in several groups, they are compared in blocks of bounded rows and bytes: a block counts shared
+shingles of all its rows by one matrix product and gives only links that join groups, never its pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_pieces, utf8
+from .common import materialize, small_side, text_pieces, utf8
 from .components import connected_components
 from .simhash import shingle_hashes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BUCKET_BITS = 17
+#: Rows and bytes of shingles in a block of holders, about; two blocks meet in a task.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+#: Cells of a matrix of rows and shingles that is multiplied at once.
+CELLS = 1 << 22
 
 
 def at_least(similarity: float, n: int) -> int:
@@ -86,7 +91,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets agree to the similarity."""
+    """The pairs (a, b) of nodes whose whole sets agree to the similarity; a has few values."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -98,36 +103,92 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_rows(sets: list[bytes], left: np.ndarray, right: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) between rows of left and right with other roots whose sets agree to the similarity, enough of them to
+    join the roots that all such links join."""
+    flat = np.frombuffer(b"".join(sets), np.uint64)
+    sizes = np.array([len(x) // 8 for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    new = np.cumsum(times > 1) - 1  # a shingle of one row is shared with none
+    keep = times[column] > 1
+    owner, column, width = owner[keep], new[column[keep]], int((times > 1).sum())
+    shared = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, CELLS // max(1, len(sets)))
+    for start in range(0, width, step):
+        part = (column >= start) & (column < start + step)
+        held = np.zeros((len(sets), min(step, width - start)), np.float32)
+        held[owner[part], column[part] - start] = 1.0
+        shared += held[left] @ held[right].T
+    enough = shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-9
+    enough &= roots[left][:, None] != roots[right][None, :]
+    group, out = {x: x for x in roots.tolist()}, []
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+        x, y = find(int(roots[left[i]])), find(int(roots[right[j]]))
+        if x != y:
+            group[x] = y
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def links_between(holders: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the roots among the holders (shingle, node, root, n) of each shingle.
+
+    Holders of a shingle in one group need no comparison, and shingles with the same holders need it once. The rest are
+    dealt to blocks, and each two blocks of a shingle to a task.
+    """
+    per_shingle = holders.groupBy("shingle").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("bits"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("more"),
+    )
+    apart = per_shingle.filter("least != most").groupBy("rows", "sum", "bits", "more").agg(F.min(F.struct("shingle", "total")).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("k.total") * 8 / BLOCK_BYTES)).cast("int")
+    apart = materialize(apart.select("k.shingle", blocks.alias("blocks")), "shingle-apart")
+    dealt = holders.join(small_side(apart, 32), "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root")
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        own, nodes, roots = (table.column(x).to_numpy() for x in ("own", "node", "root"))
+        found = similar_rows(table.column("shingles").to_pylist(), np.flatnonzero(own == low), np.flatnonzero(own == high), roots, similarity)
+        return pa.table({"a": pa.array(nodes[[i for i, _ in found]] if found else [], pa.int64()), "b": pa.array(nodes[[j for _, j in found]] if found else [], pa.int64())})
+
+    return dealt.join(sets.select("node", "shingles"), "node").groupBy("shingle", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of each document in a component of several, the smallest id in it.
 
-    Documents are linked if their sets of word shingles have at least the Jaccard similarity. Texts without words link
-    with nothing; a text shorter than a shingle is one shingle.
+    Documents are linked if their sets of word shingles, by 64-bit hashes, have at least the Jaccard similarity. Texts
+    without words link with nothing; a text shorter than a shingle is one shingle. Null texts count as empty. Rows that
+    repeat an id each get a row. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     held = materialize(shingle_sets(docs, words, id_col, text_col), "shingle-sets")
     sets = held.dropDuplicates(["node"]) if held.groupBy("node").count().filter("count > 1").limit(1).count() else held
     rows = prefixes(sets, bucket_counts(sets), similarity)
-    met = rows.withColumn("held", F.expr("count(*) over (partition by shingle)")).filter("held > 1")
-    met = materialize(met.withColumn("centre", F.expr("min(struct(node, n, place)) over (partition by shingle)")), "shingle-keys")
-
-    def near(n: str, place: str, m: str, other: str):
-        left = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
-        return (left >= (F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-6) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6)
+    centres = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("node", "n", "place")).alias("centre")).filter("holders > 1")
+    centres = materialize(centres, "shingle-centres")
+    met = materialize(rows.join(small_side(centres, 80), "shingle"), "shingle-holders")
 
-    stars = met.filter((F.col("node") != F.col("centre.node")) & near("n", "place", "centre.n", "centre.place")).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    left = F.least(F.col("n") - F.col("place"), F.col("centre.n") - F.col("centre.place"))
+    near = (left >= (F.col("n") + F.col("centre.n")) * (similarity / (1 + similarity)) - 1e-6) & (F.least("n", "centre.n") >= F.greatest("n", "centre.n") * similarity - 1e-6)
+    stars = met.filter((F.col("node") != F.col("centre.node")) & near).select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
     edges = materialize(verified(stars, sets, similarity), "shingle-stars")
-    roots = connected_components(edges)
-    grouped = met.drop("centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = grouped.withColumn("least", F.expr("min(root) over (partition by shingle)")).withColumn("most", F.expr("max(root) over (partition by shingle)"))
-    grouped = materialize(grouped.filter("least != most"), "shingle-groups")
-    a, b = grouped.alias("a"), grouped.alias("b")
-    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near("a.n", "a.place", "b.n", "b.place")
-    pairs = a.join(b, apart).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    edges = materialize(edges.unionByName(verified(pairs, sets, similarity)), "shingle-links")
+    # A centre has met all other holders of its shingle; of two holders, nothing is left to compare.
+    others = met.filter((F.col("holders") > 2) & (F.col("node") != F.col("centre.node")))
+    grouped = others.join(connected_components(edges), "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    edges = edges.unionByName(links_between(materialize(grouped, "shingle-groups"), sets, similarity))
 
     rooted = held.select("doc_id", "node").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     table = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).filter("size > 1")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_pieces, utf8
+from .common import materialize, small_side, text_pieces, utf8
 from .components import connected_components
 
 BITS, LINK_DISTANCE, SHINGLE_WORDS, SEED = 64, 3, 3, 42
@@ -97,14 +97,14 @@ def links(prints: DataFrame) -> DataFrame:
     spark, masks = prints.sparkSession, block_masks()
     keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.bits")
-    met = keyed.withColumn("n", F.expr("count(*) over (partition by combo, bits)")).filter("n > 1")
-    met = materialize(met, "simhash-keys")
+    # Keys are counted apart, so that a key with many fingerprints is combined before it is shuffled.
+    counts = keyed.groupBy("combo", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(keyed.join(small_side(materialize(counts, "simhash-counts"), 40), ["combo", "bits"]), "simhash-keys")
 
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
     paired = met.filter(F.col("n") <= PAIR_GROUP).select("combo", "bits", "fp", table.alias("pivot"))
     a, b = paired.alias("a"), paired.alias("b")
-    gaps = [F.abs(F.col("a.pivot")[i] - F.col("b.pivot")[i]) for i in range(PIVOTS)]
-    survives = F.greatest(*gaps) <= LINK_DISTANCE
+    survives = F.expr(" and ".join(f"abs(a.pivot[{i}] - b.pivot[{i}]) <= {LINK_DISTANCE}" for i in range(PIVOTS)))
     verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= LINK_DISTANCE
     same = (F.col("a.combo") == F.col("b.combo")) & (F.col("a.bits") == F.col("b.bits"))
     pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & survives & verified).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
@@ -115,15 +115,15 @@ def links(prints: DataFrame) -> DataFrame:
         flips += [(i, 0, True), (i, 0, False), *[(i, signed(x), near) for x in free for near in (True, False)], *[(i, signed(x | y), False) for x, y in combinations(free, 2)]]
     flips = F.broadcast(spark.createDataFrame(flips, "combo int, flip long, near boolean"))  # fixed, about 13,000 rows
     variants = met.filter(F.col("n") > PAIR_GROUP).join(flips, "combo").select("combo", "fp", "near", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    stars = variants.withColumn("b", F.expr("min(if(near, fp, null)) over (partition by combo, variant)")).filter("b is not null and b != fp")
+    centres = variants.filter("near").groupBy("combo", "variant").agg(F.min("fp").alias("b"))
+    stars = variants.join(centres, ["combo", "variant"]).filter("b != fp")
     return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, n_links.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
-    n_links is the number of other fingerprints that the document's own is joined to by a link found. A text without
-    words has fingerprint zero and links like any other; null texts count as empty. Documents with equal fingerprints
+    A text without words has fingerprint zero and links like any other; null texts count as empty. Documents with equal fingerprints
     are linked. Rows that repeat an id each get a row; a component's id is the smallest non-null id in it. An empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -133,7 +133,5 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(edges)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    table = rooted.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    joined = prints.join(table, "fp")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    table = rooted.join(least, "root").select("fp", "component_id")
+    return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from perigraph.llm import exact_dedup as exact
-from perigraph.llm import simhash
+from perigraph.llm import shingle_join, simhash
 from perigraph.llm import substring_dedup as sub
 from perigraph.llm.components import connected_components
 
@@ -167,3 +167,71 @@ def test_components(spark, edges):
     want = components(15, edges)
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == {x: want[x] for x in touched}
+
+
+def brute_similar(texts, words=5, share=0.8):
+    def shingles(text):
+        own = text.lower().split()
+        return {" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+    sets = [shingles(t) for t in texts]
+    return components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]) - 1e-9])
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_similar_components(spark, odd_docs, empty_docs, monkeypatch, block):
+    """A crowd of near copies of all degrees of similarity, chains, and plain texts, against all pairs."""
+    monkeypatch.setattr(shingle_join, "BLOCK_ROWS", block)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdehiost") for _ in range(5)) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    for i in range(30):  # each alike to the one before only
+        texts.append(" ".join(base[:20] + [f"chain{j}" for j in range(i * 4, i * 4 + 60)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_similar(texts)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.similar_components(docs).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want and len(set(want)) > 30
+    assert {tuple(r) for r in shingle_join.similar_components(odd_docs).collect()} >= {(9, 9)}
+    assert shingle_join.similar_components(empty_docs).count() == 0
+
+
+def test_substring_of_words_with_equal_sums(spark):
+    """Words whose polynomial hashes agree modulo 2**64 for every odd base, and windows brought together by hash only."""
+    from .test_text import swapped_twins
+
+    before = " ".join(f"w{i}" for i in range(12))
+    for size in (1024, 4096):
+        rows = [(i, f"{before} {x}") for i, x in enumerate([*swapped_twins(size), swapped_twins(size)[0]], 1)]
+        got = {r["doc_id"]: r["n_removed"] for r in sub.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(sub, "runs_of", lambda words, size, odd: np.zeros(max(0, len(words) - size + 1), np.uint64))
+    words = lambda a, b: b" ".join(b"%d" % i for i in range(a, b))
+    found = sub.least_documents([words(0, 20), words(50, 70), words(4, 18)], np.array([7, 3, 5]))
+    assert [x.tolist() for x in found] == [[7, 7, 7, 7, 5, 5, 7, 7], [3] * 8, [5, 5]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 13, 40])
+def test_runs_and_least(n):
+    values = np.random.default_rng(n).integers(0, 1 << 62, n).astype(np.uint64)
+    for size in (1, 2, 3, 4, 10, 13):
+        runs = sub.runs_of(values, size, sub.ODD[0])
+        assert len(runs) == max(0, n - size + 1) and (sub.runs_of(values[1:], size, sub.ODD[0]) == runs[1:]).all()
+        if n >= size:
+            assert sub.least_of(values, size).tolist() == [values[i : i + size].min() for i in range(n - size + 1)]
+
+
+def test_text_is_dealt_to_blocks_once(spark, prose_docs):
+    """Grouping by block moves no text: the plan's scans of the blocks have no exchange above them."""
+    plan = sub.substring_dedup(prose_docs)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    scans = [i for i, x in enumerate(lines) if "FileScan parquet" in x and "perigraph_blocks" in x]
+    assert len(scans) >= 2 and all("Bucketed: true" in lines[i] for i in scans)
