@@ -1,18 +1,24 @@
 """Main-text extraction by consensus paths of each host.
 
 Every page scores its containers by the text of their blocks and by how little of it is links. Text in an article or
-main counts for the outermost of them; else one container may hold nearly all the text and takes it all, with its
-headings; else blocks share their worth out to what is around them. Each container votes for its generalised path (tags
-with classes, digits folded) with its share of the page's score; Spark sums the votes of a host, and each page is
-extracted again from the containers at its host's winning path.
+main counts for the outermost of them; else one container may hold nearly all the text, or most of it, and takes it all,
+with its headings; else blocks count for what they stand in. Each container votes for its generalised path (tags with
+classes, digits folded) with its share of the page's score; Spark sums the votes of a host, and each page is extracted
+again from the containers at its host's winning paths: the best, and others with comparable votes, so that a text that
+is always split over several containers stays whole.
+
+Time and memory grow linearly with a page at any nesting: elements know their nearest container and wrapper, and sums
+over what an element holds are carried from the innermost outwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +53,15 @@ def path_step(tag: str, classes: str) -> str:
 
 #: Furniture or not; the last two may turn out to be wrappers of the page's text, LIKELY by holding most of it.
 SHOWN, HIDDEN, READERS, LIKELY = 0, 1, 2, 3
-#: The share of a page's text that one container must hold to take it all.
-NEARLY_ALL = 0.9
+#: The share of a page's text that one container must hold to take it all; if none does, the lesser share.
+NEARLY_ALL, MOST = 0.9, 0.5
+#: Besides the best path of a host, those win that have this share of its votes, and this share of all.
+OF_BEST, OF_ALL = 0.5, 0.05
+#: Longer paths are told by a digest of their beginning.
+PATH_CHARS = 400
+#: Tags that a new element's implied ends look at.
+ENDING = frozenset([*ENDS, "p"])
+SHIELDS = CONTAINER | frozenset("ul ol dl table".split())
 
 
 def furniture_kind(tag: str, attributes: dict[str, str]) -> int:
@@ -68,20 +81,48 @@ def worth(text: str, linked: int) -> float:
     return (len(text) - linked) ** 2 / max(1, len(text))
 
 
+def longer(path: str, step: str) -> str:
+    """The path of an element within what stands at a path."""
+    out = f"{path}>{step}" if path else step
+    return out if len(out) <= PATH_CHARS else f"{hashlib.sha256(out.encode()).hexdigest()[:32]}>{step[-PATH_CHARS // 2 :]}"
+
+
+class Element(NamedTuple):
+    """An open element, and the places on the stack of the nearest (or itself) of some kinds."""
+
+    tag: str
+    hidden: bool
+    path: str
+    container: int
+    wrapper: int
+    ending: int  # what implied ends look at, or what they stop at
+    block: int
+    shield: int  # a container
+
+
+class Container(NamedTuple):
+    tag: str
+    path: str
+    parent: int
+    root: int  # the outermost article or main, -1 if there is none
+    solid: int  # the nearest that is no section; itself if there is none
+    above: int  # the next solid one, or -1
+    wrapper: int  # the wrapper around it, or -1
+
+
 class Page:
-    """The text blocks of a page in order, each with its open containers; furniture is left out."""
+    """The text blocks of a page in order, each with its innermost container; furniture is left out."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []  # text, length of its link text, open containers
+        self.blocks: list[tuple[str, int, int]] = []  # text, length of its link text, container
         self.heads: set[int] = set()  # containers with a heading of their own
-        self.paths: list[str] = []
-        self.tags: list[str] = []
-        self.outer: list[tuple[int, ...]] = []  # the wrappers around an article or main
-        self.stack: list[tuple[str, str, bool, int, int]] = []  # tag, step, hidden, container or -1, wrapper or -1
-        self.wrappers: list[int] = []  # kinds of what may be furniture or a wrapper of the page's text
-        self.found: list[tuple[str, int, tuple[int, ...], tuple[int, ...], bool]] = []  # blocks with wrappers, and if headings
+        self.containers = [Container("body", "", -1, -1, 0, -1, -1)]  # the page itself comes first
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements on the stack, by tag
+        self.wrappers: list[tuple[int, int]] = []  # kind and parent of what may be furniture or a wrapper of the page's text
+        self.found: list[tuple[str, int, int, int, bool]] = []  # blocks with container, wrapper, and if headings
         self.text: list[str] = []
-        self.linked, self.links, self.hidden = 0, 0, 0
+        self.linked, self.hidden = 0, 0
         self.read(source)
         self.settle()
 
@@ -89,80 +130,106 @@ class Page:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                heading = any(x[0] in ("h1", "h2") for x in self.stack)
-                self.found.append((text, min(self.linked, len(text)), tuple(x[3] for x in self.stack if x[3] >= 0), tuple(x[4] for x in self.stack if x[4] >= 0), heading))
+                last = self.stack[-1] if self.stack else None
+                heading = bool(self.places["h1"] or self.places["h2"])
+                self.found.append((text, min(self.linked, len(text)), last.container if last else 0, last.wrapper if last else -1, heading))
         self.text, self.linked = [], 0
 
     def settle(self) -> None:
         """Leaves out the blocks in furniture, but not for a wrapper around the page's article or around most of its text."""
-        semantic = lambda around: any(self.tags[i] in ("article", "main") for i in around)
-        holds, total, inside = defaultdict(float), 0.0, set()
-        for text, linked, around, wrappers, _ in self.found:
+        holds, total, full = [0.0] * len(self.wrappers), 0.0, [False] * len(self.containers)
+        for text, linked, container, wrapper, _ in self.found:
             points = worth(text, linked)
             total += points
-            for w in wrappers:
-                holds[w] += points
-                if any(self.tags[i] in ("article", "main") and w in self.outer[i] for i in around):
-                    inside.add(w)
-        shown = any(semantic(around) and inside.issuperset(wrappers) for _, _, around, wrappers, _ in self.found)
-        kept = {w for w, kind in enumerate(self.wrappers) if w in inside or kind == LIKELY and not shown and 2 * holds[w] > total}
-        for text, linked, around, wrappers, heading in self.found:
-            if kept.issuperset(wrappers):
-                self.blocks.append((text, linked, around))
-                if heading and around:
-                    self.heads.add(next((i for i in reversed(around) if self.tags[i] != "section"), around[-1]))
+            full[container] = True
+            if wrapper >= 0:
+                holds[wrapper] += points
+        inside = [False] * len(self.wrappers)  # wrappers around an article or main with text
+        for i in range(len(self.containers) - 1, 0, -1):
+            own = self.containers[i]
+            full[own.parent] |= full[i]
+            if full[i] and own.tag in ("article", "main") and own.wrapper >= 0:
+                inside[own.wrapper] = True
+        for i in range(len(self.wrappers) - 1, -1, -1):
+            if self.wrappers[i][1] >= 0:
+                holds[self.wrappers[i][1]] += holds[i]
+                inside[self.wrappers[i][1]] |= inside[i]
+
+        def all_around(flags: list[bool]) -> list[bool]:
+            out: list[bool] = []
+            for flag, (_, parent) in zip(flags, self.wrappers, strict=True):
+                out.append(flag and (parent < 0 or out[parent]))
+            return out
+
+        open_ = all_around(inside)
+        shown = any(self.containers[c].root >= 0 and (w < 0 or open_[w]) for _, _, c, w, _ in self.found)
+        kept = all_around([inside[i] or kind == LIKELY and not shown and 2 * holds[i] > total for i, (kind, _) in enumerate(self.wrappers)])
+        for text, linked, container, wrapper, heading in self.found:
+            if wrapper < 0 or kept[wrapper]:
+                self.blocks.append((text, linked, container))
+                if heading:
+                    self.heads.add(self.containers[container].solid)
 
     def put(self, raw: str) -> None:
         if not self.hidden:
             text = html.unescape(raw)
             self.text.append(text)
-            if self.links:
+            if self.places["a"]:
                 self.linked += len(text.strip())
 
     def pop(self) -> None:
-        tag, _, hidden, _, _ = self.stack.pop()
-        self.hidden -= hidden
-        self.links -= tag == "a"
+        gone = self.stack.pop()
+        self.hidden -= gone.hidden
+        self.places[gone.tag].pop()
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.pop()
 
     def close(self, tag: str) -> None:
-        """Ends the innermost open element of that tag and all within; a table cell or article shields what is around it."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                while len(self.stack) > at:
-                    self.pop()
-                return
-            if tag not in BLOCK and self.stack[at][0] in BLOCK or tag == "p" and self.stack[at][0] in CONTAINER:
-                return
+        """Ends the innermost open element of that tag and all within; blocks shield what is around them from the end of
+        what is no block, containers from the end of a paragraph."""
+        if not self.places[tag]:
+            return
+        at, last = self.places[tag][-1], self.stack[-1]
+        if not (tag not in BLOCK and last.block > at or tag == "p" and last.shield > at):
+            self.cut(at)
+
+    def end_implied(self, tag: str) -> None:
+        at = self.stack[-1].ending if self.stack else -1
+        while at >= 0:
+            now = self.stack[at].tag
+            if now == "p" and tag in ENDS_P or tag in ENDS.get(now, ()):
+                return self.cut(at)
+            if now in SHIELDS:
+                return None
+            at = self.stack[at - 1].ending if at else -1
 
     def open(self, tag: str, raw: str) -> None:
-        if tag in BLOCK and any(x[0] == "head" for x in self.stack):  # a head whose end tag is left out
+        if tag in BLOCK and self.places["head"]:  # a head whose end tag is left out
             self.close("head")
-        for at in range(len(self.stack) - 1, -1, -1):
-            now = self.stack[at][0]
-            if now == "p" and tag in ENDS_P or tag in ENDS.get(now, ()):
-                while len(self.stack) > at:
-                    self.pop()
-                break
-            if now in CONTAINER or now in ("ul", "ol", "dl", "table"):
-                break
+        if tag in ENDS_P or tag in ENDS:
+            self.end_implied(tag)
         attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)} if raw else {}
         if raw and re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw.lower()):
             attributes["hidden"] = ""
-        kind, container, wrapper, step = furniture_kind(tag, attributes), -1, -1, tag
-        around = tuple(x[4] for x in self.stack if x[4] >= 0) if tag in ("article", "main") else ()
-        if kind in (READERS, LIKELY):
-            wrapper = len(self.wrappers)
-            self.wrappers.append(kind)
+        kind, place = furniture_kind(tag, attributes), len(self.stack)
+        last = self.stack[-1] if self.stack else Element("", False, "", 0, -1, -1, -1, -1)
+        wrapper, container, path = last.wrapper, last.container, last.path
         if tag in CONTAINER or tag == "html":
-            step = path_step(tag, attributes.get("class", ""))
+            path = longer(path, path_step(tag, attributes.get("class", "")))
         if tag in CONTAINER:
-            container = len(self.paths)
-            self.tags.append(tag)
-            self.outer.append(around)
-            self.paths.append(">".join([*(x[1] for x in self.stack if x[0] in CONTAINER or x[0] == "html"), step]))
-        self.stack.append((tag, step, kind == HIDDEN, container, wrapper))
+            around, container = self.containers[container], len(self.containers)
+            root = around.root if around.root >= 0 else container if tag in ("article", "main") else -1
+            plain = tag == "section" and last.container  # a section is a part of what is around it
+            self.containers.append(Container(tag, path, last.container, root, around.solid if plain else container, around.above if plain else around.solid, wrapper))
+        if kind in (READERS, LIKELY):
+            self.wrappers.append((kind, wrapper))
+            wrapper = len(self.wrappers) - 1
+        near = lambda kinds, before: place if tag in kinds else before
+        self.stack.append(Element(tag, kind == HIDDEN, path, container, wrapper, place if tag in ENDING or tag in SHIELDS else last.ending, near(BLOCK, last.block), near(CONTAINER, last.shield)))
+        self.places[tag].append(place)
         self.hidden += kind == HIDDEN
-        self.links += tag == "a"
 
     def read(self, source: str) -> None:
         at = 0
@@ -192,71 +259,74 @@ class Page:
             self.put(source[at:])
         self.flush()
 
-    def holder(self, blocks: list[tuple[str, int, tuple[int, ...]]]) -> int | None:
-        """The smallest container of nearly all that these blocks are worth; the one around it if it adds text of its own."""
-        below: dict[int, float] = defaultdict(float)
-        direct, chains, total = set(), {}, 0.0
-        for text, linked, around in blocks:
-            points = worth(text, linked)
-            total += points
-            for at, container in enumerate(around):
-                below[container] += points
-                chains[container] = around[:at]
-            if around and points:
-                direct.add(around[-1])
-        found = [i for i, x in below.items() if total and x >= NEARLY_ALL * total and self.tags[i] != "body"]
+    def holder(self, loose: list[tuple[float, int]], share: float) -> int | None:
+        """The smallest container with a share of what these blocks are worth; the one around it if it adds text of its own."""
+        below, direct = [0.0] * len(self.containers), set()
+        for points, container in loose:
+            below[container] += points
+            if points:
+                direct.add(container)
+        total, depth = sum(below), [0] * len(self.containers)
+        for i in range(len(self.containers) - 1, 0, -1):
+            if self.containers[i].solid == i and self.containers[i].above >= 0:
+                below[self.containers[i].above] += below[i]
+        for i, own in enumerate(self.containers):
+            depth[i] = depth[own.above] + 1 if own.above >= 0 else 0
+        found = [i for i, x in enumerate(below) if total and x >= share * total and self.containers[i].tag != "body"]
         if not found:
             return None
-        best = max(found, key=lambda i: (len(chains[i]), -i))
-        for outer in reversed(chains[best]):
-            if outer in (self.heads if self.tags[outer] == "body" else direct):
+        best = outer = max(found, key=lambda i: (depth[i], -i))
+        while (outer := self.containers[outer].above) >= 0:
+            if outer in (self.heads if self.containers[outer].tag == "body" else direct):
                 best = outer
         return best
 
     def scores(self) -> dict[str, int]:
-        """Points of each container path, 1000 in all.
+        """Points of container paths, 1000 in all, about.
 
-        A block counts in full for the outermost article or main around it. Of the others, all count for the container
-        that holds nearly all of them, or else each counts in full for its innermost container, then half. Sections are
-        parts of what is around them.
+        A block counts for the outermost article or main around it. Of the others, all count for the container that holds
+        nearly all of them, or else most, or else each for its innermost container. Sections are parts of what is around
+        them.
         """
         points: dict[str, float] = defaultdict(float)
         loose = []
-        for text, linked, around in self.blocks:
-            root = next((i for i in around if self.tags[i] in ("article", "main")), None)
-            if root is None:
-                loose.append((text, linked, tuple(i for i in around if self.tags[i] != "section") or around))
+        for text, linked, container in self.blocks:
+            own = self.containers[container]
+            if own.root >= 0:
+                points[self.containers[own.root].path] += worth(text, linked)
             else:
-                points[self.paths[root]] += worth(text, linked)
-        holder = self.holder(loose)
-        for text, linked, around in loose:
-            if holder is not None:
-                points[self.paths[holder]] += worth(text, linked)
-                continue
-            for depth, container in enumerate(reversed(around)):
-                points[self.paths[container]] += worth(text, linked) / 2**depth
+                loose.append((worth(text, linked), own.solid))
+        holder = self.holder(loose, NEARLY_ALL)
+        holder = self.holder(loose, MOST) if holder is None else holder
+        for value, container in loose:
+            points[self.containers[container if holder is None else holder].path] += value
         total = sum(points.values())
-        return {k: round(1000 * v / total) for k, v in points.items()} if total else {}
+        return {k: n for k, v in points.items() if (n := round(1000 * v / total))} if total else {}
 
-    def main_text(self, path: str | None) -> str:
-        """The blocks in containers at the path, or at the page's own best one where it has no such container."""
-        chosen = {i for i, x in enumerate(self.paths) if x == path}
-        if not any(chosen.intersection(around) for _, _, around in self.blocks):
+    def main_text(self, paths: set[str]) -> str:
+        """The blocks in containers at the paths, or at the page's own best ones where it has no such container."""
+        text = self.text_at(paths)
+        if text is None:
             own = self.scores()
-            best = min(own, key=lambda k: (-own[k], k), default=None)
-            chosen = {i for i, x in enumerate(self.paths) if x == best}
-            if best is None:
-                return "\n".join(text for text, linked, _ in self.blocks if linked < len(text))
-        return "\n".join(text for text, _, around in self.blocks if chosen.intersection(around))
+            text = self.text_at({k for k, v in own.items() if v >= OF_BEST * max(own.values())})
+        return "\n".join(x[0] for x in self.blocks) if text is None else text
+
+    def text_at(self, paths: set[str]) -> str | None:
+        chosen: list[bool] = []
+        for own in self.containers:
+            chosen.append(own.path in paths or own.parent >= 0 and chosen[own.parent])
+        found = [text for text, _, container in self.blocks if chosen[container]]
+        return "\n".join(found) if found else None
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, path (the host's winning container path).
+    """One row per page: page_id, url, text, n_chars, paths (the host's winning container paths).
 
     Blocks are joined by line feeds; white space inside a block is one space. Null or empty html gives an empty text; a
-    null or odd url belongs to the host "" and votes with its like. Ties between paths go to the first in text order.
-    Pages without any container give the blocks that are not all link. Rows that repeat an id each get a row; an empty
-    table gives an empty result; other columns are ignored, whatever their names.
+    null or odd url belongs to the host "" and votes with its like. Ties for the best path go to the first in text order;
+    a host has at most 21 winning paths. A page without a container at one of them follows its own votes, and a page
+    whose text is all links gives all of it. Rows that repeat an id each get a row; an empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     bound_batches(pages.sparkSession)
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), whole_text(F.col(f"`{html_col}`")).alias("html"))
@@ -271,12 +341,16 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["host", "path", "points"])
 
     votes = own.select("host", "html").mapInArrow(vote, "host string, path string, points long").groupBy("host", "path").agg(F.sum("points").alias("points"))
-    winners = materialize(votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("points"), F.col("path"))).alias("path")), "host-paths")
+    votes = materialize(votes, "host-votes")
+    best = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("points"), F.col("path"))).alias("best"), F.max("points").alias("most"), F.sum("points").alias("total"))
+    wins = (F.col("path") == F.col("best")) | (F.col("points") >= F.col("most") * OF_BEST) & (F.col("points") >= F.col("total") * OF_ALL)
+    winners = votes.join(small_side(materialize(best, "host-best"), 600), "host").filter(wins)
+    winners = materialize(winners.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths")), "host-paths")
 
     def extract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [Page(source).main_text(path) for source, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(3)], names=["page_id", "url", "text", "n_chars", "path"])
+            texts = [Page(source).main_text(set(paths or ())) for source, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(3)], names=["page_id", "url", "text", "n_chars", "paths"])
 
-    joined = own.join(small_side(winners, 256), "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(extract, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, path string")
+    joined = own.join(small_side(winners, 1024), "host", "left").select("page_id", "url", "html", "paths")
+    return joined.mapInArrow(extract, f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, paths array<string>")

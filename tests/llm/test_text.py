@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -406,3 +407,63 @@ def test_text_that_the_normaliser_empties(spark, monkeypatch):
     plain = type("M", (), {"normalize": staticmethod(lambda t: " ".join(t.split()).replace(" ", "▁"))})
     monkeypatch.setattr(words, "model", plain)
     assert [r[0] for r in lattice.sample_batch(words, [" \t ", "", "the"], ["1", "2", "3"], 1, 0)] == [2]
+
+
+def texts_of(spark, pages):
+    rows = [(i, u, f"<html><body>{x}</body></html>") for i, (u, x) in enumerate(pages)]
+    return [r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_of_any_nesting():
+    """Time and memory grow with the page, not with its depth."""
+    import time
+    import tracemalloc
+
+    n = 50_000
+    pages = ["<div>" * n + "<p>deep", "".join(f"<div class=c{i}x>t" for i in range(n)), "<b>" * n + "text" + "</i>" * n, "<p>" + "<td><blockquote>" * (n // 2) + "</p>" * n, "<ul><li>" * n + "end", "<span><p>" * n, "<div class=sidebar>" * n + "x" * 50, "</section>" * n + "<a>" * n]
+    for i, page in enumerate(pages):
+        began = time.process_time()
+        if i < 2:
+            tracemalloc.start()
+        html_extract.Page(page).main_text(set(html_extract.Page(page).scores()))
+        if i < 2:
+            most = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert most < 200 << 20
+        assert time.process_time() - began < 40
+
+
+def test_html_keeps_split_articles(spark):
+    """Parts in sibling containers of other classes, pages without an article, with links only, and without any container."""
+    long = lambda word: f"{word} words of the text " * 12
+    a, b = long("first").strip(), long("second").strip()
+    split = f"<div class=one><p>{a}</p></div><div class=ad><p>buy this</p></div><div class=two><p>{b}</p></div><div class=side><p>some other things</p></div>"
+    got = texts_of(spark, [("http://s.org/1", split), ("http://s.org/2", split), ("http://l.org/1", "<p><a href=x>all of it</a></p><p><a href=y>is links</a></p>"), ("http://t.org/1", f"{a}<br>{b}")])
+    assert got == [f"{a}\n{b}"] * 2 + ["all of it\nis links", f"{a} {b}"]
+
+
+def brute_consensus(pages):
+    """Winning paths of each host from the pages' own votes, summed one by one."""
+    votes = defaultdict(Counter)
+    for host, source in pages:
+        for path, points in html_extract.Page(source).scores().items():
+            votes[host][path] += points
+    out = {}
+    for host, own in votes.items():
+        best = min(own, key=lambda k: (-own[k], k))
+        out[host] = sorted(k for k, v in own.items() if k == best or v >= 0.5 * own[best] and v >= 0.05 * sum(own.values()))
+    return out
+
+
+def test_html_consensus_against_brute_force(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(n))
+    pages = []
+    for i in range(60):
+        parts = "".join(f"<div class='{rng.choice('abcde')}{rng.randint(1, 9)}'><p>{words(rng.randint(1, 60))}</p></div>" for _ in range(rng.randint(1, 4)))
+        pages.append((f"h{i % 4}.org", f"<html><body>{'<article>' + parts + '</article>' if rng.random() < 0.3 else parts}</body></html>"))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(pages)], "page_id int, url string, html string").repartition(5)
+    want = brute_consensus(pages)
+    for r in html_extract.extract_main_text(df).collect():
+        host, source = pages[r["page_id"]]
+        assert r["paths"] == want[host] and r["text"] == html_extract.Page(source).main_text(set(want[host]))
