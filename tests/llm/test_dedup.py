@@ -182,6 +182,7 @@ def brute_similar(texts, words=5, share=0.8):
 def test_similar_components(spark, odd_docs, empty_docs, monkeypatch, block):
     """A crowd of near copies of all degrees of similarity, chains, and plain texts, against all pairs."""
     monkeypatch.setattr(shingle_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(shingle_join, "PAIRED", 64 if block > 16 else 4)
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdehiost") for _ in range(5)) for _ in range(300)]
     base = [rng.choice(words) for _ in range(120)]
