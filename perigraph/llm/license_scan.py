@@ -11,6 +11,7 @@ Only texts that pass the same filters as a whole have windows.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -166,10 +167,11 @@ class TemplateIndex:
             return []
         lines = [line.split() for line in text.split(b"\n")]
         line_of = [i for i, line in enumerate(lines) for _ in line]
-        windows = [x for k, _ in whole for x in self.windows(words, k)]
-        size = self.lengths
+        windows = sorted(x for k, _ in whole for x in self.windows(words, k))
+        size, starts, longest = self.lengths, [x[0] for x in windows], max(self.lengths)
         meet = lambda x, y: 2 * (min(x[0] + size[x[1]], y[0] + size[y[1]]) - max(x[0], y[0])) > min(size[x[1]], size[y[1]])
-        windows = [x for x in windows if not any(meet(x, y) and self.explained(x[1], x[2], y[1], y[2]) for y in windows)]
+        around = lambda x: windows[bisect_left(starts, x[0] - longest) : bisect_left(starts, x[0] + size[x[1]])]
+        windows = [x for x in windows if not any(meet(x, y) and self.explained(x[1], x[2], y[1], y[2]) for y in around(x))]
         best: dict[tuple[int, int], float] = {}
         for at, k, share in windows:
             best[line_of[at], k] = max(share, best.get((line_of[at], k), 0.0))
@@ -184,9 +186,10 @@ class TemplateIndex:
 def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[int, str]]:
     joined, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases:
-        at = joined.find(phrase)
+        at, place, upto = joined.find(phrase), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            place, upto = place + joined.count(b" ", upto, at), at
+            found.append((place, label))
             at = joined.find(phrase, at + 1)
     return found
 
