@@ -8,6 +8,8 @@ documents, one after another, and keeps the longest prefix of whole documents th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ def weight_of(label: Column, weights: dict[str, int]) -> Column:
 def share_out(nodes: DataFrame, parents: list[str], label: str) -> DataFrame:
     """Splits granted (of the parent) among children (label, weight, capacity) so that none gets more than capacity.
 
-    Children are filled in ascending order of capacity per weight; the rest share what remains by weight.
+    Children are filled in ascending order of capacity per weight; the rest share what remains by weight. Weight 0 comes
+    with capacity 0 and gets nothing.
     """
-    by_need = Window.partitionBy(*parents).orderBy(F.col("capacity") / F.col("weight"), label)
+    by_need = Window.partitionBy(*parents).orderBy(F.try_divide("capacity", "weight"), label)
     before = F.coalesce(F.sum("capacity").over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weight_left = F.sum("weight").over(by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     full = F.col("capacity") * weight_left <= (F.col("granted") - before) * F.col("weight")
@@ -45,7 +48,8 @@ def share_out(nodes: DataFrame, parents: list[str], label: str) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: int, max_epochs: int) -> DataFrame:
     """levels, n_docs, tokens and granted (tokens) of each leaf."""
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    barred = [weight_of(F.col(n), weights.get(n, {})) == 0 for n in levels]
+    leaves = leaves.withColumn("capacity", F.when(reduce(Column.__or__, barred), F.lit(0).cast("long")).otherwise(F.col("tokens") * max_epochs))
     granted = leaves.sparkSession.createDataFrame([(budget,)], "granted long")
     for depth, level in enumerate(levels):
         parents = levels[:depth]
@@ -59,12 +63,15 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, dict
     """One row per selected document: doc_id, the levels, n_tokens, copies (epochs in which it stands).
 
     levels maps names to SQL expressions over docs, from the root down; a null label counts as "". weights gives whole-number
-    weights by level and label, 1 where none is given. The budget is budget_share of all tokens (words between ASCII
+    weights by level and label, 1 where none is given; nothing is taken below a weight of 0, and what it would get goes
+    to its siblings. The budget is budget_share of all tokens (words between ASCII
     white space); no leaf gives more than max_epochs times its tokens. Products of a budget and a sum of weights must
     fit a long. An epoch's order is that of md5(seed:epoch:id), then the id; rows with equal ids stand or fall together.
     Empty and null texts have no tokens and stand if their place is within the prefix. An empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
+    if any(w < 0 or w != int(w) for own in weights.values() for w in own.values()):
+        raise ValueError("weights must be whole numbers of at least 0")
     names = list(levels)
     tokens = F.regexp_count(whole_text(F.col(f"`{text_col}`")), F.lit(WORD)).cast("long")
     rows = materialize(docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.coalesce(F.expr(x).cast("string"), F.lit("")).alias(n) for n, x in levels.items()], tokens.alias("n_tokens")), "mix-tokens")
