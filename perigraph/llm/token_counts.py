@@ -19,6 +19,8 @@ from .common import materialize, sliced, small_side, text_pieces
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Bytes of text that one call of the tokenizer gets.
 ENCODE_BYTES = 1 << 20
+#: Bytes of a digest and its count or id in a broadcast table, as measured.
+ROW_BYTES = 160
 
 
 def tokenizer_version(path: str) -> str:
@@ -70,6 +72,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     digests = texts.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
     # Equal digests combine before they are shuffled, so a content with many copies is no hot key of the join.
     misses = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
+    misses = materialize(misses, "token-misses")
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
@@ -78,11 +81,12 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
                 counts = pa.array(count(part.column(1).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), counts], names=["digest", "version", "n_tokens"])
 
-    # A miss is fetched by its id and checked by its digest, as ids may repeat with other texts.
-    wanted = misses.withColumnsRenamed({"digest": "wanted", "doc_id": "wanted_id"})
+    # A miss is fetched by its id and checked by its digest, as ids may repeat with other texts. Few misses go to the texts,
+    # which then stay where they are.
+    wanted = small_side(misses.withColumnsRenamed({"digest": "wanted", "doc_id": "wanted_id"}), ROW_BYTES)
     fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).filter(F.unhex(F.sha2("text", 256)) == F.col("wanted"))
     fetched.select(F.col("wanted").alias("digest"), "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
     # Written once more, so that the join's sides are plain exchanges, whose hot digests adaptive execution can split.
     counts = materialize(read_cache(spark, cache_path, version), "token-counts")
-    counted = digests.join(small_side(counts, 64), "digest")
+    counted = digests.join(small_side(counts, ROW_BYTES), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
