@@ -32,8 +32,8 @@ SCRIPT_NAMES = ["other", *dict.fromkeys(x[0] for x in SCRIPTS)]
 UNKNOWN = "und"
 
 GRAM_BITS = 16
-#: Training texts per language, about, and languages at most (the most frequent ones): they bound the model.
-TRAIN_DOCS, MAX_LANGUAGES = 1500, 256
+#: Training texts per language, about: they bound the sample; the model grows with the languages, at half a MB each.
+TRAIN_DOCS = 1500
 #: A language can be written in a script if so large a share of its training letters is.
 SCRIPT_SHARE = 0.001
 SWITCH_PENALTY = 12.0
@@ -97,19 +97,19 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     From every language about TRAIN_DOCS texts are drawn by a hash of the id, so the model gathers a bounded amount at
     every size of the corpus.
     """
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().collect()  # a row per language
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.zeros((2 << GRAM_BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool)
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, TRAIN_DOCS / r["count"]))])
     draw = (F.xxhash64("id", F.lit("train")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < F.try_element_at(rate, F.col("lang"))
-    size = (2 << GRAM_BITS) + len(SCRIPT_NAMES)
+    size, number = (2 << GRAM_BITS) + len(SCRIPT_NAMES), {x: i for i, x in enumerate(langs)}
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), size), np.int64)
         for batch in rows:
             for part in sliced(batch, 0, CHUNK_BYTES):
-                own = np.array([langs.index(x) for x in part.column(1).to_pylist()])
+                own = np.array([number[x] for x in part.column(1).to_pylist()])
                 words = Words(part.column(0).to_pylist())
                 script, points, letter = words.script_counts
                 for i, lang in enumerate(own):
@@ -204,10 +204,11 @@ LABELS = [StructField("lang_pred", StringType()), StructField("score", DoubleTyp
 def label_rows(docs: DataFrame, learn: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Each row of docs as the struct row, with lang_pred, score and spans of its text."""
     labelled = learn.select(F.col(f"`{id_col}`").alias("id"), whole_text(F.col(f"`{text_col}`")).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang is not null")
-    langs, table, allowed = train(labelled)
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))]
+        langs, table, allowed = model.value
         for batch in rows:
             texts = pc.fill_null(pc.cast(pc.struct_field(batch.column(0), [at]), pa.string()), "")
             for part in sliced(pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"]), 1, CHUNK_BYTES):
