@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,18 +12,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch at most, as texts may be long: batches and their copies must fit beside the executor's heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most, as texts may be long: batches and their copies must fit beside the executor's heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A table is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local sessions get one of
+    their own, and clusters an error, as a folder of one machine would lose rows."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="perigraph-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -54,10 +58,11 @@ def whole_text(text: Column) -> Column:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more or without limit."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes per Arrow batch to BATCH_ROWS and BATCH_BYTES, if they are more or without limit."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def text_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

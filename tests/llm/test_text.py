@@ -114,6 +114,12 @@ def test_mixing(spark, odd_docs, prose_docs, empty_docs, monkeypatch):
                 if epochs + (upto <= rest):
                     want[x[0]] = epochs + (upto <= rest)
         assert {r["doc_id"]: r["copies"] for r in got} == want
+    # Nothing is taken below a weight of 0; its siblings get what it would have got.
+    none = mixing.mix_sources(prose_docs, levels, {"lang": {"en": 0}, "source": {"src1": 0}}, (1, 9), 2, seed=1).collect()
+    assert none and all(r["lang"] != "en" and r["source"] != "src1" for r in none)
+    assert mixing.mix_sources(prose_docs, levels, {"lang": {"en": 0, "": 0}}, (1, 2), 2).filter("n_tokens > 0").count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(prose_docs, levels, {"lang": {"en": -1}})
     assert mixing.mix_sources(odd_docs, levels, {}).count() > 0
     assert mixing.mix_sources(empty_docs, levels, {}).count() == 0
 
@@ -467,3 +473,14 @@ def test_html_consensus_against_brute_force(spark):
     for r in html_extract.extract_main_text(df).collect():
         host, source = pages[r["page_id"]]
         assert r["paths"] == want[host] and r["text"] == html_extract.Page(source).main_text(set(want[host]))
+
+
+def test_many_phrases_and_licenses_take_linear_time(spark):
+    import time
+
+    mit = license_scan.TEMPLATES[0][1]
+    docs = spark.createDataFrame([(1, "cc by " * 100_000), (2, (mit + "\n") * 2_000)], "doc_id int, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert (got[1]["n_base"], got[1]["last_word"]) == (100_000, 199_998) and got[2]["labels"] == "mit" and len(got[2]["blocks"]) >= 2_000
+    assert time.time() - began < 60
