@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,6 +66,14 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def release_memory() -> None:
+    """Gives a worker's free memory back to the system, so that idle workers stay small beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; others have none
+    if trim:
+        trim(0)
+
+
 def text_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), under fixed names, so that clashing extra columns never matter."""
     bound_batches(docs.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import bound_batches, sliced, whole_text
+from .common import bound_batches, release_memory, sliced, whole_text
 
 # First code point of each range of the Unicode blocks that name a script, and its end.
 SCRIPTS = [
@@ -39,7 +39,7 @@ SCRIPT_SHARE = 0.001
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Bytes of text that are labelled together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 @lru_cache(1)
@@ -214,6 +214,7 @@ def label_rows(docs: DataFrame, learn: DataFrame, id_col: str, text_col: str, la
             for part in sliced(pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"]), 1, CHUNK_BYTES):
                 columns = zip(*label_texts(part.column(1).to_pylist(), langs, table, allowed), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["row", "lang_pred", "score", "spans"])
+        release_memory()
 
     bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)

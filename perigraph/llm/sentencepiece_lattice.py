@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_pieces
+from .common import release_memory, sliced, text_pieces
 
 MARK = "▁"
 ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
-CHUNK_BYTES = 1 << 18
-#: Lattice edges of the units that a worker keeps from one batch to the next, about, at 60 bytes; and units that it
+CHUNK_BYTES = 3 << 16
+#: Lattice edges of the units that a task keeps from one batch to the next, about, at 60 bytes; and units that it
 #: remembers to have met once.
-KEPT_EDGES, MET_UNITS = 1_500_000, 100_000
+KEPT_EDGES, MET_UNITS = 600_000, 60_000
 SLOT_BITS, POINT_BITS = 20, 21
 
 
@@ -69,26 +69,29 @@ class Vocabulary:
         self.fallback = alpha * floor  # for each byte of a character without a piece
         self.bytes = {model.id_to_piece(i): i for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, (pieces[i] for i in usable)))
-        trie, piece_at, parents = {}, [-1], set()
-        for i in usable:
-            state = 0
-            for c in pieces[i]:
-                parents.add(state)
-                key = state << POINT_BITS | ord(c)
-                if key not in trie:
-                    trie[key] = len(piece_at)
-                    piece_at.append(-1)
-                state = trie[key]
-            piece_at[state] = i
-        self.piece_at = np.array(piece_at)
-        self.inner = np.zeros(len(piece_at), bool)  # states that go on
-        self.inner[list(parents)] = True
-        self.keys = np.array(sorted(trie))
-        self.targets = np.array([trie[x] for x in self.keys.tolist()])
+        # The trie by numbers of characters: each step makes the states of all prefixes that are one longer.
+        lengths = np.array([len(pieces[i]) for i in usable])
+        points = np.frombuffer("".join(pieces[i] for i in usable).encode("utf-32-le"), np.uint32).astype(np.int64)
+        begins, states, n = np.append(0, np.cumsum(lengths))[:-1], np.zeros(len(usable), np.int64), 1
+        keys, parents = [], []
+        for at in range(self.longest):
+            longer = np.flatnonzero(lengths > at)
+            parents.append(states[longer])
+            new, which = np.unique(states[longer] << POINT_BITS | points[begins[longer] + at], return_inverse=True)
+            keys.append(new)
+            states[longer], n = n + which, n + len(new)
+        self.piece_at, self.inner = np.full(n, -1), np.zeros(n, bool)  # pieces by state, and whether a state goes on
+        self.piece_at[states] = usable
+        self.inner[np.concatenate(parents)] = True
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], order + 1
         # The first key of each slot, and whether a slot has others, which are then searched for.
         slots = self.slot(self.keys)
-        self.first_in_slot, self.crowded = np.full(1 << SLOT_BITS, -1, np.int32), np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+        self.first_in_slot, self.crowded = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, bool)
         self.first_in_slot[slots[::-1]] = np.arange(len(slots))[::-1]
+        ordered = np.sort(slots)
+        self.crowded[ordered[1:][ordered[1:] == ordered[:-1]]] = True
         self.kept = Kept()
         self.joined = np.zeros(0x110000, bool)  # characters that stand in some longer piece
         crossing = [x for x in (pieces[i] for i in usable) if MARK in x.lstrip(MARK)]
@@ -280,7 +283,7 @@ def truncated_gumbel(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> n
 
 
 class Kept:
-    """Lattices of units that a worker has met in two batches, and room after them for those of one batch."""
+    """Lattices of units that a task has met in two batches, and room after them for those of one batch."""
 
     SHIFTED = {"to": "node", "node": "node", "key": "node", "likeliest": "edge", "begin": "edge"}
     PER_EDGE = ("to", "node", "key", "ids", "log_p", "single")
@@ -489,6 +492,8 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
                 places = np.append(0, np.cumsum([r[1] if with_ids else 0 for r in table])).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(places, np.concatenate([np.zeros(0, np.int32), *[r[-1] for r in table if with_ids]]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([x[0] for x in drawn], pa.int64())), *arrays], names=["doc_id", *[n for n, _ in fields]])
+        words.kept = Kept()
+        release_memory()
 
     out = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean, ids array<int>")
     return out if with_ids else out.drop("ids")

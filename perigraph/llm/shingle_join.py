@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_pieces, utf8
+from .common import materialize, release_memory, small_side, text_pieces, utf8
 from .components import connected_components
 from .simhash import shingle_hashes
 
@@ -87,6 +87,7 @@ def summaries(texts: DataFrame, counts: np.ndarray, words: int, similarity: floa
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "node", "n", "sketch", "prefix"])
+        release_memory()
 
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, node long, n int, sketch binary, prefix binary").filter("n > 0")
 
