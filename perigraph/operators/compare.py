@@ -6,7 +6,9 @@ taken in two steps (over value ranges, then within one), so neither sample is or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import over
@@ -35,23 +37,77 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 def pair_order_counts(first: DataFrame, second: DataFrame, value: str = "value") -> DataFrame:
     """One row: n_pairs and how many pairs have second below, equal to and above first."""
-    counted = [d.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")) for d in (first, second)]
-    both = counted[0].select("v", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n2")).unionByName(counted[1].select("v", F.lit(0).cast("long").alias("n1"), F.col("n").alias("n2")))
+    own = [d.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")) for d in (first, second)]
+    both = own[0].select("v", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n2")).unionByName(own[1].select("v", F.lit(0).cast("long").alias("n1"), F.col("n").alias("n2")))
     merged = both.groupBy("v").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
     ranked = running_count(merged, "v", "n2")
     sums = ranked.agg(F.sum(F.col("n1") * F.col("before")).alias("n_below"), F.sum(F.col("n1") * F.col("n2")).alias("n_equal"), F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     return sums.select((F.col("t1") * F.col("t2")).alias("n_pairs"), "n_below", "n_equal", (F.col("t1") * F.col("t2") - F.col("n_below") - F.col("n_equal")).alias("n_above"))
 
 
+def cuts_of(df: DataFrame, value: str, slices: int) -> list[float]:
+    """Values that part the rows into slices of about equal numbers, however they are spread."""
+    return sorted(set(df.approxQuantile(value, [i / slices for i in range(1, slices)], 0.2 / slices)))
+
+
+def slice_of(value: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below a value."""
+    return F.expr("0") if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
+
+
 def running_count(df: DataFrame, value: str, n: str, slices: int = 64) -> DataFrame:
-    """before: the sum of n over smaller values. Values are distinct; slices are even ranges of them."""
+    """before: the sum of n over smaller values. Values are distinct; slices hold about equal numbers of them."""
     df = materialize(df, "ranked")
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    width = (high - low) / slices if low is not None and high > low else 1.0
-    sliced = df.withColumn("_slice", F.least(F.floor((F.col(value) - F.lit(low)) / width), F.lit(slices - 1)))
+    sliced = df.withColumn("_slice", slice_of(F.col(value), cuts_of(df, value, slices)))
     base = sliced.groupBy("_slice").agg(F.sum(n).alias("_s")).withColumn("_base", F.expr("coalesce(sum(_s) over (order by _slice rows between unbounded preceding and 1 preceding), 0)")).drop("_s")
     inside = F.expr(f"coalesce(sum({n}) {over(['_slice'], value, 'unbounded preceding and 1 preceding')}, 0)")
-    return sliced.withColumn("_in", inside).join(F.broadcast(base), "_slice").withColumn("before", F.col("_base") + F.col("_in")).drop("_slice", "_base", "_in")
+    return sliced.withColumn("_in", inside).join(F.broadcast(base), "_slice").withColumn("before", F.col("_base") + F.col("_in")).drop("_slice", "_base", "_in")  # a row per slice
+
+
+def counted(df: DataFrame, value: str) -> DataFrame:
+    return materialize(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "counted")
+
+
+def counts_below(first: DataFrame, second: DataFrame, cuts: list[float], at: list[float]) -> list[int]:
+    """Of counted values: for each of some differences, how many pairs have second - first at or below it.
+
+    All differences are answered by one shuffle: second's running counts, within slices, meet first's moved values.
+    """
+    sums = {r["s"]: r["n"] for r in second.groupBy(slice_of(F.col("v"), cuts).alias("s")).agg(F.sum("n").alias("n")).collect()}  # a row per slice
+    base = [sum(n for s, n in sums.items() if s < i) for i in range(len(cuts) + 1)]
+    number = F.posexplode(F.array(*[F.lit(float(x)) for x in at])).alias("i", "x")
+    moved = first.select("v", "n", number).select("i", (F.col("v") + F.col("x")).alias("v"), F.col("n").alias("n1"), F.lit(0).cast("long").alias("n2"))
+    still = second.select("v", F.col("n").alias("n2"), number).select("i", "v", F.lit(0).cast("long").alias("n1"), "n2")
+    both = moved.unionByName(still).withColumn("s", slice_of(F.col("v"), cuts))
+    upto = F.sum("n2").over(Window.partitionBy("i", "s").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = both.withColumn("upto", upto + F.element_at(F.array(*[F.lit(x).cast("long") for x in base]), F.col("s") + 1)).filter("n1 > 0")
+    found = {r["i"]: r["n"] for r in below.groupBy("i").agg(F.sum(F.col("n1").cast("decimal(38,0)") * F.col("upto")).alias("n")).collect()}
+    return [int(found.get(i, 0)) for i in range(len(at))]
+
+
+def pair_differences(first: DataFrame, second: DataFrame, ranks: list[int], tolerance: float = 0.0, points: int = 15) -> dict[int, float]:
+    """The differences second - first of these ranks (from 1, ascending) among all pairs of counted values.
+
+    Each round counts the pairs at some points of every rank's interval, by ranks, never by pairs, and goes on in the part
+    that holds the rank, until its ends are adjacent numbers or at most tolerance apart.
+    """
+    a, b = (d.agg(F.min("v"), F.max("v")).first() for d in (first, second))
+    cuts = cuts_of(second, "v", 64)
+    span = dict.fromkeys(ranks, (math.nextafter(b[0] - a[1], -math.inf), b[1] - a[0]))  # the value lies above the first end
+    while True:
+        grid = {}
+        for r, (low, high) in span.items():
+            inner = sorted({low + (high - low) * i / (points + 1) for i in range(1, points + 1)} - {low, high})
+            inner = [x for x in inner if low < x < high]
+            if inner and high - low > tolerance:
+                grid[r] = inner
+        if not grid:
+            return {r: high for r, (_, high) in span.items()}
+        at = sorted({x for own in grid.values() for x in own})
+        n = dict(zip(at, counts_below(first, second, cuts, at), strict=True))
+        for r, own in grid.items():
+            low, high = span[r]
+            span[r] = (max([low, *[x for x in own if n[x] < r]]), min([high, *[x for x in own if n[x] >= r]]))
 
 
 def all_pairs_cdf(first: DataFrame, second: DataFrame, at: float, value: str = "value") -> float:
@@ -60,21 +116,12 @@ def all_pairs_cdf(first: DataFrame, second: DataFrame, at: float, value: str = "
     return (row["n_below"] + row["n_equal"]) / row["n_pairs"]
 
 
-def all_pairs_quantile(first: DataFrame, second: DataFrame, q: float, value: str = "value", steps: int = 80, exact_width: float = 0.0) -> float:
-    """The least difference whose share reaches q, by bisection on counts; steps end early at adjacent numbers."""
-    a, b = (d.agg(F.min(value), F.max(value)).first() for d in (first, second))
-    low, high = b[0] - a[1], b[1] - a[0]
-    if all_pairs_cdf(first, second, low, value) >= q:
-        return low
-    for _ in range(steps):
-        middle = low + (high - low) / 2
-        if not low < middle < high or high - low <= exact_width:
-            break
-        if all_pairs_cdf(first, second, middle, value) >= q:
-            high = middle
-        else:
-            low = middle
-    return high
+def all_pairs_quantile(first: DataFrame, second: DataFrame, q: float, value: str = "value", tolerance: float = 0.0) -> float | None:
+    """The least difference second - first whose share of all pairs reaches q; None if there is no pair."""
+    a, b = counted(first, value), counted(second, value)
+    total = math.prod(d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for d in (a, b))
+    rank = max(1, math.ceil(q * total - 1e-9))
+    return pair_differences(a, b, [rank], tolerance)[rank] if total else None
 
 
 def independent_summary(first: DataFrame, second: DataFrame, value: str = "value") -> DataFrame:
@@ -83,17 +130,20 @@ def independent_summary(first: DataFrame, second: DataFrame, value: str = "value
     return out.select("n_pairs", (F.col("n_above") / F.col("n_pairs")).alias("probability_gt_0"), (F.col("n_below") / F.col("n_pairs")).alias("probability_lt_0"))
 
 
-def all_pairs_ratio(first: DataFrame, second: DataFrame, value: str = "value") -> DataFrame:
-    """Interpolated quantiles of all ratios first / second, weighted by how often each distinct pair of values occurs.
+def all_pairs_ratio(first: DataFrame, second: DataFrame, value: str = "value", tolerance: float = 1e-13) -> DataFrame:
+    """One row: interpolated quantiles of all ratios first / second of positive values, and the number of pairs.
 
-    The product of the distinct values is what is asked for; samples of over ten thousand go to all_pairs_quantile on
-    logs instead.
+    The ratios are never made: the two beside each quantile are found as differences of logarithms, by ranks.
     """
-    counted = [d.filter(F.col(value) > 0).groupBy(F.col(value).alias(n)).agg(F.count(F.lit(1)).alias(f"n_{n}")) for d, n in ((first, "a"), (second, "b"))]
-    pairs = counted[0].crossJoin(F.broadcast(counted[1])).withColumn("ratio", F.col("a") / F.col("b")).withColumn("n", F.col("n_a") * F.col("n_b"))
-    marks = F.expr(f"percentile(ratio, array({', '.join(map(str, QUANTILES.values()))}), n)")
-    out = pairs.agg(marks.alias("q"), F.sum("n").alias("n_pairs"))
-    return out.select(*[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "n_pairs")
+    a, b = (counted(d.filter(F.col(value) > 0).select(F.ln(value).alias("v")), "v") for d in (first, second))
+    total = math.prod(d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for d in (a, b))
+    places = {n: (total - 1) * q for n, q in QUANTILES.items()}
+    found = pair_differences(b, a, sorted({f(p) + 1 for p in places.values() for f in (math.floor, math.ceil)}), tolerance) if total else {}
+    out = {}
+    for n, p in places.items():
+        low, high = (math.exp(found[f(p) + 1]) if total else None for f in (math.floor, math.ceil))
+        out[n] = low + (p - math.floor(p)) * (high - low) if total else None
+    return first.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in out.items()], F.lit(total).cast("long").alias("n_pairs"))
 
 
 def ratio_bounds(first: DataFrame, second: DataFrame) -> DataFrame:

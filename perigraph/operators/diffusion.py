@@ -1,17 +1,19 @@
 """Random-walk propagation on a graph and the stochastic return trace.
 
-A state is a table of nodes with one column per probe. A step joins the edges with the state by node and sums; both
-sides stay partitioned by node. Lineage is cut by tables in the shared folder, which also serve as checkpoints that a
-later run resumes from.
+A state is a table of nodes with one column per probe. A step joins the edges with the state by node and sums. Edges and
+states are kept as tables bucketed by node, so the edges, by far the larger side, never move: a step shuffles only its
+partial sums. Lineage is cut by these tables; states saved as checkpoints let a later run resume.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hash_normal
-from ..session import materialize, require
+from ..session import materialize_by, require
 
 
 def gaussian_probes(nodes: DataFrame, n_probes: int, seed: int = 0) -> DataFrame:
@@ -45,7 +47,7 @@ def propagate(walk: DataFrame, state: DataFrame, times: list[int], start: int =
             state = step(walk, state)
             done += 1
             if done % cut_every == 0 or done == time:
-                state = materialize(state, f"state-{done}")
+                state = materialize_by(state, f"state-{done}", "id")
         yield time, state
 
 
@@ -67,8 +69,8 @@ def trace_summary(trace: DataFrame, n_nodes: int) -> DataFrame:
 
 def return_trace(edges: DataFrame, degree: DataFrame, initial: DataFrame, times: list[int]) -> DataFrame:
     """Trace estimates at the requested times, from a state of probes at time 0."""
-    walk = materialize(transition(edges, degree), "walk")
-    initial = materialize(initial, "state-0")
+    walk = materialize_by(transition(edges, degree), "walk", "dst")
+    initial = materialize_by(initial, "state-0", "id")
     parts = [trace_estimates(initial, initial, 0)] if 0 in times else []
     parts += [trace_estimates(initial, state, time) for time, state in propagate(walk, initial, times)]
     out = parts[0]
@@ -116,7 +118,7 @@ def resume_trace(edges: DataFrame, degree: DataFrame, folder: str, times: list[i
     rest = [t for t in missing if t not in saved]
     if rest:
         start = max(t for t in saved if t <= rest[0])
-        walk = materialize(transition(edges, degree), "walk")
+        walk = materialize_by(transition(edges, degree), "walk", "dst")
         for time, state in propagate(walk, spark.read.parquet(f"{folder}/step={start}"), rest, start):
             save_state(state, folder, time)
             parts.append(trace_estimates(initial, state, time))
@@ -137,6 +139,19 @@ def fourier_modes(points: DataFrame, vectors: list[tuple[int, int, int]], box: f
     return points.select("id", *[e.alias(n) for n, e in out.items()])
 
 
+def harmonic_correlations(edges: DataFrame, degree: DataFrame, points: DataFrame, vectors: list[tuple[int, int, int]], times: list[int], box: float, batch: int = 4) -> DataFrame:
+    """Mode correlations of all wave vectors at the times above 0, vectors propagated a batch at a time.
+
+    Propagation is linear, so batches give what all vectors together would, with states of bounded width.
+    """
+    walk, parts = materialize_by(transition(edges, degree), "walk", "dst"), []
+    for at in range(0, len(vectors), batch):
+        own = vectors[at : at + batch]
+        initial = materialize_by(fourier_modes(points, own, box), "modes", "id")
+        parts += [mode_correlations(initial, state, own, time, box) for time, state in propagate(walk, initial, times)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mode_correlations(initial: DataFrame, state: DataFrame, vectors: list[tuple[int, int, int]], time: int, box: float, by: str = "norm") -> DataFrame:
     """Per wave vector: correlation of the propagated with the initial mode, over its norm or (by="count") the nodes."""
     names = [c for c in initial.columns if c != "id"]
@@ -151,6 +166,14 @@ def mode_correlations(initial: DataFrame, state: DataFrame, vectors: list[tuple[
     return sums.select(F.lit(time).alias("diffusion_time"), F.explode(F.array(*rows)).alias("e")).select("diffusion_time", "e.*")
 
 
+def distances_at_checkpoints(pairs: DataFrame, folder: str, times: list[int]) -> DataFrame:
+    """Diffusion distances of other pairs, such as more distant ones, at the saved states of these times."""
+    spark, saved = pairs.sparkSession, saved_times(pairs.sparkSession, folder)
+    lacking = sorted(set(times) - set(saved))
+    require(not lacking, f"no checkpoint of the times {lacking}")
+    return reduce(DataFrame.unionByName, [diffusion_distances(pairs, spark.read.parquet(f"{folder}/step={t}")).withColumn("diffusion_time", F.lit(t)) for t in times])
+
+
 def diffusion_distances(pairs: DataFrame, state: DataFrame) -> DataFrame:
     """pairs (id_i, id_j, distance) with the distance of their states, and that over its root mean square."""
     columns = [c for c in state.columns if c != "id"]

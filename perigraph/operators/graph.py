@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, periodic_distance2
-from ..session import require
+from ..session import materialize, require, small_side
+from .selection import quantiles
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -23,9 +24,9 @@ def neighbour_graph(neighbours: DataFrame, k: int | None = None) -> DataFrame:
 
 def gaussian_graph(neighbours: DataFrame, k: int) -> DataFrame:
     """Weights exp(-d^2 / eps^2), eps the median distance of the k-th neighbours."""
-    eps = neighbours.filter(F.col("rank") == k).agg(F.expr("percentile(dist, 0.5)").alias("eps"))
-    weight = F.exp(-(F.col("dist") * F.col("dist")) / (F.col("eps") * F.col("eps")))
-    return symmetrise(neighbours.crossJoin(F.broadcast(eps)).select("src", "dst", weight.alias("w")))  # one row
+    eps = quantiles(neighbours.filter(F.col("rank") == k), "dist", [0.5])[0]
+    weight = F.exp(-(F.col("dist") * F.col("dist")) / (F.lit(eps) * F.lit(eps)))
+    return symmetrise(neighbours.select("src", "dst", weight.alias("w")))
 
 
 def degrees(edges: DataFrame, policy: str = "clamp") -> DataFrame:
@@ -66,9 +67,9 @@ DEGREE_SHARES = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 
 def degree_statistics(degree: DataFrame, column: str = "degree") -> DataFrame:
     """mean, population deviation and nine percentiles."""
-    marks = F.expr(f"percentile({column}, array({', '.join(map(str, DEGREE_SHARES))}))")
-    out = degree.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), marks.alias("q"))
-    return out.select("mean", "std", *[F.col("q")[i].alias(f"q{round(100 * s):03d}") for i, s in enumerate(DEGREE_SHARES)])
+    degree = materialize(degree.select(column), "statistics")
+    out = degree.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return out.select("mean", "std", *[F.lit(q).cast("double").alias(f"q{round(100 * s):03d}") for s, q in zip(DEGREE_SHARES, quantiles(degree, column, DEGREE_SHARES), strict=True)])
 
 
 def sample_edges(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -79,7 +80,7 @@ def sampled_reverse_check(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Of a sample of edges: how many there are and how many lack their reverse."""
     sample = sample_edges(edges, n, seed)
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("found", F.lit(1))
-    joined = reverse.join(F.broadcast(sample), ["src", "dst"], "right")
+    joined = reverse.join(small_side(materialize(sample, "sampled-edges"), 64), ["src", "dst"], "right")
     return joined.agg(F.count(F.lit(1)).alias("n_sampled"), F.sum(F.when(F.col("found").isNull(), 1).otherwise(0)).alias("n_without_reverse"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,43 +18,59 @@ def target_count(density: float, box: float) -> int:
     return round(density * box**3)
 
 
-def order_statistic(df: DataFrame, value: str, n: int) -> float | None:
-    """The n-th largest value, exactly: two narrowing counts, then the few values that are left.
+#: Bins of a histogram, and values of a bin that are gathered to be ordered.
+BINS, GATHERED = 4096, 10_000
+#: Blocks of a distance bin whose first pairs are found apart.
+BLOCKS = 64
+
 
-    A histogram over the value's range finds the bin that holds the n-th value; it is refined until its values fit a
-    top-n sort. No step sorts or gathers the whole column.
+def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
+    """The values at these ranks (from 1, ascending), exactly. No step sorts or gathers the whole column.
+
+    A histogram over the values' range finds the bins that hold the ranks; each is refined by a histogram of its own until
+    its values fit an ordered gathering of bounded size or are all equal.
     """
     column = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     low, high, total = column.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    wanted = sorted({r for r in ranks if 1 <= r <= total})
+    ranges, found = [(low, high, 0, wanted)] if wanted else [], {}
+    while ranges:
+        following, small = [], []
+        for least, most, before, own in ranges:
+            if least == most:
+                found |= dict.fromkeys(own, least)
+                continue
+            width = (most - least) / BINS
+            inside = column.filter((F.col("v") >= least) & (F.col("v") <= most))
+            index = F.least(F.floor((F.col("v") - least) / width), F.lit(BINS - 1)) if width > 0 else F.when(F.col("v") == most, 1).otherwise(0)
+            for row in inside.groupBy(index.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy("bin").collect():
+                here = [r for r in own if before < r <= before + row["n"]]
+                if here:
+                    (small if row["n"] <= GATHERED else following).append((row["least"], row["most"], before, here))
+                before += row["n"]
+        if small:
+            any_bin = reduce(Column.__or__, [(F.col("v") >= a) & (F.col("v") <= b) for a, b, _, _ in small])
+            values = sorted(r["v"] for r in column.filter(any_bin).collect())  # at most GATHERED for each rank
+            for least, _, before, here in small:
+                start = bisect_left(values, least)
+                found |= {r: values[start + r - before - 1] for r in here}
+        ranges = following
+    return found
+
+
+def order_statistic(df: DataFrame, value: str, n: int) -> float | None:
+    """The n-th largest value, exactly; None if there are fewer."""
     require(n >= 1, "n must be positive")
-    if total < n:
-        return None
-    wanted = n
-    while True:
-        inside = column.filter((F.col("v") >= low) & (F.col("v") <= high))
-        if low == high:
-            return low
-        bins = 4096
-        width = (high - low) / bins
-        index = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-        rows = inside.groupBy(index.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy(F.desc("bin")).collect()
-        for row in rows:
-            if row["n"] >= wanted:
-                break
-            wanted -= row["n"]
-        if row["n"] <= 10_000:
-            part = column.filter((F.col("v") >= row["least"]) & (F.col("v") <= row["most"]))
-            return part.orderBy(F.desc("v")).limit(wanted).agg(F.min("v")).first()[0]
-        if (low, high) == (row["least"], row["most"]) and len(rows) == 1:
-            return part_by_sort(inside, wanted)
-        low, high = row["least"], row["most"]
-
-
-def part_by_sort(column: DataFrame, n: int) -> float:
-    """For values that no histogram parts further: a distributed sort of distinct values with their counts."""
-    counts = column.groupBy("v").count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("v"))))
-    return upto.filter(F.col("upto") >= n).agg(F.max("v")).first()[0]
+    total = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+    return order_statistics(df, value, [total - n + 1]).get(total - n + 1) if total >= n else None
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Interpolated quantiles, exactly, in bounded memory; None where there is no value. df is read several times."""
+    total = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+    places = [(total - 1) * s for s in shares]
+    found = order_statistics(df, value, [r for p in places for r in (math.floor(p) + 1, math.ceil(p) + 1)]) if total else {}
+    return [None if not total else found[math.floor(p) + 1] + (p - math.floor(p)) * (found[math.ceil(p) + 1] - found[math.floor(p) + 1]) for p in places]
 
 
 def threshold_members(df: DataFrame, value: str, threshold: float) -> DataFrame:
@@ -96,7 +116,12 @@ def stratified_pairs(pairs: DataFrame, distance: str, edges: list[float], per_bi
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         bins = F.when((F.col(distance) >= a) & (F.col(distance) < b), i).otherwise(bins)
     binned = pairs.withColumn("bin", bins).filter("bin is not null")
-    chosen = binned.withColumn("_rank", F.row_number().over(Window.partitionBy("bin").orderBy(*order))).filter(F.col("_rank") <= per_bin).drop("_rank")
+    # Of each block of a bin only its first per_bin are ordered with the rest, so no task orders a whole bin.
+    block = F.pmod(F.xxhash64(*pairs.columns), F.lit(BLOCKS))
+    for group in (["bin", block.alias("_block")], ["bin"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        binned = binned.withColumn("_rank", rank).filter(F.col("_rank") <= per_bin).drop("_rank")
+    chosen = binned
     short = {r["bin"]: r["count"] for r in chosen.groupBy("bin").count().collect()}
     lacking = [i for i in range(len(edges) - 1) if short.get(i, 0) < per_bin]
     require(not lacking, f"bins {lacking} have fewer than {per_bin} pairs")
@@ -141,5 +166,5 @@ def keep_by(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame
 
 def log_clip(df: DataFrame, value: str, share: float = 0.02) -> DataFrame:
     """log10 of the value, clipped from below at a quantile of the positive values."""
-    floor = df.agg(F.expr(f"percentile(case when {value} > 0 then {value} end, {share})").alias("floor"))
-    return df.crossJoin(F.broadcast(floor)).withColumn("log_value", F.log10(F.greatest(F.col(value), F.col("floor")))).drop("floor")
+    floor = quantiles(df.filter(F.col(value) > 0), value, [share])[0]
+    return df.withColumn("log_value", F.log10(F.greatest(F.col(value), F.lit(floor))))

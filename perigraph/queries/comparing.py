@@ -44,9 +44,8 @@ def o2_pair_counts(spark, sf):
 
 
 def o3_all_pairs_quantile(spark, sf):
-    a, b = (d.select(F.floor(F.col("value") * 20).cast("double").alias("value")).filter("value is not null").persist() for d in (first(spark, sf), second(spark, sf)))
-    value = op.all_pairs_quantile(a, b, 0.5, exact_width=0.5)
-    return spark.range(1).select(F.round(F.lit(value), 0).alias("median_difference"))
+    a, b = (d.select("value") for d in (first(spark, sf), second(spark, sf)))
+    return spark.range(1).select(F.round(F.lit(op.all_pairs_quantile(a, b, 0.5)).cast("double"), 6).alias("median_difference"))
 
 
 def o4_independent(spark, sf):
@@ -169,7 +168,7 @@ ORACLE_SQL = {
     "o1_paired": f"WITH {PAIRS} SELECT b, first, second, round(delta, 6) AS delta, round(fraction, 6) AS fraction FROM pairs",
     "o1_paired_summary": f"WITH {PAIRS} {PAIRED_SUMMARY}",
     "o2_pair_counts": f"WITH {ALL} SELECT count(*) AS n_pairs, count(*) FILTER (b < a) AS n_below, count(*) FILTER (b = a) AS n_equal, count(*) FILTER (b > a) AS n_above FROM x",
-    "o3_all_pairs_quantile": f"WITH {ALL}, d AS (SELECT floor(b * 20) - floor(a * 20) AS d, row_number() OVER (ORDER BY floor(b * 20) - floor(a * 20)) AS i, count(*) OVER () AS n FROM x) SELECT min(d)::DOUBLE AS median_difference FROM d WHERE i >= 0.5 * n",
+    "o3_all_pairs_quantile": f"WITH {ALL}, d AS (SELECT b - a AS d, row_number() OVER (ORDER BY b - a) AS i, count(*) OVER () AS n FROM x) SELECT round(min(d), 6) AS median_difference FROM d WHERE i >= 0.5 * n",
     "o4_independent": f"WITH {ALL} SELECT count(*) AS n_pairs, round(avg((b > a)::INT), 6) AS probability_gt_0, round(avg((b < a)::INT), 6) AS probability_lt_0 FROM x",
     "o5_all_pairs_ratio": f"WITH {ALL} SELECT {quantiles('a / b')}, count(*) AS n_pairs FROM x",
     "o6_ratio_bounds": f"WITH {SAMPLES}, a AS (SELECT quantile_cont(value, 0.16) AS l, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.84) AS h FROM fs), b AS (SELECT quantile_cont(value, 0.16) AS l, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.84) AS h FROM sn) SELECT round(a.m / b.m, 6) AS ratio, round(a.l / b.h, 6) AS ratio_low, round(a.h / b.l, 6) AS ratio_high FROM a, b",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,18 +32,42 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
+#: A table is broadcast only when its counted rows times its row width stay below this.
+BROADCAST_BYTES = 24 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its counted size is under BROADCAST_BYTES, else as it is. df should be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local sessions get one of
+    their own, and clusters an error, as a folder of one machine would lose rows."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        require(re.fullmatch(r"local(\[.*\])?", context.master) is not None, "spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="perigraph-"))
         found = context.getCheckpointDir()
     return found
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """materialize, bucketed by a column into as many buckets as the session's shuffles have partitions, so that joins and
+    groups by the column move nothing. The table stays in the session's catalog."""
+    spark, table = df.sparkSession, f"perigraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

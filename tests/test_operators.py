@@ -215,8 +215,60 @@ def test_pair_counts(spark, a, b):
 def test_all_pairs_quantile(spark):
     a, b = [1.0, 2.0, 5.0], [2.0, 7.0]
     first, second = (spark.createDataFrame([(v,) for v in x], "value double") for x in (a, b))
-    want = sorted(y - x for x in a for y in b)[2]
-    assert compare.all_pairs_quantile(first, second, 0.5, steps=12) == pytest.approx(want, abs=0.01)
+    assert compare.all_pairs_quantile(first, second, 0.5) == pytest.approx(sorted(y - x for x in a for y in b)[2])
+    assert compare.all_pairs_quantile(first.limit(0), second, 0.5) is None
+
+
+def test_pair_quantiles_by_ranks(spark):
+    """Tied, skewed and missing values: differences and ratios against all pairs."""
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.lognormal(0, 2, 60), 2) + 0.01, np.round(rng.lognormal(1, 2, 45), 1) + 0.1
+    first, second = (spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double") for x in (a, b))
+    pairs = np.sort((b[:, None] - a[None, :]).ravel())
+    found = compare.pair_differences(compare.counted(first, "value"), compare.counted(second, "value"), [1, 700, 2700])
+    assert [found[r] for r in (1, 700, 2700)] == pytest.approx([pairs[0], pairs[699], pairs[2699]])
+    row = compare.all_pairs_ratio(first, second).first()
+    assert tuple(row)[:5] == pytest.approx(np.quantile((a[:, None] / b[None, :]).ravel(), list(compare.QUANTILES.values()))) and row["n_pairs"] == 2700
+
+
+def test_point_in_a_void(spark):
+    """Only the points that lack neighbours look again; what they find is what all pairs give."""
+    rng = np.random.default_rng(2)
+    xyz = np.vstack([rng.random((300, 3)), [[7.0, 7.0, 7.0]], [[7.5, 2.0, 9.0]]])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    got = {}
+    for r in spatial.nearest_neighbours(points, 4, 10.0).collect():
+        got.setdefault(r["src"], {})[r["rank"]] = r["dst"]
+    gap = np.abs(xyz[:, None] - xyz[None])
+    d = (np.minimum(gap, 10 - gap) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 302 and all([got[i][k + 1] for k in range(4)] == np.argsort(d[i], kind="stable")[:4].tolist() for i in range(302))
+    with pytest.raises(ValueError):
+        spatial.nearest_neighbours(points, 4, 10.0, 9)
+
+
+def test_quantiles_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(selection, "GATHERED", 8)
+    values = [float(v) for v in np.random.default_rng(1).lognormal(0, 8, 500)] + [3.0] * 40 + [1e-300, 5e200]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.02, 0.5, 0.77, 1.0]
+    assert selection.quantiles(df, "v", shares) == pytest.approx(list(np.quantile(values, shares)))
+    assert selection.quantiles(df.limit(0), "v", shares) == [None] * 5
+
+
+def test_harmonics_in_batches_and_later_distances(spark, tmp_path):
+    _, points = random_points(spark, 60)
+    edges = graph.neighbour_graph(spatial.nearest_neighbours(points, 3, 10.0)).persist()
+    degree, vectors = graph.degrees(edges), [(1, 0, 0), (0, 1, 0), (1, 1, 0)]
+    whole, parts = (sorted(tuple(r) for r in diffusion.harmonic_correlations(edges, degree, points, vectors, [1, 2], 10.0, n).collect()) for n in (3, 2))
+    assert len(whole) == 6 and [r[-1] for r in whole] == pytest.approx([r[-1] for r in parts])
+    folder = str(tmp_path / "states")
+    diffusion.save_state(diffusion.gaussian_probes(points, 2, 5), folder, 0)
+    diffusion.resume_trace(edges, degree, folder, [2])
+    pairs = spark.createDataFrame([(0, 1), (2, 50)], "id_i long, id_j long")
+    assert diffusion.distances_at_checkpoints(pairs, folder, [0, 2]).count() == 4
+    with pytest.raises(ValueError, match="checkpoint"):
+        diffusion.distances_at_checkpoints(pairs, folder, [1])
 
 
 def test_crossing_variants(spark):
