@@ -93,16 +93,17 @@ def reachable_cells(sources: DataFrame, box: float, cells: int, span: int, radii
     of the radii's shells that the cell's points can lie in."""
     side = box / cells
     out = with_cells(sources, box, cells).select(F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"{c}_src") for c in "xyz"], *[F.col(c).alias(f"own_{c}") for c in CELL])
-    nearest = farthest = F.lit(0.0)
+    out = out.withColumns({"nearest": F.lit(0.0), "farthest": F.lit(0.0)})
     for c in "xyz":
         out = out.withColumn(f"s{c}", F.explode(F.array(*[F.lit(s) for s in range(-span, span + 1)])))
         low = (F.col(f"own_c{c}") + F.col(f"s{c}")) * side - F.col(f"{c}_src")
         least = F.greatest(low, -(low + side), F.lit(0.0))
         most = F.greatest(F.abs(low), F.abs(low + side))
-        nearest += F.least(least, F.greatest(float(box) - most, F.lit(0.0))) ** 2  # also by the way around the box
-        farthest += F.least(most, F.lit(box / 2)) ** 2
+        near = F.least(least, F.greatest(float(box) - most, F.lit(0.0)))  # also by the way around the box
+        out = out.withColumns({"nearest": F.col("nearest") + near * near, "farthest": F.col("farthest") + F.pow(F.least(most, F.lit(box / 2)), F.lit(2.0))})
     shell = lambda d2: sum((F.when(d2 > r * r, 1).otherwise(0) for r in radii), F.lit(0))
-    out = out.withColumns({"low": shell(nearest * (1 - 1e-9)), "high": shell(farthest * (1 + 1e-9))}).filter(F.col("low") < len(radii))
+    out = out.withColumns({"nearest": F.col("nearest") * (1 - 1e-9), "farthest": F.col("farthest") * (1 + 1e-9)}).filter(F.col("nearest") <= radii[-1] ** 2)
+    out = out.withColumns({"low": shell(F.col("nearest")), "high": shell(F.col("farthest"))})
     return out.select("src", *[f"{c}_src" for c in "xyz"], *[F.pmod(F.col(f"own_c{c}") + F.col(f"s{c}"), F.lit(cells)).alias(f"c{c}") for c in "xyz"], F.expr("sx = 0 and sy = 0 and sz = 0").alias("home"), "low", "high")
 
 

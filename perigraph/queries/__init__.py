@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import comparing, fitting, graphs, physical, selection
+from . import comparing, filing, fitting, graphs, physical, selection
 
-MODULES = [selection, graphs, fitting, physical, comparing]
+MODULES = [filing, selection, graphs, fitting, physical, comparing]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

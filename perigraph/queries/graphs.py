@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometric_grid, linear_grid
 from ..operators import diffusion as walk
 from ..operators import graph as op
 from ..operators import spatial
+from ..session import fresh_path
 from .fixtures import BOX, GRAPH, K, KNN, POINTS, d2, knn_graph, neighbours, points, rounded
 from .selection import pair_list
 
@@ -134,7 +136,77 @@ def j1_diffusion_distances(spark, sf):
     return rounded(walk.diffusion_distances(pair_list(spark, sf), walk.step(steps, probes(spark, sf))))
 
 
-QUERIES = {f.__name__: f for f in (c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
+def c4_guard(spark, sf):
+    """Fixed cells are refused where they could miss a neighbour."""
+    out = []
+    for cells in (3, 40):
+        try:
+            spatial.nearest_neighbours(points(spark, sf), K, BOX, cells)
+            out.append((cells, False))
+        except ValueError:
+            out.append((cells, True))
+    return spark.createDataFrame(out, "cells int, refused boolean")
+
+
+def c12_zero_degree(spark, sf):
+    """A node of zero degree is clamped, or refused."""
+    edges = knn_graph(spark, sf).withColumn("w", F.when(F.col("src") == 7, 0.0).otherwise(F.col("w")))
+    try:
+        op.degrees(edges, "raise")
+        refused = False
+    except ValueError:
+        refused = True
+    return op.degrees(edges).filter("id = 7").select("id", "degree").withColumn("refused", F.lit(refused))
+
+
+def c20_reconciled(spark, sf):
+    """Names whose recorded value is missing or another."""
+    report = op.graph_report(knn_graph(spark, sf), points(spark, sf).count()).first().asDict()
+    recorded = {k: v + (k == "n_isolated") for k, v in report.items() if k != "max_degree"}
+    return spark.createDataFrame([(n,) for n in op.reconcile(report, recorded)], "name string")
+
+
+def k3_guard(spark, sf):
+    """Radii over half the box, or that span the whole grid, are refused."""
+    p, out = points(spark, sf).limit(0), []
+    for radius, cells in ((20.0, 10), (45.0, 10), (51.0, 200)):
+        try:
+            spatial.counts_in_spheres(p, p, [radius], BOX, cells)
+            out.append((radius, False))
+        except ValueError:
+            out.append((radius, True))
+    return spark.createDataFrame(out, "radius double, refused boolean")
+
+
+def k4_radii(spark, sf):
+    rows = [("log", i, r) for i, r in enumerate(geometric_grid(5.0, 80.0, 9))] + [("linear", i, r) for i, r in enumerate(linear_grid(5.0, 80.0, 6))]
+    return rounded(spark.createDataFrame(rows, "grid string, i int, radius double"))
+
+
+def d9_resumed(spark, sf):
+    """Checkpoints at 0 and 1: time 1 is taken from its own, time 2 goes on from it, time 0 is completed already."""
+    edges, folder = knn_graph(spark, sf), fresh_path(spark, "d9")
+    degree = op.degrees(edges)
+    walk.save_state(probes(spark, sf), folder, 0)
+    walk.resume_trace(edges, degree, folder, [1])
+    return rounded(walk.resume_trace(edges, degree, folder, [0, 1, 2], [0]))
+
+
+def i15_harmonics(spark, sf):
+    """The correlations of i2, two wave vectors at a time."""
+    edges = knn_graph(spark, sf)
+    return rounded(walk.harmonic_correlations(edges, op.degrees(edges), points(spark, sf), VECTORS, [2], BOX, 2))
+
+
+def j6_later_distances(spark, sf):
+    """Distances of pairs at a saved state."""
+    edges, folder = knn_graph(spark, sf), fresh_path(spark, "j6")
+    walk.save_state(probes(spark, sf), folder, 0)
+    walk.resume_trace(edges, op.degrees(edges), folder, [1])
+    return rounded(walk.distances_at_checkpoints(pair_list(spark, sf), folder, [1]).drop("diffusion_time"))
+
+
+QUERIES = {f.__name__: f for f in (c4_guard, c12_zero_degree, c20_reconciled, k3_guard, k4_radii, d9_resumed, i15_harmonics, j6_later_distances, c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
 
 
 def statistics(value: str) -> str:
@@ -191,4 +263,12 @@ ORACLE_SQL = {
         SELECT a.id AS id_i, b.id AS id_j, sqrt({d2("a", "b")}) AS distance, sqrt({" + ".join(f"pow(p.{c} - q.{c}, 2)" for c in Y)}) AS dd
         FROM points a JOIN points b ON b.id = (a.id * 37) % (SELECT count(*) FROM points) + 1 AND a.id <> b.id JOIN s1 p ON p.id = a.id JOIN s1 q ON q.id = b.id)
       SELECT id_i, id_j, round(distance, 6) AS distance, round(dd, 6) AS diffusion_distance, round(dd / (SELECT sqrt(avg(dd * dd)) FROM pairs), 6) AS normalised FROM pairs""",
+    "c4_guard": f"WITH {KNN}, kth AS (SELECT max(dist) AS most FROM knn WHERE rank = {K}) SELECT cells::INT AS cells, most >= {BOX} / cells AS refused FROM kth, (SELECT unnest([3, 40]) AS cells)",
+    "c12_zero_degree": "SELECT 7::BIGINT AS id, 1e-20::DOUBLE AS degree, true AS refused",
+    "c20_reconciled": "SELECT unnest(['n_isolated', 'max_degree']) AS name",
+    "k3_guard": "SELECT r::DOUBLE AS radius, r >= 50 OR 2 * ceil(r / (100.0 / c)) + 1 > c AS refused FROM (VALUES (20.0, 10), (45.0, 10), (51.0, 200)) t(r, c)",
+    "k4_radii": "SELECT 'log' AS grid, i::INT AS i, round(5 * pow(16, i / 8.0), 6) AS radius FROM range(9) r(i) UNION ALL SELECT 'linear', i::INT, round(5 + 15.0::DOUBLE * i, 6) FROM range(6) r(i)",
+    "d9_resumed": f"WITH {WALKED}, e AS ({ESTIMATES}) SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM e WHERE diffusion_time > 0",
+    "i15_harmonics": f"WITH {GRAPH}, {MODES}, {stepped('mode', NAMES, 'm1')}, {stepped('m1', NAMES, 'm2')} {CORRELATIONS}",
 }
+ORACLE_SQL["j6_later_distances"] = ORACLE_SQL["j1_diffusion_distances"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import score_columns
 from ..session import require
+from .numeric import file_handle, head_of
 
 
 def read_commented_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -25,24 +26,33 @@ def require_increasing(table: DataFrame, column: str) -> DataFrame:
     return table
 
 
-def read_probe_directory(spark: SparkSession, path: str, schema: str, pattern: str = r"t0*([0-9]+)", time: str = "diffusion_time") -> DataFrame:
-    """CSV files of probe traces whose names hold their time; raises where a row's time is another."""
-    rows = spark.read.schema(schema).option("header", True).csv(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{pattern}', 1) as int)").alias("file_time"))
+def read_probe_directory(spark: SparkSession, path: str, schema: str, pattern: str = r"/t0*([0-9]+)[^/]*(/part-[^/]*)?$", time: str = "diffusion_time") -> DataFrame:
+    """CSV files of probe traces whose names, or whose folders' names, hold their time; raises where a row's time is another."""
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"))
+    rows = rows.withColumn("_named", F.regexp_extract("file", pattern, 1)).withColumn("file_time", F.expr("try_cast(_named as int)")).drop("_named")
     odd = rows.filter(F.col("file_time").isNull() | (F.col("file_time") != F.col(time))).limit(1).collect()
     require(not odd, f"{odd and odd[0]['file']} holds another time than its name")
     return rows.drop("file_time")
 
 
 def discover_tables(spark: SparkSession, root: str, roles: dict[str, list[str]]) -> list[tuple[int, str]]:
-    """CSV files below root by how many roles their header can fill, best first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    heads = files.select("path", F.split(F.decode(F.substring("content", 1, 65536), "UTF-8"), "\r?\n")[0].alias("head")).collect()
-    return sorted(((score_columns([c.strip().strip('"') for c in r["head"].split(",")], roles), r["path"]) for r in heads), key=lambda x: (-x[0], x[1]))
+    """CSV files below root by how many roles their header can fill, best first. Only the beginning of a file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
+    found = []
+    for r in files.toLocalIterator():  # names only; a header is read by the driver, like any schema
+        head = head_of(spark, r["path"], 1 << 16).decode("utf-8", "replace").splitlines()[:1]
+        found.append((score_columns([c.strip().strip('"') for c in (head or [""])[0].split(",")], roles), r["path"]))
+    return sorted(found, key=lambda x: (-x[0], x[1]))
+
+
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """CSV with a header in every part, parts and rows in order; fails if the path is there."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").option("header", True).csv(path)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files."""
+    """path, length, sha256 of files of up to 2 GB each, one file to a row."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -57,8 +67,8 @@ def checked_write(df: DataFrame, path: str, expected_rows: int | None = None) ->
 def append_times(df: DataFrame, path: str, key: tuple[str, ...] = ("diffusion_time", "probe_index")) -> int:
     """Appends the rows whose key the table at path lacks; returns how many. Running it again adds nothing."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    system, where = file_handle(spark, path)
+    if system.exists(where):
         df = df.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
     df = df.persist()
     n = df.count()

@@ -2,29 +2,101 @@
 
 from __future__ import annotations
 
+import ast
 import io
-import struct
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import require
+
+#: Bytes of a block at most.
+BLOCK = 1 << 20
+
+
+def file_handle(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path, for any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def head_of(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file."""
+    system, where = file_handle(spark, path)
+    stream = spark.sparkContext._jvm.java.io.DataInputStream(system.open(where))
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def file_blocks(spark: SparkSession, path: str, unit: int) -> DataFrame:
+    """start (byte) and content of a file of any size in even blocks of whole units, read in splits.
+
+    The block is the largest divisor of the file's length that is a multiple of unit and at most BLOCK, so a file whose
+    number of units has no such divisor falls into blocks of a unit.
+    """
+    system, where = file_handle(spark, path)
+    length = system.getFileStatus(where).getLen()
+    require(length % unit == 0, f"{path} has {length} bytes, no multiple of {unit}")
+    n = length // unit
+    size = unit * max((d for i in range(1, math.isqrt(n) + 1) if n % i == 0 for d in (i, n // i) if d * unit <= BLOCK), default=1)
+    if not n:
+        return spark.createDataFrame([], "start long, content binary")
+    blocks = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1] * size, bytearray(x[0])))
+    return blocks.toDF("start long, content binary")
+
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """id (row number), x, y, z of a raw little-endian float32 table, read in splits of whole records."""
-    records = spark.sparkContext.binaryRecords(path, 12).zipWithIndex()
-    return records.map(lambda r: (r[1], *struct.unpack("<3f", r[0]))).toDF("id long, x float, y float, z float")
+    """id (row number), x, y, z of a raw little-endian float32 table of any size, decoded by blocks."""
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks:
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                xyz = np.frombuffer(content, "<f4").reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(start // 12 + np.arange(len(xyz))), *[pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3)]], names=["id", "x", "y", "z"])
+
+    return file_blocks(spark, path, 12).mapInArrow(run, "id long, x float, y float, z float")
+
+
+def array_header(head: bytes) -> tuple[int, np.dtype, bool, tuple[int, ...]]:
+    """Of a .npy file: where its data begin, their type, whether columns come first, and their shape."""
+    require(head[:6] == b"\x93NUMPY", "not a .npy file")
+    wide = 4 if head[6] > 1 else 2
+    begin = 8 + wide + int.from_bytes(head[8 : 8 + wide], "little")
+    found = ast.literal_eval(head[8 + wide : begin].decode("latin1"))
+    return begin, np.dtype(found["descr"]), found["fortran_order"], found["shape"]
+
+
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, value of a one- or two-dimensional .npy file of numbers and of any size, decoded by blocks."""
+    begin, kind, by_column, shape = array_header(head_of(spark, path, 4096))
+    require(len(shape) in (1, 2) and kind.kind in "iufb", f"{path} holds {kind} of shape {shape}")
+    rows, cols = (*shape, 1)[:2]
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks:
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                value = np.frombuffer(content[max(0, begin - start) :], kind).astype(float)
+                at = (max(start, begin) - begin) // kind.itemsize + np.arange(len(value))
+                row, col = (at % rows, at // rows) if by_column else (at // cols, at % cols)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(col), pa.array(value)], names=["row", "col", "value"])
+
+    return file_blocks(spark, path, kind.itemsize).mapInArrow(run, "row long, col long, value double")
 
 
-def read_array(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
-    """row, col, value of a one- or two-dimensional .npy file, or of a member of an .npz bundle; one file to a task."""
+def read_bundle(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """row, col, value of a member of an .npz bundle. A bundle is compressed as a whole: one task reads it, up to the 2 GB
+    that Spark gives a row; larger ones are unpacked first."""
 
     def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in files:
             for content in batch["content"]:
-                found = np.load(io.BytesIO(content), allow_pickle=False)
-                array = np.atleast_2d(np.asarray(found[member] if member else found, float).T).T
+                array = np.atleast_2d(np.asarray(np.load(io.BytesIO(content), allow_pickle=False)[member], float).T).T
                 for start in range(0, len(array), 1 << 16):
                     part = array[start : start + (1 << 16)]
                     rows, cols = (x.ravel() for x in np.indices(part.shape))
@@ -34,7 +106,7 @@ def read_array(spark: SparkSession, path: str, member: str | None = None) -> Dat
 
 
 def read_sparse_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, w of a compressed-row matrix in an .npz bundle (indptr, indices, data)."""
+    """src, dst, w of a compressed-row matrix in an .npz bundle (indptr, indices, data), read by one task like any bundle."""
 
     def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in files:
