@@ -20,6 +20,10 @@ from perigraph.llm.shingle_join import similar_components
 from perigraph.llm.simhash import simhash_near_dedup
 
 
+#: Bytes of a row's key in a broadcast table, about.
+KEY_BYTES = 96
+
+
 def row_key() -> Column:
     return F.struct("doc_id", F.xxhash64(whole_text(F.col("text"))).alias("digest"))
 
@@ -27,7 +31,7 @@ def row_key() -> Column:
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose key is not in dropped (perigraph_side)."""
     keyed = docs.withColumn("perigraph_key", row_key())
-    left = keyed.join(small_side(dropped, 32), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_anti")
+    left = keyed.join(small_side(dropped, KEY_BYTES), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_anti")
     return left.select(*docs.columns)
 
 
@@ -48,7 +52,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if again.isEmpty():
         return left
     keyed = left.withColumn("perigraph_key", row_key())
-    repeated = keyed.join(small_side(again, 32), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_semi").dropDuplicates(["perigraph_key"])
+    repeated = keyed.join(small_side(again, KEY_BYTES), F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_semi").dropDuplicates(["perigraph_key"])
     return without(left, again).unionByName(repeated.select(*docs.columns))
 
 
@@ -75,6 +79,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps three quarters of all tokens, by the weights of domains, languages and sources; no document twice."""
     keyed = docs.withColumn("perigraph_key", row_key())
     chosen = mix_sources(keyed, MIX_LEVELS, MIX_WEIGHTS, (3, 4), 1, seed=7, id_col="perigraph_key").select(F.col("doc_id").alias("perigraph_side")).distinct()
+    chosen = small_side(materialize(chosen, "pipeline-chosen"), KEY_BYTES)
     return keyed.join(chosen, F.col("perigraph_key").eqNullSafe(F.col("perigraph_side")), "left_semi").select(*docs.columns)
 
 
