@@ -68,7 +68,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of every document, each decoded and held against the text."""
-    return sample_segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), seed=11)
+    return sample_segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), seed=11, packed_ids=True)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

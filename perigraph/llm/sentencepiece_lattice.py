@@ -28,7 +28,7 @@ from .common import release_memory, sliced, text_pieces
 MARK = "▁"
 ALPHA, SAMPLES = 1e-3, 2
 #: Bytes of text whose lattices are held at once; a longer text is held alone.
-CHUNK_BYTES = 3 << 16
+CHUNK_BYTES = 1 << 18
 #: Lattice edges of the units that a task keeps from one batch to the next, about, at 60 bytes; and units that it
 #: remembers to have met once.
 KEPT_EDGES, MET_UNITS = 600_000, 60_000
@@ -132,11 +132,16 @@ class Vocabulary:
             out[before[odd[which == i]][:, None] + np.arange(len(ids))] = ids
         return out, before
 
+    def decode_all(self, ids: np.ndarray, places: np.ndarray) -> list[str]:
+        """The texts of sequences of ids that end at places; the mark that every encoded text begins with is left out."""
+        taken = self.surface.take(pa.array(ids, pa.int64()))
+        data = taken.buffers()[2].to_pybytes() if len(ids) else b""
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[np.append(0, places)].tolist() if len(ids) else [0] * (len(places) + 1)
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [x[1:] if x.startswith(" ") else x for x in texts]
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of a sequence of ids; the mark that every encoded text begins with is left out."""
-        data = self.surface.take(pa.array(ids, pa.int64())).buffers()[2] if len(ids) else None
-        text = data.to_pybytes().decode("utf-8", "replace") if data else ""
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(2)
@@ -330,10 +335,13 @@ class Kept:
 
 class Path:
     """One drawn segmentation of a text: its edges and their units; of the steps from own_from on, where its own regions
-    begin, the log probability before each and the bound of its region."""
+    begin, the log probability before each and of its region, and the bound of all regions together.
+
+    The largest Gumbel of a set of regions is drawn at once, and which region has it only when it is opened.
+    """
 
-    def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, own_from: int, log_p: float, prefix: np.ndarray, bounds: np.ndarray):
-        self.edges, self.units, self.value, self.own_from, self.log_p, self.prefix, self.bounds = edges, units, value, own_from, log_p, prefix, bounds
+    def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, own_from: int, log_p: float, prefix: np.ndarray, mass: np.ndarray, bound: float):
+        self.edges, self.units, self.value, self.own_from, self.log_p, self.prefix, self.mass, self.bound = edges, units, value, own_from, log_p, prefix, mass, bound
         self.excluded: dict[int, list[int]] = {}
 
 
@@ -384,18 +392,24 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
     def draw(i: int, purpose: int) -> np.ndarray:
         return uniform(seeds[i : i + 1] + salt(purpose))
 
-    def regions(owners: np.ndarray, edges: np.ndarray, cuts: np.ndarray, heads: np.ndarray, values: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the steps drawn for each owner (a text): log probability before each, bound of its region; and in all.
+    def regions(owners: np.ndarray, edges: np.ndarray, cuts: np.ndarray, heads: np.ndarray, values: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the steps drawn for each owner (a text): log probability before each, and of its region; bound of all its
+        regions, and log probability in all.
 
         cuts separate the owners' steps, heads are their log probabilities before the first, values their perturbed ones.
         """
-        log_p, sizes = lattices.log_p[edges], np.diff(cuts)
-        sums = np.append(0.0, np.cumsum(log_p))
+        sizes = np.diff(cuts)
+        sums = np.append(0.0, np.cumsum(lattices.log_p[edges]))
         before = sums[:-1] + np.repeat(heads - sums[cuts[:-1]], sizes)
-        place = (np.arange(len(edges)) - np.repeat(cuts[:-1], sizes)).astype(np.uint64)
-        counter = np.repeat(mix(seeds[owners] + salt(1000 + rank)), sizes) + place * STEP
-        bounds = truncated_gumbel(before + lattices.rest(edges), np.repeat(values, sizes), uniform(counter))
-        return before, bounds, heads + sums[cuts[1:]] - sums[cuts[:-1]]
+        mass, total, full = before + lattices.rest(edges), np.full(len(owners), -np.inf), np.flatnonzero(sizes)
+        if len(full):
+            first = cuts[:-1][full]
+            top = np.maximum.reduceat(mass, first)
+            top[top == -np.inf] = 0.0
+            with np.errstate(divide="ignore"):
+                total[full] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, sizes[full])), first))
+        bounds = truncated_gumbel(total, values, uniform(seeds[owners] + salt(1000 + rank)))
+        return before, mass, bounds, heads + sums[cuts[1:]] - sums[cuts[:-1]]
 
     all_units = np.arange(len(starts))
     edges, counts = lattices.walk(first_node, bases(0, all_units))
@@ -404,35 +418,38 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
     unit_of_step = np.repeat(all_units, counts)
     found: list[list[Path]] = [[] for _ in texts]
     root = -np.log(-np.log(uniform(seeds[owners])))
-    before, bounds, log_p = regions(owners, edges, cuts, np.zeros(len(owners)), root, 0)
+    before, mass, bounds, log_p = regions(owners, edges, cuts, np.zeros(len(owners)), root, 0)
     for j, (i, a, b) in enumerate(zip(owners.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        found[i].append(Path(edges[a:b], unit_of_step[a:b], float(root[j]), 0, float(log_p[j]), before[a:b], bounds[a:b]))
+        found[i].append(Path(edges[a:b], unit_of_step[a:b], float(root[j]), 0, float(log_p[j]), before[a:b], mass[a:b], float(bounds[j])))
+
+    def best_path(i: int) -> Path:
+        return max(found[i], key=lambda path: path.bound)
 
-    def best_region(i: int) -> tuple[float, int, int]:
-        best = (-np.inf, 0, 0)
-        for q, path in enumerate(found[i]):
-            if len(path.bounds):
-                at = int(path.bounds.argmax())
-                if path.bounds[at] > best[0]:
-                    best = (float(path.bounds[at]), q, at)
-        return best
+    def pick(weights: np.ndarray, i: int, purpose: int) -> int:
+        """A place by log weights."""
+        running = np.cumsum(np.exp(weights - weights.max()))
+        return min(int(np.searchsorted(running, draw(i, purpose)[0] * running[-1])), len(weights) - 1)
 
     open_texts = owners.tolist()
     for rank in range(1, samples):
         begun = []
         for i in open_texts:
-            bound, q, at = best_region(i)
+            path = best_path(i)
+            bound = path.bound
             if bound == -np.inf:
                 continue
-            path = found[i][q]
+            at = pick(path.mass, i, 4000 + rank)
             step = path.own_from + at
             excluded = path.excluded.setdefault(step, [int(path.edges[step])])
-            others, log_p, total = rest_mass(lattices, int(path.edges[step]), excluded)
-            chosen = int(others[min(int(np.searchsorted(np.cumsum(np.exp(log_p - total)), draw(i, 2000 + rank)[0])), len(others) - 1)])
+            others, log_p, _ = rest_mass(lattices, int(path.edges[step]), excluded)
+            chosen = int(others[pick(log_p, i, 2000 + rank)])
             excluded.append(chosen)
             _, _, left = rest_mass(lattices, int(path.edges[step]), excluded)
             before = float(path.prefix[at])
-            path.bounds[at] = truncated_gumbel(before + left, bound, draw(i, 3000 + rank)[0])
+            path.mass[at] = before + left
+            top = path.mass.max()
+            total = top + np.log(np.exp(path.mass - top).sum()) if top > -np.inf else -np.inf
+            path.bound = float(truncated_gumbel(total, bound, draw(i, 3000 + rank)[0]))
             begun.append((i, path, step, chosen, bound, int(path.units[step]), before + float(lattices.log_p[chosen])))
         if not begun:
             break
@@ -446,24 +463,25 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
         cuts = np.append(0, np.cumsum(counts))[heads]
         unit_of_step = np.repeat(units, counts)
         open_texts = [x[0] for x in begun]
-        before, bounds, log_p = regions(np.array(open_texts), edges, cuts, np.array([x[6] for x in begun]), np.array([x[4] for x in begun]), rank)
+        before, mass, bounds, log_p = regions(np.array(open_texts), edges, cuts, np.array([x[6] for x in begun]), np.array([x[4] for x in begun]), rank)
         for j, ((i, path, step, chosen, bound, unit, _), a, b) in enumerate(zip(begun, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             whole, own_units = np.concatenate([path.edges[:step], [chosen], edges[a:b]]), np.concatenate([path.units[:step], [unit], unit_of_step[a:b]])
-            found[i].append(Path(whole, own_units, bound, step + 1, float(log_p[j]), before[a:b], bounds[a:b]))
+            found[i].append(Path(whole, own_units, bound, step + 1, float(log_p[j]), before[a:b], mass[a:b], float(bounds[j])))
 
     drawn = [(i, rank, path) for i, paths in enumerate(found) for rank, path in enumerate(paths, 1)]
     ids, before = words.expand(lattices.ids[np.concatenate([path.edges for _, _, path in drawn])])
     ends = before[np.cumsum([len(path.edges) for _, _, path in drawn])]
-    thresholds, out = {i: best_region(i)[0] for i in owners.tolist()}, []
+    thresholds, out = {i: best_path(i).bound for i in owners.tolist()}, []
     for (i, rank, path), a, b in zip(drawn, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
         inclusion = 1.0 if thresholds[i] == -np.inf else float(-np.expm1(-np.exp(min(path.log_p - thresholds[i], 700.0))))
         out.append((i, rank, ids[a:b], path.log_p, path.value, inclusion))
     return out
 
 
-def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, with_ids: bool = True, packed_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and sample: doc_id, sample (rank from 1), n_pieces, log_prob, perturbed, inclusion,
-    ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives back the text), and ids if asked.
+    ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives back the text), and ids if asked:
+    as an array, or packed, as those numbers in one binary, which costs Spark a good deal less.
 
     perturbed falls with rank. inclusion is the probability that a segmentation is among those sampled, given the value
     that the next one has; it is 1 where no other is left. A text with fewer segmentations than samples gives each once.
@@ -472,7 +490,7 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
     their names.
     """
     texts = text_pieces(docs, id_col, text_col)
-    fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.int32()))]
+    fields = [("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()), *[("ids", None)] * with_ids]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, alpha)
@@ -484,28 +502,30 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
                 bare = sorted(set(range(len(own))).difference(x[0] for x in drawn))
                 seeds = np.array([xxhash.xxh64_intdigest(keys[i].encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF) for i in bare], np.uint64)
                 drawn += [(i, 1, np.zeros(0, np.int64), 0.0, value, 1.0) for i, value in zip(bare, (-np.log(-np.log(uniform(seeds)))).tolist(), strict=True)]
-                table = []
-                for i, rank, ids, log_p, value, inclusion in drawn:
-                    packed = ids.astype("<i4")
-                    table.append((rank, len(ids), log_p, value, inclusion, hashlib.sha256(packed.tobytes()).hexdigest(), words.decode(ids) == own[i], packed))
-                arrays = [pa.array([r[k] for r in table], kind) for k, (_, kind) in enumerate(fields[:-1])]
-                places = np.append(0, np.cumsum([r[1] if with_ids else 0 for r in table])).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(places, np.concatenate([np.zeros(0, np.int32), *[r[-1] for r in table if with_ids]]).astype(np.int32)))
+                places = np.cumsum([len(x[2]) for x in drawn])
+                flat = np.concatenate([np.zeros(0, np.int64), *[x[2] for x in drawn]])
+                texts, packed = words.decode_all(flat, places), flat.astype("<i4")
+                bounds = np.append(0, places).tolist()
+                blobs = [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                table = [(x[1], len(x[2]), x[3], x[4], x[5], hashlib.sha256(blob).hexdigest(), text == own[x[0]]) for x, blob, text in zip(drawn, blobs, texts, strict=True)]
+                arrays = [pa.array([r[k] for r in table], kind) for k, (_, kind) in enumerate(fields[: len(fields) - with_ids])]
+                if with_ids:
+                    arrays.append(pa.array(blobs, pa.binary()) if packed_ids else pa.ListArray.from_arrays(np.array(bounds, np.int32), packed.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([x[0] for x in drawn], pa.int64())), *arrays], names=["doc_id", *[n for n, _ in fields]])
         words.kept = Kept()
         release_memory()
 
-    out = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean, ids array<int>")
-    return out if with_ids else out.drop("ids")
+    ids_type = ", ids " + ("binary" if packed_ids else "array<int>") if with_ids else ""
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean{ids_type}")
 
 
 def decode_ids(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of sequences of ids; null ids give a null text."""
+    """doc_id and text of sequences of ids, arrays or packed; null ids give a null text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, ALPHA)
         for batch in rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else words.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else words.decode(np.frombuffer(x, "<i4") if isinstance(x, bytes) else np.array(x, np.int64)) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     own = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")

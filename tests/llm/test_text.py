@@ -268,6 +268,11 @@ def test_segmentation_rows(odd_docs, empty_docs):
     assert sorted((str(r["doc_id"]), r["sample"], r["ids_sha256"]) for r in again.collect()) == sorted((str(r["doc_id"]), r["sample"], r["ids_sha256"]) for r in got)
     decoded = lattice.decode_ids(again, MODEL).filter("doc_id = 4").select("text").distinct().collect()
     assert [r["text"] for r in decoded] == ["Hello World hello world"]
+    packed = lattice.sample_segmentations(odd_docs, MODEL, samples=3, seed=2, packed_ids=True)
+    assert {(r["ids_sha256"], tuple(np.frombuffer(r["ids"], "<i4").tolist())) for r in packed.collect()} == {(r["ids_sha256"], tuple(r["ids"])) for r in got}
+    decoded = lattice.decode_ids(packed.filter("doc_id = 4"), MODEL).select("text").distinct().collect()
+    assert [r["text"] for r in decoded] == ["Hello World hello world"]
+    assert "ids" not in lattice.sample_segmentations(odd_docs, MODEL, with_ids=False).toPandas().columns
     assert lattice.sample_segmentations(empty_docs, MODEL).count() == 0
 
 
