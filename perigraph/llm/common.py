@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch at most, as texts may be long: batches and their copies must fit beside the executor's heap.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: A table is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 24 << 20
 

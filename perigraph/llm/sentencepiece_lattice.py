@@ -31,7 +31,7 @@ ALPHA, SAMPLES = 1e-3, 2
 CHUNK_BYTES = 1 << 18
 #: Lattice edges of the units that a task keeps from one batch to the next, about, at 60 bytes; and units that it
 #: remembers to have met once.
-KEPT_EDGES, MET_UNITS = 600_000, 60_000
+KEPT_EDGES, MET_UNITS = 1_500_000, 60_000
 SLOT_BITS, POINT_BITS = 20, 21
 
 
@@ -294,7 +294,8 @@ class Kept:
     PER_EDGE = ("to", "node", "key", "ids", "log_p", "single")
     PER_NODE = ("likeliest", "begin", "last", "likeliest_p", "likeliest_before", "likeliest_rest")
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = KEPT_EDGES) -> None:
+        self.most = most
         self.first: dict[bytes, int] = {}  # by the unit itself
         self.met: set[bytes] = set()
         self.nodes = self.edges = 0
@@ -302,7 +303,7 @@ class Kept:
 
     def recurring_first(self, new: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, int]:
         """The new units in an order where those met in an earlier batch stand first, and how many these are."""
-        if self.edges >= KEPT_EDGES:
+        if self.edges >= self.most:
             return new, 0
         again = np.array([units[i] in self.met for i in new.tolist()], bool)
         if len(self.met) > MET_UNITS:
@@ -328,7 +329,7 @@ class Kept:
             self.first.update(zip(units, first[: len(units)].tolist(), strict=True))
             nodes = int(new.first[len(units)]) if len(units) < len(new.first) else len(new.last)
             self.nodes, self.edges = self.nodes + nodes, self.edges + int(new.begin[nodes])
-            if self.edges >= KEPT_EDGES:
+            if self.edges >= self.most:
                 self.met.clear()
         return out, first
 
@@ -478,7 +479,7 @@ def sample_batch(words: Vocabulary, texts: list[str], keys: list[str], samples:
     return out
 
 
-def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, with_ids: bool = True, packed_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, with_ids: bool = True, packed_ids: bool = False, chunk_bytes: int = CHUNK_BYTES, kept_edges: int = KEPT_EDGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and sample: doc_id, sample (rank from 1), n_pieces, log_prob, perturbed, inclusion,
     ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives back the text), and ids if asked:
     as an array, or packed, as those numbers in one binary, which costs Spark a good deal less.
@@ -486,7 +487,8 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
     perturbed falls with rank. inclusion is the probability that a segmentation is among those sampled, given the value
     that the next one has; it is 1 where no other is left. A text with fewer segmentations than samples gives each once.
     A null or empty text, or one that the model's normaliser empties, has one empty segmentation (no piece, probability 1). The row key is the id; rows that repeat
-    an id and its text get the same samples. An empty table gives an empty result; other columns are ignored, whatever
+    an id and its text get the same samples. A worker holds the lattices of chunk_bytes of text and of kept_edges edges of
+    recurring units; neither changes a result. An empty table gives an empty result; other columns are ignored, whatever
     their names.
     """
     texts = text_pieces(docs, id_col, text_col)
@@ -494,8 +496,9 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, alpha)
+        words.kept = Kept(kept_edges)
         for batch in rows:
-            for part in sliced(batch, 1, CHUNK_BYTES):
+            for part in sliced(batch, 1, chunk_bytes):
                 own, keys = part.column(1).to_pylist(), ["" if x is None else str(x) for x in part.column(0).to_pylist()]
                 drawn = sample_batch(words, own, keys, samples, seed)
                 # A text without characters, or with none left by the model's normaliser, has the empty segmentation alone.

@@ -30,6 +30,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BUCKET_BITS, SKETCH_BITS = 17, 8
 #: Holders of a shingle that are paired; more are compared in blocks.
 PAIRED = 64
+#: Bytes of a shared shingle and its number of holders; the table that Spark builds of them takes up to three times as much.
+SHARED_BYTES = 20
 #: Rows and bytes of shingles in a block of holders, about; two blocks meet in a task.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 #: Cells of a matrix of rows and shingles that is multiplied at once.
@@ -207,9 +209,8 @@ def similar_components(docs: DataFrame, words: int = SHINGLE_WORDS, similarity:
     texts = text_pieces(docs, id_col, text_col)
     held = materialize(summaries(texts, bucket_counts(texts, words), words, similarity), "shingle-summaries")
     rows = prefix_rows(held)
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    shared = materialize(shared.select("shingle", "holders"), "shingle-shared")
-    met = materialize(rows.join(small_side(shared, 48), "shingle").distinct(), "shingle-holders")  # equal sets once
+    shared = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "shingle-shared")
+    met = materialize(rows.join(small_side(shared, SHARED_BYTES), "shingle").distinct(), "shingle-holders")  # equal sets once
 
     few, two = (met.filter(F.col("holders") <= PAIRED).alias(x) for x in ("a", "b"))
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
