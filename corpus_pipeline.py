@@ -84,8 +84,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each text, with their ids."""
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=11)
+    """Two sampled segmentations of each text, with their ids as packed 32-bit numbers. Workers are kept small, as the executor's
+    heap has grown by the stages before."""
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), seed=11, packed_ids=True, chunk_bytes=1 << 17, kept_edges=400_000)
 
 
 STAGES = [
