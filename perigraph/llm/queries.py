@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
+from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .language_id import identify_languages
 from .license_scan import license_scan
+from .merkle import merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .order_minhash import document_fingerprints
 from .sentencepiece_lattice import sample_segmentations
@@ -79,6 +81,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def merkle_of(docs: DataFrame) -> DataFrame:
+    """The manifest of documents, a seventh of them seen with another n_chars."""
+    altered = {"n_chars": F.col("n_chars").cast("decimal(20, 0)") + 1}
+    return merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered=altered, alter=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+def merkle_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_columns(merkle_of(documents(spark, sf_dir)))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def mix_sql() -> str:
     """The mixture in SQL: one block of waterfilling for each level, then running sums over whole leaves."""
     weight = {k: "CASE " + k + "".join(f" WHEN '{a}' THEN {b}" for a, b in v.items()) + " ELSE 1 END" for k, v in MIX_WEIGHTS.items()}
@@ -132,6 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +188,64 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents LEFT JOIN kept USING (doc_id)
     """,
     "op4_mix_sources": mix_sql(),
+    # Runs of two are joined level by level, then up the proofs one level at a time; crc32 goes bit by bit.
+    "op12_merkle_manifest": """
+        WITH RECURSIVE coded AS (
+          SELECT row_number() OVER () AS row, doc_id, lang,
+                 coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                 n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+                 list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+                   lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+          FROM documents
+        ), leaves AS (
+          SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                 sha256(head || coalesce(strlen((n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS seen
+          FROM coded
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS place, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves
+        ), nodes AS (
+          SELECT tree, 0 AS level, place, leaf AS node, count(*) OVER (PARTITION BY tree) AS size FROM placed
+          UNION ALL
+          SELECT tree, level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (size + 1) // 2 FROM nodes WHERE size > 1 GROUP BY tree, level, place // 2, size
+        ), tops AS (
+          SELECT 0 AS level, tree AS place, node, count(*) OVER () AS size FROM nodes WHERE size = 1
+          UNION ALL
+          SELECT level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (size + 1) // 2 FROM tops WHERE size > 1 GROUP BY level, place // 2, size
+        ), climb AS (
+          SELECT row, tree, place, 0 AS level, seen AS node, '' AS proof FROM placed
+          UNION ALL
+          SELECT row, c.tree, c.place // 2, c.level + 1, sha256(CASE WHEN s.node IS NULL THEN c.node WHEN c.place % 2 = 1 THEN s.node || c.node ELSE c.node || s.node END), proof || coalesce(s.node, '')
+          FROM climb c JOIN (SELECT DISTINCT tree, level FROM nodes WHERE size > 1) m ON m.tree = c.tree AND m.level = c.level
+          LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.place = xor(c.place, 1)
+        ), rest AS (
+          SELECT row, tree AS place, 0 AS level, node, proof FROM (SELECT *, max(level) OVER (PARTITION BY row) AS last FROM climb) WHERE level = last
+          UNION ALL
+          SELECT row, c.place // 2, c.level + 1, sha256(CASE WHEN s.node IS NULL THEN c.node WHEN c.place % 2 = 1 THEN s.node || c.node ELSE c.node || s.node END), proof || coalesce(s.node, '')
+          FROM rest c JOIN (SELECT DISTINCT level FROM tops WHERE size > 1) m ON m.level = c.level
+          LEFT JOIN tops s ON s.level = c.level AND s.place = xor(c.place, 1)
+        )
+        SELECT doc_id, leaf, subroot.node AS subroot, root.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = root.node AS verified
+        FROM placed JOIN (SELECT *, max(level) OVER (PARTITION BY row) AS last FROM rest) f ON f.row = placed.row AND f.level = f.last
+        JOIN nodes subroot ON subroot.tree = placed.tree AND subroot.size = 1 CROSS JOIN (SELECT node FROM tops WHERE size = 1) root
+    """,
+    "op13_benchmark_decontamination": """
+        WITH d AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), b AS (
+          SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+        ), windows AS (
+          SELECT DISTINCT item, width, array_to_string(w[place:place + width - 1], ' ') AS words
+          FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS place FROM (SELECT *, least(len(w), 10) AS width FROM b WHERE len(w) > 0))
+        ), hits AS (
+          SELECT row, place, d.width, item
+          FROM (SELECT row, w, width, unnest(range(1, len(w) - width + 2)) AS place FROM d CROSS JOIN (SELECT DISTINCT width FROM windows)) d
+          JOIN windows ON windows.width = d.width AND windows.words = array_to_string(d.w[place:place + d.width - 1], ' ')
+        ), covered AS (
+          SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT row, unnest(range(place, place + width)) AS place FROM hits) GROUP BY row
+        ), named AS (
+          SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+    """,
 }
