@@ -21,6 +21,7 @@ from .sentencepiece_lattice import sample_segmentations
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
+from .whitening import Whitening, whiten
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def whitened_columns(rows: DataFrame, model: Whitening | None) -> DataFrame:
+    """A row for each vector and component."""
+    shares = F.array(*[F.lit(e).cast("double") for e in (model.explained if model else [])])
+    out = rows.select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n if model else None).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).cast("double").alias("explained"), F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_columns(*whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def merkle_of(docs: DataFrame) -> DataFrame:
     """The manifest of documents, a seventh of them seen with another n_chars."""
     altered = {"n_chars": F.col("n_chars").cast("decimal(20, 0)") + 1}
@@ -153,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
