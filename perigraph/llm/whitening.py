@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, small_side
 
 #: Dimensions of a column block, and the power of two of a row block's rows: a task's group holds two blocks of 4,096 by 32.
 TILE, ROW_BITS = 32, 12
@@ -43,6 +43,16 @@ class Whitening:
         return [float(v) / trace if trace > 0 else None for v in self.values[: len(self.components)]]
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """row (0, 1, ... without gaps) and x, so that row blocks are full however many tasks wrote the rows."""
+    kept = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "x"), "whitening-fit")
+    task = F.shiftright("at", 33)
+    runs = kept.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    runs = materialize(runs.select("task", (before - F.col("first")).alias("skip")), "whitening-runs")
+    return kept.withColumn("task", task).join(small_side(runs, 24), "task").select((F.col("at") + F.col("skip")).alias("row"), "x")
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column without nulls as rows of a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -94,7 +104,7 @@ def tile_products(blocks: DataFrame, dimension: int, tile: int) -> DataFrame:
 
 
 def covariance(rows: DataFrame, dimension: int, n: int, whole: list[int], rest: list[float], tile: int = TILE, row_bits: int = ROW_BITS) -> np.ndarray:
-    """The covariance (divisor n) of rows (row, v) around whole + rest. row numbers rows without gaps within their runs."""
+    """The covariance (divisor n) of rows (row, v) around whole + rest. row numbers rows without gaps."""
     products = tile_products(tile_blocks(rows, dimension, whole, rest, tile, row_bits), dimension, tile)
     summed = products.select("i", "j", F.posexplode("values").alias("at", "value")).groupBy("i", "j", "at").agg(F.sum("value").alias("value"))
     found = summed.toPandas()
@@ -154,7 +164,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """
     bound_batches(vectors.sparkSession)
     usable = whole_vectors(vectors, id_col, vector_col, scale)
-    fit = materialize(usable.select("x").distinct().select(F.monotonically_increasing_id().alias("row"), "x"), "whitening-fit")
+    fit = numbered(usable.select("x").distinct())
     n, least, most = fit.agg(F.count(F.lit(1)), F.min(F.size("x")), F.max(F.size("x"))).first()
     if not n:
         return usable.select("id", F.lit(None).cast("array<double>").alias("whitened"), F.lit(None).cast("long").alias("deviation")), None

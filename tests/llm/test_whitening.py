@@ -74,6 +74,13 @@ def test_covariance_is_that_of_all_rows(spark):
     assert np.allclose(model.components @ model.components.T, np.eye(4), atol=1e-12)
 
 
+def test_row_blocks_are_full(spark):
+    """Rows are numbered without gaps over many tasks, so products do not grow with the tasks."""
+    rows = spark.range(1000).select(F.array("id").alias("x")).repartition(37)
+    numbers = sorted(r["row"] for r in whitening.numbered(rows).collect())
+    assert numbers == list(range(1000))
+
+
 def test_no_rows(spark):
     assert queries.whitened_columns(*whitening.whiten(table(spark, []))).count() == 0
     assert queries.whitened_columns(*whitening.whiten(table(spark, [(1, None), (2, [])]))).count() == 0
