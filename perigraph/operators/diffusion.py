@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hash_normal
-from ..session import materialize_by, require
+from ..session import drop_table, materialize_by, require
+from .blocks import return_trace_by_blocks
 
 
 def gaussian_probes(nodes: DataFrame, n_probes: int, seed: int = 0) -> DataFrame:
@@ -40,14 +41,18 @@ def step(walk: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def propagate(walk: DataFrame, state: DataFrame, times: list[int], start: int = 0, cut_every: int = 4):
-    """Yields (time, state) at each requested time above start, in order."""
-    done = start
+    """Yields (time, state) at each requested time above start, in order. Of the tables it writes, those between requested
+    times are removed once the next is there."""
+    done, between = start, None
     for time in sorted(t for t in set(times) if t > start):
         while done < time:
             state = step(walk, state)
             done += 1
             if done % cut_every == 0 or done == time:
                 state = materialize_by(state, f"state-{done}", "id")
+                if between is not None:
+                    drop_table(between)
+                between = state if done < time else None
         yield time, state
 
 
@@ -67,8 +72,11 @@ def trace_summary(trace: DataFrame, n_nodes: int) -> DataFrame:
     return out.select("diffusion_time", "n_probes", "trace", se.alias("trace_se"), (F.col("trace") / n_nodes).alias("p_return"), (se / n_nodes).alias("p_return_se"), (se / F.col("trace")).alias("relative_se"))
 
 
-def return_trace(edges: DataFrame, degree: DataFrame, initial: DataFrame, times: list[int]) -> DataFrame:
-    """Trace estimates at the requested times, from a state of probes at time 0."""
+def return_trace(edges: DataFrame, degree: DataFrame, initial: DataFrame, times: list[int], blocks: DataFrame | None = None, depth: int = 4) -> DataFrame:
+    """Trace estimates at the requested times, from a state of probes at time 0; with blocks (id, block) of near nodes,
+    by rounds of depth steps for one exchange, else step by step."""
+    if blocks is not None:
+        return return_trace_by_blocks(transition(edges, degree), blocks, initial, times, depth)
     walk = materialize_by(transition(edges, degree), "walk", "dst")
     initial = materialize_by(initial, "state-0", "id")
     parts = [trace_estimates(initial, initial, 0)] if 0 in times else []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometric_grid, linear_grid
+from ..operators import blocks
 from ..operators import diffusion as walk
 from ..operators import graph as op
 from ..operators import spatial
@@ -80,11 +81,15 @@ def k2_counts_in_spheres(spark, sf):
     return spatial.counts_in_spheres(p, p, [5.0, 10.0, 15.0, 20.0], BOX, 10).select("center", "radius", "count")
 
 
+def curve_blocks(spark, sf):
+    """Blocks of about 512 points along the space-filling curve."""
+    return blocks.cut_by(points(spark, sf), blocks.morton_code(BOX), 512)
+
+
 def d10_single_source(spark, sf):
-    edges, state = knn_graph(spark, sf), walk.one_hot(points(spark, sf), 7)
-    steps = walk.transition(edges, op.degrees(edges))
-    for _ in range(STEPS):
-        state = walk.step(steps, state)
+    """Three steps in one round: halos of three layers, one exchange."""
+    edges = knn_graph(spark, sf)
+    state = blocks.state_after(walk.transition(edges, op.degrees(edges)), curve_blocks(spark, sf), walk.one_hot(points(spark, sf), 7), STEPS, 3)
     return rounded(state.filter("y0 > 0").withColumn("y0", F.col("y0") * 1000))
 
 
@@ -94,7 +99,7 @@ def probes(spark, sf):
 
 def d4_trace(spark, sf):
     edges = knn_graph(spark, sf)
-    return rounded(walk.return_trace(edges, op.degrees(edges), probes(spark, sf), [0, 1, 2]))
+    return rounded(walk.return_trace(edges, op.degrees(edges), probes(spark, sf), [0, 1, 2], curve_blocks(spark, sf), 2))
 
 
 def d5_trace_summary(spark, sf):

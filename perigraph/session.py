@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +65,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+def materialize_by(df: DataFrame, name: str, column: str, dealt: bool = False) -> DataFrame:
     """materialize, bucketed by a column into as many buckets as the session's shuffles have partitions, so that joins and
-    groups by the column move nothing. The table stays in the session's catalog."""
+    groups by the column move nothing. dealt: rows of a bucket are together already. The table stays in the catalog until drop_table."""
     spark, table = df.sparkSession, f"perigraph_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", fresh_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, name)
+    (df if dealt else df.repartition(buckets, column)).write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    KEPT[id(out)] = (weakref.ref(out), table, path)
+    return out
+
+
+#: Name and folder of each table of materialize_by that is still in the catalog, by the DataFrame that reads it.
+KEPT: dict[int, tuple[weakref.ref, str, str]] = {}
+
+
+def drop_table(df: DataFrame) -> None:
+    """Removes the table of materialize_by that df is, from the catalog and from the shared folder; other DataFrames are left."""
+    held, table, path = KEPT.pop(id(df), (lambda: None, "", ""))
+    if held() is not df:
+        return
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
