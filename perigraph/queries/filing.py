@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import columns
 from ..operators import diffusion
 from ..session import fresh_path, require
-from ..sources import documents, files
-from .fixtures import TRACE, rounded, table, trace
+from ..sources import arrays, documents, files
+from .fixtures import GRAPH, POINTS, TRACE, knn_graph, points, rounded, table, trace
 
 TRACE_SCHEMA = "diffusion_time int, probe_index int, individual_trace_estimate double"
 
@@ -16,6 +17,60 @@ def ordered_trace(spark, sf):
     return trace(spark, sf).select("diffusion_time", "probe_index", "individual_trace_estimate")
 
 
+def a3_points(spark, sf):
+    """Points written as raw float32 parts and read by byte ranges; ids are row numbers."""
+    path = fresh_path(spark, "a3")
+    arrays.write_points(points(spark, sf), path)
+    return rounded(arrays.read_points(spark, path), 3)
+
+
+def a4_array(spark, sf):
+    """A two-dimensional array of order totals, by customer and key."""
+    path = fresh_path(spark, "a4")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice as price", "cast(o_custkey as double) as customer")
+    arrays.write_array(orders, path, ["o_orderkey"], ["price", "customer"])
+    return rounded(arrays.read_array(spark, path), 2)
+
+
+def a5_bundle(spark, sf):
+    """A column of a deflated bundle; the other members are not read."""
+    path = fresh_path(spark, "a5")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    arrays.write_bundle(lines, path, ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return arrays.read_bundle(spark, path, "l_partkey", ["row", "value"]).select("row", F.col("value").cast("long").alias("part"))
+
+
+def a6_sparse_matrix(spark, sf):
+    """The neighbour graph as compressed rows, and back."""
+    path = fresh_path(spark, "a6")
+    arrays.write_sparse_matrix(knn_graph(spark, sf), path)
+    return arrays.read_sparse_matrix(spark, path)
+
+
+def a17_raw_sink(spark, sf):
+    """Bytes of the parts of a raw table, and that a second write is refused."""
+    path = fresh_path(spark, "a17")
+    arrays.write_points(points(spark, sf), path)
+    try:
+        arrays.write_points(points(spark, sf), path)
+        refused = False
+    except Exception:  # noqa: BLE001 - Spark's own error around the sink's
+        refused = True
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return parts.agg(F.sum("length").alias("bytes")).withColumn("overwrite_refused", F.lit(refused))
+
+
+def b14_required(spark, sf):
+    """Columns that a table of points must have: their sums; a table that lacks one is refused."""
+    p = columns.require_columns(points(spark, sf), ["id", "x", "y", "z"])
+    try:
+        columns.require_columns(p.drop("z"), ["id", "x", "y", "z"])
+        refused = False
+    except ValueError:
+        refused = True
+    return rounded(p.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "xyz"]), 3).withColumn("refused", F.lit(refused))
+
+
 def a7_csv(spark, sf):
     """A CSV table written in order and read with its schema."""
     path = fresh_path(spark, "a7")
@@ -114,10 +169,17 @@ def a21_digests(spark, sf):
     return files.file_digests(spark, f"{path}/part-*").select("length", "sha256")
 
 
-QUERIES = {f.__name__: f for f in (a7_csv, a8_commented_table, a9_probe_directory, a10_discovery, a12_documents, a13_summary, a15_append_once, a19_checked_write, a20_saved_times, a21_digests)}
+QUERIES = {f.__name__: f for f in (a3_points, a4_array, a5_bundle, a6_sparse_matrix, a17_raw_sink, b14_required, a7_csv, a8_commented_table, a9_probe_directory, a10_discovery, a12_documents, a13_summary, a15_append_once, a19_checked_write, a20_saved_times, a21_digests)}
 
 ROWS = f"WITH {TRACE} SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM trace"
 ORACLE_SQL = {
+    "a3_points": f"WITH {POINTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, round(x::FLOAT, 3)::FLOAT AS x, round(y::FLOAT, 3)::FLOAT AS y, round(z::FLOAT, 3)::FLOAT AS z FROM points",
+    "a4_array": """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_totalprice, o_custkey FROM orders)
+        SELECT row, 0::BIGINT AS col, round(o_totalprice, 2) AS value FROM o UNION ALL SELECT row, 1::BIGINT, o_custkey::DOUBLE FROM o""",
+    "a5_bundle": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) - 1 AS row, l_partkey AS part FROM lineitem",
+    "a6_sparse_matrix": f"WITH {GRAPH} SELECT src, dst, w FROM graph",
+    "a17_raw_sink": "SELECT (12 * count(*))::BIGINT AS bytes, true AS overwrite_refused FROM part",
+    "b14_required": f"WITH {POINTS} SELECT count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, true AS refused FROM points",
     "a7_csv": ROWS,
     "a8_commented_table": "SELECT c_custkey::DOUBLE AS key, round(c_acctbal::DOUBLE, 6) AS balance FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_acctbal > 0",
     "a9_probe_directory": ROWS,

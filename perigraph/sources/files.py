@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import score_columns
 from ..session import require
-from .numeric import file_handle, head_of
+from .stores import file_handle, head_of
 
 
 def read_commented_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
