@@ -26,12 +26,8 @@ MOST_EDGES = 1 << 21
 
 def morton_code(box: float, bits: int = 16) -> Column:
     """The place of x, y, z in [0, box) on a space-filling curve: the bits of their cells, interleaved."""
-    code = F.lit(0).cast("long")
-    for axis, name in enumerate("xyz"):
-        cell = F.least(F.floor(F.col(name) / box * (1 << bits)), F.lit((1 << bits) - 1)).cast("long")
-        for b in range(bits):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), 3 * b + axis))
-    return code
+    cells = {c: f"cast(least(floor({c} / {float(box)!r}D * {1 << bits}), {(1 << bits) - 1}) as bigint)" for c in "xyz"}
+    return F.expr(" | ".join(f"shiftleft(shiftright({cells[c]}, {b}) & 1L, {3 * b + axis})" for axis, c in enumerate("xyz") for b in range(bits)))
 
 
 def cut_by(nodes: DataFrame, order: Column, block_nodes: int = BLOCK_NODES) -> DataFrame:

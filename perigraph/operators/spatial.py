@@ -1,20 +1,20 @@
-"""Periodic spatial joins by grid cells: nearest neighbours, radius graphs, counts in spheres.
+"""Periodic spatial joins: nearest neighbours, radius graphs, counts in spheres.
 
-Points are copied as ghosts into the cells around their own, so that a cell's join partners and any ranking of them need
-one shuffle by cell.
+In a grid, points are copied as ghosts into the cells around their own, so that a cell's join partners and any ranking of
+them need one shuffle by cell. Where density may vary, a tree of cells takes the grid's place.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cell_index, periodic_distance2
-from ..session import materialize, require, small_side
+from ..session import materialize, require
+from .tree import tree_counts, tree_neighbours
 
 CELL = ["cx", "cy", "cz"]
 
@@ -45,35 +45,20 @@ def close_pairs(sources: DataFrame, points: DataFrame, box: float, cells: int, s
     return left.join(right, CELL).filter("src != dst").select(*CELL, "src", "dst", d2.alias("d2"))
 
 
-def neighbour_cells(n: int, k: int, box: float) -> int:
-    """Cells per side so that the k-th neighbour is very likely nearer than a cell is wide."""
-    reach = 1.4 * (3 * k / (4 * math.pi * n / box**3)) ** (1 / 3)
-    return max(3, math.floor(box / reach))
-
-
 def nearest_neighbours(points: DataFrame, k: int, box: float, cells: int | None = None) -> DataFrame:
     """src, rank (from 1), dst, dist: the k nearest others of each point (id, x, y, z), ties by id.
 
-    With cells given, raises where a point lacks k neighbours nearer than a cell is wide, as one could be missed; without,
-    the points that lack them, and no others, look again in cells twice as wide, until the box has three to a side.
+    Searches in a tree of cells, see tree_neighbours. With cells given, searches in a grid of so many a side, and raises
+    where a point lacks k neighbours nearer than a cell is wide, as one could be missed.
     """
-    chosen, lacking, parts = cells or neighbour_cells(points.count(), k, box), points, []
-    while True:
-        first = not parts
-        # At first all points are sources, and are copied where they meet; later the few sources are.
-        sources = points if first else small_side(lacking, 64)
-        pairs = close_pairs(sources, points, box, chosen, spread="points" if first else "sources")
-        rank = F.row_number().over(Window.partitionBy(*CELL if first else [], "src").orderBy("d2", "dst"))
-        table = materialize(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "rank", "dst", F.sqrt("d2").alias("dist")), "neighbours")
-        whole = table.filter((F.col("rank") == k) & (F.col("dist") < box / chosen)).select("src")
-        last = chosen == 3 and cells is None
-        parts.append(table if last else table.join(whole, "src", "left_semi"))
-        if not last:
-            lacking = materialize(lacking.join(whole.withColumnRenamed("src", "id"), "id", "left_anti"), "lacking")
-        if last or lacking.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        require(cells is None, f"a point has fewer than {k} neighbours within a cell of {box / chosen:.6g}")
-        chosen = max(3, chosen // 2)
+    if cells is None:
+        return tree_neighbours(points, k, box)
+    pairs = close_pairs(points, points, box, cells)
+    rank = F.row_number().over(Window.partitionBy(*CELL, "src").orderBy("d2", "dst"))
+    table = materialize(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "rank", "dst", F.sqrt("d2").alias("dist")), "neighbours")
+    whole = table.filter((F.col("rank") == k) & (F.col("dist") < box / cells)).select(F.col("src").alias("id"))
+    require(points.join(whole, "id", "left_anti").isEmpty(), f"a point has fewer than {k} neighbours within a cell of {box / cells:.6g}")
+    return table
 
 
 def target_radius(n: int, degree: float, box: float) -> float:
@@ -88,44 +73,13 @@ def radius_edges(points: DataFrame, radius: float, box: float) -> DataFrame:
     return close_pairs(points, points, box, cells).filter(F.sqrt("d2") <= radius).select("src", "dst", F.sqrt("d2").alias("dist"))
 
 
-def reachable_cells(sources: DataFrame, box: float, cells: int, span: int, radii: list[float]) -> DataFrame:
-    """src, its cell and coordinates, and every cell around that a sphere may reach, with the first (low) and last (high)
-    of the radii's shells that the cell's points can lie in."""
-    side = box / cells
-    out = with_cells(sources, box, cells).select(F.col("id").alias("src"), *[F.col(c).cast("double").alias(f"{c}_src") for c in "xyz"], *[F.col(c).alias(f"own_{c}") for c in CELL])
-    out = out.withColumns({"nearest": F.lit(0.0), "farthest": F.lit(0.0)})
-    for c in "xyz":
-        out = out.withColumn(f"s{c}", F.explode(F.array(*[F.lit(s) for s in range(-span, span + 1)])))
-        low = (F.col(f"own_c{c}") + F.col(f"s{c}")) * side - F.col(f"{c}_src")
-        least = F.greatest(low, -(low + side), F.lit(0.0))
-        most = F.greatest(F.abs(low), F.abs(low + side))
-        near = F.least(least, F.greatest(float(box) - most, F.lit(0.0)))  # also by the way around the box
-        out = out.withColumns({"nearest": F.col("nearest") + near * near, "farthest": F.col("farthest") + F.pow(F.least(most, F.lit(box / 2)), F.lit(2.0))})
-    shell = lambda d2: sum((F.when(d2 > r * r, 1).otherwise(0) for r in radii), F.lit(0))
-    out = out.withColumns({"nearest": F.col("nearest") * (1 - 1e-9), "farthest": F.col("farthest") * (1 + 1e-9)}).filter(F.col("nearest") <= radii[-1] ** 2)
-    out = out.withColumns({"low": shell(F.col("nearest")), "high": shell(F.col("farthest"))})
-    return out.select("src", *[f"{c}_src" for c in "xyz"], *[F.pmod(F.col(f"own_c{c}") + F.col(f"s{c}"), F.lit(cells)).alias(f"c{c}") for c in "xyz"], F.expr("sx = 0 and sy = 0 and sz = 0").alias("home"), "low", "high")
-
-
 def counts_in_spheres(centres: DataFrame, points: DataFrame, radii: list[float], box: float, cells: int) -> DataFrame:
     """center, r_index, radius, count: points within each radius (inclusive) of each centre, itself left out.
 
-    Every centre has a row for every radius, also where the count is zero. Cells out of reach are left out; of a cell
-    that lies in one shell between two radii, only the number of its points is taken, and its points meet nobody.
+    Every centre has a row for every radius, also where the count is zero. Raises where a grid of so many cells a side
+    would be spanned by the largest radius; the counting itself goes by a tree of cells, see tree_counts.
     """
     span = math.ceil(radii[-1] / (box / cells))
     require(2 * span + 1 <= cells, "the largest radius spans the whole grid")
     require(radii[-1] < box / 2, "the largest radius is over half the box")
-    reach = reachable_cells(centres, box, cells, span, radii)
-    placed = with_cells(points, box, cells)
-    inside = reach.filter("low = high and not home").join(placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")), CELL)
-    inside = inside.groupBy(F.col("src").alias("center"), F.col("low").alias("r_index")).agg(F.sum("n").alias("count"))
-    met = reach.filter("low < high or home").join(placed.select(*CELL, F.col("id").alias("dst"), *[F.col(c).cast("double").alias(f"{c}_dst") for c in "xyz"]), CELL)
-    d2 = periodic_distance2([F.col(f"{c}_src") for c in "xyz"], [F.col(f"{c}_dst") for c in "xyz"], box)
-    met = met.filter("src != dst").select("src", d2.alias("d2")).filter(F.col("d2") <= radii[-1] ** 2)
-    index = sum((F.when(F.col("d2") > r * r, 1).otherwise(0) for r in radii), F.lit(0))
-    hits = met.groupBy(F.col("src").alias("center"), index.alias("r_index")).count()
-    hits = hits.unionByName(inside).groupBy("center", "r_index").agg(F.sum("count").alias("count"))
-    grid = centres.select(F.col("id").alias("center"), F.posexplode(F.array(*[F.lit(float(r)) for r in radii])).alias("r_index", "radius"))
-    upto = Window.partitionBy("center").orderBy("r_index").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(hits, ["center", "r_index"], "left").select("center", "r_index", "radius", F.sum(F.coalesce("count", F.lit(0))).over(upto).alias("count"))
+    return tree_counts(centres, points, radii, box)
