@@ -92,11 +92,17 @@ def i14_prefactor(spark, sf):
     return rounded(length.prefactor_summary(x, "x", "length"))
 
 
-CANDIDATES = [("sweep", "a", 10.1), ("sweep", "b", 10.5), ("sweep", "c", 10.2)]
+def i17_adopted(spark, sf):
+    """The preferred label is not there, so the median over the modes' calibrations is adopted."""
+    per_mode = length.pooled_diffusivity(decay(spark, sf), ["n2"], 2, 20, 4)
+    return rounded(length.adopted_calibration(per_mode.select(F.lit("sweep").alias("kind"), F.col("n2").cast("string").alias("label"), F.col("a_rms").alias("a")), "none"))
 
 
-def i17_adopted(spark, sf):
-    return length.adopted_calibration(spark.createDataFrame(CANDIDATES, "kind string, label string, a double"), "z")
+def i16_merged_harmonics(spark, sf):
+    """Tables of two harmonics each, merged where every time has all, and fitted again."""
+    d = decay(spark, sf)
+    parts = [d.filter(c).withColumn("harmonic", F.col("n2").cast("int")) for c in ("n2 <= 2", "n2 > 2")]
+    return rounded(length.pooled_diffusivity(length.merged_harmonics(parts, [1, 2, 3, 4]), [], 2, 20, 4))
 
 
 def i18_sensitivity(spark, sf):
@@ -216,38 +222,46 @@ def l8_compare_shells(spark, sf):
 
 
 def l5_shell_geometry(spark, sf):
-    return spectrum.shell_geometry(spark, 6)
+    """Modes of each complete shell, beside those that the transform of the points has."""
+    measured = shells(spark, sf).select("n2", F.col("n_modes").alias("measured"))
+    return spectrum.shell_geometry(spark, M // 2 - 1).join(measured, "n2", "left")
 
 
-def analytic(spark, power: float = 1.0):
-    return spectrum.shell_geometry(spark, 6).select("n2", (TAU * F.sqrt("n2")).alias("k"), (1e5 / (F.pow(F.col("n2").cast("double"), F.lit(power)) + 1)).alias("p"), "n_modes")
+#: Catalogues: all points, and two choices of them.
+CATALOGUES = {"every": "true", "even": "id % 2 = 0", "third": "id % 3 = 0"}
 
 
-def shell_sql(name: str, power: float = 1.0) -> str:
-    return f"{name} AS (SELECT a * a + b * b + c * c AS n2, {TAU!r}::DOUBLE * sqrt(a * a + b * b + c * c) AS k, 1e5 / (pow(a * a + b * b + c * c, {power}) + 1) AS p, count(*) AS n_modes FROM range(-6, 7) x(a), range(-6, 7) y(b), range(-6, 7) z(c) WHERE a * a + b * b + c * c BETWEEN 1 AND 36 GROUP BY 1, 2, 3)"
+def catalogue(spark, sf, name):
+    """Shell spectrum (n2, k, p, n_modes) of a catalogue's points."""
+    chosen = points(spark, sf).filter(CATALOGUES[name])
+    n = chosen.count()
+    field = spectrum.density_contrast(spectrum.nearest_grid_counts(chosen, BOX, M), M, n)
+    return spectrum.shell_spectrum(spectrum.transform(field, M), BOX, M, n).select("n2", "k", F.col("p_raw").alias("p"), "n_modes")
 
 
-GRID = [10.0, 14.0, 20.0, 27.0, 40.0, 55.0]
-KERNEL = f"{shell_sql('shells')}, grid AS (SELECT unnest([{', '.join(map(str, GRID))}])::DOUBLE AS radius), variance AS (SELECT radius, sum(n_modes * p * exp(-pow(k * radius, 2) / 6)) / 1e6 AS sigma2 FROM shells, grid GROUP BY 1)"
+def linear_table(spark, sf):
+    """A spectrum (k, p) from the curve of the events, days standing for wave numbers."""
+    return curve(spark, sf).select((0.05 * F.pow(F.lit(1.09), F.col("t").cast("double"))).alias("k"), (1e4 * F.col("p")).alias("p"))
 
 
+GRID = [10.0, 14.0, 20.0, 27.0, 40.0, 55.0]
 def m1_filtered_variance(spark, sf):
-    return rounded(heatkernel.filtered_variance(analytic(spark), heatkernel.radius_grid(spark, GRID), VOLUME))
+    return rounded(heatkernel.filtered_variance(catalogue(spark, sf, "every"), heatkernel.radius_grid(spark, GRID), VOLUME))
 
 
 def m2_log_derivatives(spark, sf):
-    v = heatkernel.filtered_variance(analytic(spark), heatkernel.radius_grid(spark, GRID), VOLUME)
+    v = heatkernel.filtered_variance(catalogue(spark, sf, "every"), heatkernel.radius_grid(spark, GRID), VOLUME)
     return rounded(heatkernel.log_derivatives(v).select("radius", "x", "gamma"))
 
 
 def m3_interpolate(spark, sf):
-    v = heatkernel.filtered_variance(analytic(spark), heatkernel.radius_grid(spark, GRID), VOLUME)
+    v = heatkernel.filtered_variance(catalogue(spark, sf, "every"), heatkernel.radius_grid(spark, GRID), VOLUME)
     at = spark.range(1, 15).select((F.col("id") * 4.5).alias("at"))
     return rounded(heatkernel.interpolate_at(at, v, "radius", "sigma2"))
 
 
 def m4_contributions(spark, sf):
-    return rounded(heatkernel.shell_contributions(analytic(spark), 20.0))
+    return rounded(heatkernel.shell_contributions(catalogue(spark, sf, "every"), 20.0))
 
 
 def m6_weighted_fit(spark, sf):
@@ -256,44 +270,36 @@ def m6_weighted_fit(spark, sf):
 
 
 def m8_filtered_ratio(spark, sf):
-    return rounded(heatkernel.filtered_ratio(analytic(spark), analytic(spark, 1.5), heatkernel.radius_grid(spark, GRID), VOLUME))
+    return rounded(heatkernel.filtered_ratio(catalogue(spark, sf, "every"), catalogue(spark, sf, "even"), heatkernel.radius_grid(spark, GRID), VOLUME))
 
 
 def m9_three_way(spark, sf):
-    first = heatkernel.same_geometry(analytic(spark), analytic(spark, 1.5))
-    return rounded(heatkernel.power_ratios(first, {"b": analytic(spark, 1.5), "c": analytic(spark, 0.5)}))
+    first = heatkernel.same_geometry(catalogue(spark, sf, "every"), catalogue(spark, sf, "even"))
+    return rounded(heatkernel.power_ratios(first, {"b": catalogue(spark, sf, "even"), "c": catalogue(spark, sf, "third")}))
 
 
 BANDS = [("low", 0.0, 0.2), ("mid", 0.1, 0.3), ("all", 0.0, 1.0)]
 
 
 def m10_band_summary(spark, sf):
-    ratios = heatkernel.power_ratios(analytic(spark), {"b": analytic(spark, 1.5)}).withColumnRenamed("ratio_b", "ratio")
+    ratios = heatkernel.power_ratios(catalogue(spark, sf, "every"), {"b": catalogue(spark, sf, "even")}).withColumnRenamed("ratio_b", "ratio")
     return rounded(heatkernel.band_summary(ratios, spark.createDataFrame(BANDS, "band string, k_lo double, k_hi double")))
 
 
-def linear_table(spark):
-    return spark.range(0, 12).select((0.05 * F.pow(F.lit(1.25), F.col("id").cast("double"))).alias("k"), (500 / (1 + F.col("id"))).cast("double").alias("p"))
-
-
 def m12_bias(spark, sf):
-    return rounded(heatkernel.bias(analytic(spark), linear_table(spark)).select("n2", "p_lin", "bias"))
+    return rounded(heatkernel.bias(catalogue(spark, sf, "every"), linear_table(spark, sf)).select("n2", "p_lin", "bias"))
 
 
 def m12_effective_bias(spark, sf):
-    return rounded(heatkernel.effective_bias(heatkernel.bias(analytic(spark), linear_table(spark)), 20.0))
-
-
-LINEAR = "lin AS (SELECT 0.05::DOUBLE * pow(1.25::DOUBLE, i) AS k, 500.0::DOUBLE / (1 + i) AS p FROM range(12) r(i)), piece AS (SELECT k AS k0, p AS p0, lead(k) OVER (ORDER BY k) AS k1, lead(p) OVER (ORDER BY k) AS p1 FROM lin)"
-BIAS = f"{shell_sql('shells')}, {LINEAR}, biased AS (SELECT s.*, exp(ln(p0) + (ln(k) - ln(k0)) * (ln(p1) - ln(p0)) / (ln(k1) - ln(k0))) AS p_lin FROM shells s JOIN piece ON k >= k0 AND k < k1)"
+    return rounded(heatkernel.effective_bias(heatkernel.bias(catalogue(spark, sf, "every"), linear_table(spark, sf)), 20.0))
 
 
 def n3_mode_powers(spark, sf):
-    return rounded(synthetic.mode_powers(linear_table(spark), M, BOX))
+    return rounded(synthetic.mode_powers(linear_table(spark, sf), M, BOX))
 
 
 def n2_mode_powers_linear(spark, sf):
-    return rounded(synthetic.mode_powers(linear_table(spark), M, BOX, "linear"))
+    return rounded(synthetic.mode_powers(linear_table(spark, sf), M, BOX, "linear"))
 
 
 def n5_mesh_at_points(spark, sf):
@@ -302,7 +308,7 @@ def n5_mesh_at_points(spark, sf):
 
 def n1_recovered_density(spark, sf):
     """A Gaussian field, its displacement, and the field recovered from it: their largest difference is near zero."""
-    modes = synthetic.coloured_modes(synthetic.white_noise(spark, M, 3), synthetic.mode_powers(linear_table(spark), M, BOX), M, BOX)
+    modes = synthetic.coloured_modes(synthetic.white_noise(spark, M, 3), synthetic.mode_powers(linear_table(spark, sf), M, BOX), M, BOX)
     half = F.expr(" or ".join(f"i{c} = {M // 2}" for c in "xyz"))
     modes = modes.withColumns({c: F.when(half, 0.0).otherwise(F.col(c)) for c in ("re", "im")})
     fields = {c: synthetic.real_part(spectrum.transform(synthetic.displacement_modes(modes, c, M, BOX), M, inverse=True)) for c in "xyz"}
@@ -334,7 +340,7 @@ def n8_effective_cells(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    i4_shell_length, i5_pooled_diffusivity, i6_mode_diffusivity, i7_radius, i9_lengths_at, i10_merge_lengths, i11_with_lengths, i12_containment, i13_origin_fit, i14_prefactor, i17_adopted, i18_sensitivity,
+    i4_shell_length, i5_pooled_diffusivity, i6_mode_diffusivity, i7_radius, i9_lengths_at, i10_merge_lengths, i11_with_lengths, i12_containment, i13_origin_fit, i14_prefactor, i16_merged_harmonics, i17_adopted, i18_sensitivity,
     j2_binned_curve, j3_linearity, j4_weighted_bins, j4_log_bins, j5_identity, k5_density_curve, k6_joint_criterion, k7_bootstrap_scales,
     l1_mesh_counts, l2_contrast, l3_transform, l3_transform_by_sums, l5_shell_spectrum, l5_shell_geometry, l7_linear_bins, l8_compare_shells,
     m1_filtered_variance, m2_log_derivatives, m3_interpolate, m4_contributions, m6_weighted_fit, m8_filtered_ratio, m9_three_way, m10_band_summary, m12_bias, m12_effective_bias,
@@ -382,11 +388,33 @@ SHELLS = f"{dft()}, modes AS (SELECT {sign('ix')} AS nx, {sign('iy')} AS ny, {si
 MODE_N2 = f"SELECT DISTINCT {sign('a')} * {sign('a')} + {sign('b')} * {sign('b')} + {sign('c')} * {sign('c')} AS n2 FROM range({M}) x(a), range({M}) y(b), range({M}) z(c)"
 
 
+LINEAR = f"{CURVE}, lin AS (SELECT 0.05::DOUBLE * pow(1.09::DOUBLE, t) AS k, 1e4 * p AS p FROM curve), piece AS (SELECT k AS k0, p AS p0, lead(k) OVER (ORDER BY k) AS k1, lead(p) OVER (ORDER BY k) AS p1 FROM lin)"
+
+
 def mode_power(inside: str) -> str:
     return f"WITH {LINEAR}, m AS (SELECT n2::INT AS n2, {TAU!r}::DOUBLE * sqrt(n2) AS k FROM ({MODE_N2}) WHERE n2 > 0) SELECT n2, round(coalesce(CASE WHEN k = (SELECT max(k) FROM lin) THEN (SELECT max_by(p, k) FROM lin) ELSE {inside} END, 0), 6) AS p FROM m LEFT JOIN piece ON k >= k0 AND k < k1"
 
 
+def catalogue_sql(name: str) -> str:
+    """Shell spectrum of a catalogue by three sums; needs points, cells and phase."""
+    parts = [f"{name}_p AS (SELECT * FROM points WHERE {CATALOGUES[name]}), {name}_h AS (SELECT floor(x / 12.5)::INT AS ix, floor(y / 12.5)::INT AS iy, floor(z / 12.5)::INT AS iz, count(*) AS n FROM {name}_p GROUP BY 1, 2, 3), {name}_f AS (SELECT ix, iy, iz, coalesce(n, 0) / ((SELECT count(*) FROM {name}_p) / {M**3}::DOUBLE) - 1 AS v FROM cells LEFT JOIN {name}_h USING (ix, iy, iz))"]
+    source, re_im = f"{name}_f", "v AS re, 0.0::DOUBLE AS im"
+    for axis in ("ix", "iy", "iz"):
+        rest = ", ".join(a for a in ("ix", "iy", "iz") if a != axis)
+        parts.append(f"{name}_{axis} AS (SELECT k AS {axis}, {rest}, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM (SELECT ix, iy, iz, {re_im} FROM {source}) JOIN phase ON i = {axis} GROUP BY k, {rest})")
+        source, re_im = f"{name}_{axis}", "re, im"
+    parts.append(f"{name} AS (SELECT n2, {TAU!r}::DOUBLE * sqrt(n2) AS k, p, n_modes FROM (SELECT nx * nx + ny * ny + nz * nz AS n2, avg((re * re + im * im) * {VOLUME / M**6!r}::DOUBLE / pow({sinc('nx')} * {sinc('ny')} * {sinc('nz')}, 2)) AS p, count(*) AS n_modes FROM (SELECT {sign('ix')} AS nx, {sign('iy')} AS ny, {sign('iz')} AS nz, re, im FROM {name}_iz) WHERE nx <> 0 OR ny <> 0 OR nz <> 0 GROUP BY 1))")
+    return ", ".join(parts)
+
+
+def catalogues_sql(*names: str) -> str:
+    head = f"{POINTS}, cells AS (SELECT a::INT AS ix, b::INT AS iy, c::INT AS iz FROM range({M}) x(a), range({M}) y(b), range({M}) z(c)), phase AS (SELECT k::INT AS k, i::INT AS i, cos(-2 * pi() / {M} * k * i) AS c, sin(-2 * pi() / {M} * k * i) AS s FROM range({M}) a(k), range({M}) b(i))"
+    return ", ".join([head, *map(catalogue_sql, names)])
+
+
+KERNEL = f"{catalogues_sql('every')}, grid AS (SELECT unnest([{', '.join(map(str, GRID))}])::DOUBLE AS radius), variance AS (SELECT radius, sum(n_modes * p * exp(-pow(k * radius, 2) / 6)) / 1e6 AS sigma2 FROM every, grid GROUP BY 1)"
 LOGLOG = "exp(ln(p0) + (ln(k) - ln(k0)) * (ln(p1) - ln(p0)) / (ln(k1) - ln(k0)))"
+BIAS = f"{catalogues_sql('every')}, {LINEAR}, biased AS (SELECT s.*, {LOGLOG} AS p_lin FROM every s JOIN piece ON k >= k0 AND k < k1)"
 CORNERS = " UNION ALL ".join(f"SELECT id, ({'fx' if o & 1 else '(1 - fx)'}) * ({'fy' if o & 2 else '(1 - fy)'}) * ({'fz' if o & 4 else '(1 - fz)'}) AS w, (jx + {o & 1}) % {M} AS ix, (jy + {o >> 1 & 1}) % {M} AS iy, (jz + {o >> 2 & 1}) % {M} AS iz FROM spots" for o in range(8))
 TAILS = """c AS (SELECT *, max(median) OVER (PARTITION BY diffusion_time ORDER BY r) AS curve, count(*) OVER (PARTITION BY diffusion_time) AS n, row_number() OVER (PARTITION BY diffusion_time ORDER BY r DESC) AS back FROM bins WHERE pair_count >= 20),
   tail AS (SELECT diffusion_time, quantile_cont(curve, 0.5) AS plateau, min(r) AS tail_start, count(*) AS tail_bins, (max(curve) - min(curve)) / quantile_cont(curve, 0.5) AS tail_rise FROM c WHERE back <= greatest(1, ceil(n * 0.2)) GROUP BY 1),
@@ -412,7 +440,8 @@ ORACLE_SQL = {
     "i12_containment": f"WITH {BINS}, {TAILS} SELECT diffusion_time, round(plateau, 6) AS plateau, tail_start, tail_bins, round(tail_rise, 6) AS tail_rise, tail_rise <= 0.15 AS accepted, {reach(0.4)}, {reach(0.5)}, {reach(0.6)} FROM tail",
     "i13_origin_fit": f"WITH {LENGTHS} SELECT n, round(a, 6) AS slope, round(sqrt(chi2 / (n - 1) / sxx), 6) AS slope_se, round((yy - sy * sy / n - sse) / (yy - sy * sy / n), 6) AS r2, round(sqrt(sse / n), 6) AS rmse, round(sqrt(sse / yy), 6) AS relative_rmse FROM {origin(ROOT, 'x', 'length')}",
     "i14_prefactor": f"WITH {LENGTHS}, f AS (SELECT a FROM {origin(ROOT, 'x', 'length')}), r AS (SELECT length / (a * sqrt(diffusion_time)) - 1 AS r, a FROM lengths, f) SELECT round(max(a), 6) AS a, round(sqrt(avg(r * r)), 6) AS rms, round(max(abs(r)), 6) AS largest FROM r",
-    "i17_adopted": "SELECT 10.2::DOUBLE AS a",
+    "i16_merged_harmonics": f"WITH {DECAY} SELECT {POOLED} FROM ({pooled()})",
+    "i17_adopted": f"WITH {DECAY}, p AS (SELECT sqrt(6 * d) AS a FROM ({pooled('n2')})) SELECT round(quantile_cont(a, 0.5), 6) AS a FROM p",
     "i18_sensitivity": f"WITH {DECAY}, p AS (SELECT sqrt(6 * d) AS a, r2 FROM ({pooled('n2')})) SELECT round(max(a) - min(a), 6) AS spread, round((max(a) - min(a)) / avg(a), 6) AS relative_spread, round(min(r2), 6) AS r2_min, round(max(r2), 6) AS r2_max FROM p",
     "j2_binned_curve": f"WITH {MEASURED}, {BINNED} SELECT bin, round(20 + (bin + 0.5) * 5, 6)::DOUBLE AS center, pair_count, round(median, 6) AS median, round(q16, 6) AS q16, round(q84, 6) AS q84 FROM binned",
     "j3_linearity": f"WITH {MEASURED}, {BINNED}, u AS (SELECT (20 + (bin + 0.5) * 5)::DOUBLE AS center, median FROM binned WHERE pair_count >= 5) SELECT n AS n_bins, round(a, 6) AS linear_scale, round(sqrt(sse / n) / (sy / n), 6) AS relative_rmse, round((SELECT pow(corr(center, median), 2) FROM u), 6) AS linear_r2 FROM {origin('u', 'center', 'median')}",
@@ -426,7 +455,7 @@ ORACLE_SQL = {
     "l3_transform": f"WITH {dft()} SELECT ix, iy, iz, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM fiz",
     "l3_transform_by_sums": f"WITH {dft()} SELECT ix, iy, iz, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM fiz",
     "l5_shell_spectrum": f"WITH {SHELLS} SELECT n2, round(k, 6) AS k, round(p_raw, 6) AS p_raw, round(p_shot, 6) AS p_shot, round(p_raw - p_shot, 6) AS p_sub, n_modes FROM spec",
-    "l5_shell_geometry": "SELECT a * a + b * b + c * c AS n2, count(*) AS n_modes FROM range(-6, 7) x(a), range(-6, 7) y(b), range(-6, 7) z(c) WHERE a * a + b * b + c * c BETWEEN 1 AND 36 GROUP BY 1",
+    "l5_shell_geometry": f"WITH {SHELLS}, g AS (SELECT a * a + b * b + c * c AS n2, count(*) AS n_modes FROM range(-3, 4) x(a), range(-3, 4) y(b), range(-3, 4) z(c) WHERE a * a + b * b + c * c BETWEEN 1 AND 9 GROUP BY 1) SELECT g.n2, g.n_modes, spec.n_modes AS measured FROM g LEFT JOIN spec USING (n2)",
     "l7_linear_bins": f"WITH {SHELLS} SELECT floor(k / 0.1)::BIGINT AS bin, sum(n_modes)::BIGINT AS n_modes, round(sum(k * n_modes) / sum(n_modes), 6) AS k_mean, round(sum((p_raw - p_shot) * n_modes) / sum(n_modes), 6) AS p_mean FROM spec GROUP BY 1",
     "l8_compare_shells": f"WITH {SHELLS} SELECT n2, round(k, 6) AS k, n_modes, round(p_raw / (1000.0 / n2), 6) AS ratio FROM spec WHERE n2 <= 16 AND n2 IN (SELECT a * a + b * b + c * c FROM range(5) x(a), range(5) y(b), range(5) z(c))",
     "m1_filtered_variance": f"WITH {KERNEL} SELECT radius, round(sigma2, 6) AS sigma2 FROM variance",
@@ -434,11 +463,11 @@ ORACLE_SQL = {
     + ", ".join(f"round(-(CASE WHEN x0 IS NULL THEN ({c}1 - {c}) / (x1 - lx) WHEN x1 IS NULL THEN ({c} - {c}0) / (lx - x0) ELSE (pow(lx - x0, 2) * {c}1 - pow(x1 - lx, 2) * {c}0 + (pow(x1 - lx, 2) - pow(lx - x0, 2)) * {c}) / ((lx - x0) * (x1 - lx) * (x1 - x0)) END), 6) AS {n}" for c, n in (("a", "x"), ("b", "gamma")))
     + " FROM g",
     "m3_interpolate": f"WITH {KERNEL}, s AS (SELECT radius AS x0, sigma2 AS y0, lead(radius) OVER w AS x1, lead(sigma2) OVER w AS y1 FROM variance WINDOW w AS (ORDER BY radius)), q AS (SELECT i * 4.5::DOUBLE AS a FROM range(1, 15) r(i)) SELECT a AS \"at\", round(CASE WHEN a < 10 THEN (SELECT max(sigma2) FROM variance) WHEN a >= 55 THEN (SELECT min(sigma2) FROM variance) ELSE y0 + (a - x0) * (y1 - y0) / (x1 - x0) END, 6) AS value FROM q LEFT JOIN s ON a >= x0 AND a < x1",
-    "m4_contributions": f"WITH {shell_sql('shells')}, c AS (SELECT *, n_modes * p * exp(-pow(k * 20, 2) / 6) AS c FROM shells) SELECT n2, round(k, 6) AS k, n_modes, round(c, 6) AS contribution, round(c / (SELECT sum(c) FROM c), 6) AS share FROM c ORDER BY c DESC, n2 LIMIT 20",
+    "m4_contributions": f"WITH {catalogues_sql('every')}, c AS (SELECT *, n_modes * p * exp(-pow(k * 20, 2) / 6) AS c FROM every) SELECT n2, round(k, 6) AS k, n_modes, round(c, 6) AS contribution, round(c / (SELECT sum(c) FROM c), 6) AS share FROM c ORDER BY c DESC, n2 LIMIT 20",
     "m6_weighted_fit": f"WITH {SPECTRAL}, u AS (SELECT 1 / t::DOUBLE AS x, ds - 3 AS y, t::DOUBLE AS w FROM spectral WHERE ds IS NOT NULL) SELECT n, round(a, 6) AS slope, round(sqrt(chi2 / (n - 1) / sxx), 6) AS slope_se, round(1 / sqrt(sxx), 6) AS slope_formal_se, round((yy - sy * sy / n - sse) / (yy - sy * sy / n), 6) AS r2, round(sqrt(sse / n), 6) AS rmse, round(sqrt(sse / yy), 6) AS relative_rmse, round(chi2, 6) AS chi2, round(chi2 / (n - 1), 6) AS reduced_chi2 FROM {origin('u', 'x', 'y', '', 'w')}",
-    "m8_filtered_ratio": f"WITH {KERNEL}, {shell_sql('other', 1.5)}, second AS (SELECT radius, sum(n_modes * p * exp(-pow(k * radius, 2) / 6)) / 1e6 AS s FROM other, grid GROUP BY 1) SELECT radius, round(sigma2, 6) AS sigma2_first, round(s, 6) AS sigma2_second, round(sigma2 / s, 6) AS ratio FROM variance JOIN second USING (radius)",
-    "m9_three_way": f"WITH {shell_sql('a')}, {shell_sql('b', 1.5)}, {shell_sql('c', 0.5)} SELECT a.n2, round(a.k, 6) AS k, a.n_modes, round(a.p, 6) AS p, round(b.p, 6) AS p_b, round(c.p, 6) AS p_c, round(a.p / b.p, 6) AS ratio_b, round(a.p / c.p, 6) AS ratio_c FROM a JOIN b USING (n2) JOIN c USING (n2)",
-    "m10_band_summary": f"WITH {shell_sql('a')}, {shell_sql('b', 1.5)}, r AS (SELECT a.k, a.n_modes, a.p / b.p AS ratio FROM a JOIN b USING (n2)), bands AS (SELECT * FROM (VALUES {', '.join(map(str, BANDS))}) v(band, k_lo, k_hi)) SELECT band, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS median, round(quantile_cont(ratio, 0.16), 6) AS q16, round(quantile_cont(ratio, 0.84), 6) AS q84, round(exp(avg(ln(ratio))), 6) AS log_mean, round(sum(ratio * n_modes) / sum(n_modes), 6) AS weighted FROM r JOIN bands ON k >= k_lo AND k < k_hi GROUP BY band",
+    "m8_filtered_ratio": f"WITH {KERNEL}, {catalogue_sql('even')}, second AS (SELECT radius, sum(n_modes * p * exp(-pow(k * radius, 2) / 6)) / 1e6 AS s FROM even, grid GROUP BY 1) SELECT radius, round(sigma2, 6) AS sigma2_first, round(s, 6) AS sigma2_second, round(sigma2 / s, 6) AS ratio FROM variance JOIN second USING (radius)",
+    "m9_three_way": f"WITH {catalogues_sql('every', 'even', 'third')} SELECT a.n2, round(a.k, 6) AS k, a.n_modes, round(a.p, 6) AS p, round(b.p, 6) AS p_b, round(c.p, 6) AS p_c, round(a.p / b.p, 6) AS ratio_b, round(a.p / c.p, 6) AS ratio_c FROM every a JOIN even b USING (n2) JOIN third c USING (n2)",
+    "m10_band_summary": f"WITH {catalogues_sql('every', 'even')}, r AS (SELECT a.k, a.n_modes, a.p / b.p AS ratio FROM every a JOIN even b USING (n2)), bands AS (SELECT * FROM (VALUES {', '.join(map(str, BANDS))}) v(band, k_lo, k_hi)) SELECT band, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS median, round(quantile_cont(ratio, 0.16), 6) AS q16, round(quantile_cont(ratio, 0.84), 6) AS q84, round(exp(avg(ln(ratio))), 6) AS log_mean, round(sum(ratio * n_modes) / sum(n_modes), 6) AS weighted FROM r JOIN bands ON k >= k_lo AND k < k_hi GROUP BY band",
     "m12_bias": f"WITH {BIAS} SELECT n2, round(p_lin, 6) AS p_lin, round(sqrt(p / p_lin), 6) AS bias FROM biased",
     "m12_effective_bias": f"WITH {BIAS} SELECT round(sqrt(sum(n_modes * p) / sum(n_modes * p_lin)), 6) AS mode_bias, round(sqrt(sum(n_modes * exp(-pow(k * 20, 2) / 6) * p) / sum(n_modes * exp(-pow(k * 20, 2) / 6) * p_lin)), 6) AS kernel_bias, round(sum(n_modes * sqrt(p / p_lin)) / sum(n_modes), 6) AS mean_bias FROM biased",
     "n2_mode_powers_linear": mode_power("p0 + (k - k0) * (p1 - p0) / (k1 - k0)"),
