@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import require
@@ -61,6 +61,18 @@ def require_complete(trace: DataFrame, n_probes: int, times: list[int]) -> DataF
     return trace
 
 
+def with_orders(trace: DataFrame) -> DataFrame:
+    """The trace with each row's place (from 0) if ordered by probe, then time, and if by time, then probe.
+
+    Of a complete trace; places come from the ranks of probes and times, so that no row is sorted.
+    """
+    ranked = {c: trace.select(c).distinct().withColumn(f"{c}_rank", F.row_number().over(Window.orderBy(c)) - 1) for c in ("probe_index", "diffusion_time")}  # a row for each probe, or time
+    sizes = trace.agg(F.count_distinct("probe_index").alias("probes"), F.count_distinct("diffusion_time").alias("times"))
+    out = trace.join(ranked["probe_index"], "probe_index").join(ranked["diffusion_time"], "diffusion_time").crossJoin(F.broadcast(sizes))
+    by_probe, by_time = F.expr("probe_index_rank * times + diffusion_time_rank"), F.expr("diffusion_time_rank * probes + probe_index_rank")
+    return out.select(*trace.columns, by_probe.alias("by_probe"), by_time.alias("by_time"))
+
+
 def pivot_trace(trace: DataFrame, times: list[int], value: str = "individual_trace_estimate") -> DataFrame:
     """One row per probe with a column t<time> each; raises where one is missing."""
     wide = trace.groupBy("probe_index").pivot("diffusion_time", times).agg(F.first(value))

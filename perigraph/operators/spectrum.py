@@ -57,6 +57,48 @@ def transform(field: DataFrame, m: int, inverse: bool = False) -> DataFrame:
     return planes.groupBy("ix").applyInArrow(along((1,), "ix", ("iy", "iz")), schema)
 
 
+#: Values that a task of real_transform holds at most, unless one line is longer.
+PENCIL = 1 << 16
+
+
+def real_transform(field: DataFrame, m: int, pencil: int = PENCIL) -> DataFrame:
+    """The transform of a real field v, iz only up to m / 2, as the rest mirrors it: half the rows of transform.
+
+    Lines along one axis after the other, in bundles of so many values: a task never holds a plane, and the mesh's side is
+    bounded by a line alone.
+    """
+    half = m // 2 + 1
+
+    def along(axis: str, first: bool):
+        others = [c for c in ("ix", "iy", "iz") if c != axis]
+
+        def run(table: pa.Table) -> pa.Table:
+            a, b, at = (table.column(c).to_numpy().astype(np.int64) for c in (*others, axis))
+            keys, line = np.unique(a * m + b, return_inverse=True)
+            values = np.zeros((len(keys), m), float if first else complex)
+            values[line, at] = table.column("v").to_numpy() if first else table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+            out = np.fft.rfft(values, axis=1) if first else np.fft.fft(values, axis=1)
+            n = out.shape[1]
+            found = {others[0]: np.repeat(keys // m, n), others[1]: np.repeat(keys % m, n), axis: np.tile(np.arange(n), len(keys))}
+            return pa.table({**{c: pa.array(found[c].astype(np.int32)) for c in ("ix", "iy", "iz")}, "re": out.real.ravel(), "im": out.imag.ravel()})
+
+        return run
+
+    schema, out = "ix int, iy int, iz int, re double, im double", field.select("ix", "iy", "iz", F.col("v").cast("double").alias("v"))
+    for axis in ("iz", "iy", "ix"):
+        a, b = (c for c in ("ix", "iy", "iz") if c != axis)
+        wide = half if b == "iz" else m
+        bundle = F.expr(f"({a} * {wide}L + {b}) div {max(1, pencil // m)}").alias("bundle")
+        out = out.groupBy(bundle).applyInArrow(along(axis, axis == "iz"), schema)
+    return out
+
+
+def completed(modes: DataFrame, m: int) -> DataFrame:
+    """All modes from those that real_transform gives."""
+    mirrored = modes.filter(f"iz > 0 and 2 * iz < {m}").select(*[F.expr(f"cast(({m} - {c}) % {m} as int)").alias(c) for c in ("ix", "iy", "iz")], "re", (-F.col("im")).alias("im"))
+    return modes.unionByName(mirrored)
+
+
 def transform_by_sums(field: DataFrame, m: int) -> DataFrame:
     """The same forward transform by three joins with a table of phases and three aggregations; for small meshes."""
     angle = F.lit(-2 * math.pi / m) * F.col("k") * F.col("i")
@@ -75,15 +117,17 @@ def frequency(index: str, m: int) -> str:
     return f"(case when {index} <= {m // 2} then {index} else {index} - {m} end)"
 
 
-def shell_spectrum(modes: DataFrame, box: float, m: int, n_points: int, k_max: float | None = None, window: bool = True) -> DataFrame:
+def shell_spectrum(modes: DataFrame, box: float, m: int, n_points: int, k_max: float | None = None, window: bool = True, half: bool = False) -> DataFrame:
     """Per shell of whole n2 = nx^2 + ny^2 + nz^2 > 0: n2, k, p_raw, p_shot, p_sub, n_modes.
 
-    Power is |v|^2 V / N^2, corrected for the nearest-grid window; the transform is complete, so each mode counts once.
+    Power is |v|^2 V / N^2, corrected for the nearest-grid window. Each mode of a complete transform counts once; of a half one
+    (real_transform), modes whose mirror is left out count twice.
     """
     out = modes.withColumns({f"n{c}": F.expr(frequency(f"i{c}", m)) for c in "xyz"}).withColumn("n2", F.expr("nx * nx + ny * ny + nz * nz")).filter("n2 > 0")
     w = sinc(F.col("nx") / float(m)) * sinc(F.col("ny") / float(m)) * sinc(F.col("nz") / float(m)) if window else F.lit(1.0)
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * (box**3 / float(m) ** 6) / (w * w)
-    shells = out.groupBy("n2").agg(F.avg(power).alias("p_raw"), F.count(F.lit(1)).alias("n_modes"))
+    times = F.when((F.col("iz") > 0) & (2 * F.col("iz") < m), 2).otherwise(1) if half else F.lit(1)
+    shells = out.groupBy("n2").agg((F.sum(power * times) / F.sum(times)).alias("p_raw"), F.sum(times).cast("long").alias("n_modes"))
     shot = box**3 / n_points if n_points else 0.0
     shells = shells.select("n2", (2 * math.pi / box * F.sqrt("n2")).alias("k"), "p_raw", F.lit(shot).alias("p_shot"), (F.col("p_raw") - shot).alias("p_sub"), "n_modes")
     return shells if k_max is None else shells.filter(F.col("k") <= k_max)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as boots
 from ..operators import crossing as op
 from ..operators import fits, merge
-from .fixtures import BOOT, BOOT_SPECTRAL, CURVE, SPECTRAL, TRACE, boot_means, crossing, curve, persistent, quantiles, rounded, trace, windowed
+from .fixtures import BOOT, BOOT_SPECTRAL, CURVE, PROBES, REPLICATES, SPECTRAL, TRACE, boot_means, crossing, curve, persistent, quantiles, rounded, trace, windowed
 
 V = "individual_trace_estimate"
 MARGIN = "(0.1D - abs(ds - 3D))"
@@ -45,6 +45,30 @@ def e5_integrity(spark, sf):
     return merge.integrity(trace(spark, sf))
 
 
+def e7_orders(spark, sf):
+    """Places of a trace's rows by probe and by time."""
+    return rounded(merge.with_orders(trace(spark, sf).select("probe_index", "diffusion_time", "individual_trace_estimate")))
+
+
+def e9_probe_matrix(spark, sf):
+    """Two traces of the same probes and times, held to be complete; one that lacks a row is refused."""
+    t, days = trace(spark, sf), list(range(1, 31))
+    whole = merge.require_complete(t, PROBES, days)
+    try:
+        merge.require_complete(t.filter("probe_index <> 3 or diffusion_time <> 7"), PROBES, days)
+        refused = False
+    except ValueError:
+        refused = True
+    return rounded(whole.groupBy("probe_index").agg(F.count(F.lit(1)).alias("n"), F.sum("individual_trace_estimate").alias("total")).withColumn("refused", F.lit(refused)))
+
+
+def g1_drawn_units(spark, sf):
+    """How often each probe of the trace is drawn over all replicates, with replacement, as many times as there are probes."""
+    probes = trace(spark, sf).select(F.col("probe_index").alias("unit")).distinct()
+    counts = boots.multiplicities(boots.lattice_draws(spark, REPLICATES, probes.count()))
+    return probes.join(counts, "unit").groupBy("unit").agg(F.sum("c").alias("times"), F.count(F.lit(1)).alias("replicates"))
+
+
 def e6_common_times(spark, sf):
     a, b = halves(spark, sf)
     return rounded(merge.merge_on_common_times(a.filter("diffusion_time <= 20"), b.filter("diffusion_time >= 10"), 8))
@@ -215,7 +239,7 @@ def h13_sign_change(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    e2_merge_batches, e3_merge_by_time, e4_time_summary, e5_integrity, e6_common_times, e8_pivot, e10_null_control,
+    e2_merge_batches, e3_merge_by_time, e4_time_summary, e5_integrity, e6_common_times, e7_orders, e8_pivot, e9_probe_matrix, g1_drawn_units, e10_null_control,
     f1_spectral_dimension, f3_shifted_window, f4_forward_windows, f5_probe_windows, f6_range_fits, f7_gradient_dimension, f8_gated, f9_fixed_slope, f10_power_law, f11_window_summary, f12_compensated, f13_range_summary, f14_plateau,
     g2_bootstrap_means, g3_lognormal, g5_bootstrap_bands, g7_agreement, g11_tails, g12_amplitudes,
     h1_first_persistent, h2_interpolated_crossing, h2_crossing_bands, h4_linear_crossing, h5_central_gates, h6_persistence_flags, h7_downward, h8_first_at_least, h9_truncation, h9_latest_start, h10_failure_modes, h11_probe_crossings, h12_first_departure, h13_sign_change,
@@ -256,6 +280,9 @@ ORACLE_SQL = {
     "e4_time_summary": f"WITH {TRACE}, {SUMMARY} SELECT diffusion_time, n AS n_probes, round(m, 6) AS trace_mean, round(s, 6) AS trace_std, round(s / sqrt(n), 6) AS trace_se, round(m / 100, 6) AS p_return, round(s / sqrt(n) / 100, 6) AS p_return_se, round(s / sqrt(n) / m, 6) AS relative_se FROM summary",
     "e5_integrity": f"WITH {TRACE} SELECT count(*) AS n_rows, count(DISTINCT (probe_index, diffusion_time)) AS n_cells, 0::BIGINT AS n_repeated, (SELECT min(n) FROM (SELECT count(*) AS n FROM trace GROUP BY probe_index)) AS min_per_probe, count(DISTINCT probe_index) AS n_probes, min(probe_index) AS first_probe, max(probe_index) AS last_probe, (SELECT min(n) FROM (SELECT count(*) AS n FROM trace GROUP BY diffusion_time)) AS min_per_time, count(DISTINCT diffusion_time) AS n_times FROM trace",
     "e6_common_times": f"WITH {TRACE} SELECT probe_index, diffusion_time, round({V}, 6) AS {V} FROM trace WHERE diffusion_time BETWEEN 10 AND 20",
+    "e7_orders": f"WITH {TRACE} SELECT probe_index, diffusion_time, round({V}, 6) AS {V}, row_number() OVER (ORDER BY probe_index, diffusion_time) - 1 AS by_probe, row_number() OVER (ORDER BY diffusion_time, probe_index) - 1 AS by_time FROM trace",
+    "e9_probe_matrix": f"WITH {TRACE} SELECT probe_index, count(*) AS n, round(sum({V}), 6) AS total, true AS refused FROM trace GROUP BY 1",
+    "g1_drawn_units": f"WITH {BOOT} SELECT unit, sum(c)::BIGINT AS times, count(*) AS replicates FROM draws WHERE unit IN (SELECT probe_index FROM trace) GROUP BY 1",
     "e8_pivot": f"WITH {TRACE} SELECT probe_index, " + ", ".join(f"round(max({V}) FILTER (diffusion_time = {t}), 6) AS t{t}" for t in range(1, 31)) + " FROM trace GROUP BY 1",
     "e10_null_control": f"WITH {TRACE}, {SUMMARY} SELECT probe_index, diffusion_time, round({V} / m * (SELECT m FROM summary WHERE diffusion_time = 5) * pow(diffusion_time / 5.0::DOUBLE, -1.5), 6) AS {V} FROM trace JOIN summary USING (diffusion_time)",
     "f1_spectral_dimension": f"WITH {SPECTRAL} SELECT t, round(ds, 6) AS ds, round(r2, 6) AS r2, round(rms, 6) AS rms FROM spectral",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometric_grid, linear_grid
-from ..operators import blocks
+from ..operators import blocks, checkpoints
 from ..operators import diffusion as walk
 from ..operators import graph as op
 from ..operators import spatial
+from ..operators.selection import target_count
 from ..session import fresh_path
-from .fixtures import BOX, GRAPH, K, KNN, POINTS, d2, knn_graph, neighbours, points, rounded
+from .fixtures import BOX, GRAPH, K, KNN, POINTS, TRACE, d2, knn_graph, neighbours, points, rounded, trace
 from .selection import pair_list
 
 VECTORS = [(1, 0, 0), (0, 1, 0), (1, 1, 0), (1, 1, 1)]
@@ -115,15 +116,12 @@ def d1_gaussian_probes(spark, sf):
 
 
 def d7_resume_point(spark, sf):
-    days = spark.createDataFrame([(t,) for t in (0, 256, 512, 768, 1024)], "time int")
-    wanted = spark.createDataFrame([(t,) for t in (512, 640, 768, 896, 1024)], "time int")
-    done = spark.createDataFrame([(512,), (768,)], "time int")
-    return walk.resume_point(days, wanted, done)
+    """Days of the events: every eighth has a checkpoint, every third is asked for, those before the 20th are done."""
+    days = trace(spark, sf).select(F.col("diffusion_time").alias("time")).distinct()
+    return walk.resume_point(days.filter("time % 8 = 0"), days.filter("time % 3 = 0"), days.filter("time % 3 = 0 and time < 20"))
 
 
 def d8_missing_times(spark, sf):
-    from .fixtures import trace
-
     times = trace(spark, sf).select("diffusion_time").distinct()
     return spark.range(1, 40).select(F.col("id").cast("int").alias("diffusion_time")).join(times, "diffusion_time", "left_anti")
 
@@ -172,20 +170,40 @@ def c20_reconciled(spark, sf):
 
 
 def k3_guard(spark, sf):
-    """Radii over half the box, or that span the whole grid, are refused."""
-    p, out = points(spark, sf).limit(0), []
+    """Radii over half the box, or that span the whole grid, are refused (no pairs); of the others, all pairs within them."""
+    p, out = points(spark, sf), []
     for radius, cells in ((20.0, 10), (45.0, 10), (51.0, 200)):
         try:
-            spatial.counts_in_spheres(p, p, [radius], BOX, cells)
-            out.append((radius, False))
+            counts = spatial.counts_in_spheres(p, p, [radius], BOX, cells)
+            out.append(counts.agg(F.lit(radius).alias("radius"), F.sum("count").alias("pairs"), F.lit(False).alias("refused")))
         except ValueError:
-            out.append((radius, True))
-    return spark.createDataFrame(out, "radius double, refused boolean")
+            out.append(spark.range(1).select(F.lit(radius).alias("radius"), F.lit(0).cast("long").alias("pairs"), F.lit(True).alias("refused")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def k4_radii(spark, sf):
-    rows = [("log", i, r) for i, r in enumerate(geometric_grid(5.0, 80.0, 9))] + [("linear", i, r) for i, r in enumerate(linear_grid(5.0, 80.0, 6))]
-    return rounded(spark.createDataFrame(rows, "grid string, i int, radius double"))
+    """Grids between the least and the largest distance of neighbours, and how many lie within each inner radius."""
+    found = neighbours(spark, sf)
+    lo, hi = found.agg(F.min("dist"), F.max("dist")).first()
+    grid = [("log", i, r) for i, r in enumerate(geometric_grid(lo, hi, 9))] + [("linear", i, r) for i, r in enumerate(linear_grid(lo, hi, 6))]
+    grid = [g for g in grid if lo < g[2] < hi]
+    counted = found.agg(F.array(*[F.struct(F.lit(n).alias("grid"), F.lit(i).alias("i"), F.lit(r).alias("radius"), F.count_if(F.col("dist") <= r).alias("n")) for n, i, r in grid]).alias("g"))
+    return rounded(counted.select(F.explode("g").alias("e")).select("e.*"))
+
+
+def b1_target_count(spark, sf):
+    """Points that cubes of some sides should hold at the box's density, and how many they do."""
+    p = points(spark, sf)
+    density, sides = p.count() / BOX**3, (20, 30, 40, 60, 90)
+    rows = [F.struct(F.lit(s).alias("side"), F.lit(target_count(density, float(s))).cast("long").alias("target"), F.count_if((F.col("x") < s) & (F.col("y") < s) & (F.col("z") < s)).alias("found")) for s in sides]
+    return p.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("e")).select("e.*")
+
+
+def d6_kept_states(spark, sf):
+    """A trace whose states are committed and removed as it runs; the states that are left."""
+    edges, folder = knn_graph(spark, sf), fresh_path(spark, "d6")
+    out = checkpoints.resumable_trace(edges, op.degrees(edges), probes(spark, sf), folder, [1, 2], 1, 1, curve_blocks(spark, sf), 2)
+    return rounded(out).withColumn("n_states", F.lit(len(checkpoints.StateLog(spark, folder).names("states"))).cast("long"))
 
 
 def d9_resumed(spark, sf):
@@ -211,7 +229,7 @@ def j6_later_distances(spark, sf):
     return rounded(walk.distances_at_checkpoints(pair_list(spark, sf), folder, [1]).drop("diffusion_time"))
 
 
-QUERIES = {f.__name__: f for f in (c4_guard, c12_zero_degree, c20_reconciled, k3_guard, k4_radii, d9_resumed, i15_harmonics, j6_later_distances, c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
+QUERIES = {f.__name__: f for f in (b1_target_count, d6_kept_states, c4_guard, c12_zero_degree, c20_reconciled, k3_guard, k4_radii, d9_resumed, i15_harmonics, j6_later_distances, c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
 
 
 def statistics(value: str) -> str:
@@ -260,7 +278,9 @@ ORACLE_SQL = {
     "d4_trace": f"WITH {WALKED}, e AS ({ESTIMATES}) SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM e",
     "d5_trace_summary": f"""WITH {WALKED}, e AS ({ESTIMATES}), n AS (SELECT count(*) AS n FROM points), s AS (SELECT diffusion_time, count(*) AS n_probes, avg(individual_trace_estimate) AS trace, stddev_samp(individual_trace_estimate) / sqrt(3) AS se FROM e WHERE diffusion_time <> 1 GROUP BY 1)
       SELECT diffusion_time, n_probes, round(trace, 6) AS trace, round(se, 6) AS trace_se, round(trace / n, 6) AS p_return, round(se / n, 6) AS p_return_se, round(se / trace, 6) AS relative_se FROM s, n""",
-    "d7_resume_point": "SELECT 512 AS resume, 640 AS first_missing",
+    "d7_resume_point": f"WITH {TRACE}, days AS (SELECT DISTINCT diffusion_time AS t FROM trace), missing AS (SELECT min(t) AS m FROM days WHERE t % 3 = 0 AND t >= 20) SELECT max(t) AS resume, max(m) AS first_missing FROM days, missing WHERE t % 8 = 0 AND t <= m",
+    "b1_target_count": f"WITH {POINTS}, s AS (SELECT unnest([20, 30, 40, 60, 90])::INT AS side) SELECT side, round((SELECT count(*) FROM points) * side * side * side / 1e6)::BIGINT AS target, (SELECT count(*) FROM points WHERE x < side AND y < side AND z < side) AS found FROM s",
+    "d6_kept_states": f"WITH {WALKED}, e AS ({ESTIMATES}) SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate, 2::BIGINT AS n_states FROM e WHERE diffusion_time > 0",
     "d8_missing_times": "SELECT i::INT AS diffusion_time FROM range(1, 40) r(i) WHERE i NOT IN (SELECT day(ts) FROM events WHERE value > 0)",
     "d10_single_source": f"WITH {GRAPH}, s0 AS (SELECT id, (id = 7)::INT::DOUBLE AS y0 FROM points), {stepped('s0', ['y0'], 's1')}, {stepped('s1', ['y0'], 's2')}, {stepped('s2', ['y0'], 's3')} SELECT id, round(1000 * y0, 6) AS y0 FROM s3 WHERE y0 > 0",
     "i2_mode_correlations": f"WITH {GRAPH}, {MODES}, {stepped('mode', NAMES, 'm1')}, {stepped('m1', NAMES, 'm2')} {CORRELATIONS}",
@@ -271,8 +291,8 @@ ORACLE_SQL = {
     "c4_guard": f"WITH {KNN}, kth AS (SELECT max(dist) AS most FROM knn WHERE rank = {K}) SELECT cells::INT AS cells, most >= {BOX} / cells AS refused FROM kth, (SELECT unnest([3, 40]) AS cells)",
     "c12_zero_degree": "SELECT 7::BIGINT AS id, 1e-20::DOUBLE AS degree, true AS refused",
     "c20_reconciled": "SELECT unnest(['n_isolated', 'max_degree']) AS name",
-    "k3_guard": "SELECT r::DOUBLE AS radius, r >= 50 OR 2 * ceil(r / (100.0 / c)) + 1 > c AS refused FROM (VALUES (20.0, 10), (45.0, 10), (51.0, 200)) t(r, c)",
-    "k4_radii": "SELECT 'log' AS grid, i::INT AS i, round(5 * pow(16, i / 8.0), 6) AS radius FROM range(9) r(i) UNION ALL SELECT 'linear', i::INT, round(5 + 15.0::DOUBLE * i, 6) FROM range(6) r(i)",
+    "k3_guard": f"WITH {POINTS}, near AS (SELECT count(*) AS n FROM points a JOIN points b ON a.id <> b.id WHERE {d2('a', 'b')} <= 400) SELECT r::DOUBLE AS radius, CASE WHEN r = 20 THEN (SELECT n FROM near) ELSE 0 END AS pairs, r >= 50 OR 2 * ceil(r / (100.0 / c)) + 1 > c AS refused FROM (VALUES (20.0, 10), (45.0, 10), (51.0, 200)) t(r, c)",
+    "k4_radii": f"WITH {KNN}, ends AS (SELECT min(dist) AS lo, max(dist) AS hi FROM knn), g AS (SELECT 'log' AS grid, i::INT AS i, lo * pow(hi / lo, i / 8.0::DOUBLE) AS radius FROM ends, range(1, 8) r(i) UNION ALL SELECT 'linear', i::INT, lo + (hi - lo) * i / 5.0::DOUBLE FROM ends, range(1, 5) r(i)) SELECT grid, i, round(radius, 6) AS radius, (SELECT count(*) FROM knn WHERE dist <= g.radius) AS n FROM g",
     "d9_resumed": f"WITH {WALKED}, e AS ({ESTIMATES}) SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM e WHERE diffusion_time > 0",
     "i15_harmonics": f"WITH {GRAPH}, {MODES}, {stepped('mode', NAMES, 'm1')}, {stepped('m1', NAMES, 'm2')} {CORRELATIONS}",
 }

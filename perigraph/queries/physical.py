@@ -197,7 +197,7 @@ def l2_contrast(spark, sf):
 
 
 def l3_transform(spark, sf):
-    return rounded(spectrum.transform(contrast(spark, sf), M), 5)
+    return rounded(spectrum.completed(spectrum.real_transform(contrast(spark, sf), M, 4 * M), M), 5)
 
 
 def l3_transform_by_sums(spark, sf):
@@ -205,7 +205,7 @@ def l3_transform_by_sums(spark, sf):
 
 
 def shells(spark, sf):
-    return spectrum.shell_spectrum(spectrum.transform(contrast(spark, sf), M), BOX, M, points(spark, sf).count())
+    return spectrum.shell_spectrum(spectrum.real_transform(contrast(spark, sf), M), BOX, M, points(spark, sf).count(), half=True)
 
 
 def l5_shell_spectrum(spark, sf):
@@ -236,7 +236,7 @@ def catalogue(spark, sf, name):
     chosen = points(spark, sf).filter(CATALOGUES[name])
     n = chosen.count()
     field = spectrum.density_contrast(spectrum.nearest_grid_counts(chosen, BOX, M), M, n)
-    return spectrum.shell_spectrum(spectrum.transform(field, M), BOX, M, n).select("n2", "k", F.col("p_raw").alias("p"), "n_modes")
+    return spectrum.shell_spectrum(spectrum.real_transform(field, M), BOX, M, n, half=True).select("n2", "k", F.col("p_raw").alias("p"), "n_modes")
 
 
 def linear_table(spark, sf):
@@ -331,6 +331,11 @@ def n7_weights(spark, sf):
     return rounded(synthetic.biased_weights(contrast(spark, sf), 1.5).withColumn("p", F.col("p") * 1000))
 
 
+def n9_float_wrap(spark, sf):
+    """Places just below the box's end, in single precision: those that round up to the end wrap."""
+    return points(spark, sf).select("id", synthetic.as_float(BOX - F.col("x") * 1e-7, BOX).alias("x"))
+
+
 def n8_field_statistics(spark, sf):
     return rounded(synthetic.field_statistics(contrast(spark, sf)))
 
@@ -344,7 +349,7 @@ QUERIES = {f.__name__: f for f in (
     j2_binned_curve, j3_linearity, j4_weighted_bins, j4_log_bins, j5_identity, k5_density_curve, k6_joint_criterion, k7_bootstrap_scales,
     l1_mesh_counts, l2_contrast, l3_transform, l3_transform_by_sums, l5_shell_spectrum, l5_shell_geometry, l7_linear_bins, l8_compare_shells,
     m1_filtered_variance, m2_log_derivatives, m3_interpolate, m4_contributions, m6_weighted_fit, m8_filtered_ratio, m9_three_way, m10_band_summary, m12_bias, m12_effective_bias,
-    n1_recovered_density, n2_mode_powers_linear, n3_mode_powers, n5_mesh_at_points, n6_displaced, n7_sampled_cells, n7_weights, n8_field_statistics, n8_effective_cells,
+    n1_recovered_density, n2_mode_powers_linear, n3_mode_powers, n5_mesh_at_points, n6_displaced, n7_sampled_cells, n7_weights, n9_float_wrap, n8_field_statistics, n8_effective_cells,
 )}
 
 
@@ -474,6 +479,7 @@ ORACLE_SQL = {
     "n3_mode_powers": mode_power(LOGLOG),
     "n5_mesh_at_points": f"WITH {MESH}, spots AS (SELECT id, floor(x / 12.5)::INT AS jx, floor(y / 12.5)::INT AS jy, floor(z / 12.5)::INT AS jz, x / 12.5 - floor(x / 12.5) AS fx, y / 12.5 - floor(y / 12.5) AS fy, z / 12.5 - floor(z / 12.5) AS fz FROM points), corner AS ({CORNERS}) SELECT id, round(sum(w * v), 6) AS value FROM corner JOIN field USING (ix, iy, iz) GROUP BY id",
     "n7_weights": f"WITH {MESH} SELECT ix, iy, iz, round(1000 * exp(1.5 * v) / (SELECT sum(exp(1.5 * v)) FROM field), 6) AS p FROM field",
+    "n9_float_wrap": f"WITH {POINTS} SELECT id, CASE WHEN (100 - x * 1e-7)::FLOAT >= 100 THEN 0::FLOAT ELSE (100 - x * 1e-7)::FLOAT END AS x FROM points",
     "n8_field_statistics": f"WITH {MESH} SELECT round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, round(sqrt(avg(v * v)), 6) AS rms FROM field",
     "n8_effective_cells": f"WITH {MESH}, w AS (SELECT exp(v) / (SELECT sum(exp(v)) FROM field) AS p FROM field) SELECT round(1 / sum(p * p), 6) AS n_effective FROM w",
 }
