@@ -8,6 +8,7 @@ from .. import columns
 from ..operators import diffusion
 from ..session import fresh_path, require
 from ..sources import arrays, documents, files
+from ..streaming import read_sample, sample_stream
 from .fixtures import GRAPH, POINTS, TRACE, knn_graph, points, rounded, table, trace
 
 TRACE_SCHEMA = "diffusion_time int, probe_index int, individual_trace_estimate double"
@@ -60,6 +61,20 @@ def a17_raw_sink(spark, sf):
     return parts.agg(F.sum("length").alias("bytes")).withColumn("overwrite_refused", F.lit(refused))
 
 
+#: A draw that any engine can repeat; for comparisons, not for statistics.
+DRAW = "(l_orderkey * 1000003 + l_partkey * 7919 + l_suppkey * 31 + l_linenumber * 104729) % 2147483647"
+
+
+def b5_reservoir(spark, sf):
+    """The lines of all orders, arriving as four files in two batches, and the sample that the stream's reservoirs hold."""
+    path, columns = fresh_path(spark, "b5"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    lines = table(spark, sf, "lineitem").select(*columns)
+    lines.repartition(4).write.parquet(f"{path}/lines")
+    rows = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/lines")
+    sample_stream(rows, 200, columns, f"{path}/sample", f"{path}/checkpoint", draw=F.expr(DRAW)).awaitTermination()
+    return read_sample(spark, f"{path}/sample", 200, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+
+
 def b14_required(spark, sf):
     """Columns that a table of points must have: their sums; a table that lacks one is refused."""
     p = columns.require_columns(points(spark, sf), ["id", "x", "y", "z"])
@@ -169,7 +184,7 @@ def a21_digests(spark, sf):
     return files.file_digests(spark, f"{path}/part-*").select("length", "sha256")
 
 
-QUERIES = {f.__name__: f for f in (a3_points, a4_array, a5_bundle, a6_sparse_matrix, a17_raw_sink, b14_required, a7_csv, a8_commented_table, a9_probe_directory, a10_discovery, a12_documents, a13_summary, a15_append_once, a19_checked_write, a20_saved_times, a21_digests)}
+QUERIES = {f.__name__: f for f in (a3_points, a4_array, a5_bundle, a6_sparse_matrix, a17_raw_sink, b5_reservoir, b14_required, a7_csv, a8_commented_table, a9_probe_directory, a10_discovery, a12_documents, a13_summary, a15_append_once, a19_checked_write, a20_saved_times, a21_digests)}
 
 ROWS = f"WITH {TRACE} SELECT diffusion_time, probe_index, round(individual_trace_estimate, 6) AS individual_trace_estimate FROM trace"
 ORACLE_SQL = {
@@ -179,6 +194,7 @@ ORACLE_SQL = {
     "a5_bundle": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) - 1 AS row, l_partkey AS part FROM lineitem",
     "a6_sparse_matrix": f"WITH {GRAPH} SELECT src, dst, w FROM graph",
     "a17_raw_sink": "SELECT (12 * count(*))::BIGINT AS bytes, true AS overwrite_refused FROM part",
+    "b5_reservoir": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem ORDER BY {DRAW}, l_orderkey LIMIT 200",
     "b14_required": f"WITH {POINTS} SELECT count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, true AS refused FROM points",
     "a7_csv": ROWS,
     "a8_commented_table": "SELECT c_custkey::DOUBLE AS key, round(c_acctbal::DOUBLE, 6) AS balance FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_acctbal > 0",
