@@ -26,7 +26,8 @@ def engine():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "-" if v is None or v != v else repr(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)
+    # An integer column with nulls comes as floats from one engine and as integers from the other.
+    text = lambda v: "-" if v is None or v != v else repr(round(float(v), 6) + 0.0) if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in r) for r in df.astype(object).where(df.notna(), None).itertuples(index=False))
 
 
