@@ -160,8 +160,9 @@ class TemplateIndex:
         alike = len(own & with_own) >= CONTAINMENT * min(len(own), len(with_own))
         return label != with_label and alike and (other, len(with_own)) > (share, len(own)) and (other > share or own < with_own)
 
-    def scan(self, text: bytes, words: list[bytes]) -> list[tuple[int, str, float]]:
-        """line, label and containment of the templates found in a text's lines and windows."""
+    def scan(self, text: bytes, words: list[bytes]) -> list[tuple[int, str, float, bool]]:
+        """line, label, containment and whether another template fits better, of all templates found in a text's lines and
+        windows."""
         whole = self.find(set(words))
         if not whole:
             return []
@@ -171,16 +172,21 @@ class TemplateIndex:
         size, starts, longest = self.lengths, [x[0] for x in windows], max(self.lengths)
         meet = lambda x, y: 2 * (min(x[0] + size[x[1]], y[0] + size[y[1]]) - max(x[0], y[0])) > min(size[x[1]], size[y[1]])
         around = lambda x: windows[bisect_left(starts, x[0] - longest) : bisect_left(starts, x[0] + size[x[1]])]
-        windows = [x for x in windows if not any(meet(x, y) and self.explained(x[1], x[2], y[1], y[2]) for y in around(x))]
         best: dict[tuple[int, int], float] = {}
+        outdone: dict[tuple[int, int], float] = {}
         for at, k, share in windows:
-            best[line_of[at], k] = max(share, best.get((line_of[at], k), 0.0))
+            x = (at, k, share)
+            into = outdone if any(meet(x, y) and self.explained(k, share, y[1], y[2]) for y in around(x)) else best
+            into[line_of[at], k] = max(share, into.get((line_of[at], k), 0.0))
         for number, line in enumerate(lines):
             inside = self.find(set(line))
             for k, share in inside:
-                if (number, k) in best or not any(self.explained(k, share, j, other) for j, other in inside):
-                    best[number, k] = max(share, best.get((number, k), 0.0))
-        return [(number, self.templates[k][0], share) for (number, k), share in sorted(best.items())]
+                fits = (number, k) in best or not any(self.explained(k, share, j, other) for j, other in inside)
+                into = best if fits else outdone
+                into[number, k] = max(share, into.get((number, k), 0.0))
+        found = {key: (share, False) for key, share in best.items()}
+        found = {key: (share, True) for key, share in outdone.items()} | found
+        return [(number, self.templates[k][0], share, flag) for (number, k), (share, flag) in sorted(found.items())]
 
 
 def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[int, str]]:
@@ -194,12 +200,14 @@ def phrase_places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[
     return found
 
 
-def license_scan(docs: DataFrame, containment: float = CONTAINMENT, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, containment: float = CONTAINMENT, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", all_labels: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    A block is a line, or a window of as many words as the template has; a template is found in it when the block holds
-    the given share of the template's distinct tokens, unless a template of another label that shares most tokens
-    with it fits the place better. blocks lists (line, label, containment), a window by its first line. score is the best containment found, 1 where a phrase stands, else 0. Null
+    A block is a line, or a window of as many words as the template has (of windows that overlap, the best one); a template
+    is found in it when the block holds the given share of the template's distinct tokens. blocks lists all that are found
+    (line, label, containment, outdone), a window by its first line; outdone tells that a template of another label that
+    shares most tokens with it fits the place better, as a notice of the lesser license holds that of the general one.
+    labels and score leave outdone blocks aside unless all_labels is set. score is the best containment, 1 where a phrase stands, else 0. Null
     texts count as empty: no words, no labels (""), null places. Lines and texts may have any length. Rows that repeat
     an id each get a row; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -218,15 +226,16 @@ def license_scan(docs: DataFrame, containment: float = CONTAINMENT, phrases: dic
                 text = data[a:b]
                 words = text.split()
                 places = phrase_places(words, wanted)
-                blocks = [{"line": number, "label": label, "containment": share} for number, label, share in index.scan(text, words)]
+                blocks = [{"line": number, "label": label, "containment": share, "outdone": outdone} for number, label, share, outdone in index.scan(text, words)]
+                counted = [x for x in blocks if all_labels or not x["outdone"]]
                 base = {label for _, label in places}
                 starts = [at for at, _ in places]
-                score = 1.0 if places else max((x["containment"] for x in blocks), default=0.0)
-                out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x["label"] for x in blocks})), score, blocks))
+                score = 1.0 if places else max((x["containment"] for x in counted), default=0.0)
+                out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x["label"] for x in counted})), score, blocks))
             columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("outdone", pa.bool_())]))]
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: long, label: string, containment: double>>")
+    return texts.mapInArrow(run, f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line: long, label: string, containment: double, outdone: boolean>>")

@@ -358,6 +358,23 @@ def test_license_scan(spark, odd_docs, empty_docs):
     assert license_scan.license_scan(odd_docs).count() == len(ODD) and license_scan.license_scan(empty_docs).count() == 0
 
 
+def test_every_block_over_the_threshold_is_listed(spark):
+    """Also those of templates that another one outdoes: their labels count only if asked for."""
+    notices = dict(license_scan.TEMPLATES[:16])
+    texts = [notices["lgpl"], notices["cc-by-sa"], "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License, this work is."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    sets = license_scan.template_sets(license_scan.TEMPLATES)
+    for i, t in enumerate(texts):
+        own = license_scan.token_set(t)
+        want = {label for label, x in sets if len(own & x) >= 0.8 * len(x)}
+        assert {b["label"] for b in got[i]["blocks"]} == want and len(want) > 1
+    assert [got[i]["labels"] for i in (0, 1)] == ["lgpl", "cc-by-sa"]
+    assert {b["label"]: b["outdone"] for b in got[0]["blocks"]}["gpl"] and {b["label"]: b["containment"] for b in got[1]["blocks"]}["cc-by"] == 1.0
+    every = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs, all_labels=True).collect()}
+    assert "gpl" in every[0].split(",") and "cc-by" in every[1].split(",")
+
+
 def test_license_scan_of_wrapped_texts(spark):
     """Texts wrapped at 72 columns are found whole; a license is not taken for the ones whose names hold its own."""
     import textwrap
