@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import score_columns
 from ..session import require
-from .stores import file_handle, head_of
+from .arrays import opened
+from .stores import file_handle, head_of, listed
 
 
 def read_commented_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -52,8 +57,23 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of files of up to 2 GB each, one file to a row."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of files of any size, each streamed by the task that holds its name, a megabyte at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests = []
+            for name in batch["path"]:
+                system, where = opened(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(where) as file:
+                    while block := file.read(1 << 20):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield batch.assign(sha256=digests)
+
+    names = listed(spark, path)
+    files = spark.createDataFrame(names, "path string, length long").repartition(max(1, min(len(names), 1000)))
+    return files.mapInPandas(run, "path string, length long, sha256 string")
 
 
 def checked_write(df: DataFrame, path: str, expected_rows: int | None = None) -> int:

@@ -19,3 +19,12 @@ def head_of(spark: SparkSession, path: str, size: int) -> bytes:
         return bytes(stream.readNBytes(size))
     finally:
         stream.close()
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and length of the files that a path, a folder or a pattern names, empty ones too (Spark's readers skip those)."""
+    system, where = file_handle(spark, path)
+    found = list(system.globStatus(where) or [])
+    if len(found) == 1 and found[0].isDirectory():
+        found = list(system.listStatus(found[0].getPath()))
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName()[:1] not in "._")

@@ -29,6 +29,21 @@ def test_binary_points_and_arrays(spark, tmp_path):
     assert sorted(map(tuple, sources.read_sparse_matrix(spark, str(tmp_path / "m.npz")).collect())) == [(0, 1, 1.0), (0, 2, 2.0), (2, 0, 3.0)]
 
 
+def test_digests_of_long_files(spark, tmp_path):
+    """Files of over 2 GB (with holes) and of no byte, each in one stream."""
+    import hashlib
+
+    for name, size in (("long.bin", (1 << 31) + 17), ("none.bin", 0), ("some.bin", 5)):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(size)
+    want = hashlib.sha256()
+    for _ in range(1 << 11):
+        want.update(bytes(1 << 20))
+    want.update(bytes(17))
+    got = {r["path"].rsplit("/", 1)[-1]: (r["length"], r["sha256"]) for r in sources.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {"long.bin": ((1 << 31) + 17, want.hexdigest()), "none.bin": (0, hashlib.sha256(b"").hexdigest()), "some.bin": (5, hashlib.sha256(bytes(5)).hexdigest())}
+
+
 def test_probe_directory_checks_names(spark, tmp_path):
     folder = tmp_path / "probes"
     folder.mkdir()
