@@ -64,13 +64,15 @@ def require_complete(trace: DataFrame, n_probes: int, times: list[int]) -> DataF
 def with_orders(trace: DataFrame) -> DataFrame:
     """The trace with each row's place (from 0) if ordered by probe, then time, and if by time, then probe.
 
-    Of a complete trace; places come from the ranks of probes and times, so that no row is sorted.
+    A place is that within its probe (or time) and the rows of those before, so only one probe's rows are sorted at once.
     """
-    ranked = {c: trace.select(c).distinct().withColumn(f"{c}_rank", F.row_number().over(Window.orderBy(c)) - 1) for c in ("probe_index", "diffusion_time")}  # a row for each probe, or time
-    sizes = trace.agg(F.count_distinct("probe_index").alias("probes"), F.count_distinct("diffusion_time").alias("times"))
-    out = trace.join(ranked["probe_index"], "probe_index").join(ranked["diffusion_time"], "diffusion_time").crossJoin(F.broadcast(sizes))
-    by_probe, by_time = F.expr("probe_index_rank * times + diffusion_time_rank"), F.expr("diffusion_time_rank * probes + probe_index_rank")
-    return out.select(*trace.columns, by_probe.alias("by_probe"), by_time.alias("by_time"))
+    out = trace
+    for first, second, name in (("probe_index", "diffusion_time", "by_probe"), ("diffusion_time", "probe_index", "by_time")):
+        counts = trace.groupBy(first).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each probe, or time
+        own = F.row_number().over(Window.partitionBy(first).orderBy(second)) - 1
+        out = out.withColumn(name, own).join(counts.select(first, before.alias("before")), first).withColumn(name, F.col(name) + F.col("before")).drop("before")
+    return out.select(*trace.columns, "by_probe", "by_time")
 
 
 def pivot_trace(trace: DataFrame, times: list[int], value: str = "individual_trace_estimate") -> DataFrame:

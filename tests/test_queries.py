@@ -11,7 +11,7 @@ from perigraph.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: A query of each kind; PERIGRAPH_ALL=1 runs every one.
-SOME = ["b2_top_threshold", "b4_exact_top", "b7_cube", "b16_keep_last", "c3_neighbours", "c5_radius_graph", "c7_gaussian_graph", "c18_asymmetric", "d4_trace", "e4_time_summary", "f1_spectral_dimension", "f3_shifted_window", "f7_gradient_dimension", "g5_bootstrap_bands", "h2_interpolated_crossing", "h9_truncation", "i9_lengths_at", "i12_containment", "j1_diffusion_distances", "k7_bootstrap_scales", "l3_transform", "l5_shell_spectrum", "m2_log_derivatives", "n5_mesh_at_points", "o2_pair_counts", "o8_kaplan_meier", "q_set_operations"]
+SOME = ["a3_points", "a4_array", "a6_sparse_matrix", "b5_reservoir", "d6_kept_states", "d10_single_source", "e7_orders", "k2_counts_in_spheres", "k4_radii", "m9_three_way", "m12_bias", "n9_float_wrap", "b2_top_threshold", "b4_exact_top", "b7_cube", "b16_keep_last", "c3_neighbours", "c5_radius_graph", "c7_gaussian_graph", "c18_asymmetric", "d4_trace", "e4_time_summary", "f1_spectral_dimension", "f3_shifted_window", "f7_gradient_dimension", "g5_bootstrap_bands", "h2_interpolated_crossing", "h9_truncation", "i9_lengths_at", "i12_containment", "j1_diffusion_distances", "k7_bootstrap_scales", "l3_transform", "l5_shell_spectrum", "m2_log_derivatives", "n5_mesh_at_points", "o2_pair_counts", "o8_kaplan_meier", "q_set_operations"]
 
 
 @pytest.fixture(scope="module")
