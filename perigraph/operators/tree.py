@@ -49,9 +49,10 @@ def with_box(cells: DataFrame, box: float) -> DataFrame:
     return cells.withColumns({**{f"m{c}": F.expr(f"(2 * ({i}) + 1) * ({half})") for c, i in index.items()}, "half": F.expr(half)})
 
 
-def cell_tree(points: DataFrame, box: float, leaf: int = LEAF) -> CellTree:
-    """The tree of points (id, x, y, z in [0, box))."""
-    coded = materialize(points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).withColumn("code", morton_code(box, BITS)), "coded")
+def cell_tree(points: DataFrame, box: float, leaf: int = LEAF, bound: str | None = None) -> CellTree:
+    """The tree of points (id, x, y, z in [0, box)). With a column bound, leaves carry it packed, as bounds, and its greatest."""
+    limit = [] if bound is None else [F.col(bound).cast("double").alias("bound")]
+    coded = materialize(points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"], *limit).withColumn("code", morton_code(box, BITS)), "coded")
     total = coded.count()
     guess = min(BITS, max(1, math.ceil(math.log(max(total / leaf, 1), 8)) + 1))
     counts = materialize(coded.groupBy(at_depth(guess).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
@@ -82,9 +83,14 @@ def cell_tree(points: DataFrame, box: float, leaf: int = LEAF) -> CellTree:
         table = table.sort_by("id").combine_chunks()
         xyz = np.stack([table[c].to_numpy() for c in "xyz"], axis=1)
         one = table.slice(0, 1)
-        return pa.table({"depth": one["depth"], "cell": one["cell"], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "xyz": pa.array([xyz.astype("<f8").tobytes()], pa.binary())})
-
-    leaves = own.select("depth", "cell", "part", "id", *"xyz").groupBy("depth", "cell", "part").applyInArrow(pack, "depth int, cell long, ids binary, xyz binary")
+        packed = {"depth": one["depth"], "cell": one["cell"], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "xyz": pa.array([xyz.astype("<f8").tobytes()], pa.binary())}
+        if bound is not None:
+            most = table["bound"].to_numpy()
+            packed |= {"bounds": pa.array([most.astype("<f8").tobytes()], pa.binary()), "most2": pa.array([float(most.max())])}
+        return pa.table(packed)
+
+    schema = "depth int, cell long, ids binary, xyz binary" + (", bounds binary, most2 double" if limit else "")
+    leaves = own.drop("code", "n").groupBy("depth", "cell", "part").applyInArrow(pack, schema)
     leaves = materialize(leaves.withColumn("leaf", F.monotonically_increasing_id()), "leaves")
     return CellTree(cells, leaves, depths, float(box))
 
@@ -147,9 +153,9 @@ def unpacked(ids: bytes, xyz: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(xyz, "<f8").reshape(-1, 3)
 
 
-def nearest_of(own: np.ndarray, ids: np.ndarray, d2: np.ndarray, k: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of d2 the k least entries by (d2, id), without the row's own id and beyond most: row, id, d2."""
-    d2 = np.where((own[:, None] == ids[None, :]) | (d2 > most[:, None]), np.inf, d2)
+def nearest_of(own: np.ndarray, ids: np.ndarray, d2: np.ndarray, k: int, most: np.ndarray, others: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of d2 the k least entries by (d2, id), none beyond most and, of others, not the row's own id: row, id, d2."""
+    d2 = np.where((others & (own[:, None] == ids[None, :])) | (d2 > most[:, None]), np.inf, d2)
     if d2.shape[1] > k:
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
         d2 = np.where(d2 > kth[:, None], np.inf, d2)  # ties of the k-th stay
@@ -191,29 +197,41 @@ def tree_neighbours(points: DataFrame, k: int, box: float, leaf: int = LEAF) ->
                 yield pa.RecordBatch.from_arrays([pa.array([row["leaf"]], pa.int64()), pa.array([bound.astype("<f8").tobytes()], pa.binary()), pa.array([float(bound.max())])], names=["leaf", "bounds", "most2"])
 
     bounds = materialize(tree.leaves.select("leaf", "depth", "ids", "xyz").mapInArrow(within, "leaf long, bounds binary, most2 double"), "bounds")
-    pairs, _ = descend(as_sources(tree).join(bounds.select("leaf", "most2"), "leaf"), tree, lambda p: p.filter("low2 <= most2").withColumn("settled", F.lit(False)))
+    found = meet(tree, bounds, tree, k, others=True)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
+    return materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "rank", "dst", F.sqrt("d2").alias("dist")), "neighbours")
+
+
+def tree_within(centres: DataFrame, tree: CellTree, k: int, leaf: int = LEAF) -> DataFrame:
+    """id, dst, d2: of the tree's points within the squared distance most2 of each centre (id, x, y, z, most2) the nearest k
+    of each leaf that has any, so at least the k nearest of all."""
+    from_ = cell_tree(centres, tree.box, leaf, "most2")
+    return meet(from_, from_.leaves.select("leaf", "bounds", "most2"), tree, k, others=False).withColumnRenamed("src", "id")
+
+
+def meet(from_: CellTree, bounds: DataFrame, tree: CellTree, k: int, others: bool) -> DataFrame:
+    """NEAR: for each point of from_ the k nearest of every leaf of the tree that its bound (leaf, bounds, most2) reaches."""
+    box = tree.box
+    pairs, _ = descend(as_sources(from_).join(bounds.select("leaf", "most2"), "leaf"), tree, lambda p: p.filter("low2 <= most2").withColumn("settled", F.lit(False)))
     chunks = chunked(pairs, tree)
 
     def between(key, left: pa.Table, right: pa.Table) -> pa.Table:
         source = left.slice(0, 1).to_pylist()[0]
         own, xyz = unpacked(source["ids"], source["xyz"])
         most = np.frombuffer(source["bounds"], "<f8")
-        others = [unpacked(r["other_ids"], r["other_xyz"]) for r in right.to_pylist()]
         parts = [near_batch([], [], [])]
-        for ids, there in others:
+        for ids, there in [unpacked(r["other_ids"], r["other_xyz"]) for r in right.to_pylist()]:
             gap = np.abs(xyz - (there.min(axis=0) + there.max(axis=0)) / 2)
             gap = np.maximum(np.minimum(gap, box - gap) - (there.max(axis=0) - there.min(axis=0)) / 2, 0)
             may = (gap * gap).sum(axis=1) * (1 - SLACK) <= most  # points whose bound reaches these
             if may.any():
-                row, dst, d2 = nearest_of(own[may], ids, distances2(xyz[may], there, box), k, most[may])
+                row, dst, d2 = nearest_of(own[may], ids, distances2(xyz[may], there, box), k, most[may], others)
                 parts.append(near_batch(own[may][row], dst, d2))
         return pa.concat_tables(parts)
 
-    sides = tree.leaves.select("leaf", "ids", "xyz").join(bounds.select("leaf", "bounds"), "leaf")
+    sides = from_.leaves.select("leaf", "ids", "xyz").join(bounds.select("leaf", "bounds"), "leaf")
     left = chunks.select("leaf", F.col("chunk").alias("own_chunk")).distinct().join(sides, "leaf")
-    found = left.withColumnRenamed("leaf", "own_leaf").groupBy("own_leaf", "own_chunk").cogroup(chunks.groupBy("leaf", "chunk")).applyInArrow(between, NEAR)
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    return materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("src", "rank", "dst", F.sqrt("d2").alias("dist")), "neighbours")
+    return left.withColumnRenamed("leaf", "own_leaf").groupBy("own_leaf", "own_chunk").cogroup(chunks.groupBy("leaf", "chunk")).applyInArrow(between, NEAR)
 
 
 def tree_counts(centres: DataFrame, points: DataFrame, radii: list[float], box: float, leaf: int = LEAF) -> DataFrame:

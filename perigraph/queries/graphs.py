@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometric_grid, linear_grid
-from ..operators import blocks, checkpoints
+from ..operators import blocks, checkpoints, delaunay
 from ..operators import diffusion as walk
 from ..operators import graph as op
 from ..operators import spatial
@@ -39,6 +39,10 @@ def c8_tiles(spark, sf):
     return rounded(op.tile_periodic(points(spark, sf), BOX, 10.0))
 
 
+def c8_delaunay(spark, sf):
+    return delaunay.periodic_delaunay(points(spark, sf), BOX)
+
+
 def c9_truncated_graph(spark, sf):
     return op.neighbour_graph(neighbours(spark, sf), 3)
 
@@ -229,7 +233,7 @@ def j6_later_distances(spark, sf):
     return rounded(walk.distances_at_checkpoints(pair_list(spark, sf), folder, [1]).drop("diffusion_time"))
 
 
-QUERIES = {f.__name__: f for f in (b1_target_count, d6_kept_states, c4_guard, c12_zero_degree, c20_reconciled, k3_guard, k4_radii, d9_resumed, i15_harmonics, j6_later_distances, c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
+QUERIES = {f.__name__: f for f in (b1_target_count, d6_kept_states, c4_guard, c12_zero_degree, c20_reconciled, k3_guard, k4_radii, d9_resumed, i15_harmonics, j6_later_distances, c3_neighbours, c5_radius_graph, c6_symmetric_graph, c7_gaussian_graph, c8_tiles, c8_delaunay, c9_truncated_graph, c11_degrees, c14_coordinate_report, c15_graph_report, c16_reverse_check, c17_degree_statistics, c18_asymmetric, c19_edge_lengths, c21_induced_edges, k2_counts_in_spheres, d1_gaussian_probes, d4_trace, d5_trace_summary, d7_resume_point, d8_missing_times, d10_single_source, i2_mode_correlations, j1_diffusion_distances)}
 
 
 def statistics(value: str) -> str:
