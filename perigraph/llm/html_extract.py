@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize, small_side, whole_text
 
 # Element names by their role in HTML, and words in class or id that name page furniture.
-RAW = frozenset("script style noscript template iframe svg math object textarea title select canvas audio video map".split())
+RAW = frozenset("script style noscript template iframe svg object textarea title select canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article section main div body td center".split())
-FURNITURE = frozenset("nav header footer aside form menu button dialog label legend fieldset head search".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog legend fieldset head search annotation annotation-xml".split())
+CONTROLS = frozenset("button label".split())
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popups promo promotion recommended related reply replies respond share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tags toc toolbar topbar widget widgets".split())
+#: Words that a paragraph of an article may have and yet be its text.
+TEXT_WORDS = frozenset("byline promotion related skip social tags toc widget widgets".split())
 #: Furniture of these words stays so, however much text it holds.
 READERS_WORDS = frozenset("comment comments disqus reply replies respond".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -64,13 +67,14 @@ ENDING = frozenset([*ENDS, "p"])
 SHIELDS = CONTAINER | frozenset("ul ol dl table".split())
 
 
-def furniture_kind(tag: str, attributes: dict[str, str]) -> int:
+def furniture_kind(tag: str, attributes: dict[str, str], in_article: bool = False) -> int:
     if tag in FURNITURE and tag != "form" or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDING.search(attributes.get("style", "")):
         return HIDDEN
     if tag in ("html", "body", "main", "article") and "comment" not in attributes.get("class", "").lower():
         return SHOWN
     words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    if tag != "form" and attributes.get("role") not in FURNITURE_ROLES and FURNITURE_WORDS.isdisjoint(words):
+    known = FURNITURE_WORDS - TEXT_WORDS if tag == "p" and in_article else FURNITURE_WORDS
+    if tag != "form" and attributes.get("role") not in FURNITURE_ROLES and known.isdisjoint(words):
         return SHOWN
     if tag not in BLOCK or tag == "article":
         return HIDDEN
@@ -122,18 +126,23 @@ class Page:
         self.wrappers: list[tuple[int, int]] = []  # kind and parent of what may be furniture or a wrapper of the page's text
         self.found: list[tuple[str, int, int, int, bool]] = []  # blocks with container, wrapper, and if headings
         self.text: list[str] = []
-        self.linked, self.hidden = 0, 0
+        self.asides: list[int] = []  # places in text of what stands in controls
+        self.linked, self.hidden, self.controls = 0, 0, 0
         self.read(source)
         self.settle()
 
     def flush(self) -> None:
         if self.text:
+            # Controls within a sentence belong to it; those that are most of their block are furniture.
+            if self.asides and 2 * sum(len(self.text[i].strip()) for i in self.asides) > sum(len(x.strip()) for x in self.text):
+                for i in self.asides:
+                    self.text[i] = ""
             text = " ".join("".join(self.text).split())
             if text:
                 last = self.stack[-1] if self.stack else None
                 heading = bool(self.places["h1"] or self.places["h2"])
                 self.found.append((text, min(self.linked, len(text)), last.container if last else 0, last.wrapper if last else -1, heading))
-        self.text, self.linked = [], 0
+        self.text, self.linked, self.asides = [], 0, []
 
     def settle(self) -> None:
         """Leaves out the blocks in furniture, but not for a wrapper around the page's article or around most of its text."""
@@ -173,6 +182,8 @@ class Page:
     def put(self, raw: str) -> None:
         if not self.hidden:
             text = html.unescape(raw)
+            if self.controls:
+                self.asides.append(len(self.text))
             self.text.append(text)
             if self.places["a"]:
                 self.linked += len(text.strip())
@@ -180,6 +191,7 @@ class Page:
     def pop(self) -> None:
         gone = self.stack.pop()
         self.hidden -= gone.hidden
+        self.controls -= gone.tag in CONTROLS
         self.places[gone.tag].pop()
 
     def cut(self, at: int) -> None:
@@ -213,8 +225,8 @@ class Page:
         attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)} if raw else {}
         if raw and re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw.lower()):
             attributes["hidden"] = ""
-        kind, place = furniture_kind(tag, attributes), len(self.stack)
         last = self.stack[-1] if self.stack else Element("", False, "", 0, -1, -1, -1, -1)
+        kind, place = furniture_kind(tag, attributes, self.containers[last.container].root >= 0), len(self.stack)
         wrapper, container, path = last.wrapper, last.container, last.path
         if tag in CONTAINER or tag == "html":
             path = longer(path, path_step(tag, attributes.get("class", "")))
@@ -230,6 +242,7 @@ class Page:
         self.stack.append(Element(tag, kind == HIDDEN, path, container, wrapper, place if tag in ENDING or tag in SHIELDS else last.ending, near(BLOCK, last.block), near(CONTAINER, last.shield)))
         self.places[tag].append(place)
         self.hidden += kind == HIDDEN
+        self.controls += tag in CONTROLS
 
     def read(self, source: str) -> None:
         at = 0
@@ -325,7 +338,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Blocks are joined by line feeds; white space inside a block is one space. Null or empty html gives an empty text; a
     null or odd url belongs to the host "" and votes with its like. Ties for the best path go to the first in text order;
     a host has at most 21 winning paths. A page without a container at one of them follows its own votes, and a page
-    whose text is all links gives all of it. Rows that repeat an id each get a row; an empty table gives an empty result;
+    whose text is all links gives all of it. Buttons and labels stay where most of their block is other text; formulas stay,
+    drawings do not. Rows that repeat an id each get a row; an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
     bound_batches(pages.sparkSession)

@@ -442,6 +442,25 @@ def texts_of(spark, pages):
     return [r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id").collect()]
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<p>Press <button>Name</button> and <label>Save</label> now.</p>", "Press Name and Save now."),
+        ("<p>Long enough a text.</p><p><button>Subscribe now</button></p><div><label>Mail</label> <input></div>", "Long enough a text."),
+        ("<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x = 2</annotation></math> holds.</p>", "Here x=2 holds."),
+        ("<p>Seen in <svg><text>A drawing</text></svg> it.</p>", "Seen in it."),
+        ("<p class='byline'>By A. B.</p><p class='tags'>One, two.</p><p class='toc related'>See there.</p><p class='related ad'>Buy!</p>", "By A. B.\nOne, two.\nSee there."),
+        ("<p>Text.</p><ul class='related'><li><a href='/'>More</a></li></ul><div class='social'>Follow us</div>", "Text."),
+        ("<p>Text.</p><form><label>Your name, in full, as it is written</label> x</form>", "Text."),
+        ("<p>Text.</p><button class='share'>Share</button> it <button>", "Text.\nit"),
+    ],
+)
+def test_html_parts_of_an_article(inside, want):
+    """What stands in the sentences of an article stays; controls, drawings and lists of links do not."""
+    page = html_extract.Page(f"<html><body><nav><button>Menu</button> of all</nav><article>{inside}</article></body></html>")
+    assert page.main_text(set(page.scores())) == want
+
+
 def test_html_of_any_nesting():
     """Time and memory grow with the page, not with its depth."""
     import time
