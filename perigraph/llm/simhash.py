@@ -1,19 +1,20 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Fingerprints within 3 bits of each other agree on at least 3 of 6 bit blocks, so every pair that can link meets under
-one of 20 exact block keys; keys held by one fingerprint alone end there. For the rest, the Hamming distances to fixed
-reference fingerprints (pivots) are computed once per fingerprint. A pair is discarded when some coordinate differs by
-more than the link distance (triangle inequality), and what survives is verified by its exact distance. Pivots alone
-would leave a constant share of all pairs, hence the block keys before them.
-
-Keys held by more than PAIR_GROUP fingerprints are not paired at all. There, two fingerprints link when one flip of the
-first meets two flips of the second in a common variant; all fingerprints within two flips of a variant that another
-fingerprint reaches in one form a star, which gives the same components from linearly many rows.
+The Hamming distances to fixed reference fingerprints (pivots) are computed once per fingerprint. A pair is discarded
+when some coordinate differs by more than the link distance (triangle inequality), and what survives is verified by its
+exact distance. Pivots alone would leave a constant share of all pairs, so pairs first meet in groups.
+
+Fingerprints within 3 bits of each other agree on at least 3 of 6 blocks of bits, so every pair that can link meets in
+one of 20 groups of equal bits; groups of one fingerprint end there. A group of more than PAIR_GROUP fingerprints is split
+in the same manner: of 6 blocks of the bits that are still free, a pair that links agrees on at least 3. After three
+splits at most 9 bits are free, so no group holds over 512 fingerprints, whatever the data. All pairs of all groups go
+through the pivots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +29,7 @@ from .components import connected_components
 BITS, LINK_DISTANCE, SHINGLE_WORDS, SEED = 64, 3, 3, 42
 BLOCKS, AGREEING = 6, 3
 PIVOTS = 16
+#: Fingerprints of a group at most; larger groups are split, which must be possible: no less than 512.
 PAIR_GROUP = 2048
 #: Shingles whose bits are counted at once.
 COUNT_SHINGLES = 1 << 17
@@ -37,10 +39,12 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def block_masks() -> list[int]:
-    edges = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(blocks, AGREEING)]
+def finer(mask: int) -> list[int]:
+    """Masks that add bits to mask. Fingerprints that agree on mask and link agree on one of these, too."""
+    free = [bit for bit in range(BITS) if not mask >> bit & 1]
+    edges = [len(free) * i // BLOCKS for i in range(BLOCKS + 1)]
+    blocks = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(x) for x in combinations(blocks, AGREEING)]
 
 
 def pivots() -> list[int]:
@@ -92,32 +96,41 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between different values of fp; their components are those of all pairs within LINK_DISTANCE bits."""
-    spark, masks = prints.sparkSession, block_masks()
-    keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.bits")
-    # Keys are counted apart, so that a key with many fingerprints is combined before it is shuffled.
-    counts = keyed.groupBy("combo", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(keyed.join(small_side(materialize(counts, "simhash-counts"), 40), ["combo", "bits"]), "simhash-keys")
-
+def groups(prints: DataFrame) -> DataFrame:
+    """mask, bits, fp: groups of 2 to PAIR_GROUP fingerprints of equal bits under a mask; each pair that links meets in one.
+    prints holds different values of fp."""
+    spark, masks, found = prints.sparkSession, [0], []
+    split = prints.select("fp", F.array(*[F.lit(signed(x)) for x in finer(0)]).alias("finer"))
+    while True:
+        keyed = split.select("fp", F.explode("finer").alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        if found:  # finer masks of several groups may be one
+            keyed = keyed.distinct()
+        # Groups are counted apart, so that one with many fingerprints is combined before it is shuffled.
+        counts = materialize(keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash-counts")
+        met = materialize(keyed.join(small_side(counts, 40), ["mask", "bits"]), "simhash-groups")
+        found.append(met.filter(F.col("n") <= PAIR_GROUP).select("mask", "bits", "fp"))
+        if counts.filter(F.col("n") > PAIR_GROUP).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        masks = sorted({x for mask in masks for x in finer(mask)})
+        table = spark.createDataFrame([(signed(x), [signed(y) for y in finer(x)]) for x in masks], "mask long, finer array<long>")
+        split = met.filter(F.col("n") > PAIR_GROUP).select("mask", "fp").join(F.broadcast(table), "mask")  # 20, then at most 400 rows
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """a, b, discarded: all pairs of all groups, and whether their distances to some pivot differ by more than the link
+    distance. A pair comes once for each group that it meets in. For links, Spark discards within the join."""
     table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
-    paired = met.filter(F.col("n") <= PAIR_GROUP).select("combo", "bits", "fp", table.alias("pivot"))
+    paired = groups(prints).withColumn("pivot", table)
     a, b = paired.alias("a"), paired.alias("b")
-    survives = F.expr(" and ".join(f"abs(a.pivot[{i}] - b.pivot[{i}]) <= {LINK_DISTANCE}" for i in range(PIVOTS)))
-    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= LINK_DISTANCE
-    same = (F.col("a.combo") == F.col("b.combo")) & (F.col("a.bits") == F.col("b.bits"))
-    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & survives & verified).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-
-    flips = []
-    for i, mask in enumerate(masks):
-        free = [1 << bit for bit in range(BITS) if not mask >> bit & 1]
-        flips += [(i, 0, True), (i, 0, False), *[(i, signed(x), near) for x in free for near in (True, False)], *[(i, signed(x | y), False) for x, y in combinations(free, 2)]]
-    flips = F.broadcast(spark.createDataFrame(flips, "combo int, flip long, near boolean"))  # fixed, about 13,000 rows
-    variants = met.filter(F.col("n") > PAIR_GROUP).join(flips, "combo").select("combo", "fp", "near", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    centres = variants.filter("near").groupBy("combo", "variant").agg(F.min("fp").alias("b"))
-    stars = variants.join(centres, ["combo", "variant"]).filter("b != fp")
-    return pairs.unionByName(stars.select(F.col("fp").alias("a"), "b")).distinct()
+    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.bits") == F.col("b.bits"))
+    discarded = F.expr(" or ".join(f"abs(a.pivot[{i}] - b.pivot[{i}]) > {LINK_DISTANCE}" for i in range(PIVOTS)))
+    return a.join(b, same & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), discarded.alias("discarded"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different values of fp, a < b, within LINK_DISTANCE bits, each once."""
+    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK_DISTANCE
+    return candidates(prints).filter(~F.col("discarded")).filter(verified).select("a", "b").distinct()
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

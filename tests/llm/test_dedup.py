@@ -146,18 +146,54 @@ def test_simhash(odd_docs, prose_docs, prose, empty_docs):
     assert simhash.simhash_near_dedup(empty_docs).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10**9, 2])
-def test_links_near_a_centre(spark, monkeypatch, limit):
-    """A crowd of fingerprints around two centres: pairs and stars give the components of all pairs."""
+def near(rng, centre, most):
+    return centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
+
+
+def test_finer_masks_lose_no_pair():
+    """Three splits, whichever masks are taken: a pair within 3 bits agrees on a finer mask each time, and 9 bits stay free."""
+    rng, free = random.Random(1), []
+    for _ in range(300):
+        other = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        mask = 0
+        for _ in range(3):
+            mask = rng.choice([x for x in simhash.finer(mask) if not x & other])
+        free.append(64 - mask.bit_count())
+    assert 3 <= min(free) and max(free) <= 9
+
+
+@pytest.mark.parametrize("limit", [10**9, 20, 9])
+def test_links(spark, monkeypatch, limit):
+    """Links are all pairs within 3 bits, however often groups are split; groups keep their bound; pivots discard pairs, none that links."""
     rng = random.Random(limit)
     centres = [rng.getrandbits(64) for _ in range(3)]
-    prints = list(dict.fromkeys(c ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 5]))) for c in centres for _ in range(25)))
+    # Bits that vary are few in the second crowd, so that its groups stay crowded for long.
+    prints = list(dict.fromkeys([near(rng, c, 6) for c in centres[:2] for _ in range(40)] + [centres[2] ^ sum(rng.getrandbits(1) << b for b in (1, 2, 30, 31, 50, 63)) for _ in range(60)]))
     monkeypatch.setattr(simhash, "PAIR_GROUP", limit)
-    edges = simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long"))
-    index = {simhash.signed(p): i for i, p in enumerate(prints)}
-    got = components(len(prints), [(index[r["a"]], index[r["b"]]) for r in edges.collect()])
-    want = components(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
-    assert got == want
+    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    got = [(r["a"], r["b"]) for r in simhash.links(df).collect()]
+    pairs = {(simhash.signed(p), simhash.signed(q)): (p ^ q).bit_count() <= 3 for p in prints for q in prints if simhash.signed(p) < simhash.signed(q)}
+    assert len(got) == len(set(got)) and set(got) == {x for x, linked in pairs.items() if linked}
+    sizes = [r["count"] for r in simhash.groups(df).distinct().groupBy("mask", "bits").count().collect()]
+    assert 2 <= min(sizes) and max(sizes) <= limit
+    met = {(r["a"], r["b"]): r["discarded"] for r in simhash.candidates(df).collect()}
+    assert set(got) <= set(met) and any(met.values()) and not any(met[x] for x in got)
+
+
+def test_crowded_key(spark):
+    """5,000 fingerprints that share half of their bits: groups are split, and pivots, not all pairs, decide."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 2**10, (5000, 2)) @ np.array([1, 2**12])
+    prints = np.unique(low)
+    df = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    assert simhash.groups(df).groupBy("mask", "bits").count().agg({"count": "max"}).first()[0] <= simhash.PAIR_GROUP
+    want = set()
+    for p in prints:
+        want |= {(int(p), int(q)) for q in prints[(np.bitwise_count(prints ^ p) <= 3) & (prints > p)]}
+    rows = simhash.links(df).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]) for r in rows} == want
+    told = {r["discarded"]: r["count"] for r in simhash.candidates(df).groupBy("discarded").count().collect()}
+    assert told[True] > 0
 
 
 @settings(max_examples=4, deadline=None)
