@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import log_interpolate, over, three_point_gradient
+from ..functions import log_interpolate, three_point_gradient
 from ..session import require
+from .brackets import bracketed
 
 
 def radius_grid(spark: SparkSession, radii: list[float]) -> DataFrame:
@@ -28,15 +29,11 @@ def log_derivatives(curve: DataFrame) -> DataFrame:
 
 def interpolate_at(points: DataFrame, table: DataFrame, x: str, y: str, scale: str = "linear", clamp: bool = True) -> DataFrame:
     """points (at) with value: the table's y between the rows around it; outside the end values, or NULL without clamp."""
-    w = over([], x)
-    pieces = table.select(F.col(x).alias("x0"), F.col(y).alias("y0"), F.expr(f"lead({x}) {w}").alias("x1"), F.expr(f"lead({y}) {w}").alias("y1"))
-    ends = table.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.min_by(y, x).alias("ylo"), F.max_by(y, x).alias("yhi"))
-    joined = points.join(F.broadcast(pieces.filter("x1 is not null")), (F.col("at") >= F.col("x0")) & (F.col("at") < F.col("x1")), "left").crossJoin(F.broadcast(ends))
     inside = log_interpolate(F.col("at"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) if scale == "log" else F.expr("y0 + (at - x0) * (y1 - y0) / (x1 - x0)")
-    value = F.when(F.col("at") == F.col("hi"), F.col("yhi")).when(F.col("x0").isNotNull(), inside)
+    value = F.when(F.col("x0").isNotNull() & F.col("x1").isNotNull(), inside).when(F.col("at") == F.col("x0"), F.col("y0"))
     if clamp:
-        value = F.when(F.col("at") < F.col("lo"), F.col("ylo")).when(F.col("at") > F.col("hi"), F.col("yhi")).otherwise(value)
-    return joined.select(*points.columns, value.alias("value"))
+        value = value.otherwise(F.coalesce("y0", "y1"))
+    return bracketed(points, "at", table, x, y).select(*points.columns, value.alias("value"))
 
 
 def shell_contributions(shells: DataFrame, radius: float, divisor: float = 6.0, top: int = 20) -> DataFrame:

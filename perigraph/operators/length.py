@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import log_interpolate, over
 from ..session import require
+from .brackets import bracketed
 from .crossing import first_at_least
 from .fits import origin_fit
 from .selection import keep_last
@@ -41,11 +42,10 @@ def calibration_error(time: Column, a_se: float | Column) -> Column:
 
 
 def lengths_at(times: DataFrame, table: DataFrame, time: str = "diffusion_time", length: str = "length") -> DataFrame:
-    """Length at each time (t) by the power law between the rows around it; NULL outside the table. The table is small."""
-    w = over([], time)
-    pieces = table.select(F.col(time).cast("double").alias("t0"), F.col(length).alias("l0"), F.expr(f"cast(coalesce(lead({time}) {w}, {time}) as double)").alias("t1"), F.expr(f"coalesce(lead({length}) {w}, {length})").alias("l1"))
-    joined = times.join(F.broadcast(pieces), (F.col("t") >= F.col("t0")) & ((F.col("t") < F.col("t1")) | (F.col("t0") == F.col("t1")) & (F.col("t") == F.col("t0"))), "left")
-    return joined.select(*times.columns, log_interpolate(F.col("t"), F.col("t0"), F.col("l0"), F.col("t1"), F.col("l1")).alias("length"))
+    """Length at each time (t) by the power law between the rows around it; NULL outside the table."""
+    inside = log_interpolate(F.col("t"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    value = F.when(F.col("x0").isNotNull() & F.col("x1").isNotNull(), inside).when(F.col("t") == F.col("x0"), F.col("y0"))
+    return bracketed(times, "t", table, time, length).select(*times.columns, value.alias("length"))
 
 
 def merge_lengths(early: DataFrame, late: DataFrame, time: str = "diffusion_time") -> DataFrame:

@@ -260,6 +260,12 @@ def m3_interpolate(spark, sf):
     return rounded(heatkernel.interpolate_at(at, v, "radius", "sigma2"))
 
 
+def m3_long_curve(spark, sf):
+    prices = table(spark, sf, "part").select("p_retailprice", (F.col("p_size") + F.col("p_partkey") % 10 / 10).alias("size"))
+    at = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
+    return rounded(heatkernel.interpolate_at(at, prices, "p_retailprice", "size"))
+
+
 def m4_contributions(spark, sf):
     return rounded(heatkernel.shell_contributions(catalogue(spark, sf, "every"), 20.0))
 
@@ -348,7 +354,7 @@ QUERIES = {f.__name__: f for f in (
     i4_shell_length, i5_pooled_diffusivity, i6_mode_diffusivity, i7_radius, i9_lengths_at, i10_merge_lengths, i11_with_lengths, i12_containment, i13_origin_fit, i14_prefactor, i16_merged_harmonics, i17_adopted, i18_sensitivity,
     j2_binned_curve, j3_linearity, j4_weighted_bins, j4_log_bins, j5_identity, k5_density_curve, k6_joint_criterion, k7_bootstrap_scales,
     l1_mesh_counts, l2_contrast, l3_transform, l3_transform_by_sums, l5_shell_spectrum, l5_shell_geometry, l7_linear_bins, l8_compare_shells,
-    m1_filtered_variance, m2_log_derivatives, m3_interpolate, m4_contributions, m6_weighted_fit, m8_filtered_ratio, m9_three_way, m10_band_summary, m12_bias, m12_effective_bias,
+    m1_filtered_variance, m2_log_derivatives, m3_interpolate, m3_long_curve, m4_contributions, m6_weighted_fit, m8_filtered_ratio, m9_three_way, m10_band_summary, m12_bias, m12_effective_bias,
     n1_recovered_density, n2_mode_powers_linear, n3_mode_powers, n5_mesh_at_points, n6_displaced, n7_sampled_cells, n7_weights, n9_float_wrap, n8_field_statistics, n8_effective_cells,
 )}
 
@@ -468,6 +474,11 @@ ORACLE_SQL = {
     + ", ".join(f"round(-(CASE WHEN x0 IS NULL THEN ({c}1 - {c}) / (x1 - lx) WHEN x1 IS NULL THEN ({c} - {c}0) / (lx - x0) ELSE (pow(lx - x0, 2) * {c}1 - pow(x1 - lx, 2) * {c}0 + (pow(x1 - lx, 2) - pow(lx - x0, 2)) * {c}) / ((lx - x0) * (x1 - lx) * (x1 - x0)) END), 6) AS {n}" for c, n in (("a", "x"), ("b", "gamma")))
     + " FROM g",
     "m3_interpolate": f"WITH {KERNEL}, s AS (SELECT radius AS x0, sigma2 AS y0, lead(radius) OVER w AS x1, lead(sigma2) OVER w AS y1 FROM variance WINDOW w AS (ORDER BY radius)), q AS (SELECT i * 4.5::DOUBLE AS a FROM range(1, 15) r(i)) SELECT a AS \"at\", round(CASE WHEN a < 10 THEN (SELECT max(sigma2) FROM variance) WHEN a >= 55 THEN (SELECT min(sigma2) FROM variance) ELSE y0 + (a - x0) * (y1 - y0) / (x1 - x0) END, 6) AS value FROM q LEFT JOIN s ON a >= x0 AND a < x1",
+    "m3_long_curve": """WITH knots AS (SELECT p_retailprice::DOUBLE AS x, max(p_size + p_partkey % 10 / 10) AS y FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1),
+      s AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM knots),
+      q AS (SELECT o_orderkey, o_totalprice / 100 AS a FROM orders)
+      SELECT o_orderkey, a AS "at", round(CASE WHEN x0 IS NULL THEN (SELECT min_by(y, x) FROM knots) WHEN x1 IS NULL THEN y0 ELSE y0 + (a - x0) * (y1 - y0) / (x1 - x0) END, 6) AS value
+      FROM q ASOF LEFT JOIN s ON a >= x0""",
     "m4_contributions": f"WITH {catalogues_sql('every')}, c AS (SELECT *, n_modes * p * exp(-pow(k * 20, 2) / 6) AS c FROM every) SELECT n2, round(k, 6) AS k, n_modes, round(c, 6) AS contribution, round(c / (SELECT sum(c) FROM c), 6) AS share FROM c ORDER BY c DESC, n2 LIMIT 20",
     "m6_weighted_fit": f"WITH {SPECTRAL}, u AS (SELECT 1 / t::DOUBLE AS x, ds - 3 AS y, t::DOUBLE AS w FROM spectral WHERE ds IS NOT NULL) SELECT n, round(a, 6) AS slope, round(sqrt(chi2 / (n - 1) / sxx), 6) AS slope_se, round(1 / sqrt(sxx), 6) AS slope_formal_se, round((yy - sy * sy / n - sse) / (yy - sy * sy / n), 6) AS r2, round(sqrt(sse / n), 6) AS rmse, round(sqrt(sse / yy), 6) AS relative_rmse, round(chi2, 6) AS chi2, round(chi2 / (n - 1), 6) AS reduced_chi2 FROM {origin('u', 'x', 'y', '', 'w')}",
     "m8_filtered_ratio": f"WITH {KERNEL}, {catalogue_sql('even')}, second AS (SELECT radius, sum(n_modes * p * exp(-pow(k * radius, 2) / 6)) / 1e6 AS s FROM even, grid GROUP BY 1) SELECT radius, round(sigma2, 6) AS sigma2_first, round(s, 6) AS sigma2_second, round(sigma2 / s, 6) AS ratio FROM variance JOIN second USING (radius)",

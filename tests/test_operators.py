@@ -1,6 +1,8 @@
 """Known answers, golden summaries and properties of the operators."""
 
+import bisect
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from perigraph.columns import require_columns, resolve_column, resolve_roles, resolve_words
 from perigraph.functions import geometric_grid, hash_normal, minimum_image, sinc, wrap
-from perigraph.operators import bootstrap, compare, crossing, diffusion, fits, graph, heatkernel, length, merge, selection, spatial, spectrum, synthetic
+from perigraph.operators import bootstrap, brackets, compare, crossing, diffusion, fits, graph, heatkernel, length, merge, selection, spatial, spectrum, synthetic
 from perigraph.session import nan_to_null
 
 
@@ -307,6 +309,29 @@ def test_interpolation_hits_nodes_and_clamps(spark):
     assert heatkernel.interpolate_at(at, table, "k", "p", clamp=False).filter("value is null").count() == 2
 
 
+@pytest.mark.parametrize("short", [1024, 0])
+def test_brackets(spark, monkeypatch, short):
+    """Broadcast or by ranges: rows around each place, against a search in the sorted curve; ties, hot places, nulls, empty tables."""
+    monkeypatch.setattr(brackets, "SHORT_CURVE", short)
+    rng = random.Random(4)
+    curve = [(rng.randint(0, 60) / 2, rng.randint(0, 9)) for _ in range(45)] + [(None, 1)]
+    places = [rng.choice([7.25, rng.uniform(-5, 40), rng.randint(0, 60) / 2]) for _ in range(300)] + [None, -9.0, 99.0]
+    best = {}
+    for x, y in curve[:-1]:
+        best[x] = max(y, best.get(x, y))
+    xs = sorted(best)
+    want = []
+    for i, p in enumerate(places):
+        k = bisect.bisect_right(xs, p) if p is not None else None
+        low, high = (None, None) if k is None else (xs[k - 1] if k else None, xs[k] if k < len(xs) else None)
+        want.append((i, low, best.get(low), high, best.get(high)))
+    p, c = spark.createDataFrame(list(enumerate(places)), "i int, at double"), spark.createDataFrame(curve, "t double, y int")
+    got = brackets.bracketed(p, "at", c, "t", "y")
+    assert sorted(tuple(r) for r in got.select("i", "x0", "y0", "x1", "y1").collect()) == want
+    none = brackets.bracketed(p, "at", c.limit(0), "t", "y").filter("x0 is null and y0 is null and x1 is null and y1 is null")
+    assert none.count() == len(places) and brackets.bracketed(p.limit(0), "at", c, "t", "y").count() == 0
+
+
 def test_draws_are_uniform_and_normal(spark):
     got = spark.range(20_000).select(hash_normal(F.lit(1), F.col("id")).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
     assert got[0] == pytest.approx(0, abs=0.03) and got[1] == pytest.approx(1, abs=0.03)
