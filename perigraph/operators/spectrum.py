@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sinc
+from ..session import BROADCAST_BYTES
 
 
 def all_cells(spark: SparkSession, m: int) -> DataFrame:
@@ -99,6 +100,10 @@ def completed(modes: DataFrame, m: int) -> DataFrame:
     return modes.unionByName(mirrored)
 
 
+#: Bytes of a row of phases: two indices, cosine, sine.
+PHASE_BYTES = 24
+
+
 def transform_by_sums(field: DataFrame, m: int) -> DataFrame:
     """The same forward transform by three joins with a table of phases and three aggregations; for small meshes."""
     angle = F.lit(-2 * math.pi / m) * F.col("k") * F.col("i")
@@ -107,7 +112,8 @@ def transform_by_sums(field: DataFrame, m: int) -> DataFrame:
     out = field.select("ix", "iy", "iz", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     for axis in ("ix", "iy", "iz"):
         rest = [a for a in ("ix", "iy", "iz") if a != axis]
-        joined = out.join(F.broadcast(phases.withColumnRenamed("i", axis)), axis)  # m^2 rows
+        along = phases.withColumnRenamed("i", axis)
+        joined = out.join(F.broadcast(along) if m * m * PHASE_BYTES <= BROADCAST_BYTES else along, axis)
         out = joined.groupBy(*rest, "k").agg(F.sum(F.col("re") * F.col("c") - F.col("im") * F.col("s")).alias("re"), F.sum(F.col("re") * F.col("s") + F.col("im") * F.col("c")).alias("im")).withColumnRenamed("k", axis)
     return out.select("ix", "iy", "iz", "re", "im")
 

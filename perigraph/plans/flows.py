@@ -36,7 +36,7 @@ def transport_scale(trace: DataFrame, replicates: int, n_probes: int, a: float,
     curves = bootstrap_curves(trace, replicates, n_probes, width, seed)
     ok = f"r2 >= {min_r2}"
     if gate == "central":
-        curves, ok = curves.join(F.broadcast(central_r2(trace, width)), "t"), f"r2_central >= {min_r2}"  # one row per time
+        curves, ok = curves.join(central_r2(trace, width), "t"), f"r2_central >= {min_r2}"
     found = crossing.interpolated_crossing(curves, ["b"], "t", crossing.spectral_margin("ds", 3.0, tolerance), ok, persistence)
     return found.select("b", "crossing", length.radius_of(F.col("crossing"), F.lit(a)).alias("radius"), length.calibration_error(F.col("crossing"), F.lit(a_se)).alias("radius_se"))
 
