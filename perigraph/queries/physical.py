@@ -261,9 +261,9 @@ def m3_interpolate(spark, sf):
 
 
 def m3_long_curve(spark, sf):
-    prices = table(spark, sf, "part").select("p_retailprice", (F.col("p_size") + F.col("p_partkey") % 10 / 10).alias("size"))
+    prices = table(spark, sf, "part").select((F.col("p_retailprice").cast("double") + F.col("p_partkey") / 1000000).alias("price"), (F.col("p_size") + F.col("p_partkey") % 10 / 10).alias("size"))
     at = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
-    return rounded(heatkernel.interpolate_at(at, prices, "p_retailprice", "size"))
+    return rounded(heatkernel.interpolate_at(at, prices, "price", "size"))
 
 
 def m4_contributions(spark, sf):
@@ -474,7 +474,7 @@ ORACLE_SQL = {
     + ", ".join(f"round(-(CASE WHEN x0 IS NULL THEN ({c}1 - {c}) / (x1 - lx) WHEN x1 IS NULL THEN ({c} - {c}0) / (lx - x0) ELSE (pow(lx - x0, 2) * {c}1 - pow(x1 - lx, 2) * {c}0 + (pow(x1 - lx, 2) - pow(lx - x0, 2)) * {c}) / ((lx - x0) * (x1 - lx) * (x1 - x0)) END), 6) AS {n}" for c, n in (("a", "x"), ("b", "gamma")))
     + " FROM g",
     "m3_interpolate": f"WITH {KERNEL}, s AS (SELECT radius AS x0, sigma2 AS y0, lead(radius) OVER w AS x1, lead(sigma2) OVER w AS y1 FROM variance WINDOW w AS (ORDER BY radius)), q AS (SELECT i * 4.5::DOUBLE AS a FROM range(1, 15) r(i)) SELECT a AS \"at\", round(CASE WHEN a < 10 THEN (SELECT max(sigma2) FROM variance) WHEN a >= 55 THEN (SELECT min(sigma2) FROM variance) ELSE y0 + (a - x0) * (y1 - y0) / (x1 - x0) END, 6) AS value FROM q LEFT JOIN s ON a >= x0 AND a < x1",
-    "m3_long_curve": """WITH knots AS (SELECT p_retailprice::DOUBLE AS x, max(p_size + p_partkey % 10 / 10) AS y FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1),
+    "m3_long_curve": """WITH knots AS (SELECT p_retailprice::DOUBLE + p_partkey / 1000000 AS x, max(p_size + p_partkey % 10 / 10) AS y FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1),
       s AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM knots),
       q AS (SELECT o_orderkey, o_totalprice / 100 AS a FROM orders)
       SELECT o_orderkey, a AS "at", round(CASE WHEN x0 IS NULL THEN (SELECT min_by(y, x) FROM knots) WHEN x1 IS NULL THEN y0 ELSE y0 + (a - x0) * (y1 - y0) / (x1 - x0) END, 6) AS value
