@@ -145,10 +145,10 @@ def j1_diffusion_distances(spark, sf):
 
 def c4_guard(spark, sf):
     """Fixed cells are refused where they could miss a neighbour."""
-    out = []
+    table, out = neighbours(spark, sf), []
     for cells in (3, 40):
         try:
-            spatial.nearest_neighbours(points(spark, sf), K, BOX, cells)
+            spatial.require_cells(table, points(spark, sf), K, BOX, cells)
             out.append((cells, False))
         except ValueError:
             out.append((cells, True))

@@ -113,6 +113,18 @@ def test_neighbours_against_brute_force(spark):
         spatial.nearest_neighbours(points, 40, 10.0, cells=8)
 
 
+def test_neighbours_with_cells_meet_no_whole_cells(spark, monkeypatch):
+    """Wide cells hold most of the points: the search goes by the tree, and the cells only decide what is refused."""
+    monkeypatch.setattr(spatial, "close_pairs", lambda *a, **k: pytest.fail("pairs of whole cells"))
+    xyz, points = random_points(spark, 300)
+    d = all_distances(xyz)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["src"], r["rank"]): r["dst"] for r in spatial.nearest_neighbours(points, 4, 10.0, cells=3).collect()}
+    assert got == {(i, k + 1): j for i in range(300) for k, j in enumerate(np.argsort(d[i])[:4].tolist())}
+    with pytest.raises(ValueError):
+        spatial.nearest_neighbours(points, 4, 10.0, cells=12)
+
+
 def test_spheres_against_brute_force(spark):
     xyz, points = random_points(spark, 200)
     radii = [0.5, 1.0, 2.0, 3.5]
