@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from perigraph.columns import require_columns, resolve_column, resolve_roles, resolve_words
 from perigraph.functions import geometric_grid, hash_normal, minimum_image, sinc, wrap
 from perigraph.operators import bootstrap, brackets, compare, crossing, diffusion, fits, graph, heatkernel, length, merge, selection, spatial, spectrum, synthetic
+from perigraph.queries import fixtures
 from perigraph.session import nan_to_null
 
 
@@ -125,6 +126,14 @@ def test_neighbours_with_cells_meet_no_whole_cells(spark, monkeypatch):
         spatial.nearest_neighbours(points, 4, 10.0, cells=12)
 
 
+def test_places_of_large_keys(spark, tmp_path):
+    """Products of these keys leave 64 bits; the places are those of whole numbers of any size."""
+    keys, m = [1, 200_000, 600_000, 1_200_000, 7_200_000, 3_000_000_000], 1000003
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["id"]: (r["x"], r["y"], r["z"]) for r in fixtures.points(spark, str(tmp_path)).collect()}
+    assert got == {p: tuple((p * p * a + p * b) % m / m * 100 for a, b in ((7919, 104729), (15485863, 32452843), (49979687, 67867967))) for p in keys}
+
+
 def test_spheres_against_brute_force(spark):
     xyz, points = random_points(spark, 200)
     radii = [0.5, 1.0, 2.0, 3.5]
