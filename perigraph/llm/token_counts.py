@@ -1,7 +1,8 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table of (content digest, tokenizer version digest, count). Documents are joined to it by
-digest; of each content that it lacks, one copy is encoded and appended.
+digest; contents that it lacks are encoded and appended once. Texts are encoded where they are read, unless the cache holds
+over a quarter of very many.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, small_side, text_pieces
+from .common import BROADCAST_BYTES, materialize, sliced, small_side, text_pieces
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Bytes of text that one call of the tokenizer gets.
 ENCODE_BYTES = 1 << 20
 #: Bytes of a digest and its count or id in a broadcast table, as measured.
 ROW_BYTES = 160
+#: Misses among all documents from which every text is encoded in place, and digests by which a task knows copies.
+MOSTLY, SEEN = 0.75, 100_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -62,8 +65,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. Appends what the cache lacks to cache_path.
 
     A null text counts as empty (0 bytes, 0 tokens). Normalisation of the content is only that of nulls, as any other
-    could change a count. Documents that repeat an id or a text each get a row; a text is encoded once. An empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    could change a count. Documents that repeat an id or a text each get a row. An empty table gives an empty result; other
+    columns are ignored, whatever their names. A text that the cache lacks is encoded once; where most texts are such and
+    too many to broadcast, once in each task that reads it.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
@@ -75,17 +79,27 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     misses = materialize(misses, "token-misses")
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        count, seen = counter(tokenizer), set()
         for batch in rows:
-            for part in sliced(batch, 1, ENCODE_BYTES):
+            batch = batch.filter(pa.array([not (d in seen or seen.add(d)) for d in batch.column(0).to_pylist()], pa.bool_()))
+            if len(seen) > SEEN:
+                seen.clear()
+            for part in sliced(batch, 1, ENCODE_BYTES) if batch.num_rows else ():
                 counts = pa.array(count(part.column(1).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), counts], names=["digest", "version", "n_tokens"])
 
-    # A miss is fetched by its id and checked by its digest, as ids may repeat with other texts. Few misses go to the texts,
-    # which then stay where they are.
-    wanted = small_side(misses.withColumnsRenamed({"digest": "wanted", "doc_id": "wanted_id"}), ROW_BYTES)
-    fetched = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).filter(F.unhex(F.sha2("text", 256)) == F.col("wanted"))
-    fetched.select(F.col("wanted").alias("digest"), "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
+    missing = misses.count()
+    if missing * ROW_BYTES > BROADCAST_BYTES and missing >= MOSTLY * texts.count():
+        # Nearly all texts would be moved to be fetched: they stay, at the cost of copies that other tasks encode too.
+        encoded = texts.select(digest, "text").mapInArrow(encode, CACHE_SCHEMA).join(misses, "digest", "left_semi")
+    else:
+        # A miss is fetched by its id and checked by its digest, as ids may repeat with other texts. Few misses go to the
+        # texts, which then stay where they are.
+        chosen = misses.withColumnsRenamed({"digest": "wanted", "doc_id": "wanted_id"})
+        chosen = F.broadcast(chosen) if missing * ROW_BYTES <= BROADCAST_BYTES else chosen
+        fetched = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).filter(F.unhex(F.sha2("text", 256)) == F.col("wanted"))
+        encoded = fetched.select(F.col("wanted").alias("digest"), "text").mapInArrow(encode, CACHE_SCHEMA)
+    encoded.dropDuplicates(["digest"]).write.mode("append").parquet(cache_path)
     # Written once more, so that the join's sides are plain exchanges, whose hot digests adaptive execution can split.
     counts = materialize(read_cache(spark, cache_path, version), "token-counts")
     counted = digests.join(small_side(counts, ROW_BYTES), "digest")

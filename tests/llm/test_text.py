@@ -147,6 +147,26 @@ def test_token_counts_and_cache(spark, odd_docs, prose_docs, empty_docs, tmp_pat
     assert token_counts.count_tokens(empty_docs, str(tmp_path / "none"), path).count() == 0
 
 
+def test_token_counts_of_many_misses_move_no_texts(spark, tmp_path, monkeypatch):
+    """Too many misses to broadcast: texts are encoded where they are read, copies are cached once and cached ones are kept."""
+    from tokenizers import Tokenizer
+
+    path, cache, texts = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache"), [f"text {i % 40} of some" for i in range(44)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    token_counts.count_tokens(docs.filter("doc_id < 2"), cache, path).collect()
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", 0)
+    joined, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda df, other, *a, **k: joined.append(df.columns + other.columns) or join(df, other, *a, **k))
+    model = Tokenizer.from_file(path)
+    want = sorted((i, len(model.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(docs, cache, path).collect()) == want
+    assert joined and not any("text" in columns for columns in joined)
+    assert spark.read.parquet(cache).count() == 40
+    token_counts.count_tokens(docs.unionByName(spark.range(100, 110).selectExpr("id as doc_id", "concat('more ', id) as text")), cache, path).collect()
+    assert any("text" in columns for columns in joined)  # a fifth lack: these alone are fetched
+    assert spark.read.parquet(cache).count() == 50
+
+
 def brute_order_minhash(text):
     k = min(order_minhash.KMER, len(text))
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] if k else []
