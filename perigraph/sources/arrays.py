@@ -32,8 +32,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..session import require
 
-#: Bytes of a block that a task holds, of a partition's range, and rows of a part file, at most.
-BLOCK, RANGE, PART_ROWS = 1 << 20, 64 << 20, 1 << 20
+#: Bytes of a block that a task holds, of a partition's range, and rows and bytes of columns of a part file, at most. A
+#: writing task holds a part several times: as batches, as arrays, and compressed.
+BLOCK, RANGE, PART_ROWS, PART_BYTES = 1 << 20, 64 << 20, 1 << 20, 8 << 20
 
 SCHEMAS = {
     "points": "id long, x float, y float, z float",
@@ -325,16 +326,20 @@ class ArrayWriter(DataSourceArrowWriter):
 
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in parts of PART_ROWS."""
-    held, n = [], 0
+    """The rows of all batches in parts of PART_ROWS, or of fewer that take PART_BYTES."""
+    held, n, most = [], 0, 0
     for batch in batches:
         while batch.num_rows:
-            take = batch.slice(0, PART_ROWS - n)
+            most = most or max(1, min(PART_ROWS, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            take = batch.slice(0, most - n)
             held.append(take)
             n, batch = n + take.num_rows, batch.slice(take.num_rows)
-            if n == PART_ROWS:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if n == most:
+                part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n = [], 0
+                yield part
+                del part, take
+                pa.default_memory_pool().release_unused()
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

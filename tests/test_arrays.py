@@ -123,6 +123,16 @@ def test_lost_bytes_are_noticed(tmp_path):
     assert sorted(os.listdir(tmp_path / "a")) == ["_rows.json", "part-0.npy"]
 
 
+def test_parts_are_bounded_in_bytes():
+    """Rows of many columns make parts of fewer rows, so a task's memory does not grow with its rows nor their width."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 10_000)) for _ in range(5)], names=list("abcde")) for i in range(0, 500_000, 10_000)]
+    parts = list(arrays.in_parts(iter(batches)))
+    assert max(p.nbytes for p in parts) <= arrays.PART_BYTES < sum(p.nbytes for p in parts)
+    assert np.array_equal(np.concatenate([p["e"].to_numpy() for p in parts]), np.arange(500_000))
+
+
 def test_array_and_bundle_sinks(spark, tmp_path):
     rows = spark.range(500).selectExpr("id", "cast(id * id as double) as a", "cast(-id as double) as b").repartition(7)
     sources.write_array(rows, str(tmp_path / "a"), ["id"], ["a", "b"])
