@@ -134,6 +134,15 @@ def test_places_of_large_keys(spark, tmp_path):
     assert got == {p: tuple((p * p * a + p * b) % m / m * 100 for a, b in ((7919, 104729), (15485863, 32452843), (49979687, 67867967))) for p in keys}
 
 
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_places_of_keys_of_any_size(spark, tmp_path, kind):
+    """Keys that were shifted far apart, to the largest of their type, and products that would leave it."""
+    keys, m = [0, 19_999, 2_000_000_000, 2**31 - 1, *([10**12 + 5, 59 * 10**12, 2**63 - 1] if kind == "long" else [])], 1000003
+    spark.createDataFrame([(k,) for k in keys], f"p_partkey {kind}").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["id"]: (r["x"], r["y"], r["z"]) for r in fixtures.points(spark, str(tmp_path)).collect()}
+    assert got == {p: tuple((p * p * a + p * b) % m / m * 100 for a, b in ((7919, 104729), (15485863, 32452843), (49979687, 67867967))) for p in keys}
+
+
 def test_spheres_against_brute_force(spark):
     xyz, points = random_points(spark, 200)
     radii = [0.5, 1.0, 2.0, 3.5]
