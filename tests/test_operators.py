@@ -143,6 +143,18 @@ def test_places_of_keys_of_any_size(spark, tmp_path, kind):
     assert got == {p: tuple((p * p * a + p * b) % m / m * 100 for a, b in ((7919, 104729), (15485863, 32452843), (49979687, 67867967))) for p in keys}
 
 
+def test_radius_edges_meet_no_whole_cells(spark, monkeypatch):
+    """Points in one cell of an even grid: edges go by the tree, whose leaves are bounded, not by copies of points in cells."""
+    monkeypatch.setattr(spatial, "close_pairs", lambda *a, **k: pytest.fail("pairs of whole cells"))
+    xyz, points = random_points(spark, 300)
+    d = all_distances(xyz)
+    got = {(r["src"], r["dst"]): r["dist"] for r in spatial.radius_edges(points, 1.5, 10.0).collect()}
+    assert set(got) == {(i, j) for i in range(300) for j in range(300) if i != j and d[i, j] <= 1.5}
+    assert all(got[i, j] == pytest.approx(d[i, j]) for i, j in got)
+    with pytest.raises(ValueError, match="too large"):
+        spatial.radius_edges(points, 3.4, 10.0)
+
+
 def test_spheres_against_brute_force(spark):
     xyz, points = random_points(spark, 200)
     radii = [0.5, 1.0, 2.0, 3.5]

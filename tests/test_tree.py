@@ -40,6 +40,17 @@ def test_neighbours(spark, n, k, leaf):
     assert {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("radius", "leaf"), [(0.004, 8), (0.9, 8), (3.2, 64)])
+def test_pairs(spark, radius, leaf):
+    """Each pair once in both directions, across the box's faces, coincident points and pairs at the very radius included."""
+    xyz = np.concatenate([crowded(400), [[1.0, 2.0, 3.0], [1.0 + radius, 2.0, 3.0]]])
+    d = np.sqrt(d2_of(xyz, xyz))
+    np.fill_diagonal(d, np.inf)
+    radius = float(d[400, 401])
+    got = [tuple(r) for r in tree.tree_pairs(table(spark, xyz), radius, BOX, leaf).collect()]
+    assert sorted(got) == [(int(i), int(j), float(d[i, j])) for i, j in zip(*np.nonzero(d <= radius), strict=True)]
+
+
 @pytest.mark.parametrize("leaf", [4, 64])
 def test_counts(spark, leaf):
     xyz = crowded(400)
