@@ -40,6 +40,14 @@ def test_neighbours(spark, n, k, leaf):
     assert {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in got.collect()} == want
 
 
+def test_neighbours_of_many_at_one_place(spark):
+    """Each place holds more points than are asked for, so all bounds are zero; leaves hold several places."""
+    xyz, n, k = np.repeat(np.random.default_rng(4).random((60, 3)) * BOX, 7, axis=0), 420, 4
+    got = {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in tree.tree_neighbours(table(spark, xyz), k, BOX, 64).collect()}
+    others = [[j for j in range(7 * (i // 7), 7 * (i // 7) + 7) if j != i] for i in range(n)]
+    assert got == {(i, r + 1): (others[i][r], 0.0) for i in range(n) for r in range(k)}
+
+
 @pytest.mark.parametrize(("radius", "leaf"), [(0.004, 8), (0.9, 8), (3.2, 64)])
 def test_pairs(spark, radius, leaf):
     """Each pair once in both directions, across the box's faces, coincident points and pairs at the very radius included."""
