@@ -1,7 +1,7 @@
 """Binary arrays as a Spark data source: byte ranges read by many tasks, parts written and published at once.
 
 Layouts: points (raw little-endian float32 x, y, z), array (.npy), bundle (a member of an .npz) and matrix (compressed rows
-in an .npz: indptr, indices, data). A path is a file or a folder of parts that the sink wrote. Files are opened where the
+in an .npz: indptr, indices, data; with rows, their numbers where they are far apart). A path is a file or a folder of parts that the sink wrote. Files are opened where the
 tasks run by Arrow's file systems: local or mounted folders and the object stores that Arrow knows.
 
 Reading: a partition is a range of values of any length and offset, cut after the header is read, and passes blocks of a
@@ -35,6 +35,8 @@ from ..session import require
 #: Bytes of a block that a task holds, of a partition's range, and rows and bytes of columns of a part file, at most. A
 #: writing task holds a part several times: as batches, as arrays, and compressed.
 BLOCK, RANGE, PART_ROWS, PART_BYTES = 1 << 20, 64 << 20, 1 << 20, 8 << 20
+#: Rows for each entry that a part of a matrix points to at most; of rows further apart it keeps the numbers of those with entries.
+SPARSE = 4
 
 SCHEMAS = {
     "points": "id long, x float, y float, z float",
@@ -183,6 +185,7 @@ class ArrayReader(DataSourceReader):
                 count, rows, unit = arrays["indices"].count, arrays["indptr"].count - 1, 12
                 if "first" in arrays:  # a part, which knows its first row
                     first = int(next(arrays["first"].read(0, 1))[0])
+                first = 0 if "rows" in arrays else first  # or the number of each
             else:
                 found = npy_values(path) if self.layout == "array" else members(path)[self.member]
                 arrays, count, rows, unit, whole = {"value": found}, found.count, found.shape[0], np.dtype(found.kind).itemsize, found.deflated_at is not None
@@ -240,7 +243,10 @@ class ArrayReader(DataSourceReader):
                 part = slice(done, upto)
                 at += upto - done
                 done = upto
-                yield {"src": lambda: own + piece.first, "dst": lambda: columns[part].astype(np.int64), "w": lambda: values[part].astype(float)}
+                number = own + piece.first
+                if "rows" in piece.arrays:
+                    number = np.concatenate(list(piece.arrays["rows"].read(int(own[0]), int(own[-1]) + 1)))[own - own[0]]
+                yield {"src": lambda: number, "dst": lambda: columns[part].astype(np.int64), "w": lambda: values[part].astype(float)}
 
 
 def paired(a: Iterator[np.ndarray], b: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -299,8 +305,13 @@ class ArrayWriter(DataSourceArrowWriter):
             if self.layout == "matrix":
                 src = arrays["src"]
                 require(bool((np.diff(src) >= 0).all()), "entries of a matrix must be sorted by row within their partitions")
-                first, n = (int(src[0]), int(src[-1] - src[0]) + 1) if len(src) else (0, 0)
-                arrays = {"first": np.array([first]), "indptr": np.searchsorted(src, first + np.arange(n + 1)), "indices": arrays["dst"], "data": arrays["w"]}
+                first, n = (int(src[0]), int(src[-1]) - int(src[0]) + 1) if len(src) else (0, 0)
+                if n <= SPARSE * len(src):
+                    rows_of = {"first": np.array([first]), "indptr": np.searchsorted(src, first + np.arange(n + 1))}
+                else:
+                    numbers, begins = np.unique(src, return_index=True)
+                    rows_of = {"rows": numbers, "indptr": np.append(begins, len(src))}
+                arrays = rows_of | {"indices": arrays["dst"], "data": arrays["w"]}
             (np.savez_compressed if self.compress else np.savez)(file, **arrays)
             return file.tell()
 
@@ -410,7 +421,7 @@ def write_bundle(df: DataFrame, path: str, order: list[str], compress: bool = Tr
 
 
 def write_sparse_matrix(edges: DataFrame, path: str, compress: bool = False) -> None:
-    """src, dst, w as parts of compressed rows, by src and dst; src should number rows densely, as a part points to each."""
+    """src, dst, w as parts of compressed rows, by src and dst; where src leaves gaps, a part keeps the numbers of its rows."""
     rows = edges.select("src", "dst", "w").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
     write_layout(rows, "matrix", path, compress=str(compress).lower())
 

@@ -90,6 +90,17 @@ def test_matrices(spark, tmp_path, small, save):
     assert sources.read_sparse_matrix(spark, str(tmp_path / "out")).count() == edges.count()
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_matrices_of_rows_far_apart(spark, tmp_path, small, compress):
+    """Keys that were shifted by 10**12: a part keeps the numbers of its rows, not a pointer for each number between them."""
+    want = [(10**12 * (i // 40) + i % 40, 7 * j, float(i + j)) for i in range(120) for j in range(i % 5)]
+    edges = spark.createDataFrame(want, "src long, dst long, w double").repartition(3)
+    sources.write_sparse_matrix(edges.coalesce(1), str(tmp_path / "out"), compress)
+    assert in_process("matrix", tmp_path / "out")[0] == want
+    assert sorted(map(tuple, sources.read_sparse_matrix(spark, str(tmp_path / "out")).collect())) == want
+    assert sum(os.path.getsize(f"{tmp_path}/out/{f}") for f in os.listdir(tmp_path / "out")) < 1 << 16
+
+
 def test_parts_are_published_at_once(spark, tmp_path):
     rows = spark.range(1000).selectExpr("id", "cast(id as float) as x", "cast(id / 2 as float) as y", "cast(-id as float) as z")
     path = str(tmp_path / "points")
