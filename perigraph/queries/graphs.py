@@ -186,12 +186,15 @@ def k3_guard(spark, sf):
 
 
 def k4_radii(spark, sf):
-    """Grids between the least and the largest distance of neighbours, and how many lie within each inner radius."""
+    """Grids between the least and the largest distance of neighbours, and how many lie within each inner radius.
+
+    As in SQL, no radius of the logarithmic grid is a number where points coincide, and all distances lie below it."""
     found = neighbours(spark, sf)
     lo, hi = found.agg(F.min("dist"), F.max("dist")).first()
-    grid = [("log", i, r) for i, r in enumerate(geometric_grid(lo, hi, 9))] + [("linear", i, r) for i, r in enumerate(linear_grid(lo, hi, 6))]
-    grid = [g for g in grid if lo < g[2] < hi]
-    counted = found.agg(F.array(*[F.struct(F.lit(n).alias("grid"), F.lit(i).alias("i"), F.lit(r).alias("radius"), F.count_if(F.col("dist") <= r).alias("n")) for n, i, r in grid]).alias("g"))
+    log, linear = (geometric_grid(lo, hi, 9), linear_grid(lo, hi, 6)) if lo is not None else ([None] * 9, [None] * 6)
+    grid = [(name, i, values[i]) for name, values in (("log", log), ("linear", linear)) for i in range(1, len(values) - 1)]
+    radius = lambda r: F.lit(r).cast("double")
+    counted = found.agg(F.array(*[F.struct(F.lit(n).alias("grid"), F.lit(i).alias("i"), radius(r).alias("radius"), F.count_if(F.col("dist") <= radius(r)).alias("n")) for n, i, r in grid]).alias("g"))
     return rounded(counted.select(F.explode("g").alias("e")).select("e.*"))
 
 
