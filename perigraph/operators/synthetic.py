@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hash_normal, hash_uniform, wrap
+from ..session import BROADCAST_BYTES
 from .heatkernel import interpolate_at
 from .spectrum import all_cells, frequency, transform
 
+#: Bytes that a cell of a mesh and its corners' values take in a broadcast table.
+CELL_BYTES = 160
+
 
 def white_noise(spark: SparkSession, m: int, seed: int = 0) -> DataFrame:
     return all_cells(spark, m).withColumn("v", hash_normal(F.lit(seed), F.col("ix"), F.col("iy"), F.col("iz")))
@@ -60,18 +64,29 @@ def density_from_displacement(fields: dict[str, DataFrame], m: int, box: float)
 
 
 def mesh_at_points(points: DataFrame, field: DataFrame, m: int, box: float) -> DataFrame:
-    """id, value: the mesh (values at cell corners) interpolated linearly between its eight corners around each point."""
+    """id, value: the mesh (values at cell corners) interpolated linearly between its eight corners around each point.
+
+    Cells gather their corners, so a point meets one row. A small mesh is broadcast; the points never are, whatever size Spark
+    takes them for.
+    """
+    around = F.array(*[F.struct(F.lit(o).alias("o"), *[F.lit(o >> b & 1).alias(f"o{c}") for b, c in enumerate("xyz")]) for o in range(8)])
+    spread = field.withColumn("corner", F.explode(around))
+    keyed = spread.select("v", "corner.o", *[F.pmod(F.col(f"i{c}") - F.col(f"corner.o{c}"), F.lit(m)).alias(f"i{c}") for c in "xyz"])
+    cells = keyed.groupBy("ix", "iy", "iz").agg(*[F.sum(F.when(F.col("o") == o, F.col("v"))).alias(f"v{o}") for o in range(8)])
+    cells = F.broadcast(cells) if m**3 * CELL_BYTES <= BROADCAST_BYTES else cells.hint("merge")
     spots = points
     for c in "xyz":
         u = F.col(c).cast("double") / (box / m)
-        spots = spots.withColumn(f"i{c}", F.floor(u).cast("int")).withColumn(f"f{c}", u - F.floor(u))
-    corners = F.array(*[F.struct(*[F.lit(o >> b & 1).alias(f"o{c}") for b, c in enumerate("xyz")]) for o in range(8)])
-    spread = spots.withColumn("corner", F.explode(corners))
-    weight = F.lit(1.0)
-    for c in "xyz":
-        weight = weight * F.when(F.col(f"corner.o{c}") == 1, F.col(f"f{c}")).otherwise(1 - F.col(f"f{c}"))
-    keyed = spread.select("id", weight.alias("w"), *[F.pmod(F.col(f"i{c}") + F.col(f"corner.o{c}"), F.lit(m)).alias(f"i{c}") for c in "xyz"])
-    return keyed.join(field, ["ix", "iy", "iz"]).groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+        spots = spots.withColumn(f"f{c}", u - F.floor(u)).withColumn(f"i{c}", F.pmod(F.floor(u).cast("int"), F.lit(m)))
+    value = F.lit(0.0)
+    for o in range(8):
+        weight = F.lit(1.0)
+        for b, c in enumerate("xyz"):
+            weight = weight * (F.col(f"f{c}") if o >> b & 1 else 1 - F.col(f"f{c}"))
+        value = value + F.coalesce(weight * F.col(f"v{o}"), F.lit(0.0))
+    known = F.coalesce(*[F.col(f"v{o}") for o in range(8)]).isNotNull()
+    met = spots.select("id", *[f"{n}{c}" for n in "if" for c in "xyz"]).join(cells, ["ix", "iy", "iz"])
+    return met.groupBy("id").agg(F.sum(F.when(known, value)).alias("value"))
 
 
 def uniform_points(spark: SparkSession, n: int, box: float, seed: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from perigraph.operators import synthetic
 from perigraph.queries import ORACLE_SQL, QUERIES
 
 from .test_queries import rows
@@ -31,3 +32,19 @@ def same(spark, name, folder, con):
 def test_radii(spark, parts, keys):
     """Two points at one place: the least distance is zero, from which no ratio leads on."""
     same(spark, "k4_radii", *parts(keys))
+
+
+def test_mesh_at_points_sends_no_points(spark, parts):
+    """Neither are points copied to their corners nor broadcast; a mesh too large to broadcast is merged with them."""
+    folder, con = parts(range(1, 300))
+    same(spark, "n5_mesh_at_points", folder, con)
+    points, cells = spark.range(100).selectExpr("id", "id % 7 / 7D as x", "id % 11 / 11D as y", "id % 13 / 13D as z"), spark.range(4096)
+    field = cells.selectExpr("cast(id div 256 as int) as ix", "cast(id div 16 % 16 as int) as iy", "cast(id % 16 as int) as iz", "sin(id) as v")
+    small = synthetic.mesh_at_points(points, field, 16, 1.0)
+    plan = small._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(synthetic, "BROADCAST_BYTES", 0)
+        large = synthetic.mesh_at_points(points, field, 16, 1.0)
+    assert "SortMergeJoin" in large._jdf.queryExecution().sparkPlan().toString()
+    assert rows(small.toPandas()) == rows(large.toPandas())
