@@ -1,9 +1,11 @@
 """Queries over tables that are larger or odder than the given ones: coincident points, keys of any size, small drivers."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from perigraph.operators import synthetic
+from perigraph.operators import synthetic, tree
 from perigraph.queries import ORACLE_SQL, QUERIES
 
 from .test_queries import rows
@@ -48,3 +50,25 @@ def test_mesh_at_points_sends_no_points(spark, parts):
         large = synthetic.mesh_at_points(points, field, 16, 1.0)
     assert "SortMergeJoin" in large._jdf.queryExecution().sparkPlan().toString()
     assert rows(small.toPandas()) == rows(large.toPandas())
+
+
+@pytest.mark.parametrize("scale", [10.0, 1e6])
+def test_counts_within(scale):
+    """Points of a grid lie at the very radii; some crowd together, some share a place; radii reach to half the box."""
+    rng = np.random.default_rng(1)
+    own, there = (np.concatenate([rng.random((n, 3)), np.round(rng.random((n, 3)) * 10) / 10 % 1, 0.33 + rng.random((n, 3)) / 1000, np.full((n, 3), 0.7)]) * scale for n in (70, 130))
+    own, there = own[tree.tile_order(own)], [part[tree.tile_order(part)] for part in (there[:1], there[1:150], there[150:])]
+    squares = np.array([0.0005, 0.1, 0.2, 0.3, 0.4, 0.499]) ** 2 * scale**2
+    d2 = tree.distances2(own, np.concatenate(there), scale)
+    assert (tree.counts_within(own, there, squares, scale) == np.stack([(d2 <= s).sum(axis=1) for s in squares], axis=1)).all()
+
+
+def test_points_travel_to_few_blocks(spark, monkeypatch):
+    """Each leaf of packed points is sent to at most LEAVES others or so, not to all leaves of 256 points within the radius."""
+    sent = []
+    real = tree.chunked
+    monkeypatch.setattr(tree, "chunked", lambda *a: (sent.append(out := real(*a)), out)[1])
+    points = spark.range(30_000).select("id", *[F.rand(s).alias(c) for s, c in enumerate("xyz")])
+    got = tree.tree_counts(points, points, [0.1, 0.45], 1.0)
+    assert got.count() == 60_000
+    assert sent[0].agg(F.sum(F.length("other_ids") / 8)).first()[0] <= 64 * 30_000
