@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perigraph.operators import synthetic, tree
+from perigraph.operators import bootstrap, synthetic, tree
 from perigraph.queries import ORACLE_SQL, QUERIES
 
 from .test_queries import rows
@@ -52,6 +52,28 @@ def test_mesh_at_points_sends_no_points(spark, parts):
     assert rows(small.toPandas()) == rows(large.toPandas())
 
 
+def test_draws_of_many_units(spark):
+    """Products of a unit's number and the rule's factors leave 32 bits from 271,000 units on."""
+    n = 300_000
+    b, i = np.divmod(np.arange(2 * n), n)
+    want = (b * 1103 + i * 7919 + b * i * 31 + b * b * 17) % 10007 % n
+    got = bootstrap.multiplicities(bootstrap.lattice_draws(spark, 2, n)).toPandas()
+    assert {(r.b, r.unit): r.c for r in got.itertuples()} == {(b, u): int(c) for b in (0, 1) for u, c in zip(*np.unique(want[b * n : (b + 1) * n], return_counts=True), strict=True)}
+
+
+def test_counts_are_taken_around_drawn_centres_only(spark, monkeypatch):
+    """The replicates draw 10,007 of all centres at most, and no others are searched around."""
+    from perigraph.queries import physical
+
+    around = []
+    real = physical.spatial.counts_in_spheres
+    monkeypatch.setattr(physical.spatial, "counts_in_spheres", lambda centres, *a: (around.append(centres.count()), real(centres, *a))[1])
+    drawn = spark.createDataFrame([(0, 3, 1), (1, 5, 2), (1, 3, 1)], "b long, unit int, c long")
+    some = physical.centre_counts(spark, "/root/testdata/sf0.001", drawn)
+    every = physical.centre_counts(spark, "/root/testdata/sf0.001").filter("center in (3, 5)")
+    assert around[0] == 2 and rows(some.toPandas()) == rows(every.toPandas())
+
+
 @pytest.mark.parametrize("scale", [10.0, 1e6])
 def test_counts_within(scale):
     """Points of a grid lie at the very radii; some crowd together, some share a place; radii reach to half the box."""
