@@ -94,3 +94,17 @@ def test_points_travel_to_few_blocks(spark, monkeypatch):
     got = tree.tree_counts(points, points, [0.1, 0.45], 1.0)
     assert got.count() == 60_000
     assert sent[0].agg(F.sum(F.length("other_ids") / 8)).first()[0] <= 64 * 30_000
+
+
+def test_many_neighbours_have_near_bounds(spark, monkeypatch):
+    """Eighths of a cell of 337 points hold fewer than 48, so their points had no bound of their own and met nearly all others."""
+    found = []
+    real = tree.meet
+    monkeypatch.setattr(tree, "meet", lambda *a, **b: (found.append(out := real(*a, **b)), out)[1])
+    n, k = 2700, 48
+    xyz = np.random.default_rng(2).random((n, 3))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "id long, x double, y double, z double")
+    got = tree.tree_neighbours(points, k, 1.0).filter(f"rank = {k}").toPandas()
+    want = np.sort(tree.distances2(xyz, xyz, 1.0), axis=1)[:, k]
+    assert len(got) == n and np.allclose(got.sort_values("src").dist, np.sqrt(want))
+    assert found[0].count() <= 10 * k * n
